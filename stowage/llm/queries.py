@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm.common import table
+from stowage.llm.decontaminate import contamination
 from stowage.llm.ngram_join import jaccard_components
+from stowage.llm.packing import best_fit_packing
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +16,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens of the public word-end BPE; token 1 ends each document."""
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 benchmark words."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op5_best_fit_packing, op8_decontaminate)}
 ORACLE: dict[str, str] = {}
