@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stowage.llm.common import table
 from stowage.llm.decontaminate import contamination
 from stowage.llm.ngram_join import jaccard_components
+from stowage.llm.lang_id import predict
 from stowage.llm.packing import best_fit_packing
+from stowage.llm.token_counts import byte_vocabulary, token_counts
+from stowage.llm.toxicity import held_out_sql, toxicity
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match counts over the public byte-level vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), byte_vocabulary(tokenizer_path("byte_bpe_50k.json")))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +30,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of the documents with crc32(doc_id) mod 4 other than 2; all documents are predicted."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.expr(held_out_sql("doc_id", 4, 2))
+    found = predict(docs, docs.where(~F.coalesce(held_out, F.lit(False))))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op5_best_fit_packing, op8_decontaminate)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labelled documents with crc32(doc_id) mod 5 other than 0; all documents are scored."""
+    found = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.expr(held_out_sql("doc_id", 5, 0)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_decontaminate, op10_toxicity)}
 ORACLE: dict[str, str] = {}

@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 
 from stowage.llm import common as C
 
-#: The fit takes at most so many labelled documents of each class, those with the smallest hash of doc_id.
-SAMPLE_PER_CLASS = 2000
-BUCKETS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, MEMO = 1 << 17, 4, 60.0, 20, 250, 0.03, 1e-4, 400_000
+#: The fit takes at most so many labelled documents of each class (label: bound), those with the smallest hash of doc_id.
+SAMPLE = {0: 5000, 1: 2000}
+BUCKETS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, MEMO = 1 << 17, 4, 60.0, 12, 250, 0.03, 1e-4, 400_000
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams of 3 to 5 with its borders marked, and of the whole word."""
+    """Buckets of the word's character n-grams of 3 and 4 with its borders marked, and of the whole word."""
     s = f"<{word[:64]}>"
-    grams = {s[i : i + n] for n in (3, 4, 5) for i in range(len(s) - n + 1)} | {f"={word}"}
+    grams = {s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)} | {f"={word}"}
     return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams)
 
 
@@ -136,7 +136,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     but for a bias to the class present (none: to 0)."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(f"id is not null and label in (0, 1) and not ({held_out_sql('id', 5, 0)})")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    by_hash = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
+    by_hash = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE[y]) for y in SAMPLE]
     sample = by_hash[0].union(by_hash[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("label", "text")
     rows = texts.mapInArrow(word_counts, "label int, words array<string>, counts array<int>").toPandas()
