@@ -6,6 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm.additive_quant import nearest
 from stowage.llm.common import table
 from stowage.llm.decontaminate import contamination
 from stowage.llm.ngram_join import jaccard_components
@@ -20,6 +21,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), byte_vocabulary(tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every vector whose id is divisible by 100, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, 100 * intersection >= 90 * union."""
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
@@ -49,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(held_out_sql("doc_id", 5, 0)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_decontaminate, op10_toxicity)}
 ORACLE: dict[str, str] = {}
