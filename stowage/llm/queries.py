@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 from stowage.llm.additive_quant import nearest
 from stowage.llm.common import table
 from stowage.llm.decontaminate import contamination
+from stowage.llm.license_scan import duckdb_sql, license_scan
 from stowage.llm.ngram_join import jaccard_components
 from stowage.llm.lang_id import predict
 from stowage.llm.packing import best_fit_packing
+from stowage.llm.pii import pseudonyms
 from stowage.llm.token_counts import byte_vocabulary, token_counts
 from stowage.llm.toxicity import held_out_sql, toxicity
 
+#: The key of the registered queries; give a secret one in production.
+PSEUDONYM_KEY = b"stowage example key"
+
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match counts over the public byte-level vocabulary."""
@@ -45,16 +50,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dice 0.8 over word bigrams, lines and whole texts against the notices of TEMPLATES."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 benchmark words."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses permuted within their format."""
+    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from labelled documents with crc32(doc_id) mod 5 other than 0; all documents are scored."""
     found = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", F.expr(held_out_sql("doc_id", 5, 0)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op8_decontaminate, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_license_scan, op8_decontaminate, op9_pseudonyms, op10_toxicity)}
+ORACLE: dict[str, str] = {"op7_license_scan": duckdb_sql()}
