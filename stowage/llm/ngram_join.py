@@ -5,9 +5,9 @@ largest symmetric difference two linked sets of that size can have, so two linke
 shared fragment is an equi-join key and no hot n-gram can flood it. Verification: the order is cut into fragments again, partial
 overlaps are counted fragment by fragment and summed per pair.
 
-Links are found without expanding groups of copies: every bucket of equal fragments is compared as a star around a leader first; only
-buckets which still hold more than one component are compared further, at last by all pairs across components, so no link between
-different components is lost.
+Links are found without expanding groups of copies: every bucket of equal fragments is compared as a star around a leader first. Only
+buckets which then hold more than one component are compared further, across components: small ones pair by pair, large ones in blocks
+of bounded size whose tasks return just the links. So no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from stowage.operators.components import connected_components
 KEY, SET, COPY, HELD, NO_ID = 0, 1, 2, 3, 4
 _ROW = "pkey long, kind int, doc long, a long, b long"
 _SALTS = [int(C.mix1(i + 77)) for i in range(4)]
-#: Grams per fragment when overlaps are counted; rounds of star comparisons before the rest is compared pairwise.
-FRAGMENT_GRAMS, STAR_ROUNDS = 4096, 3
+#: Grams per fragment when overlaps are counted; most documents of a bucket compared as pairs of rows; documents per block of a larger one.
+FRAGMENT_GRAMS, SMALL, BLOCK = 4096, 12, 256
 
 
 def size_bands(percent: int) -> np.ndarray:
@@ -142,6 +143,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return total.where(F.expr(f"100 * i >= {percent} * (na + nb - i)")).select("a", "b")
 
 
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _across_blocks(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) across components within each bucket: its documents are dealt to blocks and every two blocks meet in a task."""
+    blocks = F.ceil(F.col("all") / BLOCK)
+    dealt = open_.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component").join(texts, "doc")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        docs, component, own = pdf["doc"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
+        grams = list(C.gram_hashes(*C.word_hashes(list(pdf["text"]), C.BLANK_WORDS), n))
+        size = np.array([len(g) for g in grams], np.int64)
+        _, code = np.unique(np.concatenate(grams), return_inverse=True)
+        owner = np.repeat(np.arange(len(grams)), size)
+        order = np.lexsort((owner, code))
+        code, owner = code[order], owner[order]
+        common = np.zeros((len(grams), len(grams)), np.int32)
+        for part in np.split(owner, np.flatnonzero(np.diff(code)) + 1):
+            if len(part) > 1:
+                common[np.ix_(part, part)] += 1
+        link = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common)
+        link &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
+        x, y = np.nonzero(np.triu(link, 1))
+        return pd.DataFrame({"a": np.minimum(docs[x], docs[y]), "b": np.maximum(docs[x], docs[y])})
+
+    return dealt.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Rows (doc, size, component), each component named by its smallest document; components that share an id become one."""
+    least = rows.groupBy("component").agg(F.min("doc").alias("least"))
+    rows = C.stored(rows.join(least, "component").select("doc", "size", F.col("least").alias("component")), "labels")
+    shared = rows.groupBy("doc").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("a", "b")
+    if shared.isEmpty():
+        return rows
+    again = connected_components(shared).withColumnRenamed("component", "to")
+    return rows.join(again, rows.component == again.node, "left").select("doc", "size", F.coalesce("to", "component").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per document with an id; documents link when 100 * |A n B| >= percent * |A u B|.
 
@@ -155,44 +197,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows = C.stored(rows.where(f"kind <> {KEY} or n > 1"), "buckets")
     of = {kind: rows.where(F.col("kind") == kind) for kind in (KEY, SET, COPY, HELD, NO_ID)}
     size = F.col("b").alias("size")
-    sets, copies = of[SET].select("doc", F.col("lead").alias("rep"), size), of[COPY].select("doc", F.col("a").alias("rep"), size)
-    equal = sets.union(copies).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    sets, copies = of[SET].select("doc", F.col("lead").alias("rep"), size), of[COPY].select("doc", F.col("a").alias("first"), size)
+    later = sets.where("doc <> rep").select("doc", "rep")
     firsts = of[KEY].select(F.col("pkey").alias("key"), "doc", "lead")
     held = of[HELD].select(F.col("b").alias("key"), "doc", F.col("a").alias("lead"))
-    members = firsts.select("key", "doc").union(held.select("key", "doc")).union(held.select("key", F.col("lead").alias("doc")))
-    later = sets.where("doc <> rep").select("doc", "rep")
-
-    def to_test(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """Distinct pairs (a < b) of set representatives that haven't been tested."""
-        for c in ("x", "y"):
-            pairs = pairs.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-        pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return C.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-
-    tested = to_test(firsts.union(held).where("doc <> lead").select(F.col("doc").alias("x"), F.col("lead").alias("y")), None)
-    wanted = members.select("doc").union(sets.where("doc <> rep").select("rep")).distinct()
-    texts = C.stored(docs.where("doc is not null").join(wanted, "doc", "left_semi"), "texts")
+    bucket = firsts.union(held)
+    members = bucket.select("key", "doc").union(held.select("key", F.col("lead").alias("doc")))
+    members = C.stored(members.join(later, "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct(), "members")
+
+    star = bucket.where("doc <> lead").select("doc", "lead").distinct()
+    for c in ("doc", "lead"):
+        star = star.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+    tested = C.stored(_pairs(star, "doc", "lead"), "pairs")
+    texts = C.stored(docs.join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
     links = C.stored(_verified(tested, texts, n, percent), "links")
-    found = connected_components(links.union(equal))
-    for turn in range(STAR_ROUNDS + 1):
-        inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")).distinct()
-        parts = inside.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.expr("count * count")).alias("square"))
-        open_ = C.stored(inside.join(parts.where("all * all > square"), "key"), "open")
-        rows_open, cross = open_.agg(F.count("*"), F.sum(F.expr("(all * all - square) / all")) / 2).first()
-        if not rows_open:
-            break
-        pairwise = turn == STAR_ROUNDS or cross <= 8 * rows_open
-        if pairwise:
-            pairs = open_.select("key", F.col("doc").alias("x"), "component").join(open_.select("key", F.col("doc").alias("y"), F.col("component").alias("other")), "key").where("component < other")
-        else:
-            lead = open_.groupBy("key").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("component", "doc", F.lit(turn))).alias("l"))
-            pairs = open_.join(lead, "key").where("component <> l.component").select(F.col("doc").alias("x"), F.col("l.doc").alias("y"))
-        pairs = to_test(pairs.select("x", "y"), tested)
-        more = C.stored(_verified(pairs, texts, n, percent), "links")
-        tested, links = tested.union(pairs), links.union(more)
-        if not more.isEmpty():
-            found = connected_components(links.union(equal))
-        if pairwise:
-            break
-    every = sets.union(copies).select("doc", "size").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
-    return every.union(of[NO_ID].select(F.lit(None).cast("long"), "b", F.lit(None).cast("long")))
+    found = connected_components(links)
+
+    inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    whole = inside.groupBy("key").agg(F.count("*").alias("all"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    open_ = C.stored(inside.join(whole.select("key", "all"), "key"), "open")
+    small = open_.where(F.col("all") <= SMALL)
+    pairs = small.select("key", F.col("doc").alias("x"), "component").join(small.select("key", F.col("doc").alias("y"), F.col("component").alias("other")), "key")
+    pairs = _pairs(pairs.where("component < other"), "x", "y").join(tested, ["a", "b"], "left_anti")
+    more = C.stored(_verified(pairs, texts, n, percent).union(_across_blocks(open_.where(F.col("all") > SMALL), texts, n, percent)), "links")
+    if not more.isEmpty():
+        found = connected_components(links.union(more))
+    first_of = sets.select(F.col("doc").alias("first"), "rep")
+    every = sets.select("doc", "rep", "size").union(copies.join(first_of, "first", "left").select("doc", F.coalesce("rep", "first"), "size"))
+    every = every.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "size", F.coalesce("component", "rep").alias("component"))
+    # an id that several rows share carries the links of all of them; a component may reach a smaller id through its equal sets
+    every = _joined(every)
+    return every.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")).union(of[NO_ID].select(F.lit(None).cast("long"), "b", F.lit(None).cast("long")))
