@@ -11,6 +11,7 @@ from stowage.llm.common import table
 from stowage.llm.decontaminate import contamination
 from stowage.llm.license_scan import duckdb_sql, license_scan
 from stowage.llm.ngram_join import jaccard_components
+from stowage.llm.html_text import main_text
 from stowage.llm.lang_id import predict
 from stowage.llm.packing import best_fit_packing
 from stowage.llm.pii import pseudonyms
@@ -21,6 +22,11 @@ from stowage.llm.toxicity import held_out_sql, toxicity
 PSEUDONYM_KEY = b"stowage example key"
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match counts over the public byte-level vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), byte_vocabulary(tokenizer_path("byte_bpe_50k.json")))
@@ -71,5 +77,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(held_out_sql("doc_id", 5, 0)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_license_scan, op8_decontaminate, op9_pseudonyms, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_license_scan, op8_decontaminate, op9_pseudonyms, op10_toxicity)}
 ORACLE: dict[str, str] = {"op7_license_scan": duckdb_sql()}
