@@ -2,7 +2,8 @@
 
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the word itself, so a misspelling shares most of
 its vector with the word it hides. A text's vector is the mean of its words' vectors. As the output is linear in the embeddings, the
-trained model reduces to one number per bucket, and a text's log-odds to the mean of its words' numbers.
+trained model reduces to one number per bucket, and a text's log-odds to the mean of its words' numbers. A run of text counts CAP times at most and
+PAD words of nothing are averaged in, so that a text of a few words, or of one word over and over, isn't judged by their noise.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: The fit takes at most so many labelled documents of each class (label: bound), those with the smallest hash of doc_id.
-SAMPLE = {0: 5000, 1: 2000}
-BUCKETS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, MEMO = 1 << 17, 4, 60.0, 12, 250, 0.03, 1e-4, 400_000
+SAMPLE = {0: 3000, 1: 1500}
+BUCKETS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, MEMO = 1 << 17, 4, 60.0, 10, 250, 0.03, 0.4, 400_000
+CAP, PAD = 3, 50
 _NOT_WORD = re.compile(r"[\W_]+")
 
 
@@ -40,7 +42,10 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            count = Counter(filter(None, map(clean, (text or "").split())))
+            count: Counter = Counter()
+            for run, n in Counter((text or "").split()).items():
+                count[clean(run)] += min(n, CAP)
+            count.pop("", None)
             rows.append({"label": label, "words": list(count), "counts": list(count.values())})
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))]))
 
@@ -49,15 +54,15 @@ class _Sum:
     """Sums of rows by a group number, as one sorted segment sum."""
 
     def __init__(self, group: np.ndarray, n: int):
-        self.order, self.n = np.argsort(group, kind="stable"), n
-        ordered = group[self.order]
-        self.at = np.flatnonzero(np.diff(ordered, prepend=-1))
+        self.order, self.n = None if (np.diff(group) >= 0).all() else np.argsort(group, kind="stable").astype(np.int32), n
+        ordered = group if self.order is None else group[self.order]
+        self.at = np.flatnonzero(np.diff(ordered, prepend=-1)).astype(np.int32)
         self.to = ordered[self.at]
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, rows.shape[1]), np.float32)
         if len(self.at):
-            out[self.to] = np.add.reduceat(rows[self.order], self.at, axis=0)
+            out[self.to] = np.add.reduceat(rows if self.order is None else rows[self.order], self.at, axis=0)
         return out
 
 
@@ -72,11 +77,11 @@ def fit(docs: list[tuple[list[str], list[int]]], labels: np.ndarray, seed: int =
         place = {w: i for i, w in enumerate(dict.fromkeys(w for i in pick for w in docs[i][0]))}
         subs = [subwords(w) for w in place]
         sub_n = np.array([len(s) for s in subs], np.float32)[:, None]
-        touched, at = np.unique(np.array([b for s in subs for b in s], np.int64), return_inverse=True)
-        owner = np.repeat(np.arange(len(subs)), [len(s) for s in subs])
-        word = np.array([place[w] for i in pick for w in docs[i][0]], np.int64)
-        weight = np.array([c / sum(docs[i][1]) for i in pick for c in docs[i][1]], np.float32)[:, None]
-        row = np.repeat(np.arange(len(pick)), [len(docs[i][0]) for i in pick])
+        touched, at = np.unique(np.fromiter((b for s in subs for b in s), np.int32), return_inverse=True)
+        at, owner = at.astype(np.int32), np.repeat(np.arange(len(subs), dtype=np.int32), [len(s) for s in subs])
+        word = np.fromiter((place[w] for i in pick for w in docs[i][0]), np.int32)
+        weight = np.array([c / (PAD + sum(docs[i][1])) for i in pick for c in docs[i][1]], np.float32)[:, None]
+        row = np.repeat(np.arange(len(pick), dtype=np.int32), [len(docs[i][0]) for i in pick])
         batches.append((labels[pick], sub_n, touched, at, owner, word, weight, row, _Sum(owner, len(subs)), _Sum(row, len(pick)), _Sum(word, len(subs)), _Sum(at, len(touched))))
     for _ in range(EPOCHS):
         for k in rng.permutation(len(batches)):
@@ -90,7 +95,8 @@ def fit(docs: list[tuple[list[str], list[int]]], labels: np.ndarray, seed: int =
             p[np.arange(len(label)), label] -= 1
             p /= len(label)
             d_vec = from_doc((p @ w.T)[row] * weight) * SCALE / sub_n
-            grads = [to_bucket(d_vec[owner]) + DECAY * e[touched], hidden.T @ p, p.sum(0)]
+            grads = [to_bucket(d_vec[owner]), hidden.T @ p, p.sum(0)]
+            e[touched] *= 1 - RATE * DECAY
             step += 1
             for m, v, q, g, rows in zip(first, second, params, grads, (touched, slice(None), slice(None)), strict=True):
                 m[rows] = 0.9 * m[rows] + 0.1 * g
@@ -100,15 +106,31 @@ def fit(docs: list[tuple[list[str], list[int]]], labels: np.ndarray, seed: int =
     return (SCALE * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0])
 
 
-class _Memo(dict):
+class _Words(dict):
+    """The number of a cleaned word: the mean over its subwords."""
+
     def __init__(self, value: np.ndarray):
         self.value = value
 
-    def __missing__(self, run: str) -> float:
+    def __missing__(self, word: str) -> float:
         if len(self) > MEMO:
             self.clear()
-        word = clean(run)
         score = float(self.value[subwords(word)].mean()) if word else float("nan")
+        if len(word) < 64:
+            self[word] = score
+        return score
+
+
+class _Memo(dict):
+    """The number of a blank-separated run of text, by way of its cleaned word."""
+
+    def __init__(self, value: np.ndarray):
+        self.words = _Words(value)
+
+    def __missing__(self, run: str) -> float:
+        if len(self) > MEMO:
+            self.clear()
+        score = self.words[clean(run)]
         if len(run) < 64:
             self[run] = score
         return score
@@ -121,9 +143,10 @@ def _probabilities(model) -> object:
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
-                s = np.array([memo[r] for r in (text or "").split()], np.float64)
-                s = s[~np.isnan(s)]
-                scores.append(1 / (1 + np.exp(-np.clip(bias + (s.mean() if len(s) else 0.0), -500, 500))))
+                count = Counter((text or "").split())
+                s, n = np.array([memo[r] for r in count], np.float64), np.minimum(np.fromiter(count.values(), np.int64, len(count)), CAP)
+                word = ~np.isnan(s)
+                scores.append(1 / (1 + np.exp(-np.clip(bias + (s[word] * n[word]).sum() / (PAD + n[word].sum()), -500, 500))))
             at = batch.schema.get_field_index("text")
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(scores, pa.float64()), batch.column(at)]
             yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "text"] + ["_score", "text"])
