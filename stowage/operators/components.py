@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = e.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().withColumn("component", F.col("node"))
     live = e.where("lo < hi")
     while not live.isEmpty():
-        parent = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")).checkpoint()
+        parent = live.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")).checkpoint()  # up < node: a forest
         while True:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             jumped = parent.join(above, "up", "left").select("node", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")).checkpoint()
