@@ -1,6 +1,176 @@
-"""The registered queries of the inventory operators, and their SQL."""
+"""The registered queries of the inventory operators over tables derived from the given ones, and the same as DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import functions as F
+
+from stowage.functions import columns as K
+from stowage.functions import fixtures as X
+from stowage.functions import rules as R
+from stowage.operators import rollup as U
+from stowage.operators import similarity as S
+from stowage.plans import manifest as M
+from stowage.plans import planners as P
+
+AS_OF = 1735689600  # 2025-01-01, for what is old
+
+
+def _shown(plan):
+    return plan.select("src", "dst", "reason", "size")
+
+
+def _dirs(files):
+    """All folders of the files, and an empty one in each top folder."""
+    have = P.ancestors(files).select(F.col("folder").alias("rel_path")).distinct()
+    return have.union(have.where(~F.col("rel_path").contains("/")).select(F.concat("rel_path", F.lit("/empty/deep")))).union(have.where(~F.col("rel_path").contains("/")).select(F.concat("rel_path", F.lit("/empty"))))
+
+
+def _heads(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", K.detect_type(F.substring(F.col("html").cast("binary"), 1, 32)).alias("type"))
+
+
+def _compressed(files):
+    return files.select(F.col("rel_path").alias("path"), F.col("size").alias("before"), F.floor(F.col("size") * (F.col("walk_seq") % 4 + 8) / 10).cast("long").alias("after"), (F.col("walk_seq") % 9 == 0).alias("converted"))
+
+
+def _flat_files(files):
+    """The inventory with every file's own folder left out, so that moves collide."""
+    return files.withColumn("rel_path", F.regexp_replace("rel_path", r"d\d+/([^/]*)$", "$1")).withColumn("r", F.row_number().over(M.Window.partitionBy("rel_path").orderBy("walk_seq"))).where("r = 1").drop("r")
+
+
+def _applied(files):
+    plan = P.flatten(files).where("size > 0").withColumnRenamed("walk_seq", "op_seq")
+    return M.apply(files, plan.select("op_seq", "kind", "src", "dst"))
+
+
+def _undone(spark, d):
+    manifest, journal = _applied(_flat_files(X.files(spark, d)))
+    return M.undo(manifest, journal).groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+QUERIES = {
+    "type_by_category": lambda s, d: P.summary(P.by_type(X.files(s, d))),
+    "type_plan": lambda s, d: _shown(P.by_type(X.files(s, d))),
+    "junk_plan": lambda s, d: _shown(P.junk(X.files(s, d))),
+    "junk_by_reason": lambda s, d: P.summary(P.junk(X.files(s, d))),
+    "size_by_tier": lambda s, d: P.summary(P.by_size(X.blobs(s, d))),
+    "date_plan": lambda s, d: _shown(P.by_date(X.files(s, d))),
+    "location_plan": lambda s, d: _shown(P.by_location(X.files(s, d), X.gps(s, d))),
+    "flatten_plan": lambda s, d: _shown(P.flatten(X.files(s, d))),
+    "source_folders": lambda s, d: P.source_folders(P.by_type(X.files(s, d))),
+    "moved_summary": lambda s, d: P.moved_summary(P.by_type(X.files(s, d))),
+    "plan_counts": lambda s, d: P.counts(P.cleanup(X.files(s, d))),
+    "search": lambda s, d: P.search(X.files(s, d), "photo"),
+    "dup_plan": lambda s, d: _shown(P.duplicates(X.files(s, d))),
+    "dup_groups": lambda s, d: P.duplicate_groups(X.files(s, d)),
+    "similar_names": lambda s, d: _shown(P.similar_names(X.files(s, d))),
+    "cleanup_plan": lambda s, d: P.cleanup(X.files(s, d)).select("src", "dst", "reason", "stage"),
+    "reclaim": lambda s, d: U.reclaim(X.files(s, d), AS_OF),
+    "large_old": lambda s, d: U.reclaim(X.blobs(s, d).withColumns({"mtime_epoch": F.lit(1704067200) + F.col("walk_seq") * 60, "sha1": F.sha1(F.col("size").cast("string"))}), AS_OF).select("old_n", "old_kb"),
+    "folder_rollup": lambda s, d: U.folder_rollup(X.files(s, d)).drop("parent", "name"),
+    "share_of_parent": lambda s, d: U.share_of_parent(U.folder_rollup(X.blobs(s, d))),
+    "folder_tags": lambda s, d: U.tagged(U.folder_rollup(X.files(s, d))),
+    "folder_search": lambda s, d: U.search_with_ancestors(U.folder_rollup(X.files(s, d)), "data").select("folder", "level"),
+    "empty_dirs": lambda s, d: P.empty_folders(_dirs(X.files(s, d)), X.files(s, d)),
+    "root_meta": lambda s, d: U.root_meta(X.files(s, d)),
+    "level_counts": lambda s, d: U.level_counts(U.folder_rollup(X.files(s, d))),
+    "sessions": lambda s, d: U.sessions(X.captures(s, d)),
+    "rename_plan": lambda s, d: P.rename(X.files(s, d), "{category}_{n}_{orig}", pad=4).select("src", "dst", "reason"),
+    "hamming_pairs": lambda s, d: S.hamming_pairs(X.metrics(s, d)),
+    "near_dup_groups": lambda s, d: S.near_duplicate_groups(X.metrics(s, d)),
+    "near_dup_sizes": lambda s, d: S.near_duplicate_sizes(S.near_duplicate_groups(X.metrics(s, d)), X.files(s, d)),
+    "leader_dups": lambda s, d: S.duplicate_and_similar(X.metrics(s, d)),
+    "people_vectors": lambda s, d: S.people_vectors(s.read.parquet(f"{d}/embeddings.parquet")).select("label", F.posexplode("vec").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
+    "nearest_person": lambda s, d: S.nearest_person(f := s.read.parquet(f"{d}/embeddings.parquet"), S.people_vectors(f)).select("vec_id", "label", F.round("sim", 5).alias("sim")),
+    "face_clusters": lambda s, d: S.greedy_clusters(s.read.parquet(f"{d}/embeddings.parquet"), "label"),
+    "photo_categories": lambda s, d: S.photo_categories(X.metrics(s, d)),
+    "photo_tally": lambda s, d: S.photo_categories(X.metrics(s, d)).groupBy("category").agg(F.count("*").alias("n")),
+    "magic_types": _heads,
+    "compress_totals": lambda s, d: U.compression_totals(_compressed(X.files(s, d))),
+    "change_signature": lambda s, d: U.change_signature(X.files(s, d)),
+    "apply_manifest": lambda s, d: _applied(_flat_files(X.files(s, d)))[0].select("walk_seq", "rel_path", "size"),
+    "apply_journal": lambda s, d: _applied(_flat_files(X.files(s, d)))[1].select("op_seq", "src", "dst", "outcome"),
+    "undo_manifest": _undone,
+    "audit_rows": lambda s, d: M.audit(_applied(_flat_files(X.files(s, d)))[1]),
+}
+
+_JUNK = ", ".join(f"'{x}'" for x in R.JUNK_EXTS)
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+_CATEGORY = "CASE " + " ".join(f"WHEN ext IN ({_IN(exts.split())}) THEN '{c}'" for c, exts in R.CATEGORIES.items()) + " ELSE 'Other' END"
+_PASS = "s"
+for _ in range(K.PASSES):
+    _PASS = "trim(regexp_replace(" + _PASS + ", '" + R.COPY_SUFFIX + "', '', 'i'))"
+_TAG = "CASE " + " ".join(f"WHEN low = '{k}' THEN '{v}'" for k, v in R.FOLDER_EXACT.items()) + " WHEN starts_with(low, '.') THEN 'system' " + " ".join(f"WHEN contains(low, '{w}') THEN '{t}'" for t, ws in R.FOLDER_KEYWORDS for w in ws.split()) + " ELSE 'personal' END"
+
+_FILES = f"""WITH raw AS ({X.files_sql('strlen')}),
+f AS (SELECT *, string_split(rel_path, '/') AS segs, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS ext, regexp_replace(rel_path, '/?[^/]*$', '') AS dir,
+  len(string_split(rel_path, '/')) - 1 AS depth FROM raw),
+g AS (SELECT *, segs[1:depth] AS dsegs, CASE WHEN ext <> '' THEN regexp_replace(name, '\\.[^.]+$', '') ELSE name END AS stem, {_CATEGORY} AS category,
+  CASE WHEN size = 0 THEN 'zero-byte' WHEN ext IN ({_JUNK}) THEN '.' || ext WHEN starts_with(name, '~$') OR lower(name) LIKE '%.tmp' THEN 'temp' END AS junk FROM f),
+open_dir AS (SELECT *, depth = 0 OR NOT (lower(segs[1]) IN ({_IN(R.PROTECTED_FIRST)}) OR len(list_filter(dsegs, lambda x: lower(x) IN ({_IN(R.PROTECTED_ANY)}) OR starts_with(x, '.'))) > 0) AS free FROM g),
+ok AS (SELECT * FROM open_dir WHERE free AND NOT starts_with(name, '.')),
+dup_all AS (SELECT *, row_number() OVER (PARTITION BY size, sha1 ORDER BY depth, length(rel_path), walk_seq) AS rank, count(*) OVER (PARTITION BY size, sha1) AS n FROM ok WHERE size > 0 AND segs[1] <> '{R.DUP_REVIEW}'),
+p_junk AS (SELECT rel_path AS src, '{R.JUNK_REVIEW}/' || name AS dst, junk AS reason, size, walk_seq FROM ok WHERE junk IS NOT NULL AND segs[1] <> '{R.JUNK_REVIEW}'),
+p_dup AS (SELECT rel_path AS src, '{R.DUP_REVIEW}/' || name AS dst, 'duplicate' AS reason, size, walk_seq FROM dup_all WHERE n > 1 AND rank > 1),
+p_type AS (SELECT rel_path AS src, category || '/' || name AS dst, category AS reason, size, walk_seq FROM ok WHERE segs[1] NOT IN ({_IN(R.TOP_BUCKETS)})),
+p_clean AS (SELECT src, dst, reason, stage, size FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY stage, walk_seq) AS r FROM (
+  SELECT *, 1 AS stage FROM p_junk UNION ALL SELECT *, 2 FROM p_dup UNION ALL SELECT *, 3 FROM p_type)) WHERE r = 1),
+above AS (SELECT walk_seq, size, dsegs, unnest(range(1, least(3, depth) + 1)) AS level FROM g WHERE depth > 0),
+roll AS (SELECT array_to_string(dsegs[1:level], '/') AS folder, level, CAST(floor(sum(size) / 1024) AS BIGINT) AS kb, count(*) AS files, count(DISTINCT dsegs[level + 1]) AS subs FROM above GROUP BY 1, 2)
+"""
+_METRICS = f"WITH m AS ({X.METRICS}), pairs AS (SELECT x.walk_seq AS a, y.walk_seq AS b, bit_count(xor(x.phash, y.phash)) AS bits FROM m x JOIN m y ON x.walk_seq < y.walk_seq WHERE bit_count(xor(x.phash, y.phash)) <= {R.PHOTO_DUP})"
+_GROUPS = f"""{_METRICS.replace('WITH m', 'WITH RECURSIVE m')},
+both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+grp AS (SELECT a AS walk_seq, least(a, min(b)) AS group_id FROM reach GROUP BY a)"""
+_QUALITY = "round(0.55 * least(round(focus, 1) / 300, 1.0) + 0.30 * greatest(0.0, 1 - abs(brightness - 128) / 128) + 0.15 * (CASE WHEN faces > 0 THEN 1 ELSE 0 END), 3)"
+_PHOTO = f"""WITH m AS ({X.METRICS}), q AS (SELECT *, {_QUALITY} AS quality, contains(lower(name), 'screenshot') AS shot FROM m),
+cat AS (SELECT walk_seq, quality, CASE WHEN shot THEN 'Screenshots' WHEN faces = 0 AND saturation < 22 AND brightness > 185 AND edge > 18 THEN 'Documents_Scans' WHEN quality >= {R.PHOTO_BEST} THEN 'Best_Shots'
+  WHEN focus < {R.PHOTO_BLUR} THEN 'Blurry_Shaken' WHEN faces = 0 THEN 'Scenery_Others' WHEN faces = 1 THEN 'Portraits_Single' WHEN faces = 2 THEN 'Couples' ELSE 'Group_Photos' END AS category FROM q)"""
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+_PEOPLE = f"""WITH face AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
+flat AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM face), mean AS (SELECT label, i, avg(x) AS x FROM flat GROUP BY label, i),
+norm AS (SELECT label, sqrt(sum(x * x)) AS n FROM mean GROUP BY label), person AS (SELECT label, i, x / n AS x FROM mean JOIN norm USING (label))"""
+_SUMMARY = "SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM {} GROUP BY reason"
+_BLOBS = f"WITH raw AS ({X.BLOBS}), g AS (SELECT *, string_split(rel_path, '/') AS segs, len(string_split(rel_path, '/')) - 1 AS depth FROM raw), above AS (SELECT size, segs[1:depth] AS dsegs, unnest(range(1, depth + 1)) AS level FROM g), roll AS (SELECT array_to_string(dsegs[1:level], '/') AS folder, level, CAST(floor(sum(size) / 1024) AS BIGINT) AS kb FROM above GROUP BY 1, 2)"
+_PLAN = "SELECT src, dst, reason, size FROM {}"
+
+ORACLE = {
+    "type_by_category": _FILES + _SUMMARY.format("p_type"),
+    "type_plan": _FILES + _PLAN.format("p_type"),
+    "junk_plan": _FILES + _PLAN.format("p_junk"),
+    "junk_by_reason": _FILES + _SUMMARY.format("p_junk"),
+    "size_by_tier": _BLOBS + " SELECT " + "CASE " + " ".join(f"WHEN size >= {m * 1024**2} THEN '{t}'" for m, t in R.TIERS) + " END AS reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM raw GROUP BY 1",
+    "date_plan": _FILES + ", d AS (SELECT *, strftime(to_timestamp(mtime_epoch) AT TIME ZONE 'UTC', '%Y/%Y-%m') AS sub FROM ok WHERE category IN ('Images', 'Videos')) SELECT rel_path AS src, sub || '/' || name AS dst, sub AS reason, size FROM d",
+    "location_plan": _FILES + f", gps AS ({X.GPS}), l AS (SELECT *, CAST(lat AS VARCHAR) || '_' || CAST(lon AS VARCHAR) AS place FROM ok JOIN gps USING (walk_seq) WHERE ext IN ({_IN(R.IMAGE_EXTS)})) SELECT rel_path AS src, 'Places/' || place || '/' || name AS dst, place AS reason, size FROM l",
+    "flatten_plan": _FILES + "SELECT rel_path AS src, name AS dst, 'flatten' AS reason, size FROM ok WHERE depth > 0",
+    "source_folders": _FILES + "SELECT regexp_replace(src, '/?[^/]*$', '') AS folder, count(*) AS n FROM p_type GROUP BY 1",
+    "moved_summary": _FILES + "SELECT regexp_replace(dst, '/?[^/]*$', '') AS folder, count(*) AS n FROM p_type GROUP BY 1 ORDER BY n DESC, folder LIMIT 12",
+    "plan_counts": _FILES + "SELECT count(*) AS moves, 0::BIGINT AS mkdirs, 0::BIGINT AS rmdirs, count(*) AS total FROM p_clean",
+    "search": _FILES + "SELECT rel_path, name, size FROM open_dir WHERE free AND contains(lower(name), 'photo') ORDER BY lower(name), rel_path LIMIT 300",
+    "dup_plan": _FILES + _PLAN.format("p_dup"),
+    "dup_groups": _FILES + "SELECT size, sha1, count(*) AS n, arg_min(rel_path, rank) AS keep, CAST(floor(size / 1024) * (count(*) - 1) AS BIGINT) AS wasted_kb, array_to_string(list_sort(list(rel_path)), '|') AS members FROM dup_all WHERE n > 1 GROUP BY size, sha1 ORDER BY size DESC, sha1 LIMIT 200",
+    "similar_names": _FILES + f", k AS (SELECT *, trim(stem) AS s FROM ok WHERE segs[1] <> '{R.SIMILAR_REVIEW}'), k2 AS (SELECT *, {_PASS} AS s2 FROM k), k3 AS (SELECT *, lower(CASE WHEN s2 = '' THEN stem ELSE s2 END) AS norm FROM k2), r AS (SELECT *, row_number() OVER (PARTITION BY norm, ext ORDER BY length(name), name, walk_seq) AS rank FROM k3) SELECT rel_path AS src, '{R.SIMILAR_REVIEW}/' || name AS dst, norm AS reason, size FROM r WHERE rank > 1",
+    "cleanup_plan": _FILES + "SELECT src, dst, reason, stage FROM p_clean",
+    "reclaim": _FILES + f", a AS (SELECT count(*) AS dup_n, CAST(coalesce(sum(floor(size / 1024)), 0) AS BIGINT) AS dup_kb FROM p_dup), b AS (SELECT count(*) AS junk_n, CAST(coalesce(sum(floor(size / 1024)), 0) AS BIGINT) AS junk_kb FROM p_junk), o AS (SELECT count(*) AS old_n, CAST(coalesce(sum(floor(size / 1024)), 0) AS BIGINT) AS old_kb FROM ok WHERE size >= {R.RECLAIM_BYTES} AND mtime_epoch < {AS_OF - R.RECLAIM_DAYS * 86400} AND depth > 0) SELECT *, dup_kb + junk_kb AS total_kb FROM a, b, o",
+    "large_old": _BLOBS + f" SELECT count(*) AS old_n, CAST(coalesce(sum(floor(size / 1024)), 0) AS BIGINT) AS old_kb FROM raw WHERE size >= {R.RECLAIM_BYTES} AND 1704067200 + walk_seq * 60 < {AS_OF - R.RECLAIM_DAYS * 86400}",
+    "folder_rollup": _FILES + "SELECT folder, CAST(level AS INT) AS level, kb, files, subs FROM roll",
+    "share_of_parent": _BLOBS + ", top AS (SELECT max(kb) AS top_kb FROM roll WHERE level = 1) SELECT r.folder, CAST(r.level AS INT) AS level, r.kb, round(CASE WHEN r.kb > 0 THEN greatest(0.8, r.kb * 100.0::DOUBLE / (CASE WHEN r.level = 1 THEN top_kb ELSE p.kb END)) ELSE 0 END::DOUBLE, 4) AS share FROM roll r CROSS JOIN top LEFT JOIN roll p ON p.folder = regexp_replace(r.folder, '/?[^/]*$', '')",
+    "folder_tags": _FILES + f", t AS (SELECT *, lower(string_split(folder, '/')[-1]) AS low FROM roll) SELECT folder, CAST(level AS INT) AS level, kb, {_TAG} AS tag FROM t",
+    "folder_search": _FILES + "SELECT DISTINCT r.folder, CAST(r.level AS INT) AS level FROM roll r JOIN roll h ON contains(lower(string_split(h.folder, '/')[-1]), 'data') AND (h.folder = r.folder OR starts_with(h.folder, r.folder || '/'))",
+    "empty_dirs": _FILES + f", tops AS (SELECT DISTINCT segs[1] AS top FROM g WHERE depth > 0), e AS (SELECT top || '/empty/deep' AS src, 2 AS depth, top FROM tops UNION ALL SELECT top || '/empty', 1, top FROM tops) SELECT 'rmdir' AS kind, src, CAST(depth AS INT) AS depth FROM e WHERE NOT (starts_with(top, '.') OR lower(top) IN ({_IN(R.PROTECTED_FIRST)}) OR lower(top) IN ({_IN(R.PROTECTED_ANY)}))",
+    "root_meta": _FILES + "SELECT CAST(floor(sum(size) / 1024) AS BIGINT) AS root_kb, count(*) AS root_files, count(*) FILTER (depth = 0) AS root_loose FROM g",
+    "level_counts": _FILES + "SELECT count(*) FILTER (level = 1) AS n_l1, count(*) FILTER (level = 2) AS n_l2, count(*) FILTER (level = 3) AS n_l3, CAST(sum(kb) FILTER (level = 1) AS BIGINT) AS kb, CAST(sum(files) FILTER (level = 1) AS BIGINT) AS files FROM roll",
+    "sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
+    "rename_plan": _FILES + ", n AS (SELECT *, row_number() OVER (ORDER BY lower(name), walk_seq) AS n FROM ok), t AS (SELECT *, regexp_replace(regexp_replace(category || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '_' || stem, '[\\\\/:*?\"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') || CASE WHEN ext <> '' THEN '.' || string_split(name, '.')[-1] ELSE '' END AS new FROM n) SELECT rel_path AS src, CASE WHEN dir = '' THEN new ELSE dir || '/' || new END AS dst, CAST(n AS VARCHAR) AS reason FROM t",
+    "hamming_pairs": _METRICS + " SELECT a, b, CAST(bits AS INT) AS bits FROM pairs",
+    "near_dup_groups": _GROUPS + " SELECT walk_seq, group_id FROM grp",
+    "photo_categories": _PHOTO + " SELECT walk_seq, quality, category FROM cat",
+    "photo_tally": _PHOTO + " SELECT category, count(*) AS n FROM cat GROUP BY category",
+    "people_vectors": _PEOPLE + " SELECT label, CAST(i - 1 AS INT) AS pos, round(x, 6) AS x FROM person",
+    "nearest_person": _PEOPLE + f", vec AS (SELECT label, list(x ORDER BY i) AS p FROM person GROUP BY label), sims AS (SELECT vec_id, vec.label, round(list_inner_product(v, p), 6) AS sim FROM face, vec), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM sims) SELECT vec_id, label, round(sim, 5) AS sim FROM best WHERE r = 1 AND sim >= {R.FACE_NAME}",
+    "magic_types": "SELECT page_id, CASE " + " ".join(f"WHEN starts_with(lower(hex(encode(html[1:32]))), '{m}') THEN '{t}'" for m, t in R.MAGIC) + " END AS type FROM pages",
+    "compress_totals": _FILES + ", c AS (SELECT size AS before, CAST(floor(size * (walk_seq % 4 + 8) / 10) AS BIGINT) AS after, walk_seq % 9 = 0 AS converted FROM g), x AS (SELECT *, after < before OR converted AS yes FROM c), t AS (SELECT count(*) FILTER (yes) AS compressed, count(*) FILTER (NOT yes) AS skipped, CAST(floor(coalesce(sum(before) FILTER (yes), 0) / 1024) AS BIGINT) AS before_kb, CAST(floor(coalesce(sum(after) FILTER (yes), 0) / 1024) AS BIGINT) AS after_kb, CAST(floor(coalesce(sum(before - after) FILTER (yes), 0) / 1024) AS BIGINT) AS saved_kb FROM x) SELECT *, CASE WHEN before_kb > 0 THEN round(saved_kb * 100.0::DOUBLE / before_kb, 1) ELSE 0.0::DOUBLE END AS pct FROM t",
+    "change_signature": _FILES + "SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime_epoch) AS newest FROM g",
+}
