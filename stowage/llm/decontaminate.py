@@ -127,7 +127,8 @@ def _starts(terms: np.ndarray, lists: list[np.ndarray], q: Windows, slop: int |
         need, reach = np.bincount(code[w, : q.length[w]] + 1, minlength=len(terms) + 1), int(q.length[w]) + slop
         for s in range(max(0, p - reach + 1), p + 1):
             if need[0] == 0 and (np.bincount(at[s : s + reach], minlength=len(need))[need > 0] >= need[need > 0]).all():
-                found.append((w, s, min(reach, len(at) - s)))
+                own = np.flatnonzero(need[at[s : s + reach]])
+                found.append((w, s + own[0], own[-1] - own[0] + 1))
                 break
     w, s, n = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     return w, s, n
@@ -158,6 +159,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     """
     spark = index.sparkSession
     windows = C.stored(windows, "windows")
+    if slop is not None and (windows.agg(F.max(F.size("terms"))).first()[0] or 0) + slop > GAP:
+        raise ValueError(f"a window and its slop may be {GAP} words together")
     sets = max(1, -(-windows.count() // WINDOWS_AT_ONCE))
     out = None
     for k in range(sets):
