@@ -67,7 +67,8 @@ def detect_type(head="head") -> Column:
 
 
 def refine_zip(names="names") -> Column:
-    return cases([(F.exists(c(names), lambda n, m=mark: n.contains(m)), F.lit(ext)) for mark, ext in R.ZIP_MARKS], "zip")
+    joined = F.array_join(c(names), "\n")
+    return cases([(joined.contains(mark), F.lit(ext)) for mark, ext in R.ZIP_MARKS], "zip")
 
 
 def size_tier(size="size") -> Column:
