@@ -104,6 +104,11 @@ def depth_of(path="rel_path") -> Column:
     return F.size(F.split(c(path), "/")) - 1
 
 
+def under_root(root: str, path="rel_path") -> Column:
+    """The path is the root or lies below it."""
+    return (c(path) == root.rstrip("/")) | c(path).startswith(root.rstrip("/") + "/")
+
+
 _BLANKS = r"^\s+|\s+$"
 PASSES = 8
 

@@ -68,6 +68,15 @@ def flatten(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
     return moves(eligible(files, policy).where(F.size("dir_segs") > 0), F.lit(""), F.lit("flatten"))
 
 
+def image_files(files: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
+    """Pictures that may be looked at and aren't filed in a photo folder yet."""
+    return eligible(files, policy, recursive).where(K.is_image() & first_segment_not_in(list(R.PHOTO_FOLDERS.values())))
+
+
+def compressible_files(files: DataFrame, heic: bool = False, policy=K.SafetyPolicy()) -> DataFrame:
+    return eligible(files, policy).where(K.is_compressible(heic=heic) & first_segment_not_in(R.GENERATED_FOLDERS))
+
+
 def ancestors(files: DataFrame, levels: int | None = None) -> DataFrame:
     """One row per file and folder above it (folder, level); root-level files give none."""
     n = F.size("dir_segs") if levels is None else F.least(F.size("dir_segs"), F.lit(levels))
