@@ -252,17 +252,14 @@ def test_streams(spark, tree, tmp_path):
     inv = I.read_inventory(spark, tree)
     stream = spark.readStream.format("file_inventory").option("path", tree).load().where("kind = 'file'")
     out = str(tmp_path / "plans")
-    W.watch(stream, lambda b: P.by_type(b.select("walk_seq", "rel_path", "name", "size")), out, str(tmp_path / "ck"), settle_s=-5, once=False).processAllAvailable()
-    for q in spark.streams.active:
-        q.stop()
+    W.watch(stream, lambda b: P.by_type(b.select("walk_seq", "rel_path", "name", "size")), out, str(tmp_path / "ck"), settle_s=-5).awaitTermination(90)
     want = {(r.src, r.dst) for r in P.by_type(I.files(inv).select("walk_seq", "rel_path", "name", "size")).collect()}
     assert {(r.src, r.dst) for r in spark.read.parquet(out).collect()} == want
     path = str(tmp_path / "in")
     spark.sql("SELECT 'a' AS album, timestamp'2024-01-01 10:00:00' AS taken_at, 1L AS size, 'd' AS sha1 UNION ALL SELECT 'a', timestamp'2024-01-01 10:40:00', 1L, 'd' UNION ALL SELECT 'b', timestamp'2024-01-03 00:00:00', 2L, 'e'").coalesce(1).write.parquet(path)
     src = spark.readStream.schema("album string, taken_at timestamp, size long, sha1 string").parquet(path)
     for name, df in (("s1", W.sessions(src)), ("s2", W.first_of_digest(src, time="taken_at").select("sha1"))):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
     assert spark.table("s2").count() == 2
     assert [r.n for r in spark.table("s1").collect()] == [2]
