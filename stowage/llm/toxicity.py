@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,12 +163,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_hash = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE[y]) for y in SAMPLE]
     sample = by_hash[0].union(by_hash[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("label", "text")
-    rows = texts.mapInArrow(word_counts, "label int, words array<string>, counts array<int>").toPandas()
+    counted = texts.mapInArrow(word_counts, "label int, words array<string>, counts array<int>")
+    found = counted.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_task, "value binary, bias double").collect()
+    if not found:
+        return np.zeros(BUCKETS, np.float32), -5.0
+    return np.frombuffer(found[0].value, np.float32), found[0].bias
+
+
+def _fit_task(rows: pd.DataFrame) -> pd.DataFrame:
+    """The fit of the whole sample, in one task: its size is bounded by SAMPLE, and the driver holds none of it."""
     y = rows["label"].to_numpy(np.int64)
     if len(set(y)) < 2:
-        return np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y[0] else -5.0
-    order = sorted(range(len(y)), key=lambda i: (y[i], sorted(rows["words"][i])[:3], len(rows["words"][i])))
-    return fit([(list(rows["words"][i]), list(rows["counts"][i])) for i in order], y[order])
+        value, bias = np.zeros(BUCKETS, np.float32), 5.0 if y[0] else -5.0
+    else:
+        order = sorted(range(len(y)), key=lambda i: (y[i], len(rows["words"][i]), sorted(rows["words"][i])[:3]))
+        value, bias = fit([(list(rows["words"][i]), list(rows["counts"][i])) for i in order], y[order])
+    return pd.DataFrame({"value": [value.tobytes()], "bias": [bias]})
 
 
 def held_out_sql(col: str, n: int, rest: int) -> str:
