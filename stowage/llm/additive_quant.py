@@ -20,8 +20,8 @@ from stowage.llm import common as C
 
 #: Vectors the fit takes at most (those with the smallest hash of id); codebooks and codewords each; beam; alternations of the fit.
 SAMPLE, BOOKS, WORDS, BEAM, TURNS = 8000, 16, 256, 6, 2
-#: Candidates reranked per query; vectors per index shard; queries per block.
-RERANK, SHARD, QUERIES = 800, 20_000, 256
+#: Candidates reranked per query; vectors per index shard; queries per block; queries a task holds the best of before it passes them on.
+RERANK, SHARD, QUERIES, HELD = 800, 20_000, 256, 4096
 
 
 def _encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -97,10 +97,25 @@ def build_index(rows: DataFrame, books: np.ndarray) -> DataFrame:
     return C.stored(rows.mapInArrow(run, "shard long, ids binary, codes binary, norms binary"), "codes")
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the rerank best of several lists, ties to the smaller id."""
+    ids, score = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    best = np.lexsort((ids, score))[:rerank]
+    return ids[best], score[best]
+
+
 def _scan(books, rerank: int):
-    """Per shard and block of queries: the rerank best ids by code, ties to the smaller id."""
+    """Per task and query one row with the rerank best ids by code, ties to the smaller id, of all shards that the task met."""
+    schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pylist([{"query_id": q, "ids": i, "scores": s} for q, (i, s) in best.items()], schema=schema)
+            best.clear()
+            return out
+
         for batch in batches:
             for row in batch.to_pylist():
                 ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
@@ -110,16 +125,19 @@ def _scan(books, rerank: int):
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
                 q = np.frombuffer(row["q"], np.float64).reshape(len(q_ids), -1).astype(np.float32)
                 tables = np.einsum("mwd,qd->mwq", books.value, q)
-                out: list[tuple] = []
-                for i in range(len(q_ids)):
+                for i, q_id in enumerate(q_ids.tolist()):
                     score = norms.copy()
                     for m in range(codes.shape[1]):
                         score -= 2 * tables[m, codes[:, m], i]
                     score = np.round(score, 5)  # equal codes: equal scores
-                    near = np.argsort(score, kind="stable")[: rerank + 1] if len(ids) <= rerank + 1 else _smallest(score, rerank + 1)
-                    near = near[ids[near] != q_ids[i]][:rerank]
-                    out.append((np.full(len(near), q_ids[i]), ids[near], score[near]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(2)] + [pa.array(np.concatenate([o[2] for o in out]).astype(np.float64))], names=["query_id", "id", "approx"])
+                    near = _smallest(score, min(len(ids), rerank + 1))
+                    near = near[ids[near] != q_id][:rerank]
+                    own = (ids[near], score[near])
+                    best[q_id] = _merged([best[q_id], own], rerank) if q_id in best else own
+                if len(best) > HELD:
+                    yield flush()
+        if best:
+            yield flush()
 
     return run
 
@@ -156,9 +174,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b")).applyInPandas(block, "q_ids binary, q binary")
     shards = [r.shard for r in index.select("shard").collect()]  # one number per SHARD vectors or task
     placed = blocks.withColumn("shard", F.explode(F.array(*map(F.lit, shards))))
-    scanned = placed.join(index, "shard").mapInArrow(_scan(spark.sparkContext.broadcast(books), rerank), "query_id long, id long, approx double")
-    w = Window.partitionBy("query_id").orderBy("approx", "id")
-    found = scanned.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rerank).select("query_id", "id")
+    scanned = placed.join(index, "shard").mapInArrow(_scan(spark.sparkContext.broadcast(books), rerank), "query_id long, ids array<long>, scores array<float>")
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, _ = _merged([(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(pdf["ids"], pdf["scores"], strict=True)], rerank)
+        return pd.DataFrame({"query_id": key[0], "id": ids})
+
+    found = scanned.groupBy("query_id").applyInPandas(merge, "query_id long, id long")
     exact = found.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     exact = exact.select("query_id", F.col("id").alias("vec_id"), gap.alias("score"))
