@@ -21,25 +21,54 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
-#: most); part of a sequence that may stay free in a closed bin; distinct words a worker remembers.
-GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO = 50_000, 4, 3, 64, 400_000
+#: most); part of a sequence that may stay free in a closed bin; distinct runs a worker remembers.
+GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO = 50_000, 4, 3, 64, 600_000
 
 
-class _Memo(dict):
-    """Token ids of a blank-separated run of text: neither normaliser nor splitting of the tokenizer reaches across ASCII blanks."""
+class _Memo:
+    """Token ids of blank-separated runs of text: neither normaliser nor splitting of the tokenizer reaches across ASCII blanks.
+
+    Latin letters (which the tokenizer lower-cases) and ASCII marks after them are tokens of their own, so a word is learnt once for all
+    marks, and all new words of a batch are encoded in one string, to be cut where a token ends a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: str) -> list[int]:
-        if len(self) > MEMO:
-            self.clear()
-        ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        if len(run) < 64:
-            self[run] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}  # ids as 32-bit little-endian numbers
+        self.words: dict[str, bytes] = {"": b""}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, runs: set[str]) -> None:
+        if len(self.runs) > MEMO:
+            self.runs.clear()
+        if len(self.words) > MEMO:
+            self.words = {"": b""}
+        plain, known = [], self.words
+        for run in runs.difference(self.runs):
+            head = run.rstrip(".,;:!?%&*$#")
+            if head.isalpha() and (head.isascii() or max(head) < "\u0130"):
+                plain.append((run, head.lower(), run[len(head) :]))
+            else:
+                self.runs[run] = self.encode(run).tobytes()
+        words = [w for w in {p[1] for p in plain} if w not in known]
+        if words:
+            ids = self.encode(" ".join(words))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(words):
+                raise ValueError("a word of Latin letters isn't one token run of this tokenizer")
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+        for marks in {p[2] for p in plain}:
+            if marks not in known:
+                known[marks] = self.encode(marks).tobytes()
+        self.runs.update((run, known[word] + known[marks]) for run, word, marks in plain)
 
 
 _MEMOS: dict[str, _Memo] = {}
@@ -49,9 +78,11 @@ def token_ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     if path not in _MEMOS:
         _MEMOS[path] = _Memo(path)
     memo = _MEMOS[path]
-    for text in texts:
-        runs = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        yield np.fromiter(chain.from_iterable(map(memo.__getitem__, runs)), np.uint32)
+    for lo, hi in C.by_bytes(texts):
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
+        memo.learn(set(chain.from_iterable(split)))
+        for runs in split:
+            yield np.frombuffer(b"".join(map(memo.runs.__getitem__, runs)), "<u4")
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +94,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for doc, tokens in zip(ids, token_ids(texts, path), strict=True):
-                data = np.append(tokens, np.uint32(end_id)).astype("<u4")
+                data = np.append(tokens, np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(data), capacity)):
                     part = data[at : at + capacity]
                     rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes()), uid))
