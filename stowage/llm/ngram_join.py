@@ -43,14 +43,18 @@ def size_bands(percent: int) -> np.ndarray:
 def fragment_keys(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
     """Keys of the fragments of one sorted set, for its own size band and, if a linked set can lie there, the next.
 
-    With D the most by which linked sets of the band differ, D + 2 fragments leave two equal ones. A set with two or more empty
-    fragments might share only empty ones; it is cut again under another order (and at the last order gives keys for empty ones too).
+    With D the most by which linked sets of the band differ, D + s fragments leave s equal ones. A set with s or more empty fragments
+    might share only empty ones; it is cut again under another order (and at the last order gives keys for empty ones too). s is twice
+    the number of empty fragments to be expected in the smallest sets, so this is rare.
     """
     n, out = len(grams), []
+    smallest = percent * (100 + percent) / (100 * 2 * (100 - percent) * max(4 / 3, 100 / percent)) if percent < 100 else 50.0
+    share = 2 * np.exp(-smallest)
     k = int(np.searchsorted(bands, n, "right")) - 1
     for band in [k, k + 1] if 100 * n >= percent * bands[k + 1] else [k]:
         most = int(2 * (bands[band + 1] - 1) * (100 - percent) // (100 + percent))
-        count = most + 2 if most else 1
+        spare = 2 + int(most * share) if most else 1
+        count = most + spare
         for level, salt in enumerate(_SALTS):
             g = grams if not level else np.sort(C.mix(grams ^ np.uint64(salt)))
             edges = np.searchsorted(((g >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32), np.arange(count + 1))
@@ -60,8 +64,8 @@ def fragment_keys(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndar
             full = edges[1:] > edges[:-1]
             empty = count - int(full.sum())
             last = level + 1 == len(_SALTS)
-            out.append(keys if last and empty > 1 else keys[full])
-            if empty < 2:
+            out.append(keys if last and empty >= spare else keys[full])
+            if empty < spare:
                 break
     return np.unique(np.concatenate(out))
 
