@@ -178,7 +178,7 @@ def test_components_and_leaders(spark):
             want[a] = want[b] = min(want[a], want[b])
     assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
     hashes = [(i, rng.choice([0, 1 << 40, -1]) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(6)))) for i in range(60)]
-    hashes = [(i, h - (1 << 64) if h >= 1 << 63 else h) for i, h in hashes]
+    hashes = [(i, (h & (2**64 - 1)) - (1 << 64) if h >> 63 & 1 else h & (2**64 - 1)) for i, h in hashes]
     leaders, of = [], {}
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
     for i, h in hashes:
@@ -248,7 +248,8 @@ def test_dump_history_and_pixels(spark, tmp_path):
     assert m[4] == -1 and m[2] == 0 and m[5] == 3600  # every pixel is brighter than the one to its left
 
 
-def test_streams(spark, tree, tmp_path):
+def test_streams(spark, tree, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("out")
     inv = I.read_inventory(spark, tree)
     stream = spark.readStream.format("file_inventory").option("path", tree).load().where("kind = 'file'")
     out = str(tmp_path / "plans")
