@@ -107,7 +107,8 @@ def _starts(terms: np.ndarray, lists: list[np.ndarray], q: Windows, slop: int |
         at[p] = k + 1
     code = np.searchsorted(terms, q.terms)
     code = np.where(terms[np.minimum(code, len(terms) - 1)] == q.terms, code, -1) if len(terms) else np.full(q.terms.shape, -1)
-    present = np.flatnonzero(code[:, 0] >= 0)
+    # a block that lacks any of a window's terms can't hold it; the places after a window's length are padding
+    present = np.flatnonzero(((code >= 0) | (np.arange(q.terms.shape[1]) >= q.length[:, None])).all(1) & (q.length > 0))
     size = np.array([len(lists[k]) for k in code[present, 0]], np.int64)
     window = np.repeat(present, size)
     rare = np.concatenate([lists[k] for k in code[present, 0]]) if len(present) else np.zeros(0, np.int64)
@@ -126,7 +127,7 @@ def _starts(terms: np.ndarray, lists: list[np.ndarray], q: Windows, slop: int |
     for w, p in zip(window, rare, strict=True):
         need, reach = np.bincount(code[w, : q.length[w]] + 1, minlength=len(terms) + 1), int(q.length[w]) + slop
         for s in range(max(0, p - reach + 1), p + 1):
-            if need[0] == 0 and (np.bincount(at[s : s + reach], minlength=len(need))[need > 0] >= need[need > 0]).all():
+            if (np.bincount(at[s : s + reach], minlength=len(need))[need > 0] >= need[need > 0]).all():
                 own = np.flatnonzero(need[at[s : s + reach]])
                 found.append((w, s + own[0], own[-1] - own[0] + 1))
                 break
@@ -145,7 +146,6 @@ def _searcher(query, slop: int | None):
         doc = np.searchsorted(base, start, "right") - 1
         inside = (start - base[doc]) < n[doc]
         window, start, length, doc = window[inside], start[inside], length[inside], doc[inside]
-        length = np.minimum(length, n[doc] - (start - base[doc]))
         return pd.DataFrame({"block": key[0], "slot": docs["slot"].to_numpy()[doc].astype(np.int32), "item": q.items[window], "start": start - base[doc], "length": length})
 
     return run

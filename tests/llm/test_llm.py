@@ -127,6 +127,23 @@ def test_decontamination_against_brute_force(spark):
     assert DC.contamination(docs_of(spark, rows), bench.limit(0), 3).where("contaminated").count() == 0
 
 
+def test_decontamination_terms_that_only_other_blocks_have(spark):
+    # each partition is a block: the first lacks 5 and common, which the second has often
+    items = [(1, "1 2 3 4 5 6 7 8 9 10"), (2, "common rare"), (3, "rare common")]
+    first = [(1, "1 2 3 4 X 6 7 8 9 10"), (2, "Y rare"), (3, "rare Y"), (4, "1 2 3 4"), (5, "Y Y rare")]
+    second = [(6, "5 5 5 common common common common common common common common"), (7, "1 2 3 4 5 6 7 8 9 10"), (8, "a common rare b"), (9, "rare common"), (10, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(first + second, 2), "doc_id long, text string")
+    got = DC.contamination(docs, bench, 10)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_hits(first + second, items, 10)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 6])))) for i in range(60)]
+    rows = [(i, " ".join(rng.choices([*words, "z"], k=rng.choice([1, 2, 4, 9])))) for i in range(300)]
+    got = DC.contamination(docs_of(spark, rows, 40), spark.createDataFrame(items, "item_id long, text string"), 3)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_hits(rows, items, 3)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x a y b z c"), (2, "c b a"), (3, "a q q q q b c")], "doc_id long, text string").coalesce(1)
     windows = DC.item_windows(spark.createDataFrame([(9, "a b c")], "item_id long, text string"), 10)
