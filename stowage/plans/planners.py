@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import columns as K
 from stowage.functions import rules as R
+from stowage.operators.components import use_checkpoint_dir
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -137,8 +138,12 @@ def cleanup(files: DataFrame, policy=K.SafetyPolicy(), custom=K.CustomRules()) -
 
 
 def numbered(rows: DataFrame, order: list[Column], start: int) -> DataFrame:
-    """A running number n in the given order, without one partition for all: ranks within ranges, plus each range's offset."""
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """A running number n in the given order, without one partition for all: ranks within ranges, plus each range's offset.
+
+    The ranged rows are checkpointed with their part: evaluated twice, ranges may differ in number and borders.
+    """
+    use_checkpoint_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
     offsets = ranged.groupBy("part").count().withColumn("offset", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     return inner.join(F.broadcast(offsets.select("part", "offset")), "part").withColumn("n", F.col("n") + F.col("offset") + (start - 1)).drop("part", "offset")

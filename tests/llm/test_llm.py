@@ -241,6 +241,20 @@ def test_page_text(spark):
         assert [t for t, inside in H.blocks(r[0]) if inside] == [w for w in want if w]
 
 
+def test_neighbours_over_several_ranges(spark):
+    n = 60_000  # over 10 MB
+    lines = F.array(F.col("id"), *(F.xxhash64("id", F.lit(k)) for k in range(24)))
+    pages = spark.range(n, numPartitions=8).select(F.lit("h").alias("host"), F.format_string("/p/%06d", "id").alias("path"), lines.alias("lines"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = H.neighbours(pages).select(F.substring("path", 4, 6).cast("long").alias("id"), F.get("near", F.lit(0)).alias("near"))
+        want = F.when(F.col("id") == 0, 1).otherwise(F.col("id") - 1)
+        assert got.agg(F.count("*"), F.count_if(F.col("near") == want)).first() == (n, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(300):

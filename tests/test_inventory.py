@@ -111,6 +111,18 @@ def test_rename_clashes(spark):
     assert [r.dst for r in P.rename_sample(files, "{n}-{orig}", 2).collect()] == ["d/001-a.txt", "d/002-b.txt"]
 
 
+def test_numbers_over_several_ranges(spark):
+    n = 120_000  # over 10 MB with the pad, about 1 MB of sort columns
+    rows = spark.range(n, numPartitions=8).select((F.col("id") * 7919 % n).alias("k"), F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(x)), 256) for x in "ab")).alias("pad"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = P.numbered(rows, [F.col("k")], 1)
+        assert got.agg(F.count("*"), F.count_if(F.col("n") == F.col("k") + 1), F.count_distinct("pad")).first() == (n, n, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def brute_apply(files, ops):
     there, out = {p: (s, d) for p, s, d in files}, []
     for _, src, dst in ops:
