@@ -156,7 +156,44 @@ RULES: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])", card),
 )
 _COMPILED = tuple((kind, re.compile(pattern), change) for kind, pattern, change in RULES)
-_MAYBE = re.compile(r"@|\d{2}|[0-9a-f]{32}|[0-9A-F]{32}")
+_MAYBE = re.compile(r"@|\d[\d.]|\d[ -]\d|[0-9a-f]{32}|[0-9A-F]{32}")
+_RUN, _DIGITS = re.compile(r"\d(?:[ -]?\d){12,}"), re.compile(r"\d+")
+
+
+def _spans(kind: str, pattern: re.Pattern, text: str) -> Iterator[list[tuple[int, int]]]:
+    """For each place where a value may begin, the spans to try there, longest first.
+
+    A match may have swallowed what follows the value, so ibans and phones are also tried up to each separator inside the match.
+    """
+    at = 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        cuts = [e for e in range(b - 1, a, -1) if text[e] in " .-" and pattern.fullmatch(text, a, e)] if kind in ("iban", "phone") else []
+        yield [(a, b), *((a, e) for e in cuts)]
+        at = a + 1 if kind in ("iban", "phone") else b
+
+
+def _card_spans(pattern: re.Pattern, text: str) -> Iterator[list[tuple[int, int]]]:
+    """As _spans, in each run of digit groups: what the pattern takes, then spans of whole groups.
+
+    Those spans' groups have four digits or more but for the last, as on any card; else Luhn's sum alone would let one list of small
+    numbers in ten windows pass.
+    """
+    for run in _RUN.finditer(text):
+        groups, greedy = [g.span() for g in _DIGITS.finditer(text, *run.span())], run.start()
+        for i, (a, _) in enumerate(groups):
+            tries = []
+            if a >= greedy and (m := pattern.match(text, a)):
+                tries, greedy = [m.span()], m.end()
+            size = 0
+            if i or a == 0 or text[a - 1] not in ".-":
+                for x, b in groups[i:]:
+                    size += b - x
+                    if 13 <= size <= 19 and (b < run.end() or text[b : b + 1] != "-") and (a, b) not in tries:
+                        tries.append((a, b))
+                    if b - x < 4 or size >= 19:
+                        break
+            yield sorted(tries, key=lambda t: -t[1])
 
 
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
@@ -166,13 +203,14 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
         return text, counts
     taken: list[tuple[int, int, str]] = []
     for kind, pattern, change in _COMPILED:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < y and x < b for x, y, _ in taken):
-                continue
-            if (new := change(m.group(), key)) is not None:
-                taken.append((a, b, new))
-                counts[kind] = counts.get(kind, 0) + 1
+        for tries in _card_spans(pattern, text) if kind == "card" else _spans(kind, pattern, text):
+            for a, b in tries:
+                if any(a < y and x < b for x, y, _ in taken):
+                    continue
+                if (new := change(text[a:b], key)) is not None:
+                    taken.append((a, b, new))
+                    counts[kind] = counts.get(kind, 0) + 1
+                    break
     out, at = [], 0
     for a, b, new in sorted(taken):
         out += [text[at:a], new]

@@ -298,6 +298,28 @@ def test_pseudonyms(spark):
     assert Counter((r.doc_id, r.text, r.n_card, r.pii_n_card) for r in out.collect()) == {(1, new, 7, 1): 1, (2, None, 7, 0): 1, (3, "plain 12", 7, 0): 2}
 
 
+def test_pseudonyms_beside_other_text():
+    key = b"k"
+    for kind, value, texts in (
+        ("card", "4111 1111 1111 1111", ["{} 05/27", "{} 123", "12 {}", "12 34 {} 05/27", "12-{}-77", "1.50 {}", "+1 337 555 7349 {}", "{} 05-27-2024"]),
+        ("card", "4111111111111111", ["{} 123", "12 {}", "12 {} 123", "{} 12345", "9 8 7 6 5 4 3 {}"]),
+        ("card", "4111-1111-1111-1111", ["{}-123456", "{} 05"]),
+        ("iban", "BE68 5390 0754 7034", ["{} OK", "{} FROM THEM", "XY34 {}", "{} 12"]),
+        ("phone", "+44 20 7946 0958", ["{} 2021", "{} 4111 1111 1111 1111"]),
+        ("ip", "8.8.8.8", ["{}", "at {}"]),
+    ):
+        alone = pii.pseudonymise(value, key)[0]
+        assert alone != value
+        for text in texts:
+            new, counts = pii.pseudonymise(text.format(value), key)
+            assert counts.get(kind) == 1 and alone in new, (text, new)
+    both = "4111 1111 1111 1111 5500 0000 0000 0004"
+    assert pii.pseudonymise(both, key)[1] == {"card": 2}
+    assert pii.pseudonymise("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", key)[1] == {"card": 1}
+    for plain in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14", "1234567890123456 12", "v1.2 7."):
+        assert pii.pseudonymise(plain, key) == (plain, {})
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
