@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents. A null or repeated doc_id keeps its rows through every stage but the near-duplicate
-one, which keeps one row of each group and all rows without an id.
+one, which keeps one row of each group. Both this one and decontamination judge each row by itself: by a key of its id and text.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from stowage.llm.packing import best_fit_packing
 from stowage.llm.pii import pseudonyms
 from stowage.llm.toxicity import toxicity
 
+#: A row's own key within a stage, since ids may be null or repeated.
+KEY = "_row_key"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
@@ -26,15 +29,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id."""
-    groups = jaccard_components(docs, n=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    groups = jaccard_components(keyed, n=5, percent=80, id_col=KEY).distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    members = keyed.select("doc_id", KEY).distinct().join(groups.select(F.col("doc_id").alias(KEY), "component_id"), KEY)
+    kept = members.groupBy("component_id").agg(F.min_by(KEY, order).alias(KEY)).select(KEY)
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any ten consecutive words of the benchmark."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark"), width=10).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    hit = contamination(keyed, table(spark, sf_dir, "benchmark"), width=10, id_col=KEY).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(hit, KEY, "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

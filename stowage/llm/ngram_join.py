@@ -195,7 +195,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     word sequence as one shingle. Rows that repeat an id keep a row each and share the id's links. Rows without an id keep a row too,
     with a null component. Extra columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows are told apart by id and text, so that two texts of one id are compared each by itself
+    docs = docs.select(F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")).alias("doc"), "text", "id")
+    ids = docs.where("doc is not null").select("doc", "id").distinct()
+    docs = docs.select("doc", "text")
     w = Window.partitionBy("pkey", "kind", F.when(F.col("kind") == SET, F.col("a")))
     rows = docs.mapInArrow(_postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "n": F.count("*").over(w)})
     rows = C.stored(rows.where(f"kind <> {KEY} or n > 1"), "buckets")
@@ -213,7 +217,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     for c in ("doc", "lead"):
         star = star.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     tested = C.stored(_pairs(star, "doc", "lead"), "pairs")
-    texts = C.stored(docs.join(members.select("doc").distinct(), "doc", "left_semi"), "texts")
+    texts = C.stored(docs.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     links = C.stored(_verified(tested, texts, n, percent), "links")
     found = connected_components(links)
 
@@ -226,9 +230,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     more = C.stored(_verified(pairs, texts, n, percent).union(_across_blocks(open_.where(F.col("all") > SMALL), texts, n, percent)), "links")
     if not more.isEmpty():
         found = connected_components(links.union(more))
-    first_of = sets.select(F.col("doc").alias("first"), "rep")
+    first_of = sets.select(F.col("doc").alias("first"), "rep").distinct()
     every = sets.select("doc", "rep", "size").union(copies.join(first_of, "first", "left").select("doc", F.coalesce("rep", "first"), "size"))
     every = every.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "size", F.coalesce("component", "rep").alias("component"))
     # an id that several rows share carries the links of all of them; a component may reach a smaller id through its equal sets
-    every = _joined(every)
+    every = _joined(every.join(ids, "doc").select(F.col("id").alias("doc"), "size", "component"))
     return every.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")).union(of[NO_ID].select(F.lit(None).cast("long"), "b", F.lit(None).cast("long")))

@@ -86,6 +86,20 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert NJ.jaccard_components(docs_of(spark, rows).limit(0), 3, 90).count() == 0
 
 
+def test_repeated_rows_near_a_half_similar_document(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(300)]
+    a, b = " ".join(words[:200]), " ".join(words[60:260])  # similarity about 0.54
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, b), (3, a), (7, "p q r s t u"), (7, "k l m n o p")]
+    assert Counter(map(tuple, NJ.jaccard_components(docs_of(spark, rows), 3, 80).select("doc_id", "component_id").collect())) == {(1, 1): 3, (2, 2): 2, (3, 1): 1, (7, 7): 2}
+    item = "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(spark, [*rows, (None, a), (None, f"x {item} y"), (7, f"z {item}"), (None, "clean one")])
+    one = pipeline.one_of_near_duplicates(spark, docs, str(tmp_path))
+    left = pipeline.drop_contaminated(spark, C.stored(one, "one"), str(tmp_path)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter([(1, a), (2, b), (7, "p q r s t u"), (7, "k l m n o p"), (None, "clean one")])
+
+
 def test_fragments_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     bands = NJ.size_bands(90)
