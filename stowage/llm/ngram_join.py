@@ -1,13 +1,15 @@
 """Exact n-gram Jaccard self-join with vertical partitioning of the global n-gram order.
 
-The global order of n-grams is the order of their 64-bit hashes. Candidates: the order is cut into F fragments, F one more than the
-largest symmetric difference two linked sets of that size can have, so two linked sets agree wholly on some fragment (pigeonhole); the
-shared fragment is an equi-join key and no hot n-gram can flood it. Verification: the order is cut into fragments again, partial
-overlaps are counted fragment by fragment and summed per pair.
+The global order of n-grams is the order of their 64-bit hashes. Candidates: the order is cut into F fragments, F some more than the
+largest symmetric difference D that two linked sets of that size can have, so two linked sets agree wholly on F - D fragments at least
+(pigeonhole); a fragment that sets share is an equi-join key. Verification: the order is cut into FRAGMENTS ranges; the overlaps of a
+pair are counted for each range by itself, in tasks of their own, and summed per pair.
 
 Links are found without expanding groups of copies: every bucket of equal fragments is compared as a star around a leader first. Only
-buckets which then hold more than one component are compared further, across components: small ones pair by pair, large ones in blocks
-of bounded size whose tasks return just the links. So no link between different components is lost.
+buckets which then hold more than one component are compared further, across components: two sets can link only if they share as many
+fragments as two linked sets of their sizes must. In small buckets such pairs are rows; in large ones tasks of two blocks of documents
+tell only which documents hang together by such pairs, and whole families of them are then compared block by block, again fragment by
+fragment, with no pair leaving a task but what joins components. So no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -17,19 +19,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm import common as C
 from stowage.operators.components import connected_components
 
-#: Kinds of rows: first of its fragment key in a chunk, first of its set in a chunk, later copy of a set, later holder of a key,
-#: document without an id.
-KEY, SET, COPY, HELD, NO_ID = 0, 1, 2, 3, 4
-_ROW = "pkey long, kind int, doc long, a long, b long"
+#: Kinds of rows: first of its fragment key in a chunk, later holder of a key, set of a chunk, document, document without an id.
+KEY, HELD, SET, DOC, NO_ID = 0, 1, 2, 3, 4
+#: doc: the first document of the set in its chunk. a, b: of HELD rows the key's first document and the key, of SET rows the second half
+#: of the set's mark. n: size of the set. id: of SET rows the smallest id of the set in its chunk, of DOC rows the document's own.
+_ROW = "pkey long, kind int, doc long, a long, b long, n long, id long"
 _SALTS = [int(C.mix1(i + 77)) for i in range(4)]
-#: Grams per fragment when overlaps are counted; most documents of a bucket compared as pairs of rows; documents per block of a larger one.
-FRAGMENT_GRAMS, SMALL, BLOCK = 4096, 12, 256
+#: Ranges of the order in which overlaps are counted; most documents of a bucket joined as pairs of rows; documents per block of a larger one.
+FRAGMENTS, SMALL, BLOCK = 4, 32, 1024
+#: The low bits of a fragment key hold the number of its size band.
+_BAND_BITS = 7
 
 
 def size_bands(percent: int) -> np.ndarray:
@@ -40,19 +45,25 @@ def size_bands(percent: int) -> np.ndarray:
     return np.array(limits, np.int64)
 
 
+def most_different(total: int, percent: int) -> int:
+    """The largest symmetric difference of two linked sets of so many elements together."""
+    return total * (100 - percent) // (100 + percent)
+
+
 def fragment_keys(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndarray:
     """Keys of the fragments of one sorted set, for its own size band and, if a linked set can lie there, the next.
 
     With D the most by which linked sets of the band differ, D + s fragments leave s equal ones. A set with s or more empty fragments
     might share only empty ones; it is cut again under another order (and at the last order gives keys for empty ones too). s is twice
-    the number of empty fragments to be expected in the smallest sets, so this is rare.
+    the number of empty fragments to be expected in the smallest sets, so this is rare. So two linked sets that differ by d share at
+    least D - d + 1 keys of the band.
     """
     n, out = len(grams), []
     smallest = percent * (100 + percent) / (100 * 2 * (100 - percent) * max(4 / 3, 100 / percent)) if percent < 100 else 50.0
     share = 2 * np.exp(-smallest)
     k = int(np.searchsorted(bands, n, "right")) - 1
     for band in [k, k + 1] if 100 * n >= percent * bands[k + 1] else [k]:
-        most = int(2 * (bands[band + 1] - 1) * (100 - percent) // (100 + percent))
+        most = most_different(int(2 * (bands[band + 1] - 1)), percent)
         spare = 2 + int(most * share) if most else 1
         count = most + spare
         for level, salt in enumerate(_SALTS):
@@ -61,6 +72,7 @@ def fragment_keys(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndar
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(g))])
             name = C.mix(np.arange(count, dtype=np.uint64) + C.mix1((band << 8) + level))
             keys = C.mix((sums[edges[1:]] - sums[edges[:-1]]) ^ name)
+            keys = (keys >> np.uint64(_BAND_BITS) << np.uint64(_BAND_BITS)) | np.uint64(band)
             full = edges[1:] > edges[:-1]
             empty = count - int(full.sum())
             last = level + 1 == len(_SALTS)
@@ -71,121 +83,187 @@ def fragment_keys(grams: np.ndarray, percent: int, bands: np.ndarray) -> np.ndar
 
 
 def _postings(n: int, percent: int):
-    """Rows of _ROW for each chunk of documents. Copies of a set and later holders of a key name the first in the chunk as their
-    leader and are spread by their own id, so that a group of copies sends one row per chunk and key to the key's own task."""
+    """Rows of _ROW for each chunk of documents. Copies of a set are no more than a DOC row, and later holders of a key name the first in
+    the chunk as their leader and are spread by their own id, so that a group of copies sends one row per chunk and key to the key's
+    own task."""
     bands = size_bands(percent)
 
-    def of_chunk(docs: list, texts: list) -> list[np.ndarray]:
-        single, keys, owners, seen = [], [], [], {}
-        for doc, grams in zip(docs, C.gram_hashes(*C.word_hashes(texts, C.BLANK_WORDS), n), strict=True):
+    def of_chunk(docs: list, ids: list, texts: list) -> list[np.ndarray]:
+        rows, sets, keys, owners, sizes = [], {}, [], [], []
+        for doc, id_, grams in zip(docs, ids, C.gram_hashes(*C.word_hashes(texts, C.BLANK_WORDS), n), strict=True):
             size = len(grams)
-            own = int(C.mix1(doc or 0).view(np.int64))
             if doc is None:
-                single.append((len(single), NO_ID, 0, 0, size))
-            elif not size:
-                single.append((own, COPY, doc, doc, 0))
-            else:
-                mark = tuple(int(C.mix(grams ^ np.uint64(s)).sum().view(np.int64)) for s in _SALTS[:2])
-                first = seen.setdefault(mark, doc)
-                if first is not doc:
-                    single.append((own, COPY, doc, first, size))
-                    continue
-                single.append((mark[0], SET, doc, mark[1], size))
-                keys.append(fragment_keys(grams, percent, bands))
+                rows.append((len(rows), NO_ID, 0, 0, 0, size, 0))
+                continue
+            own = int(C.mix1(doc).view(np.int64))
+            mark = tuple(int(C.mix(grams ^ np.uint64(s)).sum().view(np.int64)) for s in _SALTS[:2]) if size else (own, doc)
+            if mark not in sets:
+                sets[mark] = [doc, size, id_]
+                keys.append(fragment_keys(grams, percent, bands) if size else grams)
                 owners.append(np.full(len(keys[-1]), doc, np.int64))
-        cols = [np.array([r[c] for r in single], np.int64) for c in range(5)]
+                sizes.append(np.full(len(keys[-1]), size, np.int64))
+            sets[mark][2] = min(sets[mark][2], id_)
+            rows.append((own, DOC, sets[mark][0], 0, 0, size, id_))
+        rows += [(mark[0], SET, doc, mark[1], 0, size, id_) for mark, (doc, size, id_) in sets.items()]
+        cols = [np.array([r[c] for r in rows], np.int64) for c in range(7)]
         if keys:
-            key, owner = np.concatenate(keys), np.concatenate(owners)
+            key, owner, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
             _, first, back = np.unique(key, return_index=True, return_inverse=True)
             held = np.ones(len(key), bool)
             held[first] = False
-            zero, spread = np.zeros(len(first), np.int64), C.mix(key[held] + owner[held].view(np.uint64)).view(np.int64)
-            more = (key[first].view(np.int64), zero + KEY, owner[first], zero, zero), (spread, np.full(len(spread), HELD), owner[held], owner[first][back][held], key[held].view(np.int64))
-            cols = [np.concatenate([c, *x]) for c, *x in zip(cols, *more, strict=True)]
+            none, more = np.zeros(len(first), np.int64), np.zeros(int(held.sum()), np.int64)
+            spread = C.mix(key[held] + owner[held].view(np.uint64)).view(np.int64)
+            lead = (key[first].view(np.int64), none + KEY, owner[first], none, none, size[first], none)
+            rest = (spread, more + HELD, owner[held], owner[first][back][held], key[held].view(np.int64), size[held], more)
+            cols = [np.concatenate(c) for c in zip(cols, lead, rest, strict=True)]
         return cols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            docs, ids, texts = (batch.column(c).to_pylist() for c in ("doc", "id", "text"))
             for lo, hi in C.by_bytes(texts):
-                cols = of_chunk(ids[lo:hi], texts[lo:hi])
+                cols = of_chunk(docs[lo:hi], ids[lo:hi], texts[lo:hi])
                 for at in range(0, len(cols[0]), 50_000):
                     part = [pa.array(c[at : at + 50_000]) for c in cols]
                     part[1] = part[1].cast(pa.int32())
-                    yield pa.RecordBatch.from_arrays(part, names=["pkey", "kind", "doc", "a", "b"])
+                    yield pa.RecordBatch.from_arrays(part, names=["pkey", "kind", "doc", "a", "b", "n", "id"])
 
     return run
 
 
-def _overlaps(n: int):
-    """Rows (a, b, fragment, common, na, nb) of text pairs: the overlap of both sets within each fragment of the global order."""
+def _ranges(n: int):
+    """Rows (doc, fragment, size, grams) of texts: each set cut into FRAGMENTS ranges of the global order; empty ranges have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        grams = lambda t: next(C.gram_hashes(*C.word_hashes([t], C.BLANK_WORDS), n))
         for batch in batches:
-            rows: list[tuple] = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                if last[0] != ta:
-                    last = (ta, grams(ta))
-                x, y = last[1], grams(tb)
-                pieces = np.uint64(1 + len(x) // FRAGMENT_GRAMS)
-                both = np.intersect1d(x, y, assume_unique=True)
-                count = np.bincount((((both >> np.uint64(32)) * pieces) >> np.uint64(32)).astype(np.int64), minlength=1)
-                rows += [(a, b, f, int(c), len(x), len(y)) for f, c in enumerate(count) if c or not f]
-            yield pa.RecordBatch.from_pylist([dict(zip(("a", "b", "fragment", "common", "na", "nb"), r, strict=True)) for r in rows], schema=pa.schema([(c, pa.int64()) for c in ("a", "b", "fragment", "common", "na", "nb")]))
+            docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            for lo, hi in C.by_bytes(texts):
+                rows: list[tuple] = []
+                for doc, g in zip(docs[lo:hi], C.gram_hashes(*C.word_hashes(texts[lo:hi], C.BLANK_WORDS), n), strict=True):
+                    cut = np.searchsorted(((g >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32), np.arange(FRAGMENTS + 1))
+                    rows += [(doc, f, len(g), g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                if cols:
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "fragment", "size", "grams"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link; partial overlaps are summed per pair."""
-    ta, tb = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-    partial = joined.mapInArrow(_overlaps(n), "a long, b long, fragment long, common long, na long, nb long")
-    total = partial.groupBy("a", "b").agg(F.sum("common").alias("i"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return total.where(F.expr(f"100 * i >= {percent} * (na + nb - i)")).select("a", "b")
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, common, total): the overlap of a pair's two sets within one fragment, and the sizes of the whole sets together."""
+    for batch in batches:
+        common, last, x = [], None, None
+        for ga, gb in zip(batch.column("ga"), batch.column("gb"), strict=True):
+            if (raw := ga.as_py()) != last:
+                last, x = raw, np.frombuffer(raw, np.uint64)
+            y = np.frombuffer(gb.as_py(), np.uint64)
+            common.append(int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), batch.column("total")], names=["a", "b", "common", "total"])
+
+
+def _verified(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets link. Each fragment of a pair is a row and a task's work of its own; partial overlaps are summed."""
+    of = lambda x: ranges.select(F.col("doc").alias(x), "fragment", F.col("size").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
+    joined = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"]).select("a", "b", "ga", "gb", (F.col("na") + F.col("nb")).alias("total"))
+    partial = joined.mapInArrow(_overlaps, "a long, b long, common long, total long")
+    whole = partial.groupBy("a", "b").agg(F.sum("common").alias("i"), F.max("total").alias("total"))
+    return whole.where(F.expr(f"100 * i >= {percent} * (total - i)")).select("a", "b")
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _across_blocks(open_: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) across components within each bucket: its documents are dealt to blocks and every two blocks meet in a task."""
-    blocks = F.ceil(F.col("all") / BLOCK)
-    dealt = open_.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component").join(texts, "doc")
+def _least_shared(percent: int, total: str) -> Column:
+    """How many keys of the column key's band two linked sets of total elements share at least."""
+    most = [most_different(int(2 * (b - 1)), percent) for b in size_bands(percent)[1:]]
+    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).cast("int")
+    return F.greatest(F.lit(1), F.element_at(F.lit(most), band + 1) - F.floor(F.expr(f"({total}) * {100 - percent} / {100 + percent}")) + 1)
+
+
+def _by_rows(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of small buckets, joined as rows, that share keys enough within a band to link."""
+    x = open_.select("key", F.col("doc").alias("x"), F.col("n").alias("nx"), "component")
+    y = open_.select("key", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("component").alias("other"))
+    met = x.join(y, "key").where("component < other").withColumn("need", _least_shared(percent, "nx + ny")).where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1)
+    shared = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), band.alias("band")).agg(F.count("*").alias("m"), F.first("need").alias("need"))
+    return shared.where("m >= need").select("a", "b")
+
+
+def _joined(link: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
+    """Pairs (a, b) that join all documents which hang together by links: a star for each group, not the links themselves."""
+    label = np.arange(len(docs), dtype=np.int32)
+    while True:
+        least = np.minimum(label, np.where(link, label[None, :], np.int32(len(docs))).min(1, initial=len(docs)))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    far = np.flatnonzero(label != np.arange(len(docs)))
+    return pd.DataFrame({"a": docs[far], "b": docs[label[far]]})
+
+
+def _common(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """How many codes each two of n owners share, by products of incidence matrices over a bounded number of codes."""
+    shared = np.zeros((n, n), np.float32)
+    _, code, count = np.unique(code, return_inverse=True, return_counts=True)
+    twice = count[code] > 1
+    code, owner = (np.cumsum(count > 1) - 1)[code[twice]], owner[twice]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    for lo in range(0, int(code.max(initial=-1)) + 1, 2048):
+        x, y = np.searchsorted(code, [lo, lo + 2048])
+        has = np.zeros((n, 2048), np.float32)
+        has[owner[x:y], code[x:y] - lo] = 1
+        shared += has @ has.T
+    return shared
+
+
+def _dealt(rows: DataFrame, by: str, n: str) -> DataFrame:
+    """Each row for all pairs (p, q) of blocks that its own block takes part in; n documents of a group make n / BLOCK blocks."""
+    blocks = F.ceil(F.col(n) / BLOCK)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.select(by, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *[c for c in rows.columns if c not in (by, "other", n)])
+
+
+def _possible(large: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join documents of large buckets which hang together by pairs across components that share keys enough to link:
+    every two blocks of a bucket's documents meet in a task with their documents' keys of the bucket's band."""
+    band = F.col("key").bitwiseAND((1 << _BAND_BITS) - 1)
+    keys = open_.join(large.select("doc").distinct(), "doc", "left_semi").groupBy("doc", band.alias("band")).agg(F.collect_list("key").alias("keys"))
+    dealt = _dealt(large.withColumn("band", band), "key", "all").join(keys, ["doc", "band"])
+    most = [most_different(int(2 * (b - 1)), percent) for b in size_bands(percent)[1:]]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, component, own = pdf["doc"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        grams = list(C.gram_hashes(*C.word_hashes(list(pdf["text"]), C.BLANK_WORDS), n))
-        size = np.array([len(g) for g in grams], np.int64)
-        _, code = np.unique(np.concatenate(grams), return_inverse=True)
-        owner = np.repeat(np.arange(len(grams)), size)
-        order = np.lexsort((owner, code))
-        code, owner = code[order], owner[order]
-        common = np.zeros((len(grams), len(grams)), np.int32)
-        for part in np.split(owner, np.flatnonzero(np.diff(code)) + 1):
-            if len(part) > 1:
-                common[np.ix_(part, part)] += 1
-        link = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common)
-        link &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
-        x, y = np.nonzero(np.triu(link, 1))
-        return pd.DataFrame({"a": np.minimum(docs[x], docs[y]), "b": np.maximum(docs[x], docs[y])})
+        docs, component, own, size = (pdf[c].to_numpy() for c in ("doc", "component", "own", "n"))
+        lists = pdf["keys"].to_list()
+        shared = _common(np.repeat(np.arange(len(docs)), [len(k) for k in lists]), np.concatenate(lists), len(docs))
+        need = np.maximum(1, most[int(pdf["band"].iloc[0])] - most_different(size[:, None] + size[None, :], percent) + 1)
+        fits = (shared >= need) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
+        fits &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
+        return _joined(fits, docs)
+
+    return dealt.groupBy("key", "p", "q").applyInPandas(run, "a long, b long")
+
 
-    return dealt.groupBy("key", "p", "q").applyInPandas(run, "a long, b long").distinct()
+def _in_families(families: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join linked documents of different components within each family (doc, family, component, n): every two blocks
+    of its documents meet in a task, which sums the partial overlaps of all their pairs fragment by fragment."""
+    dealt = _dealt(families, "family", "n").join(ranges, "doc")
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        docs, first, at = np.unique(pdf["doc"].to_numpy(), return_index=True, return_inverse=True)
+        component, own, size = (pdf[c].to_numpy()[first] for c in ("component", "own", "size"))
+        shared = np.zeros((len(docs), len(docs)), np.float32)
+        for _, rows in pdf.groupby("fragment").indices.items():
+            grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"].iloc[rows]]
+            shared += _common(np.repeat(at[rows], [len(g) for g in grams]), np.concatenate(grams), len(docs))
+        link = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size[None, :] - shared.astype(np.int64))
+        link &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
+        return _joined(link, docs)
 
-def _joined(rows: DataFrame) -> DataFrame:
-    """Rows (doc, size, component), each component named by its smallest document; components that share an id become one."""
-    least = rows.groupBy("component").agg(F.min("doc").alias("least"))
-    rows = C.stored(rows.join(least, "component").select("doc", "size", F.col("least").alias("component")), "labels")
-    shared = rows.groupBy("doc").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("a", "b")
-    if shared.isEmpty():
-        return rows
-    again = connected_components(shared).withColumnRenamed("component", "to")
-    return rows.join(again, rows.component == again.node, "left").select("doc", "size", F.coalesce("to", "component").alias("component"))
+    return dealt.groupBy("family", "p", "q").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,41 +276,48 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # rows are told apart by id and text, so that two texts of one id are compared each by itself
     docs = docs.select(F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")).alias("doc"), "text", "id")
-    ids = docs.where("doc is not null").select("doc", "id").distinct()
-    docs = docs.select("doc", "text")
     w = Window.partitionBy("pkey", "kind", F.when(F.col("kind") == SET, F.col("a")))
-    rows = docs.mapInArrow(_postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "n": F.count("*").over(w)})
-    rows = C.stored(rows.where(f"kind <> {KEY} or n > 1"), "buckets")
-    of = {kind: rows.where(F.col("kind") == kind) for kind in (KEY, SET, COPY, HELD, NO_ID)}
-    size = F.col("b").alias("size")
-    sets, copies = of[SET].select("doc", F.col("lead").alias("rep"), size), of[COPY].select("doc", F.col("a").alias("first"), size)
-    later = sets.where("doc <> rep").select("doc", "rep")
-    firsts = of[KEY].select(F.col("pkey").alias("key"), "doc", "lead")
-    held = of[HELD].select(F.col("b").alias("key"), "doc", F.col("a").alias("lead"))
-    bucket = firsts.union(held)
-    members = bucket.select("key", "doc").union(held.select("key", F.col("lead").alias("doc")))
-    members = C.stored(members.join(later, "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct(), "members")
-
-    star = bucket.where("doc <> lead").select("doc", "lead").distinct()
+    rows = docs.mapInArrow(_postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "held": F.count("*").over(w)})
+    rows = C.stored(rows.where(f"kind <> {KEY} or held > 1").drop("held"), "buckets")
+    of = {kind: rows.where(F.col("kind") == kind) for kind in (KEY, HELD, SET, DOC, NO_ID)}
+    sets = of[SET].select("doc", F.col("lead").alias("rep"), "id")
+    later = sets.where("doc <> rep").select("doc", "rep").distinct()
+    held = of[HELD].select(F.col("b").alias("key"), "doc", F.col("a").alias("lead"), "n")
+    bucket = of[KEY].select(F.col("pkey").alias("key"), "doc", "lead", "n").union(held)
+    # the chunk's first holder of a key may have lost its own row, if no other chunk has the key; its size is its set's
+    firsts = held.select("key", F.col("lead").alias("doc")).distinct().join(of[SET].select("doc", "n"), "doc").select("key", "doc", "n")
+    members = bucket.select("key", "doc", "n").union(firsts)
+    members = C.stored(members.join(later, "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc"), "n").distinct(), "members")
+
+    star = bucket.where("doc <> lead").groupBy("doc", "lead", F.col("key").bitwiseAND((1 << _BAND_BITS) - 1).alias("band")).agg(F.count("*").alias("m"), F.first("key").alias("key"), F.first("n").alias("n"))
+    # a star only saves work: what it doesn't compare stays open. The leader's size isn't known here, so the larger bound holds
+    star = star.where(F.col("m") >= _least_shared(percent, f"n + n * 100 / {percent}")).select("doc", "lead").distinct()
     for c in ("doc", "lead"):
         star = star.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     tested = C.stored(_pairs(star, "doc", "lead"), "pairs")
-    texts = C.stored(docs.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    links = C.stored(_verified(tested, texts, n, percent), "links")
-    found = connected_components(links)
+    texts = docs.select("doc", "text").join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    ranges = C.stored(texts.mapInArrow(_ranges(n), "doc long, fragment int, size long, grams binary"), "ranges")
+    found = connected_components(C.stored(_verified(tested, ranges, percent), "links"))
 
-    inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     whole = inside.groupBy("key").agg(F.count("*").alias("all"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     open_ = C.stored(inside.join(whole.select("key", "all"), "key"), "open")
-    small = open_.where(F.col("all") <= SMALL)
-    pairs = small.select("key", F.col("doc").alias("x"), "component").join(small.select("key", F.col("doc").alias("y"), F.col("component").alias("other")), "key")
-    pairs = _pairs(pairs.where("component < other"), "x", "y").join(tested, ["a", "b"], "left_anti")
-    more = C.stored(_verified(pairs, texts, n, percent).union(_across_blocks(open_.where(F.col("all") > SMALL), texts, n, percent)), "links")
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
-    first_of = sets.select(F.col("doc").alias("first"), "rep").distinct()
-    every = sets.select("doc", "rep", "size").union(copies.join(first_of, "first", "left").select("doc", F.coalesce("rep", "first"), "size"))
-    every = every.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "size", F.coalesce("component", "rep").alias("component"))
-    # an id that several rows share carries the links of all of them; a component may reach a smaller id through its equal sets
-    every = _joined(every.join(ids, "doc").select(F.col("id").alias("doc"), "size", "component"))
-    return every.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")).union(of[NO_ID].select(F.lit(None).cast("long"), "b", F.lit(None).cast("long")))
+    pairs = _by_rows(open_.where(F.col("all") <= SMALL), percent).distinct().join(tested, ["a", "b"], "left_anti")
+    more = _verified(C.stored(pairs, "pairs"), ranges, percent)
+    large = open_.where(F.col("all") > SMALL)
+    families = connected_components(C.stored(_possible(large, open_, percent), "possible")).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    families = families.join(large.select("doc", "component").distinct(), "doc").join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
+    more = C.stored(more.union(_in_families(families, ranges, percent)), "links")
+
+    # from here on a set goes by its smallest id, so that components are named by it; an id that several texts share joins their sets
+    reps = C.stored(sets.groupBy("rep").agg(F.min("id").alias("node")), "sets")
+    at = lambda x: reps.select(F.col("rep").alias(x), F.col("node").alias(f"{x}_node"))
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    edges = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    every = of[DOC].select("id", "n", "doc").join(later, "doc", "left").select("id", "n", F.coalesce("rep", "doc").alias("rep"))
+    twice = of[DOC].groupBy("id").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x <> y").select("id")
+    shared = every.join(twice, "id").join(reps, "rep").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    named = connected_components(edges.union(shared))
+    named = reps.join(named, "node", "left").select("rep", F.coalesce("component", "node").alias("component"))
+    out = every.join(named, "rep").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.union(of[NO_ID].select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
