@@ -7,6 +7,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,6 +91,15 @@ def by_bytes(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about so many bytes of text, so that few texts at a time are Python strings; none is empty."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = np.cumsum(size, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo)
+
+
 def gram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles; a text of fewer words has one, of the whole sequence."""
     weights = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)

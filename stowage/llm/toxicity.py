@@ -1,16 +1,13 @@
 """Toxicity by averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the word itself, so a misspelling shares most of
-its vector with the word it hides. A text's vector is the mean of its words' vectors. As the output is linear in the embeddings, the
-trained model reduces to one number per bucket, and a text's log-odds to the mean of its words' numbers. A run of text counts CAP times at most and
-PAD words of nothing are averaged in, so that a text of a few words, or of one word over and over, isn't judged by their noise.
+its vector with the word it hides. A text's vector is the mean of its words' vectors, in which a word that occurs c times weighs
+c ** DAMP and PAD words of nothing take part. All of this is linear in the embeddings: for the fit a text is one sparse vector over
+n-gram buckets, and the trained model reduces to one number per bucket. Texts are read whole, as arrays of code points.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,132 +19,129 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: The fit takes at most so many labelled documents of each class (label: bound), those with the smallest hash of doc_id.
-SAMPLE = {0: 3000, 1: 1500}
-BUCKETS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, MEMO = 1 << 17, 4, 60.0, 10, 250, 0.03, 0.4, 400_000
-CAP, PAD = 3, 50
-_NOT_WORD = re.compile(r"[\W_]+")
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams of 3 and 4 with its borders marked, and of the whole word."""
-    s = f"<{word[:64]}>"
-    grams = {s[i : i + n] for n in (3, 4) for i in range(len(s) - n + 1)} | {f"={word}"}
-    return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams)
-
-
-def clean(run: str) -> str:
-    return _NOT_WORD.sub("", run.lower())
-
-
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            count: Counter = Counter()
-            for run, n in Counter((text or "").split()).items():
-                count[clean(run)] += min(n, CAP)
-            count.pop("", None)
-            rows.append({"label": label, "words": list(count), "counts": list(count.values())})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))]))
+SAMPLE = {0: 5000, 1: 2500}
+#: ODDS: what the toxic texts of the sample count together in the fit, as a share of what the others count.
+BUCKET_BITS, DIM, SCALE, EPOCHS, BATCH, RATE, DECAY, ODDS = 17, 4, 60.0, 12, 250, 0.03, 0.1, 0.5
+BUCKETS = 1 << BUCKET_BITS
+#: A word counts as often as it occurs to the power DAMP; PAD words of nothing are averaged in; a run without blanks counts as one word
+#: for each RUN characters or part of them.
+DAMP, PAD, RUN = 0.5, 50, 32
+#: Of a code point: 2 blank, 1 letter, digit or other sign of words, 0 anything else, which is left out, so that i.d.i.o.t is idiot.
+_KIND = np.array([2 if chr(i).isspace() else int(chr(i).isalnum()) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.uint8)
+_FACTORS = C.mix(np.arange(101, 112, dtype=np.uint64)) | np.uint64(1)
+_SHIFT = np.uint64(64 - BUCKET_BITS)
+
+
+class Words:
+    """The distinct words of each of some texts: text (number), weight, and per word its n-grams' buckets (grams, at: where each begins).
+
+    A word's n-grams are those of 3 and 4 of its characters with a border on either side, and the word itself.
+    """
 
+    def __init__(self, texts: list[str | None]):
+        low = [(t or "").lower() for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in low])
+        cp = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[np.minimum(cp, 0xFFFF)]
+        for i in np.flatnonzero(cp > 0xFFFF):
+            kind[i] = chr(cp[i]).isalnum()
+        kept = np.flatnonzero(kind)
+        cp = np.where(kind[kept] == 1, cp[kept], 0).astype(np.uint64)  # blanks are 0 and serve as borders
+        cp = np.concatenate([np.zeros(1, np.uint64), cp, np.zeros(2, np.uint64)])
+        inside = cp != 0
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        length = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1 - starts
+        text = np.searchsorted(ends, kept[starts - 1], "right") if len(starts) else starts
+        place = np.arange(int(length.sum()), dtype=np.uint64) - np.repeat(np.cumsum(length) - length, length).astype(np.uint64)
+        letters = cp[inside] * (C.mix(place + np.uint64(977)) | np.uint64(1))
+        name = C.mix(np.add.reduceat(letters, np.cumsum(length) - length)) if len(starts) else cp[:0]
+        # one entry per text and word, in the order of their first places
+        key = name + C.mix(text.astype(np.uint64) + np.uint64(1))
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first, count = first[order], count[order]
+        self.n, self.text, size = len(texts), text[first], length[first]
+        self.weight = count**DAMP * (1 + (size - 1) // RUN)
+        self.size = np.maximum(2 * size, 2)  # n-grams of 3: size, of 4: size - 1, and the word
+        self.at = np.cumsum(self.size) - self.size
+        grams = np.zeros(int(self.size.sum()), np.uint64)
+        position = np.repeat(starts[first] - self.at, self.size) + np.arange(len(grams))  # the k-th n-gram of a word begins at starts - 1 + k
+        k, own = np.arange(len(grams)) - np.repeat(self.at, self.size), np.repeat(size, self.size)
+        three, four = np.flatnonzero(k < own), np.flatnonzero((k >= own) & (k < 2 * own - 1))
+        p, q = position[three] - 1, position[four] - own[four] - 1
+        a, b, c, d, e, f, g = _FACTORS[:7]
+        grams[three] = cp[p] * a + cp[p + 1] * b + cp[p + 2] * c
+        grams[four] = cp[q] * d + cp[q + 1] * e + cp[q + 2] * f + cp[q + 3] * g
+        grams[self.at + self.size - 1] = name[first] * _FACTORS[7]
+        self.grams = ((grams * _FACTORS[8]) >> _SHIFT).astype(np.int32)
+
+    def total(self) -> np.ndarray:
+        """What each text's words weigh together, with PAD."""
+        return PAD + np.bincount(self.text, self.weight, self.n)
+
+    def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (buckets, shares): what each bucket's embedding counts in its vector."""
+        share = np.repeat(self.weight / self.size / self.total()[self.text], self.size)
+        bounds = np.searchsorted(np.repeat(self.text, self.size), np.arange(self.n + 1))
+        out = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            buckets, back = np.unique(self.grams[lo:hi], return_inverse=True)
+            out.append((buckets, np.bincount(back, share[lo:hi], len(buckets)).astype(np.float32)))
+        return out
 
-class _Sum:
-    """Sums of rows by a group number, as one sorted segment sum."""
+    def log_odds(self, value: np.ndarray, bias: float) -> np.ndarray:
+        if not len(self.at):
+            return np.full(self.n, bias)
+        mean = np.add.reduceat(value[self.grams], self.at, dtype=np.float64) / self.size
+        return bias + np.bincount(self.text, mean * self.weight, self.n) / self.total()
 
-    def __init__(self, group: np.ndarray, n: int):
-        self.order, self.n = None if (np.diff(group) >= 0).all() else np.argsort(group, kind="stable").astype(np.int32), n
-        ordered = group if self.order is None else group[self.order]
-        self.at = np.flatnonzero(np.diff(ordered, prepend=-1)).astype(np.int32)
-        self.to = ordered[self.at]
 
-    def __call__(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, rows.shape[1]), np.float32)
-        if len(self.at):
-            out[self.to] = np.add.reduceat(rows if self.order is None else rows[self.order], self.at, axis=0)
-        return out
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in C.parts(batches):
+        rows = Words(batch.column("text").to_pylist()).features()
+        cols = [batch.column("label"), batch.column("id"), pa.array([b for b, _ in rows], pa.list_(pa.int32())), pa.array([s for _, s in rows], pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["label", "id", "buckets", "shares"])
 
 
-def fit(docs: list[tuple[list[str], list[int]]], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
-    """(number per bucket, bias): embeddings and softmax weights trained together by Adam on the cross entropy, in fixed batches."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
+    """(number per bucket, bias) from texts' features: embeddings and softmax weights trained together by Adam on the cross entropy, in
+    fixed batches; the embeddings decay, and the rate falls to nothing, so that the last batches don't decide."""
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
-    first, second, step, batches = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0, []
-    order = rng.permutation(len(docs))
-    for lo in range(0, len(order), BATCH):
-        pick = order[lo : lo + BATCH]
-        place = {w: i for i, w in enumerate(dict.fromkeys(w for i in pick for w in docs[i][0]))}
-        subs = [subwords(w) for w in place]
-        sub_n = np.array([len(s) for s in subs], np.float32)[:, None]
-        touched, at = np.unique(np.fromiter((b for s in subs for b in s), np.int32), return_inverse=True)
-        at, owner = at.astype(np.int32), np.repeat(np.arange(len(subs), dtype=np.int32), [len(s) for s in subs])
-        word = np.fromiter((place[w] for i in pick for w in docs[i][0]), np.int32)
-        weight = np.array([c / (PAD + sum(docs[i][1])) for i in pick for c in docs[i][1]], np.float32)[:, None]
-        row = np.repeat(np.arange(len(pick), dtype=np.int32), [len(docs[i][0]) for i in pick])
-        batches.append((labels[pick], sub_n, touched, at, owner, word, weight, row, _Sum(owner, len(subs)), _Sum(row, len(pick)), _Sum(word, len(subs)), _Sum(at, len(touched))))
+    first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    counts = np.where(labels == 1, ODDS * (labels == 0).sum() / (labels == 1).sum(), 1.0)
+    order = rng.permutation(len(rows))
+    parts = [order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)]
     for _ in range(EPOCHS):
-        for k in rng.permutation(len(batches)):
-            label, sub_n, touched, at, owner, word, weight, row, to_word, to_doc, from_doc, to_bucket = batches[k]
+        for part in (parts[k] for k in rng.permutation(len(parts))):
             e, w, b = params
-            vec = to_word(e[touched][at]) / sub_n
-            hidden = to_doc(vec[word] * weight) * SCALE
+            at = np.concatenate([rows[i][0] for i in part])
+            share = np.concatenate([rows[i][1] for i in part]) * np.float32(SCALE)
+            owner = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
+            hidden = np.stack([np.bincount(owner, e[at, d] * share, len(part)) for d in range(DIM)], 1).astype(np.float32)
             logits = hidden @ w + b
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(label)), label] -= 1
-            p /= len(label)
-            d_vec = from_doc((p @ w.T)[row] * weight) * SCALE / sub_n
-            grads = [to_bucket(d_vec[owner]), hidden.T @ p, p.sum(0)]
-            e[touched] *= 1 - RATE * DECAY
+            p[np.arange(len(part)), labels[part]] -= 1
+            p *= (counts[part] / counts[part].sum())[:, None]
+            back = (p @ w.T).astype(np.float32)
+            grads = [np.stack([np.bincount(at, back[owner, d] * share, BUCKETS) for d in range(DIM)], 1), hidden.T @ p, p.sum(0)]
+            rate = RATE * (1 - step / (EPOCHS * len(parts)))
+            e *= 1 - rate * DECAY
             step += 1
-            for m, v, q, g, rows in zip(first, second, params, grads, (touched, slice(None), slice(None)), strict=True):
-                m[rows] = 0.9 * m[rows] + 0.1 * g
-                v[rows] = 0.99 * v[rows] + 0.01 * g * g
-                q[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-8)
+            for m, v, q, g in zip(first, second, params, grads, strict=True):
+                m += 0.1 * (g.astype(np.float32) - m)
+                v += 0.01 * (g.astype(np.float32) ** 2 - v)
+                q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     e, w, b = params
     return (SCALE * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0])
 
 
-class _Words(dict):
-    """The number of a cleaned word: the mean over its subwords."""
-
-    def __init__(self, value: np.ndarray):
-        self.value = value
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > MEMO:
-            self.clear()
-        score = float(self.value[subwords(word)].mean()) if word else float("nan")
-        if len(word) < 64:
-            self[word] = score
-        return score
-
-
-class _Memo(dict):
-    """The number of a blank-separated run of text, by way of its cleaned word."""
-
-    def __init__(self, value: np.ndarray):
-        self.words = _Words(value)
-
-    def __missing__(self, run: str) -> float:
-        if len(self) > MEMO:
-            self.clear()
-        score = self.words[clean(run)]
-        if len(run) < 64:
-            self[run] = score
-        return score
-
-
 def _probabilities(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, bias = model.value
-        memo = _Memo(value)
-        for batch in batches:
-            scores = []
-            for text in batch.column("text").to_pylist():
-                count = Counter((text or "").split())
-                s, n = np.array([memo[r] for r in count], np.float64), np.minimum(np.fromiter(count.values(), np.int64, len(count)), CAP)
-                word = ~np.isnan(s)
-                scores.append(1 / (1 + np.exp(-np.clip(bias + (s[word] * n[word]).sum() / (PAD + n[word].sum()), -500, 500))))
+        for batch in C.parts(batches):
+            scores = 1 / (1 + np.exp(-np.clip(Words(batch.column("text").to_pylist()).log_odds(value, bias), -500, 500)))
             at = batch.schema.get_field_index("text")
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(scores, pa.float64()), batch.column(at)]
             yield pa.RecordBatch.from_arrays(cols, names=[n for n in batch.schema.names if n != "text"] + ["_score", "text"])
@@ -157,14 +151,15 @@ def _probabilities(model) -> object:
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """The model of labelled documents whose crc32(id) mod 5 isn't 0, a bounded sample of each class; without both classes it is neutral
-    but for a bias to the class present (none: to 0)."""
+    but for a bias to the class present (none: to 0). Of an id's labels the larger counts, of its texts the one with the smallest hash."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(f"id is not null and label in (0, 1) and not ({held_out_sql('id', 5, 0)})")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     by_hash = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE[y]) for y in SAMPLE]
     sample = by_hash[0].union(by_hash[1])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("label", "text")
-    counted = texts.mapInArrow(word_counts, "label int, words array<string>, counts array<int>")
-    found = counted.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_task, "value binary, bias double").collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = texts.select("label", "id", "text").mapInArrow(_features, "label int, id long, buckets array<int>, shares array<float>")
+    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_task, "value binary, bias double").collect()
     if not found:
         return np.zeros(BUCKETS, np.float32), -5.0
     return np.frombuffer(found[0].value, np.float32), found[0].bias
@@ -172,12 +167,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _fit_task(rows: pd.DataFrame) -> pd.DataFrame:
     """The fit of the whole sample, in one task: its size is bounded by SAMPLE, and the driver holds none of it."""
+    rows = rows.sort_values("id")
     y = rows["label"].to_numpy(np.int64)
     if len(set(y)) < 2:
         value, bias = np.zeros(BUCKETS, np.float32), 5.0 if y[0] else -5.0
     else:
-        order = sorted(range(len(y)), key=lambda i: (y[i], len(rows["words"][i]), sorted(rows["words"][i])[:3]))
-        value, bias = fit([(list(rows["words"][i]), list(rows["counts"][i])) for i in order], y[order])
+        value, bias = fit(list(zip(rows["buckets"], rows["shares"], strict=True)), y)
     return pd.DataFrame({"value": [value.tobytes()], "bias": [bias]})
 
 
@@ -188,7 +183,8 @@ def held_out_sql(col: str, n: int, rest: int) -> str:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with toxic_score (0 to 1) and toxic_predicted (1 if the score is 0.5 or more).
 
-    Scores read the text alone. Null and wordless texts get the model's bias as their log-odds. Repeated rows keep a row each.
+    Scores read the text alone. Null and wordless texts get the model's bias as their log-odds. Repeated rows keep a row each. A column
+    of docs that is named like a result is left as it is and the result goes under llm_toxic_score or llm_toxic_predicted.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, id_col, text_col))
     keep = [f"_c{i}" for i in range(len(docs.columns))]
@@ -198,4 +194,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent.drop("text").schema) + ", _score double, text string"
     out = sent.mapInArrow(_probabilities(model), schema)
     cols = [F.col("text" if k == text else k).alias(c) for k, c in zip(keep, docs.columns, strict=True)]
-    return out.select(*cols, F.col("_score").alias("toxic_score"), (F.col("_score") >= 0.5).cast("int").alias("toxic_predicted"))
+    names = [n if n not in docs.columns else f"llm_{n}" for n in ("toxic_score", "toxic_predicted")]
+    return out.select(*cols, F.col("_score").alias(names[0]), (F.col("_score") >= 0.5).cast("int").alias(names[1]))

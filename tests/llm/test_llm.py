@@ -357,3 +357,46 @@ def test_pipeline_keeps_columns(spark):
             n = docs.count()
     assert docs.select("doc_id").distinct().count() == n
     assert Path(pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def plain_words(text):
+    """{word: occurrences} by definition: blank-separated runs of the lower-cased text without signs that aren't letters or digits."""
+    runs = ("".join(c for c in r if c.isalnum()) for r in (text or "").lower().split())
+    return Counter(r for r in runs if r)
+
+
+def test_toxicity_score_by_definition(spark):
+    factor = [int(f) for f in TX._FACTORS]
+    low = (1 << 64) - 1
+    mixed = lambda x: int(C.mix1(x & low))
+
+    def buckets(word):
+        s = [0, *map(ord, word), 0]
+        name = mixed(sum(c * (mixed(i + 977) | 1) for i, c in enumerate(s[1:-1])))
+        grams = [sum(c * f for c, f in zip(s[i : i + 3], factor, strict=False)) for i in range(len(s) - 2)]
+        grams += [sum(c * f for c, f in zip(s[i : i + 4], factor[3:], strict=False)) for i in range(len(s) - 3)] + [name * factor[7]]
+        return [((g & low) * factor[8] & low) >> (64 - TX.BUCKET_BITS) for g in grams]
+
+    value, bias = np.random.default_rng(1).normal(0, 9, TX.BUCKETS).astype(np.float32), -0.7
+    rng = random.Random(8)
+    texts = [None, "", " . ", "Id.i-o_t idiot, IDIOT x", "a", "\u4f60" * 100 + " \U0001d400z", "y" * 5000, "one two one two " * 900, "\ud800 lone"]
+    texts += [" ".join("".join(rng.choice("abé.Z0") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(40))) for _ in range(50)]
+    want = []
+    for t in texts:
+        weight = {w: n**TX.DAMP * (1 + (len(w) - 1) // TX.RUN) for w, n in plain_words(t).items()}
+        want.append(bias + sum(x * np.mean([float(value[b]) for b in buckets(w)]) for w, x in weight.items()) / (TX.PAD + sum(weight.values())))
+    words = TX.Words(texts)
+    assert np.allclose(words.log_odds(value, bias), want, rtol=1e-9, atol=1e-9)
+    for (at, share), w in zip(words.features(), want, strict=True):  # what the fit sees is the same text
+        assert abs(float((value[at].astype(float) * share).sum()) + bias - w) < 1e-3
+    assert np.array_equal(words.log_odds(value, bias), np.concatenate([TX.Words([t]).log_odds(value, bias) for t in texts]))
+
+
+def test_toxicity_odd_tables(spark):
+    docs = docs_of(spark, [(i, f"good calm text {i}" if i % 2 else f"you scum {i}") for i in range(40)] + [(None, "scum"), (1, None), (1, "scum"), (1, "scum")]).withColumn("toxic_score", F.lit("mine"))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(None, 1), (3, None), (4, 7), (1, 1)], "doc_id long, toxic int")
+    got = TX.toxicity(docs, labels)
+    assert got.columns == [*docs.columns, "llm_toxic_score", "toxic_predicted"] and got.count() == 44
+    scores = {(r.doc_id, r.text): r.llm_toxic_score for r in got.collect()}
+    assert scores[(2, "you scum 2")] > scores[(3, "good calm text 3")] and {r.toxic_score for r in got.collect()} == {"mine"}
+    assert TX.toxicity(docs.limit(0), labels).count() == 0 and TX.toxicity(docs, labels.limit(0)).where("toxic_predicted = 1").count() == 0
