@@ -119,14 +119,12 @@ def _postings(n: int, percent: int):
         return cols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, ids, texts = (batch.column(c).to_pylist() for c in ("doc", "id", "text"))
-            for lo, hi in C.by_bytes(texts):
-                cols = of_chunk(docs[lo:hi], ids[lo:hi], texts[lo:hi])
-                for at in range(0, len(cols[0]), 50_000):
-                    part = [pa.array(c[at : at + 50_000]) for c in cols]
-                    part[1] = part[1].cast(pa.int32())
-                    yield pa.RecordBatch.from_arrays(part, names=["pkey", "kind", "doc", "a", "b", "n", "id"])
+        for batch in C.parts(batches):
+            cols = of_chunk(*(batch.column(c).to_pylist() for c in ("doc", "id", "text")))
+            for at in range(0, len(cols[0]), 50_000):
+                part = [pa.array(c[at : at + 50_000]) for c in cols]
+                part[1] = part[1].cast(pa.int32())
+                yield pa.RecordBatch.from_arrays(part, names=["pkey", "kind", "doc", "a", "b", "n", "id"])
 
     return run
 
@@ -135,16 +133,15 @@ def _ranges(n: int):
     """Rows (doc, fragment, size, grams) of texts: each set cut into FRAGMENTS ranges of the global order; empty ranges have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in C.by_bytes(texts):
-                rows: list[tuple] = []
-                for doc, g in zip(docs[lo:hi], C.gram_hashes(*C.word_hashes(texts[lo:hi], C.BLANK_WORDS), n), strict=True):
-                    cut = np.searchsorted(((g >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32), np.arange(FRAGMENTS + 1))
-                    rows += [(doc, f, len(g), g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        for batch in C.parts(batches):
+            rows: list[tuple] = []
+            grams = C.gram_hashes(*C.word_hashes(batch.column("text").to_pylist(), C.BLANK_WORDS), n)
+            for doc, g in zip(batch.column("doc").to_pylist(), grams, strict=True):
+                cut = np.searchsorted(((g >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32), np.arange(FRAGMENTS + 1))
+                rows += [(doc, f, len(g), g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            if rows:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                if cols:
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "fragment", "size", "grams"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "fragment", "size", "grams"])
 
     return run
 

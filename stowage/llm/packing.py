@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
-#: most); part of a sequence that may stay free in a closed bin; distinct runs a worker remembers.
-GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO = 50_000, 4, 3, 64, 600_000
+#: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a worker remembers; what an entry takes
+#: besides its characters and ids.
+GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 128 << 20, 220
 
 
 class _Memo:
@@ -41,15 +42,17 @@ class _Memo:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.runs: dict[str, bytes] = {}  # ids as 32-bit little-endian numbers
         self.words: dict[str, bytes] = {"": b""}
+        self.size = 0
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, runs: set[str]) -> None:
-        if len(self.runs) > MEMO:
-            self.runs.clear()
-        if len(self.words) > MEMO:
+        """Makes all the runs known. Over MEMO_BYTES, what these runs don't need is forgotten."""
+        if self.size > MEMO_BYTES:
+            self.runs = {run: self.runs[run] for run in runs if run in self.runs}
             self.words = {"": b""}
+            self.size = sum(ENTRY + len(run) + len(ids) for run, ids in self.runs.items())
         plain, known = [], self.words
         for run in runs.difference(self.runs):
             head = run.rstrip(".,;:!?%&*$#")
@@ -57,6 +60,7 @@ class _Memo:
                 plain.append((run, head.lower(), run[len(head) :]))
             else:
                 self.runs[run] = self.encode(run).tobytes()
+                self.size += ENTRY + len(run) + len(self.runs[run])
         words = [w for w in {p[1] for p in plain} if w not in known]
         if words:
             ids = self.encode(" ".join(words))
@@ -65,10 +69,12 @@ class _Memo:
                 raise ValueError("a word of Latin letters isn't one token run of this tokenizer")
             data, stops = ids.tobytes(), (4 * stops).tolist()
             known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+            self.size += ENTRY * len(words) + sum(map(len, words)) + len(data)
         for marks in {p[2] for p in plain}:
             if marks not in known:
                 known[marks] = self.encode(marks).tobytes()
         self.runs.update((run, known[word] + known[marks]) for run, word, marks in plain)
+        self.size += sum(ENTRY // 2 + len(run) for run, _, _ in plain)
 
 
 _MEMOS: dict[str, _Memo] = {}
@@ -90,7 +96,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in C.parts(batches):
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for doc, tokens in zip(ids, token_ids(texts, path), strict=True):

@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000
+from stowage.llm import common as C
+
+#: Words a worker remembers, of less than 64 characters each: about 40 MB.
+MEMO = 150_000
 _NONE = -1
 
 
@@ -110,7 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes], start: bytes = b" ",
         if key not in _MEMOS:
             _MEMOS[key] = _Memo(LongestMatch(*sent.value))
         memo = _MEMOS[key]
-        for batch in batches:
+        for batch in C.parts(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 found = [memo[w] for w in (text or "").translate(blanks).split(" ") if w]
