@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm import common as C
+
 ROUNDS = 8
 KINDS = ("iban", "email", "secret", "ip", "date", "ssn", "phone", "card")
 
@@ -82,9 +85,18 @@ def card(s: str, key: bytes) -> str | None:
 
 
 def phone(s: str, key: bytes) -> str | None:
+    """The country's digits stay. A digit that may only be 2 to 9 in valid numbers of the 10-digit plan (the first of the area and of the
+    exchange), or only 1 to 9 elsewhere (the first), stays within those; one that breaks this stays within the others."""
     digits = re.sub(r"\D", "", s)
     country = 1 if s.startswith("+1") else 2 if s.startswith("+") else 0
-    return _fill(s, digits[:country] + _rewrite(digits[country:], key, "phone")) if 10 <= len(digits) <= 15 else None
+    if not 10 <= len(digits) <= 15:
+        return None
+    own = [int(c) for c in digits[country:]]
+    least = {0: 2, 3: 2} if country < 2 and len(own) == 10 else {0: 1}
+    low = [least.get(i, 0) if d >= least.get(i, 0) else 0 for i, d in enumerate(own)]
+    high = [10 if d >= least.get(i, 0) else least[i] for i, d in enumerate(own)]
+    new = permute([d - a for d, a in zip(own, low, strict=True)], [b - a for a, b in zip(low, high, strict=True)], key, "phone:" + ",".join(map(str, low)))
+    return _fill(s, digits[:country] + "".join(str(d + a) for d, a in zip(new, low, strict=True)))
 
 
 def ssn(s: str, key: bytes) -> str | None:
@@ -103,26 +115,32 @@ _FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - dat
 
 
 def calendar_date(s: str, key: bytes) -> str | None:
-    """Days of 1900 to 2099, as year-month-day, or day and month (in this order, else month and day) before the year."""
+    """Days of 1900 to 2099, as year-month-day, or day and month (in this order, else month and day) before the year. The new date is
+    one that is read in the same order, so that two dates never become one."""
     a, mark, b, _, c = re.split(r"([-/.])", s)
-    orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy")
-    for order in orders:
+    order, day = _read_date(a, b, c)
+    if not 0 <= day < _DAYS:
+        return None
+    while True:
+        high, low = permute([day // 512, day % 512], [-(-_DAYS // 512), 512], key, "date")
+        day = high * 512 + low
+        if day < _DAYS:
+            new = date.fromordinal(day + _FIRST)
+            text = {"y": f"{new.year}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+            parts = [text[x] for x in order]
+            if _read_date(*parts)[0] == order:
+                return mark.join(parts)
+
+
+def _read_date(a: str, b: str, c: str) -> tuple[str, int]:
+    """(order, day since 1900) of the first reading that is a date; day -1 if none is."""
+    for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
         part = dict(zip(order, (a, b, c), strict=True))
         try:
-            day = date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal() - _FIRST
+            return order, date(int(part["y"]), int(part["m"]), int(part["d"])).toordinal() - _FIRST
         except ValueError:
             continue
-        if not 0 <= day < _DAYS:
-            return None
-        while True:
-            high, low = permute([day // 512, day % 512], [-(-_DAYS // 512), 512], key, "date")
-            day = high * 512 + low
-            if day < _DAYS:
-                break
-        new = date.fromordinal(day + _FIRST)
-        text = {"y": f"{new.year}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return mark.join(text[x] for x in order)
-    return None
+    return "", -1
 
 
 def iban(s: str, key: bytes) -> str | None:
@@ -201,18 +219,19 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
     counts: dict[str, int] = {}
     if not text or not _MAYBE.search(text):
         return text, counts
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
     for kind, pattern, change in _COMPILED:
         for tries in _card_spans(pattern, text) if kind == "card" else _spans(kind, pattern, text):
             for a, b in tries:
-                if any(a < y and x < b for x, y, _ in taken):
+                at = bisect_left(taken, (a,))
+                if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
                     continue
                 if (new := change(text[a:b], key)) is not None:
-                    taken.append((a, b, new))
+                    taken.insert(at, (a, b, new))
                     counts[kind] = counts.get(kind, 0) + 1
                     break
     out, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), counts
@@ -227,7 +246,7 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame
     names = [f"n_{k}" if f"n_{k}" not in docs.columns else f"pii_n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.parts(batches):
             done = [pseudonymise(t, key) for t in batch.column("text").to_pylist()]
             cols = [pa.array([t for t, _ in done], pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
             cols += [pa.array([c.get(k, 0) for _, c in done], pa.int32()) for k in KINDS]

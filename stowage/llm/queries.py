@@ -18,8 +18,10 @@ from stowage.llm.pii import pseudonyms
 from stowage.llm.token_counts import byte_vocabulary, token_counts
 from stowage.llm.toxicity import held_out_sql, toxicity
 
-#: The key of the registered queries; give a secret one in production.
-PSEUDONYM_KEY = b"stowage example key"
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret that the session sets under spark.stowage.pseudonymKey; without one, an example key that protects nothing."""
+    return spark.conf.get("spark.stowage.pseudonymKey", "stowage example key").encode()
 
 
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers, dates and addresses permuted within their format."""
-    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
