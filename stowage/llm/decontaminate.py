@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from stowage.llm import common as C
 
-#: Tokens per block of the index; free positions between documents; windows searched in one pass over the index.
-BLOCK_TOKENS, GAP, WINDOWS_AT_ONCE = 400_000, 64, 200_000
+#: Tokens per block of the index; free positions between documents; windows searched in one pass over the index; distinct words of a
+#: benchmark up to which they are sent to the tasks, so that the index holds no others (8 bytes each; beyond, it holds all words).
+BLOCK_TOKENS, GAP, WINDOWS_AT_ONCE, MOST_TERMS = 400_000, 64, 200_000, 2_000_000
 #: The slot of rows that hold a term's positions; other rows are documents and have no term (0).
 _LIST = -1
 _INDEX = "block long, slot int, doc long, base long, n_words long, term long, deltas array<int>"
@@ -43,38 +44,40 @@ def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
     return items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item string, terms array<long>").distinct()
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: per block its documents (base = position of the first word) and one row per term with its positions.
 
-    terms: sorted distinct term hashes to index. Null and wordless texts are documents of no words.
+    terms: sorted distinct term hashes to index; None: every word. Null and wordless texts are documents of no words.
     """
+    wanted = terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.zeros(1 << 16, bool)
-        low[terms & 0xFFFF] = True
+        if wanted is not None:
+            low[wanted & 0xFFFF] = True
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
-            for lo, hi in C.by_bytes(texts, BLOCK_TOKENS * 6):
-                words, at = C.word_hashes(texts[lo:hi], C.ALNUM_WORDS)
-                words, n = words.view(np.int64), np.diff(at)
-                base = at[:-1] + GAP * np.arange(hi - lo)
-                rows = [pa.array(c) for c in (np.full(hi - lo, block), np.arange(hi - lo, dtype=np.int32))]
-                rows += [pa.array(ids[lo:hi], pa.int64()), pa.array(base), pa.array(n.astype(np.int64)), pa.array(np.zeros(hi - lo, np.int64)), pa.nulls(hi - lo, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(rows, schema=_FIELDS)
-                where = np.flatnonzero(low[words & 0xFFFF])
-                found = np.searchsorted(terms, words[where])
-                good = terms[np.minimum(found, len(terms) - 1)] == words[where]
-                where, found = where[good], found[good]
-                order = np.argsort(found, kind="stable")
-                found, place = found[order], (where + np.repeat(GAP * np.arange(hi - lo), n)[where])[order]
-                cut = np.flatnonzero(np.diff(found, prepend=-1))
-                deltas = np.diff(place, prepend=0)
-                deltas[cut] = place[cut]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(found)).astype(np.int32)), pa.array(deltas.astype(np.int32)))
-                none = pa.nulls(len(cut), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(np.full(len(cut), _LIST, np.int32)), none, none, none, pa.array(terms[found[cut]]), lists], schema=_FIELDS)
-                block += 1
+        for batch in C.parts(batches, BLOCK_TOKENS * 6):
+            ids, texts = batch.column("doc"), batch.column("text").to_pylist()
+            count = len(texts)
+            words, at = C.word_hashes(texts, C.ALNUM_WORDS)
+            words, n = words.view(np.int64), np.diff(at)
+            base = at[:-1] + GAP * np.arange(count)
+            rows = [pa.array(c) for c in (np.full(count, block), np.arange(count, dtype=np.int32))]
+            rows += [ids, pa.array(base), pa.array(n.astype(np.int64)), pa.array(np.zeros(count, np.int64)), pa.nulls(count, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(rows, schema=_FIELDS)
+            terms, where = (np.unique(words), np.arange(len(words))) if wanted is None else (wanted, np.flatnonzero(low[words & 0xFFFF]))
+            found = np.searchsorted(terms, words[where])
+            good = terms[np.minimum(found, len(terms) - 1)] == words[where] if len(terms) else np.zeros(len(where), bool)
+            where, found = where[good], found[good]
+            order = np.argsort(found, kind="stable")
+            found, place = found[order], (where + np.repeat(GAP * np.arange(count), n)[where])[order]
+            cut = np.flatnonzero(np.diff(found, prepend=-1))
+            deltas = np.diff(place, prepend=0)
+            deltas[cut] = place[cut]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(found)).astype(np.int32)), pa.array(deltas.astype(np.int32)))
+            none = pa.nulls(len(cut), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(np.full(len(cut), _LIST, np.int32)), none, none, none, pa.array(terms[found[cut]]), lists], schema=_FIELDS)
+            block += 1
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return C.stored(docs.mapInArrow(run, _INDEX), "postings")
@@ -183,10 +186,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     """
     windows = C.stored(item_windows(items.where(F.col("item_id").isNotNull()), width), "windows")
     terms = windows.select(F.explode("terms").alias("term")).distinct()
-    most = 20_000_000
-    if terms.count() > most:
-        raise ValueError(f"the benchmark has over {most} distinct words; split it by item")
-    index = build_index(docs, np.sort(np.array([r.term for r in terms.collect()] or [0], np.int64)), id_col, text_col)
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    index = build_index(docs, np.sort(np.array([r.term for r in terms.collect()] or [0], np.int64)) if few else None, id_col, text_col)
     ends = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "length"))),
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end")),

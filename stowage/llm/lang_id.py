@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: n-grams in a profile; distinct n-grams a task gathers before it passes its counts on; languages a model may hold.
-PROFILE, FLUSH, MOST_LANGUAGES = 400, 300_000, 1000
+from stowage.llm import common as C
+
+#: n-grams in a profile; distinct n-grams a task gathers before it passes its counts on; languages that are sent to the tasks at once.
+PROFILE, FLUSH, LANGUAGES_AT_ONCE = 400, 300_000, 1000
 _LETTER = np.array([chr(i).isalpha() and not 0xD800 <= i < 0xE000 for i in range(0x10000)])
 _BITS = np.int64(21)
 
@@ -53,7 +55,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     waiting = 0
-    for batch in batches:
+    for batch in C.parts(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             held[lang].append(grams(text))
             waiting += len(held[lang][-1][0])
@@ -69,7 +71,7 @@ def profiles(labelled: DataFrame, k: int = PROFILE) -> DataFrame:
     """Rows (lang, gram, rank from 0): the k most frequent n-grams of each language, counted over all the given rows (lang, text)."""
     total = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return total.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("lang", "gram", "rank")
+    return total.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Model:
@@ -82,6 +84,7 @@ class Model:
             self.rank[np.searchsorted(self.codes, r.gram), place[r.lang]] = r.rank
 
     def predict(self, text: str | None, k: int) -> tuple[str, float]:
+        """(language, score); `und` and 0 for a text without a letter or a model without languages."""
         own = top(*grams(text), k)
         if not len(own) or not self.langs:
             return "und", 0.0
@@ -100,14 +103,25 @@ def predict(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     largest possible out-of-place distance; equal distances go to the first language by name. Rows of train without text or lang are
     passed over, repeated rows count each time. Extra columns are ignored.
     """
-    rows = profiles(train, k).limit(k * MOST_LANGUAGES + 1).collect()
-    if len(rows) > k * MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} values of lang")
-    model = docs.sparkSession.sparkContext.broadcast(Model(rows))
+    known = C.stored(profiles(train, k), "profiles")
+    langs = C.stored(known.select("lang").distinct().withColumn("set", F.floor((F.row_number().over(Window.orderBy("lang")) - 1) / LANGUAGES_AT_ONCE)), "languages")  # one row a language
+    sets = (langs.agg(F.max("set")).first()[0] or 0) + 1
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.col(text_col).cast("string").alias("text"))
+    for s in range(sets):
+        rows = known.join(langs.where(F.col("set") == s), "lang").select("lang", "gram", "rank").collect()
+        out = out.mapInArrow(_better(docs.sparkSession.sparkContext.broadcast(Model(rows)), k), "doc_id long, lang_pred string, score double, text string")
+    return out.drop("text")
+
+
+def _better(model, k: int):
+    """The rows with the model's language where its score is higher than what they have; equal scores keep the language that they have,
+    the first by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.parts(batches):
+            had = zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist(), strict=True)
             found = [model.value.predict(t, k) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            best = [f if h[0] == "und" or f[1] > h[1] else h for h, f in zip(had, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in best], pa.string()), pa.array([f[1] for f in best], pa.float64()), batch.column("text")], names=["doc_id", "lang_pred", "score", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return run
