@@ -46,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return pseudonyms(docs, Q.PSEUDONYM_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pseudonyms(docs, Q.pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
