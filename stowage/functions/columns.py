@@ -114,9 +114,12 @@ PASSES = 8
 
 
 def similar_key(stem: Column) -> Column:
-    """The stem without copy suffixes, lower-case: repeated passes, each strips one suffix; an empty result falls back to the stem."""
+    """The stem without copy suffixes, lower-case: passes that each strip one suffix, until nothing changes; an empty result falls back
+    to the stem. PASSES passes do for all but stems with more suffixes, which get as many as their length allows."""
     once = lambda s: F.regexp_replace(F.regexp_replace(s, "(?iU)" + R.COPY_SUFFIX, ""), "(?U)" + _BLANKS, "")
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), F.regexp_replace(stem, "(?U)" + _BLANKS, ""), lambda s, _: once(s))
+    passes = lambda s, n: F.aggregate(F.sequence(F.lit(1), n), s, lambda s, _: once(s))
+    done = passes(F.regexp_replace(stem, "(?U)" + _BLANKS, ""), F.lit(PASSES))
+    done = F.when(once(done) == done, done).otherwise(passes(done, F.greatest(F.lit(1), F.length(done))))
     return F.lower(F.when(done == "", stem).otherwise(done))
 
 
@@ -178,10 +181,14 @@ def unit(v: Column) -> Column:
 def folder_tag(name="name") -> Column:
     low = F.lower(c(name))
     found = lambda words: cases([(low.contains(w), F.lit(True)) for w in words.split()], F.lit(False))
-    keyword = [((low.startswith(".") | found(w)) if tag == "system" else found(w), F.lit(tag)) for tag, w in R.FOLDER_KEYWORDS]
+    keyword = [(low.startswith(".") | low.isin(R.FOLDER_SYSTEM), F.lit("system")), *((found(w), F.lit(tag)) for tag, w in R.FOLDER_KEYWORDS)]
     return F.coalesce(lit_map(R.FOLDER_EXACT)[low], cases(keyword, F.lit("personal")))
 
 
+def folder_note(tag="tag") -> Column:
+    return lit_map(R.FOLDER_NOTES)[c(tag)]
+
+
 def human_size(kb="kb") -> Column:
     k = c(kb)
     return cases([(k >= 1024**2, F.format_string("%.2f GB", k / 1024.0**2)), (k >= 1024, F.format_string("%.1f MB", k / 1024.0))], F.format_string("%d KB", k.cast("long")))

@@ -14,7 +14,7 @@ CATEGORIES = {
 }
 TOP_BUCKETS = ["Images", "Videos", "Audio", "Documents", "Archives", "Installers", "Code", "Other"]
 # What counts as a picture or a film to look at.
-IMAGE_EXTS = "jpg jpeg png webp bmp heic heif tiff tif gif".split()
+IMAGE_EXTS = "jpg jpeg png webp bmp heic heif tif tiff gif".split()
 VIDEO_EXTS = CATEGORIES["Videos"].split()
 # Leading bytes of file types, in the order they are tried.
 MAGIC = [
@@ -39,11 +39,16 @@ PHOTO_FOLDERS = {
 PHOTO_BLUR, PHOTO_DUP, PHOTO_SIMILAR, PHOTO_BEST, FACE_CLUSTER, FACE_NAME = 50.0, 8, 16, 0.72, 0.363, 0.40
 SCREENSHOT_MARKS = ["screenshot", "screen shot", "screencap", "screen_shot", "screen recording"]
 SESSION_NAMES = ["Getting Ready", "Nishchayam (Engagement)", "Muhurtham (Ceremony)", "Thalikettu / Ring Exchange", "Sadhya (Feast)", "Group Photos", "Nalangu", "Reception", "Sendoff"]
-# Folder tags, first by exact name, then by the first keyword found.
+# Folder tags, first by exact name, then hidden folders and those of exactly a system name, then by the first keyword found.
 FOLDER_EXACT = {"android": "system", "miui": "system", "ringtones": "system", ".config": "system", "whatsapp_media": "extracted", "telegram_media": "extracted", "documents": "documents", "subtitles": "documents"}
+FOLDER_SYSTEM = "android miui ringtones notifications alarms".split()
 FOLDER_KEYWORDS = [
-    ("system", "android miui ringtones notifications alarms"), ("extracted", "whatsapp telegram"), ("reclaim", "download large 1gb backup"),
+    ("extracted", "whatsapp telegram"), ("reclaim", "download large 1gb backup"),
     ("media", "dcim picture image movie video photo insta camera"), ("documents", "document subtitle preset pdf"),
 ]
+FOLDER_NOTES = {
+    "system": "System / app-critical — not modified", "extracted": "Extracted from app storage", "documents": "Documents",
+    "reclaim": "Large — back up then delete to reclaim space", "media": "Organised media library", "personal": "Personal / misc",
+}
 RECLAIM_BYTES, RECLAIM_DAYS = 20 * 1024**2, 180
 EXT_CATEGORY = {ext: category for category, exts in CATEGORIES.items() for ext in exts.split()}

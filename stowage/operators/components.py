@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one is set only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir, or the one set on the context. Where there is neither, a session on one machine
+    gets a folder of its own; on a cluster that is an error, as executors don't share local folders."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(shared)
         return shared
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stowage-"))
     return spark.sparkContext.getCheckpointDir()
 

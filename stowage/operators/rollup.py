@@ -46,7 +46,27 @@ def share_of_parent(folders: DataFrame) -> DataFrame:
 
 
 def tagged(folders: DataFrame) -> DataFrame:
-    return folders.select("folder", "level", "kb", K.folder_tag().alias("tag"))
+    tag = K.folder_tag()
+    return folders.select("folder", "level", "kb", tag.alias("tag"), K.folder_note(tag).alias("note"))
+
+
+def of_tag(folders: DataFrame, tag: str) -> DataFrame:
+    """The folders whose top folder has the tag; all of them for 'all'."""
+    return folders if tag == "all" else folders.where(K.folder_tag(F.split("folder", "/")[0]) == tag)
+
+
+def report(folders: DataFrame) -> DataFrame:
+    """One row per top folder, largest first: name, kb, files, subs, cat, note, children (two levels of folders nested by kb). To be
+    written as JSON or Parquet beside root_meta and level_counts."""
+    node = F.struct("name", "kb", "files", "subs")
+    third = folders.where("level = 3").groupBy("parent").agg(F.array_sort(F.collect_list(F.struct((-F.col("kb")).alias("order"), node.alias("node")))).alias("c"))
+    second = folders.where("level = 2").join(third.withColumnRenamed("parent", "folder"), "folder", "left")
+    below = F.transform(F.coalesce("c", F.array().cast(third.schema["c"].dataType)), lambda x: x["node"])
+    second = second.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct((-F.col("kb")).alias("order"), F.struct("name", "kb", "files", "subs", below.alias("children")).alias("node")))).alias("d"))
+    top = folders.where("level = 1").join(second.withColumnRenamed("parent", "folder"), "folder", "left")
+    children = F.transform(F.coalesce("d", F.array().cast(second.schema["d"].dataType)), lambda x: x["node"])
+    tag = K.folder_tag()
+    return top.select("name", "kb", "files", "subs", tag.alias("cat"), K.folder_note(tag).alias("note"), children.alias("children")).orderBy(F.desc("kb"), "name")
 
 
 def reclaimable_by_tag(folders: DataFrame) -> DataFrame:
@@ -85,10 +105,12 @@ def sessions(captures: DataFrame, minutes: int = 40, by: str = "album", name_ord
     t = F.unix_timestamp("taken_at")
     rows = captures.withColumn("fresh", (F.coalesce(t - F.lag(t).over(w), F.lit(0)) > gap).cast("int"))
     rows = rows.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("taken_at", "walk_seq", "rel_path")))
-    out = rows.groupBy(by, "session").agg(F.count("*").alias("n"), F.min("taken_at").alias("start_at"), F.max("taken_at").alias("end_at"), ordered.alias("m"))
+    own = Window.partitionBy(by, "session")
+    rows = rows.withColumns({"k": F.row_number().over(own.orderBy("taken_at", "walk_seq")), "all": F.count("*").over(own)})
+    middle = F.max(F.when(F.col("k") == F.floor(F.col("all") / 2) + 1, F.col("rel_path")))
+    out = rows.groupBy(by, "session").agg(F.count("*").alias("n"), F.min("taken_at").alias("start_at"), F.max("taken_at").alias("end_at"), middle.alias("rep"))
     names = F.coalesce(F.get(F.array(*map(F.lit, R.SESSION_NAMES)), F.col("session").cast("int")), F.concat(F.lit("Session "), (F.col("session") + 1).cast("string")))
-    cols = [by, "session", "n", "start_at", "end_at", F.element_at("m", F.floor(F.col("n") / 2).cast("int") + 1)["rel_path"].alias("rep")]
+    cols = [by, "session", "n", "start_at", "end_at", "rep"]
     return out.select(*cols, *([names.alias("suggested")] if name_ordinals else []))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,26 +12,40 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.functions import rules as R
 from stowage.operators.components import connected_components, use_checkpoint_dir
+from stowage.plans import planners as P
+
+
+def _bands(d: int) -> tuple[list[tuple[int, int]], int]:
+    """((shift, bits) of some bands of 64 bits, r): two hashes within d bits differ in at most r bits on one of the bands.
+
+    Fewer bands are wider and bring fewer chance meetings, but more variants of each hash: r = 1 up to 8 bits, 2 above.
+    """
+    r = 0 if d < 2 else 1 if d <= 8 else 2
+    n = d // (r + 1) + 1
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], r
 
 
-def _bands(d: int) -> list[tuple[int, int]]:
-    """(shift, bits) of d + 1 bands of 64 bits: two hashes within d bits agree on one of them."""
-    cuts = [64 * i // (d + 1) for i in range(d + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _variants(bands: list[tuple[int, int]], r: int) -> list[list[int]]:
+    """For each band the masks that flip up to r of its bits."""
+    return [[sum(1 << i for i in flips) for k in range(r + 1) for flips in combinations(range(n), k)] for _, n in bands]
 
 
 def hamming_pairs(rows: DataFrame, d: int = R.PHOTO_DUP, block: str | None = None) -> DataFrame:
     """Pairs a < b of ids (walk_seq) whose hashes differ in at most d bits; null hashes pair with nothing.
 
-    Distinct hashes are paired by equal bands, so blank pictures that share a hash don't meet each other in a band; the ids of equal
-    and near hashes are joined in afterwards. With block, only pairs of the same block.
+    Distinct hashes are paired by equal bands, one side with all variants of its bands, so blank pictures that share a hash don't meet
+    each other in a band; the ids of equal and near hashes are joined in afterwards. With block, only pairs of the same block.
     """
     key = [F.col(block).alias("block")] if block else [F.lit(0).alias("block")]
     ids = rows.where("phash is not null").select("walk_seq", "phash", *key)
     distinct = ids.select("phash", "block").distinct()
-    band = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("phash", s).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (s, n) in enumerate(_bands(d))))
-    banded = distinct.withColumn("band", F.explode(band))
-    near = banded.select("block", "band", F.col("phash").alias("pa")).join(banded.select("block", "band", F.col("phash").alias("pb")), ["block", "band"])
+    bands, r = _bands(d)
+    value = [F.shiftrightunsigned("phash", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in bands]
+    plain = F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(value)))
+    of_band = lambda i: lambda m: F.struct(F.lit(i).alias("i"), value[i].bitwiseXOR(m).alias("v"))
+    varied = F.flatten(F.array(*(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), of_band(i)) for i, masks in enumerate(_variants(bands, r)))))
+    near = distinct.select("block", F.explode(varied).alias("band"), F.col("phash").alias("pa")).join(distinct.select("block", F.explode(plain).alias("band"), F.col("phash").alias("pb")), ["block", "band"])
     near = near.where((F.col("pa") < F.col("pb")) & (K.hamming(F.col("pa"), F.col("pb")) <= d)).select("block", "pa", "pb").distinct()
     near = near.union(distinct.select("block", "phash", "phash"))
     left, right = ids.select("block", F.col("phash").alias("pa"), F.col("walk_seq").alias("x")), ids.select("block", F.col("phash").alias("pb"), F.col("walk_seq").alias("y"))
@@ -57,24 +73,28 @@ def near_duplicate_sizes(groups: DataFrame, files: DataFrame) -> DataFrame:
 def leader_groups(rows: DataFrame, d: int) -> DataFrame:
     """walk_seq, leader: in order of id, each row joins the first leader within d bits or becomes one.
 
+    Rows of an equal hash follow the first of them, so only that one takes part in the rounds.
+
     The leaders are the lexicographically first independent set of the pair graph: a row is a leader once no undecided smaller
     neighbour is left and none is a leader. Each round decides every row that its smaller neighbours allow.
     """
     use_checkpoint_dir(rows.sparkSession)
-    pairs = hamming_pairs(rows, d).select("a", "b").checkpoint()
-    state = rows.where("phash is not null").select(F.col("walk_seq").alias("id"), F.lit(None).cast("boolean").alias("leader")).checkpoint()
+    firsts = rows.where("phash is not null").groupBy("phash").agg(F.min("walk_seq").alias("walk_seq"))
+    pairs = hamming_pairs(firsts, d).select("a", "b").checkpoint()
+    state = firsts.select(F.col("walk_seq").alias("id"), F.lit(None).cast("boolean").alias("leader")).checkpoint()
     while not state.where("leader is null").isEmpty():
         below = pairs.join(state.select(F.col("id").alias("a"), "leader"), "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.max("leader"), F.lit(False)).alias("led"), F.count_if(F.col("leader").isNull()).alias("open"))
         state = state.join(below, "id", "left").select("id", F.coalesce("leader", F.when(F.col("led"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))).alias("leader")).checkpoint()
     first = pairs.join(state.where("leader").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("of"))
-    return state.join(first, "id", "left").select(F.col("id").alias("walk_seq"), F.when(F.col("leader"), F.col("id")).otherwise(F.col("of")).alias("leader"))
+    led = state.join(first, "id", "left").select(F.col("id").alias("walk_seq"), F.when(F.col("leader"), F.col("id")).otherwise(F.col("of")).alias("leader"))
+    return rows.select("walk_seq", "phash").join(firsts.join(led, "walk_seq").select("phash", "leader"), "phash").select("walk_seq", "leader")
 
 
 def leader_duplicates(rows: DataFrame, d: int = R.PHOTO_DUP) -> DataFrame:
     """walk_seq, leader, is_dup: of each leader's group all but the best (focus * max(1, pixels), first on ties) are duplicates."""
     groups = leader_groups(rows, d).join(rows.select("walk_seq", (F.col("focus") * F.greatest(F.lit(1), F.col("pixels"))).alias("worth")), "walk_seq")
-    best = Window.partitionBy("leader").orderBy(F.desc("worth"), "walk_seq")
-    return groups.withColumn("is_dup", F.row_number().over(best) > 1).select("walk_seq", "leader", "is_dup")
+    best = groups.groupBy("leader").agg(F.min_by("walk_seq", F.struct(-F.col("worth"), "walk_seq")).alias("best"))
+    return groups.join(best, "leader").select("walk_seq", "leader", (F.col("walk_seq") != F.col("best")).alias("is_dup"))
 
 
 def duplicate_and_similar(rows: DataFrame) -> DataFrame:
@@ -140,12 +160,41 @@ def photo_flags(metrics: DataFrame, blur: float = R.PHOTO_BLUR, best: float = R.
     return rows.withColumns({"is_screenshot": shot, "is_document": document, "is_blurry": F.col("focus") < blur, "is_best": F.col("quality") >= best})
 
 
-def photo_categories(metrics: DataFrame, groups: DataFrame | None = None, enabled: set[str] | None = None) -> DataFrame:
-    """walk_seq, quality, category of pictures with metrics; groups: walk_seq, is_dup, is_similar."""
+def photo_categories(metrics: DataFrame, groups: DataFrame | None = None, enabled: set[str] | None = None, detail: bool = False) -> DataFrame:
+    """walk_seq, quality, category of pictures with metrics; groups: walk_seq, is_dup, is_similar. detail: with the flags as well."""
     rows = photo_flags(metrics)
-    rows = rows.join(groups, "walk_seq", "left") if groups is not None else rows.withColumns({"is_dup": F.lit(False), "is_similar": F.lit(False)})
+    rows = rows.join(groups, "walk_seq", "left") if groups is not None else rows
+    rows = rows.withColumns({c: F.lit(False) for c in ("is_dup", "is_similar") if c not in rows.columns})
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_dup", "is_similar")})
-    return rows.select("walk_seq", "quality", photo_category(enabled).alias("category"))
+    flags = ["focus", "faces", "is_blurry", "is_dup", "is_similar", "is_screenshot", "is_document"] if detail else []
+    return rows.select("walk_seq", "quality", *flags, photo_category(enabled).alias("category"))
+
+
+def photo_plan(files: DataFrame, metrics: DataFrame, enabled: set[str] | None = None, limit: int | None = None, policy=K.SafetyPolicy(), recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(plan, items) of an inventory and its picture metrics (walk_seq, phash, focus, faces, ...; unreadable pictures have none).
+
+    Pictures that aren't filed yet get flags, duplicate and similar marks if those buckets are on, and a category; films go straight to
+    their folder if that bucket is on. limit: the first so many pictures by walk_seq. Items have a row for each, also without category.
+    """
+    on = lambda k: enabled is None or k in enabled
+    there = P.eligible(files, policy, recursive).where(P.first_segment_not_in(list(R.PHOTO_FOLDERS.values())))
+    pictures = there.where(K.is_image())
+    pictures = pictures.orderBy("walk_seq").limit(limit) if limit else pictures
+    pictures = pictures.select("walk_seq", "rel_path", "name", "size")
+    rows = metrics.drop("name").join(pictures.select("walk_seq", "name"), "walk_seq")
+    marks = None
+    if on("duplicate"):
+        marks = leader_duplicates(rows, R.PHOTO_DUP).select("walk_seq", "is_dup")
+    if on("similar"):
+        left = rows if marks is None else rows.join(marks.where("is_dup").select("walk_seq"), "walk_seq", "left_anti")
+        similar = leader_duplicates(left, R.PHOTO_SIMILAR).select("walk_seq", F.col("is_dup").alias("is_similar"))
+        marks = similar.withColumn("is_dup", F.lit(False)) if marks is None else marks.join(similar, "walk_seq", "left")
+    found = photo_categories(rows, marks, enabled, detail=True)
+    items = pictures.join(found, "walk_seq", "left").withColumn("video", F.lit(False))
+    if on("video"):
+        films = there.where(K.is_video()).select("walk_seq", "rel_path", "name", "size", F.lit(R.PHOTO_FOLDERS["video"]).alias("category"), F.lit(True).alias("video"))
+        items = items.unionByName(films, allowMissingColumns=True)
+    return P.moves(items.where("category is not null"), F.col("category"), F.col("category")), items
 
 
 def cached(files: DataFrame, cache: DataFrame, keys: tuple = ("rel_path", "size", "mtime_epoch", "sig")) -> tuple[DataFrame, DataFrame]:

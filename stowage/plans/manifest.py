@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.operators.components import use_checkpoint_dir
 
-MOST_ROUNDS, KEEP = 12, 20
+KEEP = 20
 
 
 def _cluster(path: Column) -> tuple[Column, Column, Column]:
@@ -21,32 +21,36 @@ def _cluster(path: Column) -> tuple[Column, Column, Column]:
     return K.folder_of(path), F.regexp_replace(K.stem_of(name), r"(_\d+)+$", ""), K.ext_of(name)
 
 
-def _free_name(path: str, taken: dict) -> str:
+def _free_name(path: str, taken: dict, known: dict) -> str:
+    """The least free name base_i; known: up to which i a path's names are taken, as long as none of them is given up."""
     folder, slash, name = path.rpartition("/")
     dot = name.rfind(".")
     base, ext = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
-    i = 1
+    i = known.get(path, 1)
     while f"{folder}{slash}{base}_{i}{ext}" in taken:
         i += 1
+    known[path] = i
     return f"{folder}{slash}{base}_{i}{ext}"
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
     """Replays one name cluster in order. A row is a file that is there (op_seq -1), a leaving (gone) or an arrival."""
     there: dict = {}
+    known: dict = {}
     out = []
     for r in pdf.sort_values(["op_seq", "gone"], ascending=[True, False]).itertuples():
         if r.op_seq < 0:
             there[r.path] = (r.size, r.sha1)
         elif r.gone:
             there.pop(r.path, None)
+            known.clear()
         else:
             final, outcome = r.path, "moved"
             if r.path in there:
                 if there[r.path] == (r.size, r.sha1) and r.sha1 is not None:
                     outcome = "merged"
                 else:
-                    final = _free_name(r.path, there)
+                    final = _free_name(r.path, there, known)
             if outcome == "moved":
                 there[final] = (r.size, r.sha1)
             out.append((r.op_seq, final, outcome))
@@ -58,7 +62,7 @@ def apply(files: DataFrame, ops: DataFrame, copy: bool = False) -> tuple[DataFra
 
     In op order: an occupied target of the same bytes is merged (the source stays), of other bytes gives the mover the least free _i.
     A missing source is logged as such. Only name clusters with a clash go through Python; they are replayed until no outcome changes,
-    as a merged source that stays can block a name elsewhere.
+    as a merged source that stays can block a name elsewhere. That ends, since an outcome hangs on earlier ops alone.
     """
     use_checkpoint_dir(files.sparkSession)
     wanted = ops.where("kind = 'move' and src <> dst").select("op_seq", "src", "dst")
@@ -71,7 +75,7 @@ def apply(files: DataFrame, ops: DataFrame, copy: bool = False) -> tuple[DataFra
     hard = crowd.where("n > paths or old = 1").select("k")
     easy = arrive.join(hard, "k", "left_anti").select("op_seq", F.col("path").alias("final"), F.lit("moved").alias("outcome"))
     stays = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         leave = live if stays is None else live.join(stays, "op_seq", "left_anti")
         leave = leave.select(key("src").alias("k"), "op_seq", F.lit(True).alias("gone"), F.col("src").alias("path"), "size", "sha1")
         rows = arrive.union(now) if copy else arrive.union(now).union(leave)
@@ -108,19 +112,45 @@ def top_folder(path: str = "dst") -> Column:
 
 
 def undo(manifest: DataFrame, journal: DataFrame, only_folders: list[str] | None = None) -> DataFrame:
-    """The manifest before the journal: moves go back where their target is there and their source free, copies are dropped.
+    """The manifest before the journal: moves go back where their target is there and their source free, copies are dropped. Of a
+    compress record (src: the original, dst: what was written, backup: where the original went) what was written goes and the backup
+    takes the original's place again.
 
     only_folders: just the records whose target's top folder is one of these; the rest stays done.
     """
     rows = journal.where("outcome = 'moved'")
     rows = rows.where(top_folder().isin(only_folders)) if only_folders is not None else rows
-    copies = rows.where("op = 'copy'").select(F.col("dst").alias("rel_path"))
-    return _back(manifest.join(copies, "rel_path", "left_anti").select(manifest.columns), rows.where("op = 'move'").select(F.col("dst").alias("frm"), F.col("src").alias("to")))
+    gone = rows.where("op = 'copy'").select(F.col("dst").alias("rel_path"))
+    back = rows.where("op = 'move'").select(F.col("dst").alias("frm"), F.col("src").alias("to"))
+    if "backup" in journal.columns:
+        squeezed = rows.where("op = 'compress'")
+        gone = gone.union(squeezed.where("dst <> backup").select("dst"))
+        back = back.union(squeezed.select(F.col("backup").alias("frm"), F.col("src").alias("to")))
+    return _back(manifest.join(gone.distinct(), "rel_path", "left_anti").select(manifest.columns), back)
+
+
+def undo_folders(dirs: DataFrame, manifest: DataFrame, journal: DataFrame) -> DataFrame:
+    """The folders (rel_path) left when those that the journal made (op mkdir, folder in dst) and that are empty now are taken away."""
+    above = lambda rows: rows.select(F.explode(_prefixes(F.col("rel_path"))).alias("rel_path")).distinct()
+    made = journal.where("op = 'mkdir'").select(F.col("dst").alias("rel_path")).distinct()
+    kept = dirs.join(made, "rel_path", "left_anti").select("rel_path")
+    used = above(manifest).union(above(kept)).distinct()
+    return dirs.join(made.join(used, "rel_path", "left_anti"), "rel_path", "left_anti").select(dirs.columns)
+
+
+def _prefixes(path: Column) -> Column:
+    """The folders above a path, from the top."""
+    segs = F.split(path, "/")
+    return F.when(F.size(segs) > 1, F.transform(F.sequence(F.lit(1), F.size(segs) - 1), lambda i: F.array_join(F.slice(segs, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
 def redo(manifest: DataFrame, journal: DataFrame) -> DataFrame:
-    rows = journal.where("outcome = 'moved'").select(F.col("src").alias("frm"), F.col("dst").alias("to"))
-    return _back(manifest, rows)
+    """The manifest with the journal done again: moves and copies whose source is there and whose target is free."""
+    rows = journal.where("outcome = 'moved'")
+    copies = rows.where("op = 'copy'").select(F.col("src").alias("rel_path"), F.col("dst").alias("to"))
+    copies = copies.join(manifest.select(F.col("rel_path").alias("to")), "to", "left_anti")
+    new = manifest.join(copies, "rel_path").withColumns({"rel_path": F.col("to"), "name": F.element_at(F.split("to", "/"), -1)}).select(manifest.columns)
+    return _back(manifest, rows.where("op = 'move'").select(F.col("src").alias("frm"), F.col("dst").alias("to"))).union(new)
 
 
 def restore_originals(manifest: DataFrame, backup: str) -> DataFrame:
@@ -134,17 +164,38 @@ def restore_originals(manifest: DataFrame, backup: str) -> DataFrame:
 
 
 def history_append(history: DataFrame | None, journal: DataFrame, root: str, entry_id: str, ts: Column, label: str) -> DataFrame:
-    """History rows (root, entry_id, ts, label, op_seq, op, src, dst): entries without a move aren't added, the last KEEP per root stay."""
+    """History rows (root, entry_id, ts, label, op_seq, op, src, dst): entries without a move aren't added, the last KEEP per root stay.
+
+    The rows are checkpointed, so that the plan doesn't grow from entry to entry.
+    """
+    use_checkpoint_dir(journal.sparkSession)
     fresh = journal.where("outcome = 'moved'").select(F.lit(root).alias("root"), F.lit(entry_id).alias("entry_id"), ts.alias("ts"), F.lit(label).alias("label"), "op_seq", "op", "src", "dst")
-    rows = fresh if history is None else history.unionByName(fresh)
+    rows = (fresh if history is None else history.unionByName(fresh)).checkpoint()
     entries = rows.select("root", "entry_id", "ts").distinct().withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("ts"), F.desc("entry_id"))))
     return rows.join(entries.where(F.col("r") <= KEEP).select("root", "entry_id"), ["root", "entry_id"], "left_semi")
 
 
-def history_list(history: DataFrame) -> DataFrame:
-    newest = Window.partitionBy("root")
-    rows = history.groupBy("root", "entry_id", "ts", "label").agg(F.count("*").alias("moves"))
-    return rows.withColumn("undoable", F.col("ts") == F.max("ts").over(newest))
+def history_undone(history: DataFrame, undone: DataFrame | None, root: str, entry_id: str) -> tuple[DataFrame, DataFrame]:
+    """(history without an entry that was undone, undone rows with it on top): pos orders what may be redone, the last first. A new
+    operation of the root ends redoing: then drop the root's undone rows."""
+    use_checkpoint_dir(history.sparkSession)
+    here = (F.col("root") == root) & (F.col("entry_id") == entry_id)
+    pos = F.lit(0) if undone is None else F.lit(undone.where(F.col("root") == root).agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0])
+    moved = history.where(here).withColumn("pos", pos.cast("long"))
+    return history.where(~here).checkpoint(), (moved if undone is None else undone.unionByName(moved)).checkpoint()
+
+
+def history_list(history: DataFrame, undone: DataFrame | None = None) -> DataFrame:
+    """root, entry_id, ts, label, moves, undoable (the root's newest entry), redoable (of undone entries the one undone last)."""
+    entry = ["root", "entry_id", "ts", "label"]
+    rows = history.groupBy(entry).agg(F.count("*").alias("moves"), F.lit(None).cast("long").alias("pos"))
+    newest = rows.groupBy("root").agg(F.max(F.struct("ts", "entry_id")).alias("top"))
+    rows = rows.join(newest, "root").withColumn("undoable", F.struct("ts", "entry_id") == F.col("top")).select(*entry, "moves", "undoable", F.lit(False).alias("redoable"))
+    if undone is None:
+        return rows
+    back = undone.groupBy(entry).agg(F.count("*").alias("moves"), F.max("pos").alias("pos"))
+    last = back.groupBy("root").agg(F.max("pos").alias("last"))
+    return rows.union(back.join(last, "root").select(*entry, "moves", F.lit(False), F.col("pos") == F.col("last")))
 
 
 def history_folders(history: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.functions import rules as R
 from stowage.operators.components import use_checkpoint_dir
+from stowage.plans import manifest as M
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -59,12 +60,26 @@ def by_date(files: DataFrame, by: str = "month", exif: DataFrame | None = None,
     return moves(rows.where(~there), F.col("sub"), F.col("sub"))
 
 
+def with_folders(plan: DataFrame, nested: bool = False) -> DataFrame:
+    """The plan and a mkdir for each folder that its moves lead to (nested: and for each folder above it)."""
+    folder = K.folder_of("dst")
+    made = plan.where("kind = 'move'").select((F.explode(F.concat(M._prefixes(folder), F.array(folder))) if nested else folder).alias("src")).where("src <> ''").distinct()
+    cols = {c: F.lit(None).cast(t) for c, t in plan.dtypes if c not in ("kind", "src")}
+    return plan.unionByName(made.withColumns({"kind": F.lit("mkdir"), **cols}).select(plan.columns))
+
+
 def by_location(files: DataFrame, gps: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
     """Images with coordinates (gps: walk_seq, lat, lon) into Places/<rounded place>."""
     rows = eligible(files, policy, recursive).where(K.is_image() & first_segment_not_in(["Places"])).join(gps, "walk_seq").withColumn("place", K.place_key())
     return moves(rows, F.concat(F.lit("Places/"), F.col("place")), F.col("place"))
 
 
+def location_counts(files: DataFrame, gps: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
+    """One row: total (images that get a place) and no_gps (images without coordinates)."""
+    rows = eligible(files, policy, recursive).where(K.is_image() & first_segment_not_in(["Places"])).join(gps.select("walk_seq", F.lit(True).alias("has")), "walk_seq", "left")
+    return rows.agg(F.count("has").alias("total"), F.count_if(F.col("has").isNull()).alias("no_gps"))
+
+
 def flatten(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
     return moves(eligible(files, policy).where(F.size("dir_segs") > 0), F.lit(""), F.lit("flatten"))
 
@@ -96,16 +111,20 @@ def remove_folders(dirs: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
 
 
 def duplicates_ranked(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
-    """Files of equal size and digest with their rank in the group: the shallowest, then shortest path, then first walked is kept.
+    """Files of equal size and digest with their rank: the shallowest, then shortest path, then first walked has 1 and is kept, the others 2.
 
     The size filter comes before the digest, so digests of unique sizes are never needed (nor computed, if the column is lazy).
     """
     rows = eligible(files, policy).where((F.col("size") > 0) & first_segment_not_in([R.DUP_REVIEW]))
-    rows = rows.join(rows.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi")
-    group = Window.partitionBy("size", "sha1")
-    order = group.orderBy("depth", F.length("rel_path"), "walk_seq")
-    rows = rows.where("sha1 is not null").withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(group)})
-    return rows.where("n > 1")
+    rows = rows.join(rows.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi").where("sha1 is not null")
+    return _ranked(rows, ["size", "sha1"], F.struct("depth", F.length("rel_path").alias("length"), "walk_seq"))
+
+
+def _ranked(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """Rows of groups of two or more with n and rank: 1 for the group's first row by an order that ends with walk_seq, else 2. The first
+    rows are found by an aggregate, which combines before the shuffle, so a group of any size is fine."""
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    return rows.join(groups.select(*by, "n", F.col("first.walk_seq").alias("kept")), by).withColumn("rank", F.when(F.col("walk_seq") == F.col("kept"), 1).otherwise(2)).drop("kept")
 
 
 def duplicates(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
@@ -115,26 +134,39 @@ def duplicates(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
 def duplicate_groups(files: DataFrame, top: int = 200, policy=K.SafetyPolicy()) -> DataFrame:
     """The largest groups: size, sha1, n, keep, wasted_kb, members (joined by |)."""
     rows = duplicates_ranked(files, policy)
+    largest = rows.select("size", "sha1").distinct().orderBy(F.desc("size"), "sha1").limit(top)  # member lists only of these
+    rows = rows.join(F.broadcast(largest), ["size", "sha1"], "left_semi")
     out = rows.groupBy("size", "sha1").agg(F.count("*").alias("n"), F.min_by("rel_path", "rank").alias("keep"), (F.floor(F.col("size") / 1024) * (F.count("*") - 1)).cast("long").alias("wasted_kb"), F.array_join(F.array_sort(F.collect_list("rel_path")), "|").alias("members"))
-    return out.orderBy(F.desc("size"), "sha1").limit(top)
+    return out.orderBy(F.desc("size"), "sha1")
 
 
 def similar_names(files: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
     rows = eligible(files, policy, recursive).where(first_segment_not_in([R.SIMILAR_REVIEW])).withColumn("norm", K.similar_key(F.col("stem")))
-    w = Window.partitionBy("norm", "ext")
-    ranked = rows.withColumns({"rank": F.row_number().over(w.orderBy(F.length("name"), "name", "walk_seq")), "n": F.count("*").over(w)})
-    return moves(ranked.where("n > 1 and rank > 1"), F.lit(R.SIMILAR_REVIEW), F.col("norm"))
+    ranked = _ranked(rows, ["norm", "ext"], F.struct(F.length("name").alias("length"), "name", "walk_seq"))
+    return moves(ranked.where("rank > 1"), F.lit(R.SIMILAR_REVIEW), F.col("norm"))
 
 
 def cleanup(files: DataFrame, policy=K.SafetyPolicy(), custom=K.CustomRules()) -> DataFrame:
-    """Junk, then duplicates, then type; a source goes to the first stage that claims it."""
-    stages = [junk(files, policy, custom), duplicates(files, policy), by_type(files, policy, custom)]
-    rows = None
-    for i, plan in enumerate(stages):
-        plan = plan.withColumn("stage", F.lit(i + 1))
-        rows = plan if rows is None else rows.unionByName(plan)
-    first = Window.partitionBy("src").orderBy("stage", "walk_seq")
-    return rows.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    """Junk, then duplicates, then type; a source goes to the first stage that claims it. Paths are taken to be unique."""
+    rows = _claims(files, policy, custom).withColumn("stage", K.cases([(F.col(c), F.lit(i + 1)) for i, c in enumerate(("is_junk", "is_copy", "is_typed"))])).where("stage is not null")
+    folder = F.element_at(F.array(F.lit(R.JUNK_REVIEW), F.lit(R.DUP_REVIEW), F.col("category")), F.col("stage"))
+    reason = F.element_at(F.array(F.col("why"), F.lit("duplicate"), F.col("category")), F.col("stage"))
+    return rows.select(F.lit("move").alias("kind"), F.col("rel_path").alias("src"), F.concat(folder, F.lit("/"), F.col("name")).alias("dst"), reason.alias("reason"), "size", "walk_seq", "stage")
+
+
+def _claims(files: DataFrame, policy, custom) -> DataFrame:
+    """The eligible files with what each stage of cleanup says of them: one pass, and a join with the copies."""
+    rows = eligible(files, policy).withColumns({"why": K.junk_reason(custom=custom), "category": K.category_of("ext", custom)})
+    copies = duplicates_ranked(files, policy).where("rank > 1").select("rel_path", F.lit(True).alias("is_copy"))
+    junk_, typed = F.col("why").isNotNull() & first_segment_not_in([R.JUNK_REVIEW]), first_segment_not_in(R.TOP_BUCKETS)
+    return rows.join(copies, "rel_path", "left").withColumns({"is_junk": junk_, "is_typed": typed, "is_copy": F.coalesce("is_copy", F.lit(False))})
+
+
+def cleanup_folders(files: DataFrame, policy=K.SafetyPolicy(), custom=K.CustomRules()) -> DataFrame:
+    """The mkdirs (kind, src) of cleanup: each stage makes its folders, also for files that an earlier stage has claimed."""
+    each = [("is_junk", F.lit(R.JUNK_REVIEW)), ("is_copy", F.lit(R.DUP_REVIEW)), ("is_typed", F.col("category"))]
+    made = F.array_compact(F.array(*(F.when(F.col(c), folder) for c, folder in each)))
+    return _claims(files, policy, custom).select(F.explode(made).alias("src")).distinct().select(F.lit("mkdir").alias("kind"), "src")
 
 
 def numbered(rows: DataFrame, order: list[Column], start: int) -> DataFrame:
@@ -153,7 +185,8 @@ def rename(files: DataFrame, template: str = "{orig}", start: int = 1, pad: int
     """New names by a template of {orig} {n} {seq} {date} {category} {parent} {ext}, numbered by lower-case name.
 
     Every file of the extension takes a number, also those whose name doesn't change. A name taken earlier in the plan within a folder
-    gets _k. Only folders with such a clash go through Python.
+    gets the least free _k. Names can only clash within a folder, a stem without its last numbers and an extension: where all of such a
+    cluster want one name they are numbered by a window, and only clusters that mix such names go through Python.
     """
     rows = eligible(files, policy, recursive)
     if only_ext:
@@ -165,24 +198,29 @@ def rename(files: DataFrame, template: str = "{orig}", start: int = 1, pad: int
     base = K.safe_name(K.from_template(template, {"orig": F.col("stem"), "n": number, "seq": number, "date": F.coalesce(date, F.lit("")), "category": K.category_of(), "parent": parent, "ext": F.col("ext")}))
     rows = rows.withColumns({"base": base, "tail": F.when(F.col("ext") != "", F.concat(F.lit("."), F.element_at(F.split("name", r"\."), -1))).otherwise("")})
     rows = rows.where(F.lower(F.concat("base", "tail")) != F.lower("name"))
-    key = F.lower(F.concat("base", "tail"))
-    clash = rows.groupBy("dir").agg((F.count("*") > F.count_distinct(key)).alias("clash")).where("clash").select("dir")
-    plain = rows.join(clash, "dir", "left_anti").withColumn("new", F.concat("base", "tail"))
+    rows = rows.withColumn("cluster", F.concat_ws("\0", "dir", F.regexp_replace(F.lower("base"), r"(_\d+)+$", ""), F.lower("tail")))
+    crowd = rows.groupBy("cluster").agg(F.count("*").alias("all"), F.min(F.lower("base")).alias("least"), F.max(F.lower("base")).alias("most"), F.count_distinct(F.lower("base")).alias("names")).where("all > names")
+    rows = rows.join(crowd, "cluster", "left")
     cols = ["rel_path", "dir", "size", "walk_seq", "n", "new"]
+    plain = rows.where("all is null").withColumn("new", F.concat("base", "tail"))
+    same = rows.where("least = most").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("n")) - 1)
+    same = same.withColumn("new", F.concat("base", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), "tail"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, new = set(), []
+        taken, new, next_ = set(), [], {}
         for base_, tail in zip(*(pdf.sort_values("n")[x] for x in ("base", "tail")), strict=True):
-            name, k = base_ + tail, 0
+            name, k = base_ + tail, next_.get(base_.lower(), 0)
             while name.lower() in taken:
                 k += 1
                 name = f"{base_}_{k}{tail}"
+            next_[base_.lower()] = k
             taken.add(name.lower())
             new.append(name)
         return pdf.sort_values("n").assign(new=new)[cols]
 
-    hard = rows.join(clash, "dir", "left_semi").select("rel_path", "dir", "size", "walk_seq", "n", "base", "tail")
-    out = plain.select(cols).unionByName(hard.groupBy("dir").applyInPandas(settle, "rel_path string, dir string, size long, walk_seq long, n long, new string"))
+    mixed = rows.where("least <> most").select("cluster", "rel_path", "dir", "size", "walk_seq", "n", "base", "tail")
+    mixed = mixed.groupBy("cluster").applyInPandas(settle, "rel_path string, dir string, size long, walk_seq long, n long, new string")
+    out = plain.select(cols).unionByName(same.select(cols)).unionByName(mixed)
     dst = F.when(F.col("dir") == "", F.col("new")).otherwise(F.concat_ws("/", "dir", "new"))
     return out.select(F.lit("move").alias("kind"), F.col("rel_path").alias("src"), dst.alias("dst"), F.col("n").cast("string").alias("reason"), "size", "walk_seq")
 

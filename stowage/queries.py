@@ -34,21 +34,50 @@ def _compressed(files):
     return files.select(F.col("rel_path").alias("path"), F.col("size").alias("before"), F.floor(F.col("size") * (F.col("walk_seq") % 4 + 8) / 10).cast("long").alias("after"), (F.col("walk_seq") % 9 == 0).alias("converted"))
 
 
-def _flat_files(files):
-    """The inventory with every file's own folder left out, so that moves collide."""
-    return files.withColumn("rel_path", F.regexp_replace("rel_path", r"d\d+/([^/]*)$", "$1")).withColumn("r", F.row_number().over(M.Window.partitionBy("rel_path").orderBy("walk_seq"))).where("r = 1").drop("r")
-
-
 def _applied(files):
+    """Flatten, with its many clashes of names in the root, applied to the inventory."""
     plan = P.flatten(files).where("size > 0").withColumnRenamed("walk_seq", "op_seq")
     return M.apply(files, plan.select("op_seq", "kind", "src", "dst"))
 
 
 def _undone(spark, d):
-    manifest, journal = _applied(_flat_files(X.files(spark, d)))
+    manifest, journal = _applied(X.files(spark, d))
     return M.undo(manifest, journal).groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+def _typed(files):
+    """Organise by type applied to the files that have bytes: no two of the given names clash within a category and stem."""
+    return M.apply(files, P.by_type(files).select(F.col("walk_seq").alias("op_seq"), "kind", "src", "dst"))
+
+
+def _history(spark, d):
+    """Two entries of the history: a move of the pictures, then one of everything else."""
+    files = X.files(spark, d)
+    plan = P.by_type(files).select(F.col("walk_seq").alias("op_seq"), F.lit("move").alias("op"), "src", "dst", F.lit("moved").alias("outcome"), "reason")
+    history = M.history_append(None, plan.where("reason = 'Images'"), "/r", "e1", F.lit(1.0), "images")
+    return M.history_append(history, plan.where("reason <> 'Images'"), "/r", "e2", F.lit(2.0), "type")
+
+
+def _chosen(files):
+    """A user's table: every third file to Keep, and paths that don't exist."""
+    chosen = files.where("walk_seq % 3 = 0").select("rel_path", F.lit("Keep").alias("category"))
+    return chosen.union(files.where("walk_seq % 50 = 0").select(F.concat(F.lit("gone/"), "rel_path"), F.lit("Keep")))
+
+
+def _named_heads(files):
+    """Leading bytes of files by their number: png, zip with a word document's names, or nothing known."""
+    head = F.element_at(F.array(F.unhex(F.lit("89504E470D0A")), F.unhex(F.lit("504B03041400")), F.unhex(F.lit("00112233"))), (F.col("walk_seq") % 3 + 1).cast("int"))
+    return files.select("rel_path", head.alias("head"), F.when(F.col("walk_seq") % 2 == 0, F.array(F.lit("word/document.xml"))).alias("names"))
+
+
+def _backed_up(files):
+    """The inventory after a compression of its pictures: originals in the backup folder, a .jpg in their place."""
+    pictures = files.where(K.is_compressible())
+    jpg = F.concat(F.regexp_replace("rel_path", r"\.[^./]+$", ""), F.lit(".jpg"))
+    new = pictures.withColumns({"rel_path": jpg, "size": F.floor(F.col("size") / 2).cast("long")})
+    return files.join(pictures.select("walk_seq"), "walk_seq", "left_anti").unionByName(pictures.withColumn("rel_path", F.concat(F.lit("Originals_Backup/"), "rel_path"))).unionByName(new)
+
+
 QUERIES = {
     "type_by_category": lambda s, d: P.summary(P.by_type(X.files(s, d))),
     "type_plan": lambda s, d: _shown(P.by_type(X.files(s, d))),
@@ -60,7 +89,17 @@ QUERIES = {
     "flatten_plan": lambda s, d: _shown(P.flatten(X.files(s, d))),
     "source_folders": lambda s, d: P.source_folders(P.by_type(X.files(s, d))),
     "moved_summary": lambda s, d: P.moved_summary(P.by_type(X.files(s, d))),
-    "plan_counts": lambda s, d: P.counts(P.cleanup(X.files(s, d))),
+    "plan_counts": lambda s, d: P.counts(P.cleanup(f := X.files(s, d)).select("kind", "src").union(P.cleanup_folders(f)).union(P.remove_folders(_dirs(f)).select("kind", "src"))),
+    "type_folders": lambda s, d: P.with_folders(P.by_type(X.files(s, d)), nested=True).where("kind = 'mkdir'").select("kind", "src"),
+    "location_counts": lambda s, d: P.location_counts(X.files(s, d), X.gps(s, d)),
+    "without_folders": lambda s, d: _shown(P.without_folders(P.flatten(X.files(s, d)), ["Images/d11", "src1/en/d1"])),
+    "preview": lambda s, d: P.preview(P.by_type(X.files(s, d))).select("src", "text"),
+    "assignments": lambda s, d: P.assignments(f := X.files(s, d), _chosen(f))[0].select("src", "dst"),
+    "assignments_skipped": lambda s, d: P.assignments(f := X.files(s, d), _chosen(f))[1].select("rel_path"),
+    "fix_extensions": lambda s, d: _shown(P.fix_extensions(f := X.files(s, d), _named_heads(f))),
+    "compressible": lambda s, d: P.compressible_files(X.files(s, d)).select("rel_path", "size"),
+    "image_listing": lambda s, d: P.image_files(X.files(s, d)).select("rel_path", "size"),
+    "rename_clashes": lambda s, d: P.rename(X.files(s, d), "{category}", only_ext="png").select("src", "dst"),
     "search": lambda s, d: P.search(X.files(s, d), "photo"),
     "dup_plan": lambda s, d: _shown(P.duplicates(X.files(s, d))),
     "dup_groups": lambda s, d: P.duplicate_groups(X.files(s, d)),
@@ -71,6 +110,13 @@ QUERIES = {
     "folder_rollup": lambda s, d: U.folder_rollup(X.files(s, d)).drop("parent", "name"),
     "share_of_parent": lambda s, d: U.share_of_parent(U.folder_rollup(X.blobs(s, d))),
     "folder_tags": lambda s, d: U.tagged(U.folder_rollup(X.files(s, d))),
+    "folders_of_tag": lambda s, d: U.of_tag(U.folder_rollup(X.files(s, d)), "system").select("folder", "level"),
+    "reclaimable_by_tag": lambda s, d: U.reclaimable_by_tag(U.folder_rollup(X.files(s, d))),
+    "dir_stats": lambda s, d: U.dir_stats(X.files(s, d), "Images"),
+    "capped_rollup": lambda s, d: U.folder_rollup(X.files(s, d), cap_names=("android",)).select("folder", "kb", "files"),
+    "report_top": lambda s, d: U.report(U.folder_rollup(X.files(s, d))).select("name", "kb", "files", "subs", "cat", "note", F.size("children").alias("n_children")),
+    "large_old_files": lambda s, d: U.large_old(X.blobs(s, d).withColumn("mtime_epoch", F.lit(1704067200) + F.col("walk_seq") * 60), AS_OF),
+    "compress_estimate": lambda s, d: U.compression_estimate(_compressed(f := X.files(s, d)).where(F.col("path").contains("photo")), P.compressible_files(f)),
     "folder_search": lambda s, d: U.search_with_ancestors(U.folder_rollup(X.files(s, d)), "data").select("folder", "level"),
     "empty_dirs": lambda s, d: P.empty_folders(_dirs(X.files(s, d)), X.files(s, d)),
     "root_meta": lambda s, d: U.root_meta(X.files(s, d)),
@@ -89,10 +135,18 @@ QUERIES = {
     "magic_types": _heads,
     "compress_totals": lambda s, d: U.compression_totals(_compressed(X.files(s, d))),
     "change_signature": lambda s, d: U.change_signature(X.files(s, d)),
-    "apply_manifest": lambda s, d: _applied(_flat_files(X.files(s, d)))[0].select("walk_seq", "rel_path", "size"),
-    "apply_journal": lambda s, d: _applied(_flat_files(X.files(s, d)))[1].select("op_seq", "src", "dst", "outcome"),
+    "apply_manifest": lambda s, d: _applied(X.files(s, d))[0].select("walk_seq", "rel_path", "size"),
+    "apply_journal": lambda s, d: _applied(X.files(s, d))[1].select("op_seq", "src", "dst", "outcome"),
     "undo_manifest": _undone,
-    "audit_rows": lambda s, d: M.audit(_applied(_flat_files(X.files(s, d)))[1]),
+    "audit_rows": lambda s, d: M.audit(_applied(X.files(s, d))[1]),
+    "typed_manifest": lambda s, d: _typed(X.files(s, d))[0].groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")),
+    "verify_typed": lambda s, d: M.verify(f := X.files(s, d), _typed(f)[0]),
+    "recipe": lambda s, d: M.recipe(X.blobs(s, d).withColumn("sha1", F.sha1("rel_path")), [P.by_type, P.by_size])[0].groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n")),
+    "history_entries": lambda s, d: M.history_list(_history(s, d)).drop("redoable"),
+    "history_folders": lambda s, d: M.history_folders(_history(s, d)),
+    "restored": lambda s, d: M.restore_originals(_backed_up(X.files(s, d)), "Originals_Backup").select("walk_seq", "rel_path", "size"),
+    "photo_plan": lambda s, d: _shown(S.photo_plan(X.files(s, d), X.metrics(s, d), set(R.PHOTO_FOLDERS) - {"duplicate", "similar"})[0]),
+    "photo_plan_marked": lambda s, d: _shown(S.photo_plan(X.files(s, d), X.metrics(s, d))[0]),
 }
 
 _JUNK = ", ".join(f"'{x}'" for x in R.JUNK_EXTS)
@@ -101,7 +155,15 @@ _CATEGORY = "CASE " + " ".join(f"WHEN ext IN ({_IN(exts.split())}) THEN '{c}'" f
 _PASS = "s"
 for _ in range(K.PASSES):
     _PASS = "trim(regexp_replace(" + _PASS + ", '" + R.COPY_SUFFIX + "', '', 'i'))"
-_TAG = "CASE " + " ".join(f"WHEN low = '{k}' THEN '{v}'" for k, v in R.FOLDER_EXACT.items()) + " WHEN starts_with(low, '.') THEN 'system' " + " ".join(f"WHEN contains(low, '{w}') THEN '{t}'" for t, ws in R.FOLDER_KEYWORDS for w in ws.split()) + " ELSE 'personal' END"
+# written out, not built from the rules, so that a slip there shows
+_TAG = """CASE WHEN low IN ('whatsapp_media', 'telegram_media') THEN 'extracted' WHEN low IN ('documents', 'subtitles') THEN 'documents'
+  WHEN starts_with(low, '.') OR low IN ('android', 'miui', 'ringtones', 'notifications', 'alarms') THEN 'system'
+  WHEN contains(low, 'whatsapp') OR contains(low, 'telegram') THEN 'extracted'
+  WHEN contains(low, 'download') OR contains(low, 'large') OR contains(low, '1gb') OR contains(low, 'backup') THEN 'reclaim'
+  WHEN regexp_matches(low, 'dcim|picture|image|movie|video|photo|insta|camera') THEN 'media'
+  WHEN regexp_matches(low, 'document|subtitle|preset|pdf') THEN 'documents' ELSE 'personal' END"""
+_NOTE = """CASE {} WHEN 'system' THEN 'System / app-critical — not modified' WHEN 'extracted' THEN 'Extracted from app storage' WHEN 'documents' THEN 'Documents'
+  WHEN 'reclaim' THEN 'Large — back up then delete to reclaim space' WHEN 'media' THEN 'Organised media library' ELSE 'Personal / misc' END"""
 
 _FILES = f"""WITH raw AS ({X.files_sql('strlen')}),
 f AS (SELECT *, string_split(rel_path, '/') AS segs, lower(regexp_extract(name, '^.+\\.([^.]+)$', 1)) AS ext, regexp_replace(rel_path, '/?[^/]*$', '') AS dir,
@@ -125,15 +187,22 @@ both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 grp AS (SELECT a AS walk_seq, least(a, min(b)) AS group_id FROM reach GROUP BY a)"""
 _QUALITY = "round(0.55 * least(round(focus, 1) / 300, 1.0) + 0.30 * greatest(0.0, 1 - abs(brightness - 128) / 128) + 0.15 * (CASE WHEN faces > 0 THEN 1 ELSE 0 END), 3)"
+_BUCKET = f"""CASE WHEN shot THEN 'Screenshots' WHEN faces = 0 AND saturation < 22 AND brightness > 185 AND edge > 18 THEN 'Documents_Scans' WHEN quality >= {R.PHOTO_BEST} THEN 'Best_Shots'
+  WHEN focus < {R.PHOTO_BLUR} THEN 'Blurry_Shaken' WHEN faces = 0 THEN 'Scenery_Others' WHEN faces = 1 THEN 'Portraits_Single' WHEN faces = 2 THEN 'Couples' ELSE 'Group_Photos' END"""
 _PHOTO = f"""WITH m AS ({X.METRICS}), q AS (SELECT *, {_QUALITY} AS quality, contains(lower(name), 'screenshot') AS shot FROM m),
-cat AS (SELECT walk_seq, quality, CASE WHEN shot THEN 'Screenshots' WHEN faces = 0 AND saturation < 22 AND brightness > 185 AND edge > 18 THEN 'Documents_Scans' WHEN quality >= {R.PHOTO_BEST} THEN 'Best_Shots'
-  WHEN focus < {R.PHOTO_BLUR} THEN 'Blurry_Shaken' WHEN faces = 0 THEN 'Scenery_Others' WHEN faces = 1 THEN 'Portraits_Single' WHEN faces = 2 THEN 'Couples' ELSE 'Group_Photos' END AS category FROM q)"""
+cat AS (SELECT walk_seq, quality, {_BUCKET} AS category FROM q)"""
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 _PEOPLE = f"""WITH face AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings),
 flat AS (SELECT label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM face), mean AS (SELECT label, i, avg(x) AS x FROM flat GROUP BY label, i),
 norm AS (SELECT label, sqrt(sum(x * x)) AS n FROM mean GROUP BY label), person AS (SELECT label, i, x / n AS x FROM mean JOIN norm USING (label))"""
 _SUMMARY = "SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM {} GROUP BY reason"
 _BLOBS = f"WITH raw AS ({X.BLOBS}), g AS (SELECT *, string_split(rel_path, '/') AS segs, len(string_split(rel_path, '/')) - 1 AS depth FROM raw), above AS (SELECT size, segs[1:depth] AS dsegs, unnest(range(1, depth + 1)) AS level FROM g), roll AS (SELECT array_to_string(dsegs[1:level], '/') AS folder, level, CAST(floor(sum(size) / 1024) AS BIGINT) AS kb FROM above GROUP BY 1, 2)"
+# what apply makes of moves to dst: the first comer gets the name, the same bytes again are merged, other bytes get the next _i
+_APPLIED = """, came AS (SELECT *, {dst} AS dst, row_number() OVER w AS r, first_value(size) OVER w AS s0, first_value(sha1) OVER w AS h0 FROM ok WHERE {where} WINDOW w AS (PARTITION BY {dst} ORDER BY walk_seq)),
+seen AS (SELECT *, r > 1 AND size = s0 AND sha1 = h0 AS merged FROM came),
+ap AS (SELECT *, CASE WHEN r = 1 OR merged THEN dst ELSE regexp_replace(dst, '\\.[^.]+$', '') || '_' || CAST(sum(CASE WHEN r > 1 AND NOT merged THEN 1 ELSE 0 END) OVER (PARTITION BY dst ORDER BY walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) || '.' || string_split(dst, '.')[-1] END AS final FROM seen)
+"""
+_FLAT = _APPLIED.format(dst="name", where="depth > 0 AND size > 0")
 _PLAN = "SELECT src, dst, reason, size FROM {}"
 
 ORACLE = {
@@ -147,7 +216,21 @@ ORACLE = {
     "flatten_plan": _FILES + "SELECT rel_path AS src, name AS dst, 'flatten' AS reason, size FROM ok WHERE depth > 0",
     "source_folders": _FILES + "SELECT regexp_replace(src, '/?[^/]*$', '') AS folder, count(*) AS n FROM p_type GROUP BY 1",
     "moved_summary": _FILES + "SELECT regexp_replace(dst, '/?[^/]*$', '') AS folder, count(*) AS n FROM p_type GROUP BY 1 ORDER BY n DESC, folder LIMIT 12",
-    "plan_counts": _FILES + "SELECT count(*) AS moves, 0::BIGINT AS mkdirs, 0::BIGINT AS rmdirs, count(*) AS total FROM p_clean",
+    "plan_counts": _FILES + f""", folders AS (SELECT DISTINCT array_to_string(segs[1:k], '/') AS folder, segs[1] AS top, k FROM (SELECT segs, unnest(range(1, depth + 1)) AS k FROM g WHERE depth > 0)),
+ dirs AS (SELECT folder FROM folders UNION ALL SELECT folder || '/empty' FROM folders WHERE k = 1 UNION ALL SELECT folder || '/empty/deep' FROM folders WHERE k = 1), ds AS (SELECT string_split(folder, '/') AS s FROM dirs),
+ made AS (SELECT DISTINCT regexp_replace(dst, '/?[^/]*$', '') AS folder FROM (SELECT dst FROM p_junk UNION ALL SELECT dst FROM p_dup UNION ALL SELECT dst FROM p_type)),
+ rm AS (SELECT count(*) AS n FROM ds WHERE NOT (lower(s[1]) IN ({_IN(R.PROTECTED_FIRST)}) OR len(list_filter(s, lambda x: lower(x) IN ({_IN(R.PROTECTED_ANY)}) OR starts_with(x, '.'))) > 0))
+ SELECT c.n AS moves, m.n AS mkdirs, rm.n AS rmdirs, c.n + m.n + rm.n AS total FROM (SELECT count(*) AS n FROM p_clean) c, (SELECT count(*) AS n FROM made) m, rm""",
+    "type_folders": _FILES + ", s AS (SELECT DISTINCT string_split(category, '/') AS s FROM ok WHERE segs[1] NOT IN ('Images', 'Videos', 'Audio', 'Documents', 'Archives', 'Installers', 'Code', 'Other')) SELECT DISTINCT 'mkdir' AS kind, array_to_string(s[1:k], '/') AS src FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM s)",
+    "location_counts": _FILES + f", gps AS ({X.GPS}), l AS (SELECT gps.walk_seq AS has FROM ok LEFT JOIN gps USING (walk_seq) WHERE ext IN ({_IN(R.IMAGE_EXTS)}) AND segs[1] <> 'Places') SELECT count(has) AS total, count(*) - count(has) AS no_gps FROM l",
+    "without_folders": _FILES + "SELECT rel_path AS src, name AS dst, 'flatten' AS reason, size FROM ok WHERE depth > 0 AND dir NOT IN ('Images/d11', 'src1/en/d1')",
+    "preview": _FILES + "SELECT src, 'MOVE ' || src || ' -> ' || dst AS text FROM p_type ORDER BY walk_seq, src LIMIT 200",
+    "assignments": _FILES + "SELECT rel_path AS src, 'Keep/' || name AS dst FROM g WHERE walk_seq % 3 = 0 AND dir <> 'Keep'",
+    "assignments_skipped": _FILES + "SELECT 'gone/' || rel_path AS rel_path FROM g WHERE walk_seq % 50 = 0",
+    "fix_extensions": _FILES + ", x AS (SELECT *, CASE walk_seq % 3 WHEN 0 THEN 'png' WHEN 1 THEN CASE WHEN walk_seq % 2 = 0 THEN 'docx' ELSE 'zip' END END AS found FROM ok WHERE ext = '') SELECT rel_path AS src, CASE WHEN dir = '' THEN '' ELSE dir || '/' END || rtrim(name, '.') || '.' || found AS dst, found AS reason, size FROM x WHERE found IS NOT NULL",
+    "compressible": _FILES + "SELECT rel_path, size FROM ok WHERE ext IN ('jpg', 'jpeg', 'png') AND segs[1] NOT IN ('Compressed_Images', 'Originals_Backup')",
+    "image_listing": _FILES + f"SELECT rel_path, size FROM ok WHERE ext IN ({_IN(R.IMAGE_EXTS)}) AND segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})",
+    "rename_clashes": _FILES + ", n AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY lower(name), walk_seq) - 1 AS k FROM ok WHERE ext = 'png') SELECT rel_path AS src, CASE WHEN dir = '' THEN '' ELSE dir || '/' END || 'Images' || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.png' AS dst FROM n",
     "search": _FILES + "SELECT rel_path, name, size FROM open_dir WHERE free AND contains(lower(name), 'photo') ORDER BY lower(name), rel_path LIMIT 300",
     "dup_plan": _FILES + _PLAN.format("p_dup"),
     "dup_groups": _FILES + "SELECT size, sha1, count(*) AS n, arg_min(rel_path, rank) AS keep, CAST(floor(size / 1024) * (count(*) - 1) AS BIGINT) AS wasted_kb, array_to_string(list_sort(list(rel_path)), '|') AS members FROM dup_all WHERE n > 1 GROUP BY size, sha1 ORDER BY size DESC, sha1 LIMIT 200",
@@ -157,7 +240,14 @@ ORACLE = {
     "large_old": _BLOBS + f" SELECT count(*) AS old_n, CAST(coalesce(sum(floor(size / 1024)), 0) AS BIGINT) AS old_kb FROM raw WHERE size >= {R.RECLAIM_BYTES} AND 1704067200 + walk_seq * 60 < {AS_OF - R.RECLAIM_DAYS * 86400}",
     "folder_rollup": _FILES + "SELECT folder, CAST(level AS INT) AS level, kb, files, subs FROM roll",
     "share_of_parent": _BLOBS + ", top AS (SELECT max(kb) AS top_kb FROM roll WHERE level = 1) SELECT r.folder, CAST(r.level AS INT) AS level, r.kb, round(CASE WHEN r.kb > 0 THEN greatest(0.8, r.kb * 100.0::DOUBLE / (CASE WHEN r.level = 1 THEN top_kb ELSE p.kb END)) ELSE 0 END::DOUBLE, 4) AS share FROM roll r CROSS JOIN top LEFT JOIN roll p ON p.folder = regexp_replace(r.folder, '/?[^/]*$', '')",
-    "folder_tags": _FILES + f", t AS (SELECT *, lower(string_split(folder, '/')[-1]) AS low FROM roll) SELECT folder, CAST(level AS INT) AS level, kb, {_TAG} AS tag FROM t",
+    "folder_tags": _FILES + f", t AS (SELECT *, lower(string_split(folder, '/')[-1]) AS low FROM roll) SELECT folder, CAST(level AS INT) AS level, kb, {_TAG} AS tag, {_NOTE.format(_TAG)} AS note FROM t",
+    "folders_of_tag": _FILES + f", t AS (SELECT *, lower(string_split(folder, '/')[1]) AS low FROM roll) SELECT folder, CAST(level AS INT) AS level FROM t WHERE {_TAG} = 'system'",
+    "reclaimable_by_tag": _FILES + f", t AS (SELECT *, lower(folder) AS low FROM roll WHERE level = 1) SELECT CAST(coalesce(sum(kb) FILTER ({_TAG} IN ('reclaim', 'extracted')), 0) AS BIGINT) AS kb FROM t",
+    "dir_stats": _FILES + "SELECT count(*) AS files, CAST(floor(coalesce(sum(size), 0) / 1024) AS BIGINT) AS kb FROM g WHERE starts_with(rel_path, 'Images/')",
+    "capped_rollup": _FILES + "SELECT folder, kb, files FROM roll WHERE NOT starts_with(lower(folder), 'android/')",
+    "report_top": _FILES + f", t AS (SELECT *, lower(folder) AS low FROM roll WHERE level = 1) SELECT folder AS name, kb, files, subs, {_TAG} AS cat, {_NOTE.format(_TAG)} AS note, CAST((SELECT count(*) FROM roll r WHERE r.level = 2 AND starts_with(r.folder, t.folder || '/')) AS INT) AS n_children FROM t",
+    "large_old_files": _BLOBS + f" SELECT rel_path, size, 1704067200 + walk_seq * 60 AS mtime_epoch FROM raw WHERE size >= {R.RECLAIM_BYTES} AND 1704067200 + walk_seq * 60 < {AS_OF - R.RECLAIM_DAYS * 86400} ORDER BY size DESC, rel_path LIMIT 25",
+    "compress_estimate": _FILES + ", c AS (SELECT size AS before, CAST(floor(size * (walk_seq % 4 + 8) / 10) AS BIGINT) AS after, walk_seq % 9 = 0 AS converted FROM g WHERE contains(rel_path, 'photo')), x AS (SELECT *, after < before OR converted AS yes FROM c), p AS (SELECT sum(before) AS seen, sum(CASE WHEN yes THEN before - after ELSE 0 END) AS saved, avg(CASE WHEN yes THEN 1.0 ELSE 0.0 END::DOUBLE) AS share FROM x), t AS (SELECT sum(size) AS total, count(*) AS n FROM ok WHERE ext IN ('jpg', 'jpeg', 'png')) SELECT n, CAST(floor(saved::DOUBLE * total / seen / 1024) AS BIGINT) AS saved_kb, CAST(floor(n * share) AS BIGINT) AS hits FROM p, t",
     "folder_search": _FILES + "SELECT DISTINCT r.folder, CAST(r.level AS INT) AS level FROM roll r JOIN roll h ON contains(lower(string_split(h.folder, '/')[-1]), 'data') AND (h.folder = r.folder OR starts_with(h.folder, r.folder || '/'))",
     "empty_dirs": _FILES + f", tops AS (SELECT DISTINCT segs[1] AS top FROM g WHERE depth > 0), e AS (SELECT top || '/empty/deep' AS src, 2 AS depth, top FROM tops UNION ALL SELECT top || '/empty', 1, top FROM tops) SELECT 'rmdir' AS kind, src, CAST(depth AS INT) AS depth FROM e WHERE NOT (starts_with(top, '.') OR lower(top) IN ({_IN(R.PROTECTED_FIRST)}) OR lower(top) IN ({_IN(R.PROTECTED_ANY)}))",
     "root_meta": _FILES + "SELECT CAST(floor(sum(size) / 1024) AS BIGINT) AS root_kb, count(*) AS root_files, count(*) FILTER (depth = 0) AS root_loose FROM g",
@@ -166,11 +256,25 @@ ORACLE = {
     "rename_plan": _FILES + ", n AS (SELECT *, row_number() OVER (ORDER BY lower(name), walk_seq) AS n FROM ok), t AS (SELECT *, regexp_replace(regexp_replace(category || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '_' || stem, '[\\\\/:*?\"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') || CASE WHEN ext <> '' THEN '.' || string_split(name, '.')[-1] ELSE '' END AS new FROM n) SELECT rel_path AS src, CASE WHEN dir = '' THEN new ELSE dir || '/' || new END AS dst, CAST(n AS VARCHAR) AS reason FROM t",
     "hamming_pairs": _METRICS + " SELECT a, b, CAST(bits AS INT) AS bits FROM pairs",
     "near_dup_groups": _GROUPS + " SELECT walk_seq, group_id FROM grp",
+    "near_dup_sizes": _GROUPS + f", f AS ({X.files_sql('strlen')}), s AS (SELECT group_id, rel_path, floor(size / 1024) AS kb, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, rel_path) AS r FROM grp JOIN f USING (walk_seq)) SELECT group_id, count(*) AS n, max(CASE WHEN r = 1 THEN rel_path END) AS keep, CAST(coalesce(sum(CASE WHEN r > 1 THEN kb END), 0) AS BIGINT) AS extra_kb FROM s GROUP BY group_id",
     "photo_categories": _PHOTO + " SELECT walk_seq, quality, category FROM cat",
     "photo_tally": _PHOTO + " SELECT category, count(*) AS n FROM cat GROUP BY category",
     "people_vectors": _PEOPLE + " SELECT label, CAST(i - 1 AS INT) AS pos, round(x, 6) AS x FROM person",
     "nearest_person": _PEOPLE + f", vec AS (SELECT label, list(x ORDER BY i) AS p FROM person GROUP BY label), sims AS (SELECT vec_id, vec.label, round(list_inner_product(v, p), 6) AS sim FROM face, vec), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM sims) SELECT vec_id, label, round(sim, 5) AS sim FROM best WHERE r = 1 AND sim >= {R.FACE_NAME}",
     "magic_types": "SELECT page_id, CASE " + " ".join(f"WHEN starts_with(lower(hex(encode(html[1:32]))), '{m}') THEN '{t}'" for m, t in R.MAGIC) + " END AS type FROM pages",
     "compress_totals": _FILES + ", c AS (SELECT size AS before, CAST(floor(size * (walk_seq % 4 + 8) / 10) AS BIGINT) AS after, walk_seq % 9 = 0 AS converted FROM g), x AS (SELECT *, after < before OR converted AS yes FROM c), t AS (SELECT count(*) FILTER (yes) AS compressed, count(*) FILTER (NOT yes) AS skipped, CAST(floor(coalesce(sum(before) FILTER (yes), 0) / 1024) AS BIGINT) AS before_kb, CAST(floor(coalesce(sum(after) FILTER (yes), 0) / 1024) AS BIGINT) AS after_kb, CAST(floor(coalesce(sum(before - after) FILTER (yes), 0) / 1024) AS BIGINT) AS saved_kb FROM x) SELECT *, CASE WHEN before_kb > 0 THEN round(saved_kb * 100.0::DOUBLE / before_kb, 1) ELSE 0.0::DOUBLE END AS pct FROM t",
+    "typed_manifest": _FILES + _APPLIED.format(dst="category || '/' || name", where="segs[1] NOT IN ('Images', 'Videos', 'Audio', 'Documents', 'Archives', 'Installers', 'Code', 'Other')") + "SELECT CASE WHEN a.walk_seq IS NULL OR a.merged THEN g.dir ELSE a.category END AS folder, count(*) AS n, CAST(sum(g.size) AS BIGINT) AS bytes FROM g LEFT JOIN ap a USING (walk_seq) GROUP BY 1",
+    "apply_journal": _FILES + _FLAT + "SELECT walk_seq AS op_seq, rel_path AS src, final AS dst, CASE WHEN merged THEN 'merged' ELSE 'moved' END AS outcome FROM ap",
+    "apply_manifest": _FILES + _FLAT + "SELECT g.walk_seq, CASE WHEN a.walk_seq IS NULL OR a.merged THEN g.rel_path ELSE a.final END AS rel_path, g.size FROM g LEFT JOIN ap a USING (walk_seq)",
+    "undo_manifest": _FILES + "SELECT dir AS folder, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY 1",
+    "audit_rows": _FILES + _FLAT + "SELECT walk_seq AS op_seq, rel_path AS src, final AS dst FROM ap WHERE NOT merged",
+    "verify_typed": _FILES + "SELECT count(*) AS before, count(*) AS after, 0::BIGINT AS lost, true AS ok FROM g",
+    "recipe": _BLOBS + " SELECT " + "CASE " + " ".join(f"WHEN size >= {m * 1024**2} THEN '{t}'" for m, t in R.TIERS) + " END AS folder, count(*) AS n FROM raw GROUP BY 1",
+    "history_entries": _FILES + "SELECT '/r' AS root, CASE WHEN reason = 'Images' THEN 'e1' ELSE 'e2' END AS entry_id, CASE WHEN reason = 'Images' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS ts, CASE WHEN reason = 'Images' THEN 'images' ELSE 'type' END AS label, count(*) AS moves, reason <> 'Images' AS undoable FROM (SELECT CASE WHEN reason = 'Images' THEN 'Images' ELSE 'rest' END AS reason FROM p_type) GROUP BY reason",
+    "history_folders": _FILES + "SELECT '/r' AS root, CASE WHEN reason = 'Images' THEN 'e1' ELSE 'e2' END AS entry_id, string_split(dst, '/')[1] AS folder, count(*) AS n FROM p_type GROUP BY ALL",
+    "restored": _FILES + "SELECT walk_seq, rel_path, size FROM g",
+    "photo_plan": _FILES + f""", m AS ({X.METRICS}), q AS (SELECT m.*, {_QUALITY} AS quality, contains(lower(ok.name), 'screenshot') AS shot, ok.rel_path, ok.name AS own, ok.size FROM m JOIN ok USING (walk_seq) WHERE ok.ext IN ({_IN(R.IMAGE_EXTS)}) AND ok.segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})),
+ cat AS (SELECT *, {_BUCKET} AS category FROM q)
+ SELECT rel_path AS src, category || '/' || own AS dst, category AS reason, size FROM cat UNION ALL SELECT rel_path, 'Videos/' || name, 'Videos', size FROM ok WHERE ext IN ({_IN(R.VIDEO_EXTS)}) AND segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})""",
     "change_signature": _FILES + "SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime_epoch) AS newest FROM g",
 }

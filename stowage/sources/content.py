@@ -50,13 +50,27 @@ def zip_entries(contents: DataFrame) -> DataFrame:
     return contents.where(F.hex(F.substring("content", 1, 4)) == "504B0304").mapInPandas(run, "path string, names array<string>")
 
 
+def _tiff_part(data: bytes) -> bytes | None:
+    """Where a picture's tags are: after the mark of a JPEG's segment, in a PNG's eXIf chunk, or a TIFF itself."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return data
+    if data[:2] == b"\xff\xd8" and (at := data.find(b"Exif\0\0")) >= 0:
+        return data[at + 6 :]
+    at = 8 if data[:8] == b"\x89PNG\r\n\x1a\n" else len(data)
+    while at + 12 <= len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        if kind == b"eXIf":
+            return data[at + 8 : at + 8 + size]
+        at += 12 + size
+    return None
+
+
 def exif_of(data: bytes) -> tuple[str | None, float | None, float | None]:
-    """(time text, latitude, longitude) of a JPEG's EXIF block; anything odd gives nulls."""
+    """(time text, latitude, longitude) of the EXIF block of a JPEG, PNG or TIFF; anything odd gives nulls."""
     try:
-        at = data.find(b"Exif\0\0")
-        if data[:2] != b"\xff\xd8" or at < 0:
+        tiff = _tiff_part(data)
+        if tiff is None:
             return None, None, None
-        tiff = data[at + 6 :]
         order = "<" if tiff[:2] == b"II" else ">"
         get = lambda fmt, p: struct.unpack_from(order + fmt, tiff, p)
 
@@ -86,7 +100,7 @@ def exif_of(data: bytes) -> tuple[str | None, float | None, float | None]:
 
 
 def exif(contents: DataFrame) -> DataFrame:
-    """path, taken_at, lat, lon."""
+    """path, taken_at, lat, lon of JPEG, PNG and TIFF contents; other files and broken tags have nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

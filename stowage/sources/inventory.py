@@ -7,18 +7,30 @@ that executors can list, such as a shared mount.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "kind string, rel_path string, name string, size bigint, mtime_epoch bigint, walk_seq bigint, head binary"
-HEAD, _SHARD = 32, 1 << 40
+HEAD, SETTLE_S, _SHARD = 32, 3, 1 << 40
 
 
 class Shard(InputPartition):
-    def __init__(self, number: int, folder: str, deep: bool):
-        self.number, self.folder, self.deep = number, folder, deep
+    """A folder of the first level, or the root's own files. since, until: only entries changed after the one and up to the other (ns)."""
+
+    def __init__(self, number: int, folder: str, deep: bool, since: int | None = None, until: int | None = None):
+        self.number, self.folder, self.deep, self.since, self.until = number, folder, deep, since, until
+
+    def holds(self, path: str) -> bool:
+        if self.since is None:
+            return True
+        try:
+            stat = os.stat(path)
+        except OSError:
+            return False
+        return self.since < max(stat.st_mtime_ns, stat.st_ctime_ns) <= self.until
 
 
 def _entry(root: str, path: str, kind: str, seq: int, head: bool) -> tuple:
@@ -43,22 +55,24 @@ def listing(root: str, shard: Shard, head: bool) -> Iterator[tuple]:
     if not shard.deep:
         for name in sorted(os.listdir(shard.folder)):
             path = os.path.join(shard.folder, name)
-            if not os.path.isdir(path):
+            if not os.path.isdir(path) and shard.holds(path):
                 yield _entry(root, path, "file", seq, head)
                 seq += 1
         return
     for folder, below, names in os.walk(shard.folder):
         below.sort()
-        yield _entry(root, folder, "dir", seq, head)
+        if shard.holds(folder):
+            yield _entry(root, folder, "dir", seq, head)
         seq += 1
         for name in sorted(names):
-            yield _entry(root, os.path.join(folder, name), "file", seq, head)
+            if shard.holds(path := os.path.join(folder, name)):
+                yield _entry(root, path, "file", seq, head)
             seq += 1
 
 
-def shards(root: str) -> list[Shard]:
+def shards(root: str, since: int | None = None, until: int | None = None) -> list[Shard]:
     folders = sorted(e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False))
-    return [Shard(0, root, False), *(Shard(i + 1, f, True) for i, f in enumerate(folders))]
+    return [Shard(0, root, False, since, until), *(Shard(i + 1, f, True, since, until) for i, f in enumerate(folders))]
 
 
 class Reader(DataSourceReader):
@@ -72,25 +86,31 @@ class Reader(DataSourceReader):
         return listing(self.root, partition, self.head)
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """Each batch: the entries changed since the newest modification time seen so far."""
+class StreamReader(DataSourceStreamReader):
+    """Each batch: the entries changed since the last one, listed by the executors.
+
+    An entry's change is the later of its modification and its inode's change, so files that keep an old time show too. Batches end
+    settle seconds before now: what is younger may still be written to and comes with a later batch.
+    """
 
     def __init__(self, options: dict):
         self.root, self.head = os.path.abspath(options["path"]), options.get("head", "false") == "true"
+        self.settle = float(options.get("settle", SETTLE_S))
 
     def initialOffset(self) -> dict:
-        return {"mtime": -1}
+        return {"ns": -1}
+
+    def latestOffset(self) -> dict:
+        return {"ns": time.time_ns() - int(self.settle * 1e9)}
 
-    def _changed(self, low: int, high: int | None = None) -> list[tuple]:
-        rows = (r for s in shards(self.root) for r in listing(self.root, s, self.head))
-        return [r for r in rows if r[4] > low and (high is None or r[4] <= high)]
+    def partitions(self, start: dict, end: dict) -> list[Shard]:
+        return shards(self.root, start["ns"], end["ns"])
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._changed(start["mtime"])
-        return iter(rows), {"mtime": max((r[4] for r in rows), default=start["mtime"])}
+    def read(self, partition: Shard) -> Iterator[tuple]:
+        return listing(self.root, partition, self.head)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._changed(start["mtime"], end["mtime"]))
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class FileInventory(DataSource):
@@ -104,7 +124,7 @@ class FileInventory(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> StreamReader:
+    def streamReader(self, schema) -> StreamReader:
         return StreamReader(self.options)
 
 

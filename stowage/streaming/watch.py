@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-SETTLE_S = 3
 
-
-def watch(stream: DataFrame, planner: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, settle_s: int = SETTLE_S, once: bool = True) -> StreamingQuery:
-    """Plans each batch of new files and appends the plan to out (Parquet). Files younger than settle_s wait for their next change.
+def watch(stream: DataFrame, planner: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Plans each batch of new files and appends the plan to out (Parquet). The file_inventory source holds files back until they have
+    settled (its option settle).
 
     once: plan what is there and stop (to be run by a scheduler); else keep watching.
     """
 
     def plan(batch: DataFrame, number: int) -> None:
-        settled = batch.where(F.col("mtime_epoch") < F.unix_timestamp() - settle_s)
-        planner(settled).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        plans = planner(batch).persist()
+        if number == 0 or not plans.isEmpty():
+            plans.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        plans.unpersist()
 
     writer = stream.writeStream.foreachBatch(plan).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="4 seconds")).start()

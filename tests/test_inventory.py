@@ -62,13 +62,14 @@ def test_similar_names_against_fixpoint(spark):
 
     def plain(s):
         t = s.strip()
-        for _ in range(K.PASSES):
-            t = pattern.sub("", t).strip()
+        while (u := pattern.sub("", t).strip()) != t:
+            t = u
         return (t or s).lower()
 
     rng = random.Random(3)
     stems = ["IMG (1)", "a - copy 2", "a_copy", "2024-01-05", " copy", "copy", "a (1) (2)", "A copies x"]
     stems += ["".join(rng.choice(["a", "B", " ", "-", "_", "copy", "copie", "(1)", "2", " copy"]) for _ in range(rng.randrange(1, 8))) for _ in range(500)]
+    stems += ["a" + " (1)" * 15, "b" + "-1" * 40, "c" + " copy" * 20 + "_copy x" + " (2)" * 9]
     assert values(spark, stems, K.similar_key(F.col("name"))) == [plain(s) for s in stems]
 
 
@@ -81,6 +82,8 @@ def test_names_templates_and_places(spark):
     assert values(spark, ["Screen Shot 1", "SCR-1", "img"], K.is_screenshot()) == [True, True, False]
     assert values(spark, [5, 3000, 3 * 1024**2], K.human_size(), "kb long") == ["5 KB", "2.9 MB", "3.00 GB"]
     assert values(spark, ["DCIM", "WhatsApp", ".x", "Documents", "Backup1", "zzz"], K.folder_tag()) == ["media", "extracted", "system", "documents", "reclaim", "personal"]
+    assert values(spark, ["my_ringtones", "old alarms", "android backup", "Alarms", "MIUI", ".config", "x"], K.folder_tag()) == ["personal", "personal", "reclaim", "system", "system", "system", "personal"]
+    assert values(spark, ["media", "personal"], K.folder_note("name")) == ["Organised media library", "Personal / misc"]
     assert values(spark, [None], K.date_subpath(F.col("t")), "t timestamp") == ["Undated"]
 
 
@@ -168,9 +171,61 @@ def test_history_and_restore(spark):
     assert h.count() == M.KEEP and M.history_list(h).where("undoable").first().entry_id == "e21"
     assert M.history_folders(h).where("folder = 'Images'").count() == M.KEEP
     files = inventory(spark, [("Originals_Backup/p/a.png", 5, "x"), ("p/a.jpg", 2, "y"), ("p/b.png", 1, "z")])
+    older, undone = M.history_undone(h, None, "/r", "e21")
+    older, undone = M.history_undone(older, undone, "/r", "e20")
+    listed = {r.entry_id: (r.undoable, r.redoable) for r in M.history_list(older, undone).collect()}
+    assert listed["e19"] == (True, False) and listed["e20"] == (False, True) and listed["e21"] == (False, False) and len(listed) == M.KEEP
     assert {r.rel_path for r in M.restore_originals(files, "Originals_Backup").collect()} == {"p/a.png", "p/b.png"}
 
 
+def test_undo_and_redo_of_copies_compressions_and_folders(spark):
+    files = inventory(spark, [("a/x", 1, "p"), ("b/y.jpg", 2, "q"), ("Originals_Backup/b/y.png", 9, "r"), ("c/x", 1, "p")])
+    journal = spark.createDataFrame([(1, "copy", "a/x", "c/x", "moved", None), (2, "compress", "b/y.png", "b/y.jpg", "moved", "Originals_Backup/b/y.png"), (3, "mkdir", None, "c", "made", None), (4, "mkdir", None, "d/e", "made", None), (5, "mkdir", None, "b", "made", None)], "op_seq long, op string, src string, dst string, outcome string, backup string")
+    back = M.undo(files, journal)
+    paths = lambda m: {r.rel_path for r in m.collect()}
+    assert paths(back) == {"a/x", "b/y.png"}
+    assert paths(M.redo(back.where("rel_path = 'a/x'"), journal)) == {"a/x", "c/x"}
+    dirs = spark.createDataFrame([(d,) for d in ("a", "b", "c", "d", "d/e", "Originals_Backup")], "rel_path string")
+    assert paths(M.undo_folders(dirs, back, journal)) == {"a", "b", "d", "Originals_Backup"}
+    assert paths(M.undo_folders(dirs, files, journal)) == {"a", "b", "c", "d", "Originals_Backup"}
+
+
+def test_folders_of_plans_and_reports(spark):
+    files = inventory(spark, [("a/p.jpg", 5, "1"), ("b/p.jpg", 5, "1"), ("b/c/d/q.tmp", 3, "2"), ("b/c/r.pdf", 2048, "3"), (".x/y.pdf", 9, "4")])
+    assert {(r.kind, r.src) for r in P.with_folders(P.by_type(files)).where("kind = 'mkdir'").collect()} == {("mkdir", f) for f in ("Images", "Other", "Documents/PDFs")}
+    assert {r.src for r in P.with_folders(P.by_type(files), nested=True).where("kind = 'mkdir'").collect()} == {"Images", "Other", "Documents", "Documents/PDFs"}
+    assert {r.src for r in P.cleanup_folders(files).collect()} == {"Junk_Files_Review", "Duplicates_Review", "Images", "Other", "Documents/PDFs"}
+    gps = spark.createDataFrame([(0, 1.0, 2.0)], "walk_seq long, lat double, lon double")
+    assert tuple(P.location_counts(files, gps).first()) == (1, 1)
+    folders = U.folder_rollup(files)
+    top = {r.name: r for r in U.report(folders).collect()}
+    assert [c.name for c in top["b"].children] == ["c"] and [c.name for c in top["b"].children[0].children] == ["d"] and top["a"].children == [] and top[".x"].cat == "system"
+    assert {r.folder for r in U.of_tag(folders, "personal").collect()} == {"a", "b", "b/c", "b/c/d"} and U.of_tag(folders, "all").count() == folders.count()
+
+
+def test_photo_plan(spark):
+    files = inventory(spark, [("a/1.jpg", 5, "1"), ("a/2.jpg", 5, "2"), ("a/3.jpg", 5, "3"), ("a/4.mp4", 5, "4"), ("Couples/5.jpg", 5, "5"), ("a/6.jpg", 5, "6"), ("a/7.png", 5, "7")])
+    rows = [(0, 0, 150.0, 1), (1, 1, 100.0, 1), (2, (1 << 13) - 1, 90.0, 2), (4, 0, 9.0, 0), (5, -1, 80.0, 3)]
+    metrics = spark.createDataFrame([(*r, 100, 50.0, 100.0, 1.0) for r in rows], "walk_seq long, phash long, focus double, faces int, pixels long, saturation double, brightness double, edge double")
+    plan, items = S.photo_plan(files, metrics)
+    assert {r.src: r.dst for r in plan.collect()} == {"a/1.jpg": "Portraits_Single/1.jpg", "a/2.jpg": "Duplicates/2.jpg", "a/3.jpg": "Similar_Extras/3.jpg", "a/4.mp4": "Videos/4.mp4", "a/6.jpg": "Group_Photos/6.jpg"}
+    assert {r.rel_path: r.category for r in items.collect()}["a/7.png"] is None and items.count() == 6
+    assert {r.src for r in S.photo_plan(files, metrics, {"single", "couple"}, limit=3)[0].collect()} == {"a/1.jpg", "a/2.jpg", "a/3.jpg"}
+
+
+def test_stream_offsets(tmp_path):
+    reader = I.StreamReader({"path": str(tmp_path), "settle": "0"})
+    rows = lambda a, b: {r[1] for p in reader.partitions(a, b) for r in reader.read(p) if r[0] == "file"}
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/one").write_text("1")
+    first = reader.latestOffset()
+    assert rows(reader.initialOffset(), first) == {"d/one"}
+    (tmp_path / "two").write_text("2")
+    os.utime(tmp_path / "two", (5, 5))  # an old time doesn't hide it
+    assert rows(first, reader.latestOffset()) == {"two"}
+    assert I.StreamReader({"path": str(tmp_path)}).latestOffset()["ns"] < reader.latestOffset()["ns"] - 2.5e9  # unsettled files wait
+
+
 def test_sessions_and_rollup(spark):
     t = "2024-01-01 10:00:00"
     rows = spark.createDataFrame([(1, "a", 0), (2, "a", 2400), (3, "a", 4801), (4, "b", 0), (5, "a", 4801)], "walk_seq long, album string, s int")
@@ -240,6 +295,8 @@ def test_sources(spark, tree):
     plan = {r.src: r.dst for r in P.fix_extensions(files.select("walk_seq", "rel_path", "name", "size"), heads).collect()}
     assert plan == {"docs/photo": "docs/photo.jpg", "docs/report": "docs/report.docx"}
     assert [str(r.taken_at) for r in C.exif(raw.where("path like '%photo'")).collect()] == ["2024-05-06 07:08:09"]
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 2, b"abcd") + b"xx0000" + struct.pack(">I4s", len(tiff()), b"eXIf") + tiff() + b"0000"
+    assert [C.exif_of(x)[0] for x in (png, tiff(), png[:40], b"II*\0")] == ["2024:05:06 07:08:09"] * 2 + [None] * 2
     saved = {r.path.rsplit("/", 1)[-1]: (r.before, r.after) for r in C.jpeg_savings(raw).collect()}
     assert saved["report"][1] is None and saved["photo"][0] - saved["photo"][1] == len(tiff()) + 6 + 4 + 6
     assert C.digests(raw).count() == 2
@@ -263,9 +320,9 @@ def test_dump_history_and_pixels(spark, tmp_path):
 def test_streams(spark, tree, tmp_path_factory):
     tmp_path = tmp_path_factory.mktemp("out")
     inv = I.read_inventory(spark, tree)
-    stream = spark.readStream.format("file_inventory").option("path", tree).load().where("kind = 'file'")
+    stream = spark.readStream.format("file_inventory").option("path", tree).option("settle", -5).load().where("kind = 'file'")
     out = str(tmp_path / "plans")
-    W.watch(stream, lambda b: P.by_type(b.select("walk_seq", "rel_path", "name", "size")), out, str(tmp_path / "ck"), settle_s=-5).awaitTermination(90)
+    W.watch(stream, lambda b: P.by_type(b.select("walk_seq", "rel_path", "name", "size")), out, str(tmp_path / "ck")).awaitTermination(90)
     want = {(r.src, r.dst) for r in P.by_type(I.files(inv).select("walk_seq", "rel_path", "name", "size")).collect()}
     assert {(r.src, r.dst) for r in spark.read.parquet(out).collect()} == want
     path = str(tmp_path / "in")
