@@ -23,7 +23,7 @@ from stowage.llm import common as C
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
 #: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a worker remembers; what an entry takes
 #: besides its characters and ids.
-GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 128 << 20, 220
+GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 48 << 20, 220
 
 
 class _Memo:

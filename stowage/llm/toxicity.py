@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: A word counts as often as it occurs to the power DAMP; PAD words of nothing are averaged in; a run without blanks counts as one word
 #: for each RUN characters or part of them.
 DAMP, PAD, RUN = 0.5, 50, 32
+#: Bytes of text taken at once: the arrays of their n-grams take about a hundred times as much.
+PART = 1 << 19
 #: Of a code point: 2 blank, 1 letter, digit or other sign of words, 0 anything else, which is left out, so that i.d.i.o.t is idiot.
 _KIND = np.array([2 if chr(i).isspace() else int(chr(i).isalnum()) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.uint8)
 _FACTORS = C.mix(np.arange(101, 112, dtype=np.uint64)) | np.uint64(1)
@@ -97,7 +98,7 @@ class Words:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in C.parts(batches):
+    for batch in C.parts(batches, PART):
         rows = Words(batch.column("text").to_pylist()).features()
         cols = [batch.column("label"), batch.column("id"), pa.array([b for b, _ in rows], pa.list_(pa.int32())), pa.array([s for _, s in rows], pa.list_(pa.float32()))]
         yield pa.RecordBatch.from_arrays(cols, names=["label", "id", "buckets", "shares"])
@@ -140,7 +141,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 def _probabilities(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, bias = model.value
-        for batch in C.parts(batches):
+        for batch in C.parts(batches, PART):
             scores = 1 / (1 + np.exp(-np.clip(Words(batch.column("text").to_pylist()).log_odds(value, bias), -500, 500)))
             at = batch.schema.get_field_index("text")
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(scores, pa.float64()), batch.column(at)]
@@ -159,21 +160,24 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     texts = texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.select("label", "id", "text").mapInArrow(_features, "label int, id long, buckets array<int>, shares array<float>")
-    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_task, "value binary, bias double").collect()
-    if not found:
-        return np.zeros(BUCKETS, np.float32), -5.0
+    found = rows.repartition(1).mapInArrow(_fit_task, "value binary, bias double").collect()
     return np.frombuffer(found[0].value, np.float32), found[0].bias
 
 
-def _fit_task(rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fit of the whole sample, in one task: its size is bounded by SAMPLE, and the driver holds none of it."""
-    rows = rows.sort_values("id")
-    y = rows["label"].to_numpy(np.int64)
-    if len(set(y)) < 2:
-        value, bias = np.zeros(BUCKETS, np.float32), 5.0 if y[0] else -5.0
+    rows: list[tuple] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            buckets, shares = (batch.column(c)[i].values.to_numpy().copy() for c in ("buckets", "shares"))
+            rows.append((batch.column("id")[i].as_py(), batch.column("label")[i].as_py(), buckets, shares))
+    rows.sort(key=lambda r: r[0])
+    y = np.array([r[1] for r in rows], np.int64)
+    if len(set(y.tolist())) < 2:
+        value, bias = np.zeros(BUCKETS, np.float32), 5.0 if len(y) and y[0] else -5.0
     else:
-        value, bias = fit(list(zip(rows["buckets"], rows["shares"], strict=True)), y)
-    return pd.DataFrame({"value": [value.tobytes()], "bias": [bias]})
+        value, bias = fit([r[2:] for r in rows], y)
+    yield pa.RecordBatch.from_pylist([{"value": value.tobytes(), "bias": bias}])
 
 
 def held_out_sql(col: str, n: int, rest: int) -> str:
