@@ -20,8 +20,9 @@ from stowage.llm import common as C
 
 #: Vectors the fit takes at most (those with the smallest hash of id); codebooks and codewords each; beam; alternations of the fit.
 SAMPLE, BOOKS, WORDS, BEAM, TURNS = 8000, 16, 256, 6, 2
-#: Candidates reranked per query; vectors per index shard; queries per block; queries a task holds the best of before it passes them on.
-RERANK, SHARD, QUERIES, HELD = 800, 20_000, 256, 4096
+#: Candidates reranked per query: so many times the square root of the number of vectors, but RERANK at least; vectors per index shard;
+#: queries that are sent to the tasks at once, and scored together.
+RERANK, GROWTH, SHARD, QUERIES, TOGETHER = 800, 4, 20_000, 4096, 256
 
 
 def _encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -104,40 +105,33 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], rerank: int) -> tuple[np
     return ids[best], score[best]
 
 
-def _scan(books, rerank: int):
+def _scan(books, queries, rerank: int):
     """Per task and query one row with the rerank best ids by code, ties to the smaller id, of all shards that the task met."""
     schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pylist([{"query_id": q, "ids": i, "scores": s} for q, (i, s) in best.items()], schema=schema)
-            best.clear()
-            return out
-
+        q_ids, all_queries = queries.value
         for batch in batches:
             for row in batch.to_pylist():
                 ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 order = np.argsort(ids, kind="stable")
                 ids, norms, codes = ids[order], norms[order], codes[order]
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q"], np.float64).reshape(len(q_ids), -1).astype(np.float32)
-                tables = np.einsum("mwd,qd->mwq", books.value, q)
-                for i, q_id in enumerate(q_ids.tolist()):
-                    score = norms.copy()
-                    for m in range(codes.shape[1]):
-                        score -= 2 * tables[m, codes[:, m], i]
-                    score = np.round(score, 5)  # equal codes: equal scores
-                    near = _smallest(score, min(len(ids), rerank + 1))
-                    near = near[ids[near] != q_id][:rerank]
-                    own = (ids[near], score[near])
-                    best[q_id] = _merged([best[q_id], own], rerank) if q_id in best else own
-                if len(best) > HELD:
-                    yield flush()
-        if best:
-            yield flush()
+                for lo in range(0, len(q_ids), TOGETHER):
+                    q = all_queries[lo : lo + TOGETHER]
+                    tables = np.einsum("mwd,qd->mqw", books.value, q)
+                    for i, q_id in enumerate(q_ids[lo : lo + TOGETHER].tolist()):
+                        score = norms.copy()
+                        for m in range(codes.shape[1]):
+                            score -= 2 * tables[m, i][codes[:, m]]
+                        near = _smallest(score, min(len(ids), rerank + 1))
+                        near = near[ids[near] != q_id][:rerank]
+                        own = (ids[near], score[near])
+                        best[q_id] = _merged([best[q_id], own], rerank) if q_id in best else own
+        items = list(best.items())
+        for lo in range(0, len(items), 64):
+            yield pa.RecordBatch.from_pylist([{"query_id": q, "ids": i, "scores": s} for q, (i, s) in items[lo : lo + 64]], schema=schema)
 
     return run
 
@@ -150,38 +144,45 @@ def _smallest(score: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((near, score[near]))]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
+def _fit_task(sample: pd.DataFrame) -> pd.DataFrame:
+    x = np.stack(sample.sort_values("id")["v"].to_numpy()).astype(np.float32)
+    return pd.DataFrame({"books": [fit(x).tobytes()]})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int | None = None) -> DataFrame:
     """Rows (query_id, rank from 1, vec_id, score): each query's k nearest found by Euclidean distance, its own id left out.
 
-    Distances are exact, in double precision on the original vectors; ties go to the smaller id. Unusable vectors (see usable) take no
-    part on either side; vectors of another length than most of the sample's raise. Repeated rows of an id count as one (the least).
-    The query set is stated by the caller: its blocks meet the index's shards, each pair of them one row of bounded size.
+    Distances are exact, in double precision on the original vectors; ties go to the smaller id. Unusable vectors (see usable), and those
+    of another length than most have (ties: the smaller length), take no part on either side. Repeated rows of an id count as one (the
+    least). The query set is stated by the caller; it is sent to the index's shards in blocks of QUERIES, so no index row is shuffled.
+    rerank: candidates per query that are compared exactly; None: by RERANK and GROWTH.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    sample = usable(vectors, id_col, vec_col).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    if not len(sample):
+    all_ = usable(vectors, id_col, vec_col)
+    lengths = all_.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(np.stack(sample.sort_values("id")["v"].to_numpy()).astype(np.float32))
-    index = build_index(rows, books)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pdf.iloc[i : i + QUERIES] for i in range(0, len(pdf), QUERIES)]
-        return pd.DataFrame({"q_ids": [p["id"].to_numpy(np.int64).tobytes() for p in parts], "q": [np.stack(p["v"].to_numpy()).astype(np.float64).tobytes() for p in parts]})
-
-    count = max(1, -(-asked.count() // QUERIES))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b")).applyInPandas(block, "q_ids binary, q binary")
-    shards = [r.shard for r in index.select("shard").collect()]  # one number per SHARD vectors or task
-    placed = blocks.withColumn("shard", F.explode(F.array(*map(F.lit, shards))))
-    scanned = placed.join(index, "shard").mapInArrow(_scan(spark.sparkContext.broadcast(books), rerank), "query_id long, ids array<long>, scores array<float>")
+    dim, whole = lengths["n"], F.size("v") == lengths["n"]
+    rerank = max(RERANK, int(GROWTH * lengths["count"] ** 0.5)) if rerank is None else rerank
+    rows = C.stored(all_.where(whole).groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    asked = C.stored(usable(queries, id_col, vec_col).where(whole).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_task, "books binary").first()
+    books = np.frombuffer(found.books, np.float32).reshape(BOOKS, WORDS, dim)
+    index, sent = build_index(rows, books), spark.sparkContext.broadcast(books)
+    blocks, best = max(1, -(-asked.count() // QUERIES)), None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
+        some = (part["id"].to_numpy(np.int64), np.array(part["v"].to_list(), np.float32).reshape(len(part), dim))
+        scanned = index.mapInArrow(_scan(sent, spark.sparkContext.broadcast(some), rerank), "query_id long, ids array<long>, scores array<float>")
+        best = scanned if best is None else best.union(scanned)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, _ = _merged([(np.asarray(i, np.int64), np.asarray(s, np.float32)) for i, s in zip(pdf["ids"], pdf["scores"], strict=True)], rerank)
         return pd.DataFrame({"query_id": key[0], "id": ids})
 
-    found = scanned.groupBy("query_id").applyInPandas(merge, "query_id long, id long")
-    exact = found.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    near = best.groupBy("query_id").applyInPandas(merge, "query_id long, id long")
+    exact = near.join(rows, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     exact = exact.select("query_id", F.col("id").alias("vec_id"), gap.alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
