@@ -22,6 +22,7 @@ from stowage.llm import common as C
 from stowage.llm import decontaminate as DC
 from stowage.llm import html_text as H
 from stowage.llm import lang_id as L
+from stowage.llm import license_scan as LS
 from stowage.llm import ngram_join as NJ
 from stowage.llm import packing as PK
 from stowage.llm import pii
@@ -297,6 +298,13 @@ def test_license_sql(spark):
     assert sorted(map(tuple, Q.op7_license_scan(spark, SF).collect()), key=str) == sorted(con.execute(Q.ORACLE["op7_license_scan"]).fetchall(), key=str)
     rows = [(1, "x\nReleased under the MIT license"), (2, None), (3, "")]
     assert {tuple(r) for r in Q.license_scan(docs_of(spark, rows)).collect()} == {(1, "MIT", 1.0, 1), (2, None, 0.0, 0), (3, None, 0.0, 0)}
+    whole = {name: text for name, text in LS.TEMPLATES if len(text) > 500}
+    wrapped = lambda t, n=9: "\n# ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [(i, f"#!/bin/x\nCopyright someone\n\n# {wrapped(t)}\n\ncode = 1\n" + "more code here\n" * 200) for i, t in enumerate(whole.values())]
+    rows += [(90, "It is a long paragraph. This file is Released under the MIT License. And it goes on and on."), (91, "permission is " * 50), (92, "mit"), (92, "mit")]
+    got = {r.doc_id: r.license_id for r in Q.license_scan(docs_of(spark, rows)).collect()}
+    assert {i: got[i] for i in range(len(whole))} == dict(enumerate(whole)) and got[90] == "MIT" and got[91] is None
+    assert Q.license_scan(docs_of(spark, rows).limit(0)).count() == 0
 
 
 def test_pseudonyms(spark):
