@@ -259,7 +259,7 @@ def test_page_text(spark):
 def test_neighbours_over_several_ranges(spark):
     n = 60_000  # over 10 MB
     lines = F.array(F.col("id"), *(F.xxhash64("id", F.lit(k)) for k in range(24)))
-    pages = spark.range(n, numPartitions=8).select(F.lit("h").alias("host"), F.format_string("/p/%06d", "id").alias("path"), lines.alias("lines"))
+    pages = spark.range(n, numPartitions=8).select(F.lit("h").alias("host"), F.format_string("/p/%06d", "id").alias("path"), F.col("id").alias("digest"), lines.alias("lines"))
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
@@ -408,3 +408,44 @@ def test_toxicity_odd_tables(spark):
     scores = {(r.doc_id, r.text): r.llm_toxic_score for r in got.collect()}
     assert scores[(2, "you scum 2")] > scores[(3, "good calm text 3")] and {r.toxic_score for r in got.collect()} == {"mine"}
     assert TX.toxicity(docs.limit(0), labels).count() == 0 and TX.toxicity(docs, labels.limit(0)).where("toxic_predicted = 1").count() == 0
+
+
+def test_neighbours_are_the_nearest_that_are_no_copies(spark):
+    rng, rows = random.Random(4), []
+    for host, kinds in (("a", 3), ("b", 1), ("c", 5), ("d", 2)):
+        for i in range(120):
+            rows.append((host, f"/{rng.randrange(3)}/{i:03d}", rng.randrange(kinds) if i % 50 < 10 else 0))
+    pages = spark.createDataFrame([(h, p, d, [d, k]) for k, (h, p, d) in enumerate(rows)], "host string, path string, digest long, lines array<long>")
+    lines = {(h, p, d): [d, k] for k, (h, p, d) in enumerate(rows)}
+    want = {}
+    for host in "abcd":
+        own = sorted(x for x in lines if x[0] == host)
+        for i, (_, path, digest) in enumerate(own):
+            before = next((x for x in reversed(own[:i]) if x[2] != digest), None)
+            after = next((x for x in own[i + 1 :] if x[2] != digest), None)
+
+            def shared(x, path=path):
+                return -1 if x is None else sum(1 for _ in itertools.takewhile(lambda ab: ab[0] == ab[1], zip(path.split("/"), x[1].split("/"), strict=False)))
+
+            if before or after:
+                want[(host, path, digest)] = lines[before if shared(before) >= shared(after) else after]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "40"):  # 40 ranges: some hold nothing but copies of one page
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {(r.host, r.path, r.digest): r.near for r in H.neighbours(pages).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_page_text_of_copies_hosts_and_empty_tables(spark):
+    bare = "<body><div>Site</div><div>Page {0}</div><p>text {0} of the page which is long enough</p><p>more {0}</p><div>Imprint</div>"
+    rows = [(i, f"http://h.c/d/{min(i, 3)}{'x' * (i < 3)}", bare.format(min(i, 3))) for i in range(1, 6)] + [(i, f"http://one.org/{i}", bare.format("same")) for i in (7, 8)] + [(9, "http://h.d/d/1", bare.format(9)), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "host": F.lit(1)})
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    two = "Page {0}\n\ntext {0} of the page which is long enough\n\nmore {0}"
+    assert {i: got[i] for i in range(1, 6)} == {i: two.format(min(i, 3)) for i in range(1, 6)}  # copies of page 3 have pages 1 and 2 as partners
+    assert got[7] == got[8] == "Site\n\n" + two.format("same") + "\n\nImprint" and got[9].startswith("Site") and got[None] == ""
+    assert H.main_text(pages.limit(0)).count() == 0
