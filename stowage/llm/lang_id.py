@@ -19,17 +19,17 @@ _BITS = np.int64(21)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the letter n-grams of 1 to 3, lower-cased; 0 stands for a run of other characters. A code is exact: 21 bits a
+    """(codes, counts) of the letter n-grams of 1 to 3, lower-cased; 1 stands for a run of other characters. A code is exact: 21 bits a
     character."""
     cp = np.frombuffer(f" {text or ''} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letter = _LETTER[np.minimum(cp, 0xFFFF)]
     for i in np.flatnonzero(cp > 0xFFFF):
         letter[i] = chr(cp[i]).isalpha()
-    cp = np.where(letter, cp, 0)
-    cp = cp[np.append(True, (cp[1:] != 0) | (cp[:-1] != 0))]
+    cp = np.where(letter, cp, 1)
+    cp = cp[np.append(True, (cp[1:] != 1) | (cp[:-1] != 1))]
     two = (cp[:-1] << _BITS) | cp[1:]
-    three = ((two[:-1] << _BITS) | cp[2:])[cp[1:-1] != 0] if len(cp) > 2 else two[:0]
-    codes = np.sort(np.concatenate([cp[cp != 0], two[two != 0], three]))
+    three = ((two[:-1] << _BITS) | cp[2:])[cp[1:-1] != 1] if len(cp) > 2 else two[:0]
+    codes = np.sort(np.concatenate([cp[cp != 1], two, three]))
     at = np.flatnonzero(np.diff(codes, prepend=-1))
     return codes[at], np.diff(np.append(at, len(codes)))
 

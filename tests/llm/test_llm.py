@@ -449,3 +449,133 @@ def test_page_text_of_copies_hosts_and_empty_tables(spark):
     assert {i: got[i] for i in range(1, 6)} == {i: two.format(min(i, 3)) for i in range(1, 6)}  # copies of page 3 have pages 1 and 2 as partners
     assert got[7] == got[8] == "Site\n\n" + two.format("same") + "\n\nImprint" and got[9].startswith("Site") and got[None] == ""
     assert H.main_text(pages.limit(0)).count() == 0
+
+
+def plain_profile(texts, k):
+    """[n-gram] of 1 to 3 letters by definition: most frequent first, ties by code points; a gap between words is a blank."""
+    count = Counter()
+    for t in texts:
+        s = re.sub(" +", " ", "".join(c if c.isalpha() and not 0xD800 <= ord(c) < 0xE000 else " " for c in f" {t or ''} ".lower()))
+        count.update(c for c in s if c != " ")
+        count.update(s[i : i + 2] for i in range(len(s) - 1))
+        count.update(s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " ")
+    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], len(x[0]), [1 if c == " " else ord(c) for c in x[0]]))][:k]
+
+
+@pytest.mark.parametrize("at_once", [1000, 2])
+def test_language_by_definition(spark, monkeypatch, at_once):
+    monkeypatch.setattr(L, "LANGUAGES_AT_ONCE", at_once)
+    rng = random.Random(6)
+    alphabets = {"a": "abcd", "b": "abxy", "c": "äßéø", "d": "abcd", "e": "wxyz"}
+    train = [(i, lang, " ".join("".join(rng.choice(x) for _ in range(rng.randrange(1, 6))) for _ in range(9))) for i, (lang, x) in enumerate(sorted(alphabets.items()) * 4)]
+    train += [(90, None, "zzz"), (91, "a", None), (92, "e", "")]
+    docs = [(i, t) for i, _, t in train] + [(200 + i, "".join(rng.choice("abcdxyzäß .1") for _ in range(40))) for i in range(30)] + [(300, None), (301, ""), (302, "12 ."), (303, "x" * 50_000), (304, "\U0001d400 a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs_of(spark, docs), spark.createDataFrame(train, "doc_id long, lang string, text string"), k=20).collect()}
+    profiles = {lang: {g: i for i, g in enumerate(plain_profile([t for _, x, t in train if x == lang], 20))} for lang in alphabets}
+    for i, t in docs:
+        own = plain_profile([t], 20)
+        if not own:
+            assert got[i] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else 20 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (best, pytest.approx(1 - far[best] / (20 * len(own)))), (t, far)
+
+
+def test_dates_stay_apart_and_phones_stay_valid():
+    key, seen = b"k", {}
+    for d in range(1, 32):
+        for m in range(1, 32):
+            for y in ("2020", "2021"):
+                s = f"{d:02d}/{m:02d}/{y}"
+                if (new := pii.calendar_date(s, key)) is not None:
+                    assert new not in seen and pii.calendar_date(new, key) is not None and pii._read_date(*new.split("/"))[0] == pii._read_date(*s.split("/"))[0]
+                    seen[new] = s
+                else:
+                    assert d > 12 and m > 12 or d > 31 or not pii._read_date(f"{d:02d}", f"{m:02d}", y)[0]
+    assert pii.calendar_date("31/12/1850", key) is None
+    rng, new = random.Random(1), set()
+    for _ in range(500):
+        s = f"+1 ({rng.randrange(2, 10)}{rng.randrange(100):02d}) {rng.randrange(2, 10)}{rng.randrange(100):02d}-{rng.randrange(10000):04d}"
+        out = pii.phone(s, key)
+        assert re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", out)
+        new.add(out)
+    assert len(new) > 490
+    assert re.fullmatch(r"\+44 [1-9]\d \d{4} \d{4}", pii.phone("+44 20 7946 0958", key))
+
+
+def test_pseudonyms_of_long_texts_and_empty_tables(spark):
+    import time
+
+    text = " ".join(f"{1 + i % 28:02d}/{1 + i % 12:02d}/{1950 + i % 100}" for i in range(40_000))
+    began = time.time()
+    _, counts = pii.pseudonymise(text, b"k")
+    assert counts == {"date": 40_000} and time.time() - began < 30
+    assert pii.pseudonyms(docs_of(spark, [(1, "x")]).limit(0), b"k").count() == 0
+
+
+def test_decontamination_with_more_terms_than_are_sent(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 6])))) for i in range(40)]
+    rows = [(i, " ".join(rng.choices([*words, "z"], k=rng.choice([0, 1, 4, 60])))) for i in range(200)] + [(900, "z " * 200_000 + "w1 w2 w3")]
+    monkeypatch.setattr(DC, "MOST_TERMS", 3)
+    monkeypatch.setattr(DC, "WINDOWS_AT_ONCE", 20)
+    got = DC.contamination(docs_of(spark, rows, 5), spark.createDataFrame(items, "item_id long, text string"), 3)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_hits(rows, items, 3)
+
+
+def test_nearest_reranks_a_part_only(spark):
+    """4000 vectors and 150 candidates, so that the codes decide; a tight group of copies and vectors of another length among them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16))
+    x[1000:1400] = x[5] + rng.normal(0, 0.02, (400, 16))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    odd = [(5000, [1.0, 2.0]), (5100, None), (5200, [0.0] * 16), (5300, [1.0] * 15 + [float("inf")]), (5400, []), (None, [1.0] * 16), (7, x[7].tolist())]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in AQ.nearest(df, df.where("vec_id % 100 = 0"), 10, rerank=150).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, 4000, 100))
+    hit = 0
+    for i, found in got.items():
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(found) & set(np.lexsort((np.arange(4000), d))[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(got)
+
+
+def test_empty_tables_and_long_texts(spark):
+    none = docs_of(spark, [(1, "x")]).limit(0)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert PK.best_fit_packing(none, path).count() == 0
+    assert TC.token_counts(none, [b"a"]).count() == 0
+    assert DC.contamination(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    assert L.predict(none, spark.createDataFrame([("a", "x y")], "lang string, text string")).count() == 0
+    long = "lorem ipsum dolor " * 100_000
+    rows = PK.best_fit_packing(docs_of(spark, [(1, long)]), path).collect()
+    assert sum(r.length for r in rows) == len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids) + 1
+    assert TC.token_counts(docs_of(spark, [(1, long)]), TC.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))).first().n_words == 300_000
+    assert [tuple(r) for r in NJ.jaccard_components(docs_of(spark, [(1, long), (2, long + "x")]), 3, 90).orderBy("doc_id").collect()] == [(1, 3, 1), (2, 4, 2)]
+
+
+def test_pipeline_stages_with_nulls_repeats_and_no_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    columns = "doc_id long, text string, lang string, source string, n_chars long, toxic_score string, component_id string, _row_key string"
+    card = "4111 1111 1111 1111"
+    rows = [(i, f"calm words here number {i} and so on" if i % 2 else f"you total scum idiot {i}", "en", "s", 5, "t", "c", "k") for i in range(40)]
+    rows += [(None, None, None, None, None, None, None, None), (None, "calm", None, None, 1, None, None, None), (41, "", "", "", 0, "", "", ""), (43, f"calm {card}", "en", "s", 9, "t", "c", "k"), (45, "calm", "x", "y", 4, "t", "c", "k"), (45, "calm", "x", "y", 4, "t", "c", "k")]
+    docs = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b", "calm words here number 3 and so on")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    kept = pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {1, 3, 41, 43, 45} <= {r.doc_id for r in kept.collect()}
+    one = pipeline.one_of_near_duplicates(spark, docs, str(tmp_path))
+    assert Counter(r.text for r in one.collect())["calm"] == 1 and one.where("text is null").count() == 1 and one.where("text = 'calm'").first().doc_id == 45
+    clean = pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.count() == docs.count() - 1 and clean.where("doc_id = 3").count() == 0
+    private = pipeline.without_personal_data(spark, docs, str(tmp_path))
+    assert private.where(F.col("text").contains(card)).count() == 0 and private.count() == docs.count() and private.where("text is null").first().n_chars is None
+    assert pipeline.packed(spark, docs, str(tmp_path)).count() == docs.count()
