@@ -19,17 +19,25 @@ from stowage.llm.pii import pseudonyms
 from stowage.llm.toxicity import toxicity
 
 #: A row's own key within a stage, since ids may be null or repeated.
-KEY = "_row_key"
+KEY = "_stage_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where("toxic_predicted = 0").select(docs.columns)
+    """Documents that the toxicity model doesn't reject. Null and wordless texts get the model's bias, repeated rows a row each."""
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no column of docs can be taken for a result
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", at["doc_id"])
+    return toxicity(named, labels, at["doc_id"], at["text"]).where("toxic_predicted = 0").select(*named.columns).toDF(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id."""
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id (null ids last, then the
+    smaller hash). Null and wordless texts link with nothing; of rows equal in id and text one stays."""
+    keyed = _keyed(docs)
     groups = jaccard_components(keyed, n=5, percent=80, id_col=KEY).distinct()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
     members = keyed.select("doc_id", KEY).distinct().join(groups.select(F.col("doc_id").alias(KEY), "component_id"), KEY)
@@ -38,19 +46,20 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten consecutive words of the benchmark."""
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    """Documents without any ten consecutive words of the benchmark, nor a whole shorter item. Each row is judged by its own text; null
+    and wordless texts stay."""
+    keyed = _keyed(docs)
     hit = contamination(keyed, table(spark, sf_dir, "benchmark"), width=10, id_col=KEY).where("contaminated").select(F.col("doc_id").alias(KEY)).distinct()
     return keyed.join(hit, KEY, "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
+    """All documents, with pseudonyms for personal data, and n_chars of the new text (null for a null text)."""
     return pseudonyms(docs, Q.pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 4096 tokens."""
+    """The pieces of all documents, placed in sequences of 4096 tokens; a null or empty text is its end token alone."""
     return best_fit_packing(docs, Q.tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
@@ -61,7 +70,8 @@ STAGES = [
     ("personal_data", without_personal_data),
     ("packing", packed),
 ]
-#: The learned toxicity model and the tokenizer can't be expressed in SQL; the tests hold the stages against brute force.
+#: The learned toxicity model and the tokenizer can't be expressed in SQL; the tests hold each stage's operator against brute force, and
+#: the stages' own decisions on small tables.
 ORACLE_SQL = None
 
 
