@@ -31,8 +31,9 @@ KEY, HELD, SET, DOC, NO_ID = 0, 1, 2, 3, 4
 #: of the set's mark. n: size of the set. id: of SET rows the smallest id of the set in its chunk, of DOC rows the document's own.
 _ROW = "pkey long, kind int, doc long, a long, b long, n long, id long"
 _SALTS = [int(C.mix1(i + 77)) for i in range(4)]
-#: Ranges of the order in which overlaps are counted; most documents of a bucket joined as pairs of rows; documents per block of a larger one.
-FRAGMENTS, SMALL, BLOCK = 4, 32, 1024
+#: Ranges of the order in which overlaps are counted; most documents of a bucket joined as pairs of rows; documents per block of a larger one;
+#: documents up to which the list of those with candidates is sent to the tasks instead of shuffling all texts (8 bytes each).
+FRAGMENTS, SMALL, BLOCK, SENT_DOCS = 4, 32, 2048, 1_000_000
 #: The low bits of a fragment key hold the number of its size band.
 _BAND_BITS = 7
 
@@ -188,11 +189,15 @@ def _by_rows(open_: DataFrame, percent: int) -> DataFrame:
     return shared.where("m >= need").select("a", "b")
 
 
-def _joined(link: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
-    """Pairs (a, b) that join all documents which hang together by links: a star for each group, not the links themselves."""
+def _joined(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """Pairs (a, b) that join all documents which hang together by links between left and right: a star for each group, not the links."""
+    docs, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    none, at_left, at_right = np.int32(len(docs)), place[: len(left)], place[len(left) :]
     label = np.arange(len(docs), dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(link, label[None, :], np.int32(len(docs))).min(1, initial=len(docs)))
+        least = label.copy()
+        np.minimum.at(least, at_right, np.where(link, label[at_left][:, None], none).min(0, initial=none))
+        np.minimum.at(least, at_left, np.where(link, label[at_right][None, :], none).min(1, initial=none))
         least = least[least]
         if (least == label).all():
             break
@@ -201,19 +206,24 @@ def _joined(link: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": docs[far], "b": docs[label[far]]})
 
 
-def _common(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
-    """How many codes each two of n owners share, by products of incidence matrices over a bounded number of codes."""
-    shared = np.zeros((n, n), np.float32)
-    _, code, count = np.unique(code, return_inverse=True, return_counts=True)
-    twice = count[code] > 1
-    code, owner = (np.cumsum(count > 1) - 1)[code[twice]], owner[twice]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for lo in range(0, int(code.max(initial=-1)) + 1, 2048):
-        x, y = np.searchsorted(code, [lo, lo + 2048])
-        has = np.zeros((n, 2048), np.float32)
-        has[owner[x:y], code[x:y] - lo] = 1
-        shared += has @ has.T
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many codes each of left shares with each of right, by products of incidence matrices over a bounded number of codes."""
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    codes = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
+    both = np.intersect1d(*codes)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for k in range(2):
+        at = np.minimum(np.searchsorted(both, codes[k]), max(len(both) - 1, 0))
+        met = both[at] == codes[k] if len(both) else np.zeros(len(at), bool)
+        order = np.argsort(at[met], kind="stable")
+        codes[k], owner[k] = at[met][order], owner[k][met][order]
+    for lo in range(0, len(both), 1024):
+        has = []
+        for k, side in enumerate((left, right)):
+            x, y = np.searchsorted(codes[k], [lo, lo + 1024])
+            has.append(np.zeros((len(side), 1024), np.float32))
+            has[k][owner[k][x:y], codes[k][x:y] - lo] = 1
+        shared += has[0] @ has[1].T
     return shared
 
 
@@ -233,13 +243,13 @@ def _possible(large: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     most = [most_different(int(2 * (b - 1)), percent) for b in size_bands(percent)[1:]]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, component, own, size = (pdf[c].to_numpy() for c in ("doc", "component", "own", "n"))
-        lists = pdf["keys"].to_list()
-        shared = _common(np.repeat(np.arange(len(docs)), [len(k) for k in lists]), np.concatenate(lists), len(docs))
-        need = np.maximum(1, most[int(pdf["band"].iloc[0])] - most_different(size[:, None] + size[None, :], percent) + 1)
-        fits = (shared >= need) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
-        fits &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
-        return _joined(fits, docs)
+        x, y = (pdf[pdf["own"] == k] for k in key[1:])
+        shared = _common(x["keys"].to_list(), y["keys"].to_list())
+        nx, ny = x["n"].to_numpy(np.int32)[:, None], y["n"].to_numpy(np.int32)[None, :]
+        fits = shared >= np.maximum(1, most[int(pdf["band"].iloc[0])] + 1 - most_different(nx + ny, percent))
+        fits &= 100 * np.minimum(nx, ny).astype(np.int64) >= percent * np.maximum(nx, ny).astype(np.int64)
+        fits &= x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]
+        return _joined(fits, x["doc"].to_numpy(), y["doc"].to_numpy())
 
     return dealt.groupBy("key", "p", "q").applyInPandas(run, "a long, b long")
 
@@ -250,15 +260,18 @@ def _in_families(families: DataFrame, ranges: DataFrame, percent: int) -> DataFr
     dealt = _dealt(families, "family", "n").join(ranges, "doc")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        docs, first, at = np.unique(pdf["doc"].to_numpy(), return_index=True, return_inverse=True)
-        component, own, size = (pdf[c].to_numpy()[first] for c in ("component", "own", "size"))
-        shared = np.zeros((len(docs), len(docs)), np.float32)
-        for _, rows in pdf.groupby("fragment").indices.items():
-            grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"].iloc[rows]]
-            shared += _common(np.repeat(at[rows], [len(g) for g in grams]), np.concatenate(grams), len(docs))
-        link = 100 * shared.astype(np.int64) >= percent * (size[:, None] + size[None, :] - shared.astype(np.int64))
-        link &= (component[:, None] != component[None, :]) & ((own[:, None] != own[None, :]) | (key[1] == key[2]))
-        return _joined(link, docs)
+        sides = []
+        for k in key[1:]:
+            side = pdf[pdf["own"] == k]
+            docs, first, at = np.unique(side["doc"].to_numpy(), return_index=True, return_inverse=True)
+            grams = [[np.zeros(0, np.uint64)] * len(docs) for _ in range(FRAGMENTS)]
+            for i, fragment, raw in zip(at, side["fragment"], side["grams"], strict=True):
+                grams[fragment][i] = np.frombuffer(raw, np.uint64)
+            sides.append((docs, side["component"].to_numpy()[first], side["size"].to_numpy()[first], grams))
+        (x, cx, nx, gx), (y, cy, ny, gy) = sides
+        shared = sum(_common(a, b) for a, b in zip(gx, gy, strict=True)).astype(np.int64)
+        link = (100 * shared >= percent * (nx[:, None] + ny[None, :] - shared)) & (cx[:, None] != cy[None, :])
+        return _joined(link, x, y)
 
     return dealt.groupBy("family", "p", "q").applyInPandas(run, "a long, b long")
 
@@ -292,7 +305,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     for c in ("doc", "lead"):
         star = star.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     tested = C.stored(_pairs(star, "doc", "lead"), "pairs")
-    texts = docs.select("doc", "text").join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    wanted = C.stored(members.select("doc").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
+    texts = docs.select("doc", "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
     ranges = C.stored(texts.mapInArrow(_ranges(n), "doc long, fragment int, size long, grams binary"), "ranges")
     found = connected_components(C.stored(_verified(tested, ranges, percent), "links"))
 

@@ -75,6 +75,7 @@ def near_rows(seed, n=260):
 def test_jaccard_against_brute_force(spark, monkeypatch, n, percent, small):
     monkeypatch.setattr(NJ, "SMALL", small)
     monkeypatch.setattr(NJ, "BLOCK", 5 if small == 2 else 256)
+    monkeypatch.setattr(NJ, "SENT_DOCS", 5 if small == 2 else 10**6)
     rows = near_rows(n)
     got = {r[0]: (r[1], r[2]) for r in NJ.jaccard_components(docs_of(spark, rows), n, percent).collect()}
     assert got == brute_groups(rows, n, percent)
