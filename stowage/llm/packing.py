@@ -23,7 +23,9 @@ from stowage.llm import common as C
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
 #: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a worker remembers; what an entry takes
 #: besides its characters and ids.
-GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 48 << 20, 220
+GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 160 << 20, 220
+#: Bytes of text taken at once; the more, the fewer runs are looked up twice.
+PART = 1 << 22
 
 
 class _Memo:
@@ -84,7 +86,7 @@ def token_ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
     if path not in _MEMOS:
         _MEMOS[path] = _Memo(path)
     memo = _MEMOS[path]
-    for lo, hi in C.by_bytes(texts):
+    for lo, hi in C.by_bytes(texts, PART):
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
         memo.learn(set(chain.from_iterable(split)))
         for runs in split:
@@ -96,7 +98,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
-        for batch in C.parts(batches):
+        for batch in C.parts(batches, PART):
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for doc, tokens in zip(ids, token_ids(texts, path), strict=True):
