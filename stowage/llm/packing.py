@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
-#: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a worker remembers; what an entry takes
+#: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a task remembers; what an entry takes
 #: besides its characters and ids.
 GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 160 << 20, 220
 #: Bytes of text taken at once; the more, the fewer runs are looked up twice.
-PART = 1 << 22
+#: Words encoded at once, as the tokenizer's own results are large.
+PART, AT_ONCE = 1 << 21, 2000
 
 
 class _Memo:
@@ -38,10 +39,13 @@ class _Memo:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        if path not in _TOKENIZERS:  # a worker keeps it from task to task; what it remembers of texts goes with the task
+            tokenizer = Tokenizer.from_file(path)
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(1 + max(vocabulary.values()), bool)
+            ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+            _TOKENIZERS[path] = tokenizer, ends
+        self.tokenizer, self.ends = _TOKENIZERS[path]
         self.runs: dict[str, bytes] = {}  # ids as 32-bit little-endian numbers
         self.words: dict[str, bytes] = {"": b""}
         self.size = 0
@@ -63,8 +67,9 @@ class _Memo:
             else:
                 self.runs[run] = self.encode(run).tobytes()
                 self.size += ENTRY + len(run) + len(self.runs[run])
-        words = [w for w in {p[1] for p in plain} if w not in known]
-        if words:
+        new = [w for w in {p[1] for p in plain} if w not in known]
+        for lo in range(0, len(new), AT_ONCE):
+            words = new[lo : lo + AT_ONCE]
             ids = self.encode(" ".join(words))
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(words):
@@ -79,13 +84,10 @@ class _Memo:
         self.size += sum(ENTRY // 2 + len(run) for run, _, _ in plain)
 
 
-_MEMOS: dict[str, _Memo] = {}
+_TOKENIZERS: dict[str, tuple] = {}
 
 
-def token_ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    if path not in _MEMOS:
-        _MEMOS[path] = _Memo(path)
-    memo = _MEMOS[path]
+def token_ids(texts: list[str | None], memo: _Memo) -> Iterator[np.ndarray]:
     for lo, hi in C.by_bytes(texts, PART):
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
         memo.learn(set(chain.from_iterable(split)))
@@ -97,11 +99,11 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
     """Stored rows (doc_id, piece, start, length, ids_crc32, uid) of all documents; only longer ones than a sequence are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
+        uid, memo = TaskContext.get().partitionId() << 36, _Memo(path)
         for batch in C.parts(batches, PART):
             ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             rows = []
-            for doc, tokens in zip(ids, token_ids(texts, path), strict=True):
+            for doc, tokens in zip(ids, token_ids(texts, memo), strict=True):
                 data = np.append(tokens, np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(data), capacity)):
                     part = data[at : at + capacity]
