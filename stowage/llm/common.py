@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from stowage.operators.components import use_checkpoint_dir
 
@@ -23,7 +24,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = f"{use_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of stored tables that nothing unfinished reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def sent(table: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A stored table, marked to be broadcast if its rows as JSON take at most so many bytes together; else as it is."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64).alias("n")).first().n
+    return F.broadcast(table) if (size or 0) <= most else table
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with idx, their place from 0 in the order among those equal in the columns by (no nulls there), and n, how many those are.
+
+    No key goes through one task: the rows are dealt by ranges of (by, order) and stored with a number that grows within each range;
+    what comes before is one count per key and range.
+    """
+    part = F.shiftright("_at", 33).alias("_part")
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    kept = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    heads = kept.groupBy(*by, part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = sent(stored(heads.select(*by, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("n")), f"{name}-heads"))
+    return kept.withColumn("_part", part).join(heads, [*by, "_part"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
 def crc_mod(doc_id: object, n: int) -> int:

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies one operator, with production parameters, to its whole table."""
+"""The registered queries of the operators: each applies one operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stowage.llm import merkle, source_mix, vector_codes
 from stowage.llm.additive_quant import nearest
 from stowage.llm.common import table
 from stowage.llm.decontaminate import contamination
@@ -79,5 +80,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(held_out_sql("doc_id", 5, 0)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_text, op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_license_scan, op8_decontaminate, op9_pseudonyms, op10_toxicity)}
-ORACLE: dict[str, str] = {"op7_license_scan": duckdb_sql()}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3 in turn; no document comes more than 3 times."""
+    plan = source_mix.mix_plan(table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 parts of 64 entries, two rounds, components times 256."""
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree per source and one over all; documents with an even crc32 of their id are tampered with, by deleting line ends."""
+    fields = lambda text: merkle.leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(even & F.col("text").contains("\n"), fields(F.replace("text", F.lit("\n"), F.lit(""))))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", fields(F.col("text")).alias("leaf"), changed.alias("changed"))
+    found = merkle.manifest(leaves, "leaf", "source", ["doc_id"]).withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_page_text, op2_token_counts, op3_additive_quantisation, op4_ngram_jaccard, op5_best_fit_packing, op6_language_id, op7_license_scan, op8_decontaminate, op9_pseudonyms, op10_toxicity, op11_source_mix, op12_vector_codes, op13_merkle_manifest)}
+ORACLE: dict[str, str] = {"op7_license_scan": duckdb_sql(), "op11_source_mix": source_mix.duckdb_sql(), "op12_vector_codes": vector_codes.duckdb_sql(), "op13_merkle_manifest": merkle.duckdb_sql()}
