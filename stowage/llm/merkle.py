@@ -1,7 +1,7 @@
 """A Merkle manifest of a dataset by lag and lead windows.
 
 Leaves are numbered within their group, and cut into blocks of FANOUT ** LEVELS consecutive ones, so that all siblings of the lowest
-LEVELS levels lie in one block. Within a block the node of level l stands in the row of its first leaf: its siblings are found by lag and
+LEVELS levels lie in one block (fewer levels, where the largest group needs no more). Within a block the node of level l stands in the row of its first leaf: its siblings are found by lag and
 lead of fixed offsets (1 and 2 times FANOUT ** l), masked by the node's slot and the length of its run, and the rows of first children
 hash the parents. The blocks' tops are the leaves of the next pass, the groups' roots those of the last.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from stowage.llm import common as C
 
+#: At most so many levels in one pass: 2187 leaves a block, which a window holds in memory.
 FANOUT, LEVELS = 3, 7
-BLOCK = FANOUT**LEVELS
 PATH = "array<struct<left:string,right:string>>"
 
 
@@ -34,11 +34,11 @@ def proof_digest(path: Column) -> Column:
     return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["left"], s["right"])), ""), 256)
 
 
-def climb(nodes: DataFrame) -> DataFrame:
+def climb(nodes: DataFrame, levels: int) -> DataFrame:
     """nodes (g, idx, n, h, more) with block, path (siblings up to the block's top) and, in a block's first row, its top."""
-    rows = nodes.withColumns({"block": F.floor(F.col("idx") / BLOCK).cast("long"), "h0": F.col("h")})
+    rows = nodes.withColumns({"block": F.floor(F.col("idx") / FANOUT**levels).cast("long"), "h0": F.col("h")})
     w = Window.partitionBy("g", "block").orderBy("idx")
-    for level in range(LEVELS):
+    for level in range(levels):
         step, own = FANOUT**level, f"h{level}"
         node, many = F.floor(F.col("idx") / step).cast("long"), F.col("n") > step
         slot = node % FANOUT
@@ -51,18 +51,18 @@ def climb(nodes: DataFrame) -> DataFrame:
         above = F.when(first, F.when(many, F.sha2(F.concat(own, right), 256)).otherwise(F.col(own)))
         rows = rows.withColumns({f"s{level}": F.when((F.col("idx") % step == 0) & many, F.struct(left.alias("left"), right.alias("right"))), f"h{level + 1}": above})
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    path = F.array(*(F.last(f"s{level}", ignorenulls=True).over(so_far) for level in range(LEVELS)))
-    return rows.select(*nodes.columns, "block", F.filter(path, lambda s: s.isNotNull()).cast(PATH).alias("path"), F.col(f"h{LEVELS}").alias("top"))
+    path = F.array(*(F.last(f"s{level}", ignorenulls=True).over(so_far) for level in range(levels)))
+    return rows.select(*nodes.columns, "block", F.filter(path, lambda s: s.isNotNull()).cast(PATH).alias("path"), F.col(f"h{levels}").alias("top"))
 
 
 def _tree(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(the climbed rows of nodes, the roots (g, root) and, by (g, block), the path that goes on from a block's top)."""
-    passes = []
-    while True:
-        passes.append(C.stored(climb(nodes), f"{name}-{len(passes)}"))
-        nodes = passes[-1].where(F.col("idx") % BLOCK == 0).select("g", F.col("block").alias("idx"), F.ceil(F.col("n") / BLOCK).cast("long").alias("n"), F.col("top").alias("h"))
-        if nodes.where("n > 1").isEmpty():
-            break
+    passes, largest = [], nodes.agg(F.max("n").alias("n")).first().n or 1
+    while largest > 1 or not passes:
+        levels = next(k for k in range(1, LEVELS + 1) if k == LEVELS or FANOUT**k >= largest)
+        block, largest = FANOUT**levels, -(-largest // FANOUT**levels)
+        passes.append(C.stored(climb(nodes, levels), f"{name}-{len(passes)}"))
+        nodes = passes[-1].where(F.col("idx") % block == 0).select("g", F.col("block").alias("idx"), F.ceil(F.col("n") / block).cast("long").alias("n"), F.col("top").alias("h"))
     on = nodes.select("g", F.col("idx").alias("block"), F.array().cast(PATH).alias("on"))
     for p in reversed(passes[1:]):
         on = p.join(on, ["g", "block"]).select("g", F.col("idx").alias("block"), F.concat("path", "on").alias("on"))
