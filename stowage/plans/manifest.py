@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from stowage.functions import columns as K
 from stowage.operators.components import use_checkpoint_dir
+from stowage.operators.ranges import stored
+from stowage.plans.replay import COPY, DROP, FORCE, MOVE, replay
 
 KEEP = 20
 
@@ -99,34 +101,39 @@ def verify(before: DataFrame, after: DataFrame, copies: int = 0) -> DataFrame:
     return before.agg(F.count("*").alias("before")).join(after.agg(F.count("*").alias("after")), F.lit(True)).join(lost, F.lit(True)).withColumn("ok", (F.col("after") == F.col("before") + copies) & (F.col("lost") == 0))
 
 
-def _back(manifest: DataFrame, rows: DataFrame) -> DataFrame:
-    """The manifest with rows (frm, to) moved where frm is there and to is free."""
-    have = manifest.select("rel_path")
-    rows = rows.join(have.withColumnRenamed("rel_path", "frm"), "frm", "left_semi").join(have.withColumnRenamed("rel_path", "to"), "to", "left_anti")
-    changed = manifest.join(rows.withColumnRenamed("frm", "rel_path"), "rel_path").withColumns({"rel_path": F.col("to"), "name": F.element_at(F.split("to", "/"), -1)}).select(manifest.columns)
-    return manifest.join(rows.select(F.col("frm").alias("rel_path")), "rel_path", "left_anti").select(manifest.columns).union(changed)
-
-
 def top_folder(path: str = "dst") -> Column:
     return F.when(F.col(path).contains("/"), F.split(path, "/")[0]).otherwise("")
 
 
-def undo(manifest: DataFrame, journal: DataFrame, only_folders: list[str] | None = None) -> DataFrame:
-    """The manifest before the journal: moves go back where their target is there and their source free, copies are dropped. Of a
-    compress record (src: the original, dst: what was written, backup: where the original went) what was written goes and the backup
-    takes the original's place again.
+def _undo_steps(journal: DataFrame) -> DataFrame:
+    """Steps (seq, kind, frm, to, op_seq, last) that take the journal back, its last record first. A compress record has two: what was
+    written goes (unless it is the backup), then the backup takes the original's place."""
+    backup = F.col("backup") if "backup" in journal.columns else F.lit(None).cast("string")
+    one = lambda i, kind, frm, to, last: F.struct((-2 * F.col("op_seq") + i).alias("seq"), F.lit(kind).alias("kind"), frm.alias("frm"), to.alias("to"), F.lit(last).alias("last"))
+    none, src, dst = F.lit(None).cast("string"), F.col("src"), F.col("dst")
+    squeezed = F.array(one(0, DROP, F.when(dst != backup, dst), none, False), one(1, FORCE, backup, src, True))
+    steps = F.when(F.col("op") == "move", F.array(one(0, MOVE, dst, src, True))).when(F.col("op") == "copy", F.array(one(0, DROP, dst, none, True))).when(F.col("op") == "compress", squeezed)
+    return journal.select("op_seq", F.explode(steps).alias("s")).select("s.*", "op_seq")
 
-    only_folders: just the records whose target's top folder is one of these; the rest stays done.
+
+def undo_entry(manifest: DataFrame, journal: DataFrame, only_folders: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the manifest, the records undone, those that stay) when a journal is taken back record by record, the last first.
+
+    A move goes back if its target is there and its source free at that moment, a copy's target is dropped. Of a compress record (src:
+    the original, dst: what was written, backup: where the original went) what was written goes and the backup takes the original's
+    place. Records are told apart by op_seq, which orders them. only_folders: just those whose target's top folder is one of these.
     """
-    rows = journal.where("outcome = 'moved'")
-    rows = rows.where(top_folder().isin(only_folders)) if only_folders is not None else rows
-    gone = rows.where("op = 'copy'").select(F.col("dst").alias("rel_path"))
-    back = rows.where("op = 'move'").select(F.col("dst").alias("frm"), F.col("src").alias("to"))
-    if "backup" in journal.columns:
-        squeezed = rows.where("op = 'compress'")
-        gone = gone.union(squeezed.where("dst <> backup").select("dst"))
-        back = back.union(squeezed.select(F.col("backup").alias("frm"), F.col("src").alias("to")))
-    return _back(manifest.join(gone.distinct(), "rel_path", "left_anti").select(manifest.columns), back)
+    real = journal.where("op in ('move', 'copy', 'compress')")
+    real = real.where("outcome = 'moved'") if "outcome" in journal.columns else real
+    asked = real.where(top_folder().isin(only_folders)) if only_folders is not None else real
+    manifest, done = replay(manifest, _undo_steps(asked))
+    undone = done.where("ok and last").select("op_seq")
+    return manifest, journal.join(undone, "op_seq", "left_semi"), journal.join(undone, "op_seq", "left_anti")
+
+
+def undo(manifest: DataFrame, journal: DataFrame, only_folders: list[str] | None = None) -> DataFrame:
+    """The manifest before the journal (see undo_entry)."""
+    return undo_entry(manifest, journal, only_folders)[0]
 
 
 def undo_folders(dirs: DataFrame, manifest: DataFrame, journal: DataFrame) -> DataFrame:
@@ -145,12 +152,30 @@ def _prefixes(path: Column) -> Column:
 
 
 def redo(manifest: DataFrame, journal: DataFrame) -> DataFrame:
-    """The manifest with the journal done again: moves and copies whose source is there and whose target is free."""
-    rows = journal.where("outcome = 'moved'")
-    copies = rows.where("op = 'copy'").select(F.col("src").alias("rel_path"), F.col("dst").alias("to"))
-    copies = copies.join(manifest.select(F.col("rel_path").alias("to")), "to", "left_anti")
-    new = manifest.join(copies, "rel_path").withColumns({"rel_path": F.col("to"), "name": F.element_at(F.split("to", "/"), -1)}).select(manifest.columns)
-    return _back(manifest, rows.where("op = 'move'").select(F.col("src").alias("frm"), F.col("dst").alias("to"))).union(new)
+    """The manifest with the journal done again, record by record: moves and copies whose source is there and whose target is free at
+    that moment. Compress records aren't done again."""
+    rows = journal.where("op in ('move', 'copy')")
+    rows = rows.where("outcome = 'moved'") if "outcome" in journal.columns else rows
+    return replay(manifest, rows.select(F.col("op_seq").alias("seq"), F.when(F.col("op") == "copy", COPY).otherwise(MOVE).alias("kind"), F.col("src").alias("frm"), F.col("dst").alias("to")))[0]
+
+
+def folder_records(dirs: DataFrame, before: DataFrame, after: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the folders (rel_path) after the ops, journal rows (op, src, dst)) of a plan that was applied: before and after are its manifests.
+
+    A folder is made, and journalled, if it is new and was asked for (mkdir) or lies above a file's new place. A folder asked to go (rmdir,
+    the deepest first, after all moves) goes if nothing is left below it: no file, and no folder that stays.
+    """
+    above = lambda t: t.select(F.explode(_prefixes(F.col("rel_path"))).alias("rel_path"))
+    asked = ops.where("kind = 'mkdir'").select(F.col("src").alias("rel_path"))
+    have = stored(dirs.select("rel_path").union(above(before)).distinct(), "folders")
+    moved = after.select("rel_path").join(before.select("rel_path"), "rel_path", "left_anti")
+    made = stored(asked.union(above(asked)).union(above(moved)).distinct().join(have, "rel_path", "left_anti"), "made")
+    full, leave = have.union(made), ops.where("kind = 'rmdir'").select(F.col("src").alias("rel_path")).distinct()
+    stay = full.join(leave, "rel_path", "left_anti")
+    kept = above(after).union(above(stay)).distinct()
+    gone = stored(full.join(leave, "rel_path", "left_semi").join(kept, "rel_path", "left_anti"), "gone")
+    record = lambda t, op: t.select(F.lit(op).alias("op"), F.lit(None).cast("string").alias("src"), F.col("rel_path").alias("dst"))
+    return full.join(gone, "rel_path", "left_anti"), record(made, "mkdir").union(record(gone, "rmdir"))
 
 
 def restore_originals(manifest: DataFrame, backup: str) -> DataFrame:
@@ -170,21 +195,71 @@ def history_append(history: DataFrame | None, journal: DataFrame, root: str, ent
     """
     use_checkpoint_dir(journal.sparkSession)
     fresh = journal.where("outcome = 'moved'").select(F.lit(root).alias("root"), F.lit(entry_id).alias("entry_id"), ts.alias("ts"), F.lit(label).alias("label"), "op_seq", "op", "src", "dst")
-    rows = (fresh if history is None else history.unionByName(fresh)).checkpoint()
+    return _last_kept((fresh if history is None else history.unionByName(fresh)).checkpoint())
+
+
+def _last_kept(rows: DataFrame) -> DataFrame:
+    """The rows of the KEEP newest entries of each root."""
     entries = rows.select("root", "entry_id", "ts").distinct().withColumn("r", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("ts"), F.desc("entry_id"))))
     return rows.join(entries.where(F.col("r") <= KEEP).select("root", "entry_id"), ["root", "entry_id"], "left_semi")
 
 
+def history_record(history: DataFrame | None, undone: DataFrame | None, journal: DataFrame, root: str, entry_id: str, ts: Column, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """(history with a new entry, see history_append; undone rows without the root's, as a new operation ends redoing). A journal without
+    a move or copy adds no entry and leaves what may be redone."""
+    if journal.where("outcome = 'moved'").isEmpty():
+        return history_append(history, journal, root, entry_id, ts, label), undone
+    return history_append(history, journal, root, entry_id, ts, label), None if undone is None else undone.where(F.col("root") != root)
+
+
 def history_undone(history: DataFrame, undone: DataFrame | None, root: str, entry_id: str) -> tuple[DataFrame, DataFrame]:
-    """(history without an entry that was undone, undone rows with it on top): pos orders what may be redone, the last first. A new
-    operation of the root ends redoing: then drop the root's undone rows."""
+    """(history without an entry, undone rows with it on top), where the manifest is kept elsewhere; see history_undo."""
     use_checkpoint_dir(history.sparkSession)
     here = (F.col("root") == root) & (F.col("entry_id") == entry_id)
-    pos = F.lit(0) if undone is None else F.lit(undone.where(F.col("root") == root).agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0])
-    moved = history.where(here).withColumn("pos", pos.cast("long"))
+    moved = history.where(here).withColumn("pos", F.lit(_top(undone, root)).cast("long"))
     return history.where(~here).checkpoint(), (moved if undone is None else undone.unionByName(moved)).checkpoint()
 
 
+def _top(undone: DataFrame | None, root: str) -> int:
+    """How many undone entries the root has had on its stack: the next one's pos."""
+    found = None if undone is None else undone.where(F.col("root") == root).agg(F.max("pos").alias("pos")).first().pos
+    return 0 if found is None else found + 1
+
+
+def history_undo(history: DataFrame, undone: DataFrame | None, manifest: DataFrame, root: str, entry_id: str, only_folders: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, history, undone) after an entry of the root was taken back; pos orders what may be redone, the last first.
+
+    A whole entry leaves the history for the undone rows, also the records that couldn't be taken back. With only_folders, records not
+    taken back stay in the entry, and those taken back go on the stack as an entry of their own (`<id>/<pos>`); if none is left, the
+    entry goes as a whole.
+    """
+    here = (F.col("root") == root) & (F.col("entry_id") == entry_id)
+    entry = stored(history.where(here), "entry")
+    manifest, back, left = undo_entry(manifest, entry, only_folders)
+    pos, rest = _top(undone, root), history.where(~here)
+    if only_folders is not None and not left.where("op in ('move', 'copy', 'compress')").isEmpty():
+        history = rest.unionByName(left)
+        moved = back.withColumn("entry_id", F.lit(f"{entry_id}/{pos}"))
+    else:
+        history, moved = rest, entry
+    moved = moved.withColumn("pos", F.lit(pos).cast("long"))
+    return manifest, stored(history, "history"), stored(moved if undone is None else undone.unionByName(moved), "undone")
+
+
+def history_redo(history: DataFrame, undone: DataFrame, manifest: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest, history, undone) after the root's entry undone last was done again; it becomes the newest of the history's last KEEP
+    (its ts is 1 more than the newest, unless it is later). Nothing to redo: all as it was."""
+    pos = _top(undone, root) - 1
+    if pos < 0:
+        return manifest, history, undone
+    here = (F.col("root") == root) & (F.col("pos") == pos)
+    entry = stored(undone.where(here).drop("pos"), "entry")
+    newest = history.where(F.col("root") == root).agg(F.max("ts").alias("ts")).first().ts
+    if newest is not None:
+        entry = entry.withColumn("ts", F.when(F.col("ts") > newest, F.col("ts")).otherwise(F.lit(newest) + 1).cast(history.schema["ts"].dataType))
+    return redo(manifest, entry), stored(_last_kept(history.unionByName(entry)), "history"), stored(undone.where(~here), "undone")
+
+
 def history_list(history: DataFrame, undone: DataFrame | None = None) -> DataFrame:
     """root, entry_id, ts, label, moves, undoable (the root's newest entry), redoable (of undone entries the one undone last)."""
     entry = ["root", "entry_id", "ts", "label"]

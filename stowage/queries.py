@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stowage.functions import columns as K
@@ -42,7 +43,37 @@ def _applied(files):
 
 def _undone(spark, d):
     manifest, journal = _applied(X.files(spark, d))
-    return M.undo(manifest, journal).groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return M.undo(manifest, journal).select("walk_seq", "rel_path", "size")
+
+
+def _shifted(spark, d):
+    """(inventory, journal) after every file took the place of the next of its chain, the last first: files in 50 chains by number, the
+    last of a chain to a new place. Then a stranger came to the first place of every third chain, and the last file of every fifth went."""
+    chain = F.col("walk_seq") % 50
+    w = Window.partitionBy(chain).orderBy("walk_seq")
+    files = X.files(spark, d).select("walk_seq", "rel_path", "name", "size", "sha1")
+    moved = files.withColumns({"to": F.coalesce(F.lead("rel_path").over(w), F.concat(F.lit("end/"), chain.cast("string"))), "first": F.lag("rel_path").over(w).isNull(), "last": F.lead("rel_path").over(w).isNull()})
+    journal = moved.select((-F.col("walk_seq")).alias("op_seq"), F.lit("move").alias("op"), F.col("rel_path").alias("src"), F.col("to").alias("dst"), F.lit("moved").alias("outcome"))
+    now = moved.where(~F.col("last") | (chain % 5 != 0)).select("walk_seq", F.col("to").alias("rel_path"), "name", "size", "sha1")
+    strangers = moved.where(F.col("first") & (chain % 3 == 0)).select(-F.col("walk_seq") - 1, "rel_path", "name", "size", "sha1")
+    return now.union(strangers), journal
+
+
+def _undone_chains(spark, d):
+    return M.undo(*_shifted(spark, d)).select("walk_seq", "rel_path")
+
+
+def _redone_chains(spark, d):
+    """Undone and done again. A chain whose undo was blocked stays, too, unless its last file is gone: then all of it, the stranger first
+    in line, moves on by one more place."""
+    manifest, journal = _shifted(spark, d)
+    return M.redo(M.undo(manifest, journal), journal).select("walk_seq", "rel_path")
+
+
+def _left_of_entry(spark, d):
+    """What stays in the entry when only the moves into some folders are taken back."""
+    manifest, journal = _shifted(spark, d)
+    return M.undo_entry(manifest, journal, ["Images", "src1", "end"])[2].select("op_seq", "src", "dst")
 
 
 def _typed(files):
@@ -138,6 +169,9 @@ QUERIES = {
     "apply_manifest": lambda s, d: _applied(X.files(s, d))[0].select("walk_seq", "rel_path", "size"),
     "apply_journal": lambda s, d: _applied(X.files(s, d))[1].select("op_seq", "src", "dst", "outcome"),
     "undo_manifest": _undone,
+    "undo_chains": _undone_chains,
+    "redo_chains": _redone_chains,
+    "undo_left": _left_of_entry,
     "audit_rows": lambda s, d: M.audit(_applied(X.files(s, d))[1]),
     "typed_manifest": lambda s, d: _typed(X.files(s, d))[0].groupBy(K.folder_of().alias("folder")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")),
     "verify_typed": lambda s, d: M.verify(f := X.files(s, d), _typed(f)[0]),
@@ -203,6 +237,10 @@ seen AS (SELECT *, r > 1 AND size = s0 AND sha1 = h0 AS merged FROM came),
 ap AS (SELECT *, CASE WHEN r = 1 OR merged THEN dst ELSE regexp_replace(dst, '\\.[^.]+$', '') || '_' || CAST(sum(CASE WHEN r > 1 AND NOT merged THEN 1 ELSE 0 END) OVER (PARTITION BY dst ORDER BY walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) || '.' || string_split(dst, '.')[-1] END AS final FROM seen)
 """
 _FLAT = _APPLIED.format(dst="name", where="depth > 0 AND size > 0")
+# chains of moves of which each waits for the one before: a blocked first place keeps all of its chain where it is
+_CHAINS = f"""WITH c AS (SELECT *, walk_seq % 50 AS chain, coalesce(lead(rel_path) OVER w, 'end/' || walk_seq % 50) AS too, coalesce(lead(rel_path, 2) OVER w, 'end/' || walk_seq % 50) AS twice, row_number() OVER w AS k,
+  lead(rel_path) OVER w IS NULL AND walk_seq % 50 % 5 = 0 AS gone FROM ({X.files_sql('strlen')}) WINDOW w AS (PARTITION BY walk_seq % 50 ORDER BY walk_seq))
+"""
 _PLAN = "SELECT src, dst, reason, size FROM {}"
 
 ORACLE = {
@@ -266,7 +304,14 @@ ORACLE = {
     "typed_manifest": _FILES + _APPLIED.format(dst="category || '/' || name", where="segs[1] NOT IN ('Images', 'Videos', 'Audio', 'Documents', 'Archives', 'Installers', 'Code', 'Other')") + "SELECT CASE WHEN a.walk_seq IS NULL OR a.merged THEN g.dir ELSE a.category END AS folder, count(*) AS n, CAST(sum(g.size) AS BIGINT) AS bytes FROM g LEFT JOIN ap a USING (walk_seq) GROUP BY 1",
     "apply_journal": _FILES + _FLAT + "SELECT walk_seq AS op_seq, rel_path AS src, final AS dst, CASE WHEN merged THEN 'merged' ELSE 'moved' END AS outcome FROM ap",
     "apply_manifest": _FILES + _FLAT + "SELECT g.walk_seq, CASE WHEN a.walk_seq IS NULL OR a.merged THEN g.rel_path ELSE a.final END AS rel_path, g.size FROM g LEFT JOIN ap a USING (walk_seq)",
-    "undo_manifest": _FILES + "SELECT dir AS folder, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM g GROUP BY 1",
+    "undo_manifest": _FILES + "SELECT walk_seq, rel_path, size FROM g",
+    "undo_chains": _CHAINS + "SELECT walk_seq, CASE WHEN chain % 3 = 0 THEN too ELSE rel_path END AS rel_path FROM c WHERE NOT gone UNION ALL SELECT -walk_seq - 1, rel_path FROM c WHERE k = 1 AND chain % 3 = 0",
+    "undo_left": _CHAINS.replace("WITH c", "WITH RECURSIVE c") + """, r(chain, k, walk_seq, rel_path, too, ok) AS (
+  SELECT chain, k, walk_seq, rel_path, too, string_split(too, '/')[1] IN ('Images', 'src1', 'end') AND NOT gone AND chain % 3 <> 0 FROM c WHERE k = 1
+  UNION ALL SELECT c.chain, c.k, c.walk_seq, c.rel_path, c.too, string_split(c.too, '/')[1] IN ('Images', 'src1', 'end') AND NOT c.gone AND r.ok FROM r JOIN c ON c.chain = r.chain AND c.k = r.k + 1)
+  SELECT -walk_seq AS op_seq, rel_path AS src, too AS dst FROM r WHERE NOT ok""",
+    "redo_chains": _CHAINS + """SELECT walk_seq, CASE WHEN chain % 15 = 0 THEN twice ELSE too END AS rel_path FROM c WHERE NOT gone
+  UNION ALL SELECT -walk_seq - 1, CASE WHEN chain % 15 = 0 THEN too ELSE rel_path END FROM c WHERE k = 1 AND chain % 3 = 0""",
     "audit_rows": _FILES + _FLAT + "SELECT walk_seq AS op_seq, rel_path AS src, final AS dst FROM ap WHERE NOT merged",
     "verify_typed": _FILES + "SELECT count(*) AS before, count(*) AS after, 0::BIGINT AS lost, true AS ok FROM g",
     "recipe": _BLOBS + " SELECT " + "CASE " + " ".join(f"WHEN size >= {m * 1024**2} THEN '{t}'" for m, t in R.TIERS) + " END AS folder, count(*) AS n FROM raw GROUP BY 1",
