@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,42 +9,22 @@ from pyspark.sql import functions as F
 
 from stowage.functions import columns as K
 from stowage.functions import rules as R
-from stowage.operators.components import connected_components, use_checkpoint_dir
+from stowage.operators.components import connected_components
+from stowage.operators.hamming import near_hashes
+from stowage.operators.ranges import stored
 from stowage.plans import planners as P
 
 
-def _bands(d: int) -> tuple[list[tuple[int, int]], int]:
-    """((shift, bits) of some bands of 64 bits, r): two hashes within d bits differ in at most r bits on one of the bands.
-
-    Fewer bands are wider and bring fewer chance meetings, but more variants of each hash: r = 1 up to 8 bits, 2 above.
-    """
-    r = 0 if d < 2 else 1 if d <= 8 else 2
-    n = d // (r + 1) + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], r
-
-
-def _variants(bands: list[tuple[int, int]], r: int) -> list[list[int]]:
-    """For each band the masks that flip up to r of its bits."""
-    return [[sum(1 << i for i in flips) for k in range(r + 1) for flips in combinations(range(n), k)] for _, n in bands]
-
-
 def hamming_pairs(rows: DataFrame, d: int = R.PHOTO_DUP, block: str | None = None) -> DataFrame:
     """Pairs a < b of ids (walk_seq) whose hashes differ in at most d bits; null hashes pair with nothing.
 
-    Distinct hashes are paired by equal bands, one side with all variants of its bands, so blank pictures that share a hash don't meet
-    each other in a band; the ids of equal and near hashes are joined in afterwards. With block, only pairs of the same block.
+    Distinct hashes are paired (see near_hashes), so blank pictures that share a hash don't meet each other there; the ids of equal and
+    near hashes are joined in afterwards. With block, only pairs of the same block.
     """
     key = [F.col(block).alias("block")] if block else [F.lit(0).alias("block")]
     ids = rows.where("phash is not null").select("walk_seq", "phash", *key)
     distinct = ids.select("phash", "block").distinct()
-    bands, r = _bands(d)
-    value = [F.shiftrightunsigned("phash", s).bitwiseAND(F.lit((1 << n) - 1)) for s, n in bands]
-    plain = F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(value)))
-    of_band = lambda i: lambda m: F.struct(F.lit(i).alias("i"), value[i].bitwiseXOR(m).alias("v"))
-    varied = F.flatten(F.array(*(F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), of_band(i)) for i, masks in enumerate(_variants(bands, r)))))
-    near = distinct.select("block", F.explode(varied).alias("band"), F.col("phash").alias("pa")).join(distinct.select("block", F.explode(plain).alias("band"), F.col("phash").alias("pb")), ["block", "band"])
-    near = near.where((F.col("pa") < F.col("pb")) & (K.hamming(F.col("pa"), F.col("pb")) <= d)).select("block", "pa", "pb").distinct()
+    near = near_hashes(distinct, d)
     near = near.union(distinct.select("block", "phash", "phash"))
     left, right = ids.select("block", F.col("phash").alias("pa"), F.col("walk_seq").alias("x")), ids.select("block", F.col("phash").alias("pb"), F.col("walk_seq").alias("y"))
     pairs = near.join(left, ["block", "pa"]).join(right, ["block", "pb"]).where((F.col("pa") != F.col("pb")) | (F.col("x") < F.col("y")))
@@ -75,19 +53,20 @@ def leader_groups(rows: DataFrame, d: int) -> DataFrame:
 
     Rows of an equal hash follow the first of them, so only that one takes part in the rounds.
 
-    The leaders are the lexicographically first independent set of the pair graph: a row is a leader once no undecided smaller
-    neighbour is left and none is a leader. Each round decides every row that its smaller neighbours allow.
+    The leaders are the lexicographically first independent set of the pair graph. In each round the open rows without a smaller open
+    neighbour lead; their larger neighbours are led, and the pairs of both are dropped. Rows never led are leaders.
     """
-    use_checkpoint_dir(rows.sparkSession)
-    firsts = rows.where("phash is not null").groupBy("phash").agg(F.min("walk_seq").alias("walk_seq"))
-    pairs = hamming_pairs(firsts, d).select("a", "b").checkpoint()
-    state = firsts.select(F.col("walk_seq").alias("id"), F.lit(None).cast("boolean").alias("leader")).checkpoint()
-    while not state.where("leader is null").isEmpty():
-        below = pairs.join(state.select(F.col("id").alias("a"), "leader"), "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.max("leader"), F.lit(False)).alias("led"), F.count_if(F.col("leader").isNull()).alias("open"))
-        state = state.join(below, "id", "left").select("id", F.coalesce("leader", F.when(F.col("led"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))).alias("leader")).checkpoint()
-    first = pairs.join(state.where("leader").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("of"))
-    led = state.join(first, "id", "left").select(F.col("id").alias("walk_seq"), F.when(F.col("leader"), F.col("id")).otherwise(F.col("of")).alias("leader"))
-    return rows.select("walk_seq", "phash").join(firsts.join(led, "walk_seq").select("phash", "leader"), "phash").select("walk_seq", "leader")
+    firsts = stored(rows.where("phash is not null").groupBy("phash").agg(F.min("walk_seq").alias("walk_seq")), "firsts")
+    pairs = stored(hamming_pairs(firsts, d).select("a", "b"), "pairs")
+    live, led = pairs, pairs.select(F.col("b").alias("id")).limit(0)
+    while not live.isEmpty():
+        heads = stored(live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "heads")
+        now = stored(live.join(heads, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "led")
+        live = live.join(heads, "a", "left_anti").join(now.withColumnRenamed("id", "a"), "a", "left_anti").join(now.withColumnRenamed("id", "b"), "b", "left_anti")
+        live, led = stored(live, "live"), led.union(now)
+    first = pairs.join(led.withColumnRenamed("id", "a"), "a", "left_anti").join(led.withColumnRenamed("id", "b"), "b", "left_semi").groupBy(F.col("b").alias("walk_seq")).agg(F.min("a").alias("of"))
+    found = firsts.join(first, "walk_seq", "left").select("phash", F.coalesce("of", "walk_seq").alias("leader"))
+    return rows.select("walk_seq", "phash").join(found, "phash").select("walk_seq", "leader")
 
 
 def leader_duplicates(rows: DataFrame, d: int = R.PHOTO_DUP) -> DataFrame:

@@ -155,6 +155,7 @@ QUERIES = {
     "sessions": lambda s, d: U.sessions(X.captures(s, d)),
     "rename_plan": lambda s, d: P.rename(X.files(s, d), "{category}_{n}_{orig}", pad=4).select("src", "dst", "reason"),
     "hamming_pairs": lambda s, d: S.hamming_pairs(X.metrics(s, d)),
+    "hamming_pairs_wide": lambda s, d: S.hamming_pairs(X.metrics(s, d), R.PHOTO_SIMILAR),
     "near_dup_groups": lambda s, d: S.near_duplicate_groups(X.metrics(s, d)),
     "near_dup_sizes": lambda s, d: S.near_duplicate_sizes(S.near_duplicate_groups(X.metrics(s, d)), X.files(s, d)),
     "leader_dups": lambda s, d: S.duplicate_and_similar(X.metrics(s, d)),
@@ -220,6 +221,13 @@ _GROUPS = f"""{_METRICS.replace('WITH m', 'WITH RECURSIVE m')},
 both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 grp AS (SELECT a AS walk_seq, least(a, min(b)) AS group_id FROM reach GROUP BY a)"""
+# one row after the other: the first leader so far within the distance, or a new one; then all but each leader's best are marked
+_PASS_OF = """, s{n} AS (SELECT *, row_number() OVER (ORDER BY walk_seq) AS rn FROM {src}),
+l{n}(rn, walk_seq, leader, ids, hashes) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT rn, walk_seq, coalesce(ids[f], walk_seq), CASE WHEN f IS NULL THEN list_append(ids, walk_seq) ELSE ids END, CASE WHEN f IS NULL THEN list_append(hashes, phash) ELSE hashes END
+  FROM (SELECT s.rn, s.walk_seq, s.phash, l.ids, l.hashes, nullif(list_position(list_transform(l.hashes, lambda h: bit_count(xor(h, s.phash)) <= {d}), true), 0) AS f FROM l{n} l JOIN s{n} s ON s.rn = l.rn + 1)),
+d{n} AS (SELECT walk_seq, leader, row_number() OVER (PARTITION BY leader ORDER BY focus * greatest(1, pixels) DESC, walk_seq) > 1 AS marked FROM l{n} JOIN s{n} USING (walk_seq))"""
+_MARKS = lambda src: _PASS_OF.format(n=1, src=src, d=8) + f", rest AS (SELECT * FROM {src} WHERE walk_seq NOT IN (SELECT walk_seq FROM d1 WHERE marked))" + _PASS_OF.format(n=2, src="rest", d=16)
 _QUALITY = "round(0.55 * least(round(focus, 1) / 300, 1.0) + 0.30 * greatest(0.0, 1 - abs(brightness - 128) / 128) + 0.15 * (CASE WHEN faces > 0 THEN 1 ELSE 0 END), 3)"
 _BUCKET = f"""CASE WHEN shot THEN 'Screenshots' WHEN faces = 0 AND saturation < 22 AND brightness > 185 AND edge > 18 THEN 'Documents_Scans' WHEN quality >= {R.PHOTO_BEST} THEN 'Best_Shots'
   WHEN focus < {R.PHOTO_BLUR} THEN 'Blurry_Shaken' WHEN faces = 0 THEN 'Scenery_Others' WHEN faces = 1 THEN 'Portraits_Single' WHEN faces = 2 THEN 'Couples' ELSE 'Group_Photos' END"""
@@ -293,10 +301,12 @@ ORACLE = {
     "sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
     "rename_plan": _FILES + ", n AS (SELECT *, row_number() OVER (ORDER BY lower(name), walk_seq) AS n FROM ok), t AS (SELECT *, regexp_replace(regexp_replace(category || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '_' || stem, '[\\\\/:*?\"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') || CASE WHEN ext <> '' THEN '.' || string_split(name, '.')[-1] ELSE '' END AS new FROM n) SELECT rel_path AS src, CASE WHEN dir = '' THEN new ELSE dir || '/' || new END AS dst, CAST(n AS VARCHAR) AS reason FROM t",
     "hamming_pairs": _METRICS + " SELECT a, b, CAST(bits AS INT) AS bits FROM pairs",
+    "hamming_pairs_wide": f"WITH m AS ({X.METRICS}) SELECT x.walk_seq AS a, y.walk_seq AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS bits FROM m x JOIN m y ON x.walk_seq < y.walk_seq WHERE bit_count(xor(x.phash, y.phash)) <= 16",
     "near_dup_groups": _GROUPS + " SELECT walk_seq, group_id FROM grp",
     "near_dup_sizes": _GROUPS + f", f AS ({X.files_sql('strlen')}), s AS (SELECT group_id, rel_path, floor(size / 1024) AS kb, row_number() OVER (PARTITION BY group_id ORDER BY size DESC, rel_path) AS r FROM grp JOIN f USING (walk_seq)) SELECT group_id, count(*) AS n, max(CASE WHEN r = 1 THEN rel_path END) AS keep, CAST(coalesce(sum(CASE WHEN r > 1 THEN kb END), 0) AS BIGINT) AS extra_kb FROM s GROUP BY group_id",
     "photo_categories": _PHOTO + " SELECT walk_seq, quality, category FROM cat",
     "photo_tally": _PHOTO + " SELECT category, count(*) AS n FROM cat GROUP BY category",
+    "leader_dups": f"WITH RECURSIVE m AS ({X.METRICS})" + _MARKS("m") + " SELECT d1.walk_seq, d1.marked AS is_dup, coalesce(d2.marked, false) AS is_similar FROM d1 LEFT JOIN d2 USING (walk_seq)",
     "people_vectors": _PEOPLE + " SELECT label, CAST(i - 1 AS INT) AS pos, round(x, 6) AS x FROM person",
     "nearest_person": _PEOPLE + f", vec AS (SELECT label, list(x ORDER BY i) AS p FROM person GROUP BY label), sims AS (SELECT vec_id, vec.label, round(list_inner_product(v, p), 6) AS sim FROM face, vec), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM sims) SELECT vec_id, label, round(sim, 5) AS sim FROM best WHERE r = 1 AND sim >= {R.FACE_NAME}",
     "magic_types": "SELECT page_id, CASE " + " ".join(f"WHEN starts_with(lower(hex(encode(html[1:32]))), '{m}') THEN '{t}'" for m, t in R.MAGIC) + " END AS type FROM pages",
@@ -320,6 +330,9 @@ ORACLE = {
     "restored": _FILES + "SELECT walk_seq, rel_path, size FROM g",
     "photo_plan": _FILES + f""", m AS ({X.METRICS}), q AS (SELECT m.*, {_QUALITY} AS quality, contains(lower(ok.name), 'screenshot') AS shot, ok.rel_path, ok.name AS own, ok.size FROM m JOIN ok USING (walk_seq) WHERE ok.ext IN ({_IN(R.IMAGE_EXTS)}) AND ok.segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})),
  cat AS (SELECT *, {_BUCKET} AS category FROM q)
+ SELECT rel_path AS src, category || '/' || own AS dst, category AS reason, size FROM cat UNION ALL SELECT rel_path, 'Videos/' || name, 'Videos', size FROM ok WHERE ext IN ({_IN(R.VIDEO_EXTS)}) AND segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})""",
+    "photo_plan_marked": _FILES.replace("WITH raw", "WITH RECURSIVE raw", 1) + f""", m AS ({X.METRICS}), pic AS (SELECT m.*, {_QUALITY} AS quality, contains(lower(ok.name), 'screenshot') AS shot, ok.rel_path, ok.name AS own, ok.size FROM m JOIN ok USING (walk_seq) WHERE ok.ext IN ({_IN(R.IMAGE_EXTS)}) AND ok.segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})){_MARKS("pic")},
+ cat AS (SELECT pic.*, {_BUCKET.replace("WHEN faces = 0 THEN", "WHEN d1.marked THEN 'Duplicates' WHEN d2.marked THEN 'Similar_Extras' WHEN faces = 0 THEN")} AS category FROM pic JOIN d1 USING (walk_seq) LEFT JOIN d2 USING (walk_seq))
  SELECT rel_path AS src, category || '/' || own AS dst, category AS reason, size FROM cat UNION ALL SELECT rel_path, 'Videos/' || name, 'Videos', size FROM ok WHERE ext IN ({_IN(R.VIDEO_EXTS)}) AND segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})""",
     "change_signature": _FILES + "SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime_epoch) AS newest FROM g",
 }
