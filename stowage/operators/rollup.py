@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import columns as K
 from stowage.functions import rules as R
+from stowage.operators import ranges as G
 from stowage.plans import planners as P
 
 
@@ -109,11 +110,40 @@ def sessions(captures: DataFrame, minutes: int = 40, by: str = "album", name_ord
     rows = rows.withColumns({"k": F.row_number().over(own.orderBy("taken_at", "walk_seq")), "all": F.count("*").over(own)})
     middle = F.max(F.when(F.col("k") == F.floor(F.col("all") / 2) + 1, F.col("rel_path")))
     out = rows.groupBy(by, "session").agg(F.count("*").alias("n"), F.min("taken_at").alias("start_at"), F.max("taken_at").alias("end_at"), middle.alias("rep"))
-    names = F.coalesce(F.get(F.array(*map(F.lit, R.SESSION_NAMES)), F.col("session").cast("int")), F.concat(F.lit("Session "), (F.col("session") + 1).cast("string")))
+    names = _session_name()
     cols = [by, "session", "n", "start_at", "end_at", "rep"]
     return out.select(*cols, *([names.alias("suggested")] if name_ordinals else []))
 
 
+def timeline_sessions(captures: DataFrame, minutes: int = 40, by: tuple[str, ...] = ()) -> DataFrame:
+    """As sessions, for one timeline of any length (or one per value of the columns by, however long): no key goes through one task.
+
+    The timeline is stored in ranges; gaps at their borders, the numbers of sessions and the places of rows take one row per range. What a
+    session holds is summed before it is shuffled, and its middle file is the row at its first place plus half its number. A null
+    taken_at counts as 0, the first second of 1970.
+    """
+    gap, by = max(2, minutes) * 60, list(by)
+    rows = captures.select(*by, "walk_seq", "rel_path", "taken_at", F.coalesce(F.unix_timestamp("taken_at"), F.lit(0)).alias("_t"))
+    table = G.with_previous(G.ranged(rows, [*by, "_t", "walk_seq"]), by, ["_t"])
+    fresh = F.col("previous").isNull() | (F.col("_t") - F.col("previous._t") > gap)
+    table = G.stored(table.select(*by, "rel_path", "taken_at", "_part", "_at", fresh.cast("long").alias("fresh"), F.lit(1).cast("long").alias("one")), "gaps")
+    placed = G.stored(G.with_running_sum(table, "fresh", "number", {"place": F.col("one")}), "placed")
+    out = placed.groupBy(*by, "number").agg(F.count("*").alias("n"), F.min("taken_at").alias("start_at"), F.max("taken_at").alias("end_at"), F.min("place").alias("first"))
+    out = G.stored(out.withColumn("place", F.col("first") + F.floor(F.col("n") / 2)), "sessions")
+    out = out.join(placed.select("place", F.col("rel_path").alias("rep")), "place")
+    if by:
+        keys = [f"_k{i}" for i in range(len(by))]
+        heads = out.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True))).agg(F.min("number").alias("head"))
+        out = out.join(heads, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]).withColumn("session", F.col("number") - F.col("head"))
+    else:
+        out = out.withColumn("session", F.col("number") - 1)
+    return out.select(*by, "session", "n", "start_at", "end_at", "rep", _session_name().alias("suggested"))
+
+
+def _session_name() -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, R.SESSION_NAMES)), F.col("session").cast("int")), F.concat(F.lit("Session "), (F.col("session") + 1).cast("string")))
+
+
 def compression_totals(results: DataFrame) -> DataFrame:
     """Over (path, before, after, converted): a result counts if it is smaller or was converted."""
     ok = (F.col("after") < F.col("before")) | F.col("converted")

@@ -12,6 +12,7 @@ from stowage.functions import rules as R
 from stowage.operators.components import connected_components
 from stowage.operators.hamming import near_hashes
 from stowage.operators.ranges import stored
+from stowage.operators.vectors import best_match
 from stowage.plans import planners as P
 
 
@@ -92,12 +93,10 @@ def people_vectors(faces: DataFrame) -> DataFrame:
 
 
 def nearest_person(faces: DataFrame, people: DataFrame, least: float = R.FACE_NAME) -> DataFrame:
-    """vec_id, label, sim: the person most like the face, if alike enough. people is a registry of names, sent as one row of arrays."""
-    known = people.agg(F.array_sort(F.collect_list(F.struct("label", "vec"))).alias("people"))
-    own = faces.select("vec_id", K.unit(F.col("embedding")).alias("v")).join(F.broadcast(known), F.lit(True))
-    scored = F.transform("people", lambda p: F.struct(F.round(K.cosine(F.col("v"), p["vec"]), 6).alias("sim"), (-p["label"]).alias("order"), p["label"].alias("label")))
-    best = own.select("vec_id", F.array_max(scored).alias("b"))
-    return best.where(F.col("b.sim") >= least).select("vec_id", F.col("b.label").alias("label"), F.col("b.sim").alias("sim"))
+    """vec_id, label, sim: the person most like the face, if alike enough. people: (label, vec), a registry of any size."""
+    own = faces.select(F.col("vec_id").alias("id"), K.unit(F.col("embedding")).cast("array<double>").alias("v")).where("v is not null")
+    found = best_match(own, people.select(F.col("label").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v")), least)
+    return found.select(F.col("id").alias("vec_id"), F.col("match").cast(people.schema["label"].dataType).alias("label"), "sim")
 
 
 def greedy_clusters(faces: DataFrame, block: str, threshold: float = R.FACE_CLUSTER) -> DataFrame:

@@ -10,6 +10,7 @@ from stowage.functions import fixtures as X
 from stowage.functions import rules as R
 from stowage.operators import rollup as U
 from stowage.operators import similarity as S
+from stowage.operators import vectors as V
 from stowage.plans import manifest as M
 from stowage.plans import planners as P
 
@@ -153,6 +154,8 @@ QUERIES = {
     "root_meta": lambda s, d: U.root_meta(X.files(s, d)),
     "level_counts": lambda s, d: U.level_counts(U.folder_rollup(X.files(s, d))),
     "sessions": lambda s, d: U.sessions(X.captures(s, d)),
+    "timeline_sessions": lambda s, d: U.timeline_sessions(X.captures(s, d), minutes=2),
+    "timeline_by_album": lambda s, d: U.timeline_sessions(X.captures(s, d), by=("album",)),
     "rename_plan": lambda s, d: P.rename(X.files(s, d), "{category}_{n}_{orig}", pad=4).select("src", "dst", "reason"),
     "hamming_pairs": lambda s, d: S.hamming_pairs(X.metrics(s, d)),
     "hamming_pairs_wide": lambda s, d: S.hamming_pairs(X.metrics(s, d), R.PHOTO_SIMILAR),
@@ -161,6 +164,7 @@ QUERIES = {
     "leader_dups": lambda s, d: S.duplicate_and_similar(X.metrics(s, d)),
     "people_vectors": lambda s, d: S.people_vectors(s.read.parquet(f"{d}/embeddings.parquet")).select("label", F.posexplode("vec").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x")),
     "nearest_person": lambda s, d: S.nearest_person(f := s.read.parquet(f"{d}/embeddings.parquet"), S.people_vectors(f)).select("vec_id", "label", F.round("sim", 5).alias("sim")),
+    "face_groups": lambda s, d: V.merged_clusters(s.read.parquet(f"{d}/embeddings.parquet")),
     "face_clusters": lambda s, d: S.greedy_clusters(s.read.parquet(f"{d}/embeddings.parquet"), "label"),
     "photo_categories": lambda s, d: S.photo_categories(X.metrics(s, d)),
     "photo_tally": lambda s, d: S.photo_categories(X.metrics(s, d)).groupBy("category").agg(F.count("*").alias("n")),
@@ -299,6 +303,8 @@ ORACLE = {
     "root_meta": _FILES + "SELECT CAST(floor(sum(size) / 1024) AS BIGINT) AS root_kb, count(*) AS root_files, count(*) FILTER (depth = 0) AS root_loose FROM g",
     "level_counts": _FILES + "SELECT count(*) FILTER (level = 1) AS n_l1, count(*) FILTER (level = 2) AS n_l2, count(*) FILTER (level = 3) AS n_l3, CAST(sum(kb) FILTER (level = 1) AS BIGINT) AS kb, CAST(sum(files) FILTER (level = 1) AS BIGINT) AS files FROM roll",
     "sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
+    "timeline_by_album": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
+    "timeline_sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 120 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (ORDER BY floor(epoch(taken_at)), walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (ORDER BY floor(epoch(taken_at)), walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY floor(epoch(taken_at)), walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY session",
     "rename_plan": _FILES + ", n AS (SELECT *, row_number() OVER (ORDER BY lower(name), walk_seq) AS n FROM ok), t AS (SELECT *, regexp_replace(regexp_replace(category || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '_' || stem, '[\\\\/:*?\"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') || CASE WHEN ext <> '' THEN '.' || string_split(name, '.')[-1] ELSE '' END AS new FROM n) SELECT rel_path AS src, CASE WHEN dir = '' THEN new ELSE dir || '/' || new END AS dst, CAST(n AS VARCHAR) AS reason FROM t",
     "hamming_pairs": _METRICS + " SELECT a, b, CAST(bits AS INT) AS bits FROM pairs",
     "hamming_pairs_wide": f"WITH m AS ({X.METRICS}) SELECT x.walk_seq AS a, y.walk_seq AS b, CAST(bit_count(xor(x.phash, y.phash)) AS INT) AS bits FROM m x JOIN m y ON x.walk_seq < y.walk_seq WHERE bit_count(xor(x.phash, y.phash)) <= 16",
