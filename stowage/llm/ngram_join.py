@@ -289,7 +289,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     w = Window.partitionBy("pkey", "kind", F.when(F.col("kind") == SET, F.col("a")))
     rows = docs.mapInArrow(_postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "held": F.count("*").over(w)})
     rows = C.stored(rows.where(f"kind <> {KEY} or held > 1").drop("held"), "buckets")
-    of = {kind: rows.where(F.col("kind") == kind) for kind in (KEY, HELD, SET, DOC, NO_ID)}
+    per_doc = C.stored(rows.where(F.col("kind").isin(SET, DOC, NO_ID)), "per-doc")  # small, and needed to the end; the buckets go early
+    of = {kind: (rows if kind in (KEY, HELD) else per_doc).where(F.col("kind") == kind) for kind in (KEY, HELD, SET, DOC, NO_ID)}
     sets = of[SET].select("doc", F.col("lead").alias("rep"), "id")
     later = sets.where("doc <> rep").select("doc", "rep").distinct()
     held = of[HELD].select(F.col("b").alias("key"), "doc", F.col("a").alias("lead"), "n")
@@ -305,6 +306,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     for c in ("doc", "lead"):
         star = star.join(later.withColumnRenamed("doc", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     tested = C.stored(_pairs(star, "doc", "lead"), "pairs")
+    C.forget(rows)
     wanted = C.stored(members.select("doc").distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
     texts = docs.select("doc", "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
@@ -314,12 +316,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     whole = inside.groupBy("key").agg(F.count("*").alias("all"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     open_ = C.stored(inside.join(whole.select("key", "all"), "key"), "open")
+    C.forget(members)
     pairs = _by_rows(open_.where(F.col("all") <= SMALL), percent).distinct().join(tested, ["a", "b"], "left_anti")
     more = _verified(C.stored(pairs, "pairs"), ranges, percent)
     large = open_.where(F.col("all") > SMALL)
     families = connected_components(C.stored(_possible(large, open_, percent), "possible")).select(F.col("node").alias("doc"), F.col("component").alias("family"))
     families = families.join(large.select("doc", "component").distinct(), "doc").join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
     more = C.stored(more.union(_in_families(families, ranges, percent)), "links")
+    C.forget(ranges, open_)
 
     # from here on a set goes by its smallest id, so that components are named by it; an id that several texts share joins their sets
     reps = C.stored(sets.groupBy("rep").agg(F.min("id").alias("node")), "sets")
