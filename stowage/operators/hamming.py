@@ -21,6 +21,8 @@ from stowage.operators.ranges import stored
 
 #: Hashes of a list at most, about; what a pair of lists costs, in comparisons; comparisons made at once.
 LIST, PAIR_COST, AT_ONCE = 256, 100, 1 << 21
+#: So many hashes fit a task (8 MB).
+HELD = 1 << 20
 
 
 def _cut(m: int, d: int) -> list[tuple[int, int, int]]:
@@ -83,6 +85,19 @@ def _compared(cut: tuple, d: int) -> object:
     return run
 
 
+def _lists(rows: DataFrame, n: int) -> DataFrame:
+    """(block, i, v, part, xs): the hashes of each band value in lists of about LIST. Among so few that a task can hold all of them, lists
+    are cut after they are made; else values with many hashes are counted first and dealt to their lists by hash."""
+    if n <= HELD:
+        whole = rows.groupBy("block", "i", "v").agg(F.collect_list("phash").alias("all"))
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / LIST).cast("int")), lambda k: F.slice("all", k * LIST + 1, F.lit(LIST)))
+        return whole.select("block", "i", "v", F.posexplode(cuts).alias("part", "xs"))
+    full = stored(rows.groupBy("block", "i", "v").count().where(F.col("count") > LIST).select("block", "i", "v", F.ceil(F.col("count") / LIST).alias("lists")), "full")
+    dealt = rows.join(full, (rows.block.eqNullSafe(full.block)) & (rows.i == full.i) & (rows.v == full.v), "left")
+    part = F.coalesce(F.pmod(F.xxhash64(rows.phash), full.lists), F.lit(0))
+    return dealt.groupBy(rows.block, rows.i, rows.v, part.alias("part")).agg(F.collect_list(rows.phash).alias("xs"))
+
+
 def near_hashes(distinct: DataFrame, d: int) -> DataFrame:
     """Pairs (block, pa < pb) of the distinct rows (block, phash) that share a block and differ in at most d bits, each once.
 
@@ -90,14 +105,12 @@ def near_hashes(distinct: DataFrame, d: int) -> DataFrame:
     comparisons hashes of no structure take grows with n ** 1.8 at d = 16, and with n ** 1.5 at d = 8.
     """
     distinct = stored(distinct, "hashes")
-    cut = bands(max(1, distinct.count()), d)
+    n = max(1, distinct.count())
+    cut = bands(n, d)
     value = [F.shiftrightunsigned("phash", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift, bits, _ in cut]
     keys = F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(value) if cut[i][2] >= 0))
     rows = distinct.select("block", F.explode(keys).alias("k"), "phash").select("block", "k.i", "k.v", "phash")
-    full = stored(rows.groupBy("block", "i", "v").count().where(F.col("count") > LIST).select("block", "i", "v", F.ceil(F.col("count") / LIST).alias("lists")), "full")
-    dealt = rows.join(full, (rows.block.eqNullSafe(full.block)) & (rows.i == full.i) & (rows.v == full.v), "left")
-    part = F.coalesce(F.pmod(F.xxhash64(rows.phash), full.lists), F.lit(0))
-    lists = stored(dealt.groupBy(rows.block, rows.i, rows.v, part.alias("part")).agg(F.collect_list(rows.phash).alias("xs")), "lists")
+    lists = stored(_lists(rows, n), "lists")
     masks = [[sum(1 << b for b in flips) for k in range(t + 1) for flips in combinations(range(bits), k)] for _, bits, t in cut]
     sent = lists.sparkSession.createDataFrame([(i, m) for i, ms in enumerate(masks) for m in ms], "i int, mask long")
     # one side names the values at or above its own within the threshold; the masks are at most 60,000 numbers a band

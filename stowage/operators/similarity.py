@@ -15,6 +15,9 @@ from stowage.operators.ranges import stored
 from stowage.operators.vectors import best_match
 from stowage.plans import planners as P
 
+#: Bytes of a registry of people that are sent to all tasks.
+SENT = 8 << 20
+
 
 def hamming_pairs(rows: DataFrame, d: int = R.PHOTO_DUP, block: str | None = None) -> DataFrame:
     """Pairs a < b of ids (walk_seq) whose hashes differ in at most d bits; null hashes pair with nothing.
@@ -93,10 +96,17 @@ def people_vectors(faces: DataFrame) -> DataFrame:
 
 
 def nearest_person(faces: DataFrame, people: DataFrame, least: float = R.FACE_NAME) -> DataFrame:
-    """vec_id, label, sim: the person most like the face, if alike enough. people: (label, vec), a registry of any size."""
-    own = faces.select(F.col("vec_id").alias("id"), K.unit(F.col("embedding")).cast("array<double>").alias("v")).where("v is not null")
-    found = best_match(own, people.select(F.col("label").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v")), least)
-    return found.select(F.col("id").alias("vec_id"), F.col("match").cast(people.schema["label"].dataType).alias("label"), "sim")
+    """vec_id, label, sim: the person most like the face, if alike enough. people: (label, vec), a registry of any size: one of SENT bytes
+    at most is sent as one row of arrays, a larger one is met in blocks (see best_match)."""
+    people = stored(people.where("vec is not null").select("label", "vec"), "people")
+    own = faces.select("vec_id", K.unit(F.col("embedding")).alias("v")).where("v is not null")
+    if (people.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0) > SENT:
+        found = best_match(own.select(F.col("vec_id").alias("id"), F.col("v").cast("array<double>").alias("v")), people.select(F.col("label").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("v")), least)
+        return found.select(F.col("id").alias("vec_id"), F.col("match").cast(people.schema["label"].dataType).alias("label"), "sim")
+    known = people.agg(F.array_sort(F.collect_list(F.struct("label", "vec"))).alias("people"))
+    scored = F.transform("people", lambda p: F.struct(F.round(K.cosine(F.col("v"), p["vec"]), 6).alias("sim"), (-p["label"]).alias("order"), p["label"].alias("label")))
+    best = own.join(F.broadcast(known), F.lit(True)).select("vec_id", F.array_max(scored).alias("b"))
+    return best.where(F.col("b.sim") >= least).select("vec_id", F.col("b.label").alias("label"), F.col("b.sim").alias("sim"))
 
 
 def greedy_clusters(faces: DataFrame, block: str, threshold: float = R.FACE_CLUSTER) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.functions import rules as R
 from stowage.operators.components import use_checkpoint_dir
+from stowage.operators.ranges import stored
 from stowage.plans import manifest as M
 
 
@@ -110,14 +111,20 @@ def remove_folders(dirs: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
     return dirs.where(~policy.protected_dir(K.segments())).select(F.lit("rmdir").alias("kind"), F.col("rel_path").alias("src"), K.depth_of().alias("depth")).orderBy(F.desc("depth"), "src")
 
 
-def duplicates_ranked(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
-    """Files of equal size and digest with their rank: the shallowest, then shortest path, then first walked has 1 and is kept, the others 2.
-
-    The size filter comes before the digest, so digests of unique sizes are never needed (nor computed, if the column is lazy).
-    """
+def _of_shared_size(files: DataFrame, policy) -> DataFrame:
+    """Files that may have copies. The size filter comes before the digest, so digests of unique sizes are never needed (nor computed, if
+    the column is lazy)."""
     rows = eligible(files, policy).where((F.col("size") > 0) & first_segment_not_in([R.DUP_REVIEW]))
-    rows = rows.join(rows.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi").where("sha1 is not null")
-    return _ranked(rows, ["size", "sha1"], F.struct("depth", F.length("rel_path").alias("length"), "walk_seq"))
+    return rows.join(rows.groupBy("size").count().where("count > 1").select("size"), "size", "left_semi").where("sha1 is not null")
+
+
+def _kept_first() -> Column:
+    return F.struct("depth", F.length("rel_path").alias("length"), "walk_seq", "rel_path")
+
+
+def duplicates_ranked(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
+    """Files of equal size and digest with their rank: the shallowest, then shortest path, then first walked has 1 and is kept, the others 2."""
+    return _ranked(_of_shared_size(files, policy), ["size", "sha1"], _kept_first())
 
 
 def _ranked(rows: DataFrame, by: list[str], order: Column) -> DataFrame:
@@ -133,15 +140,16 @@ def duplicates(files: DataFrame, policy=K.SafetyPolicy()) -> DataFrame:
 
 def duplicate_groups(files: DataFrame, top: int = 200, policy=K.SafetyPolicy()) -> DataFrame:
     """The largest groups: size, sha1, n, keep, wasted_kb, members (joined by |)."""
-    rows = duplicates_ranked(files, policy)
-    largest = rows.select("size", "sha1").distinct().orderBy(F.desc("size"), "sha1").limit(top)  # member lists only of these
-    rows = rows.join(F.broadcast(largest), ["size", "sha1"], "left_semi")
-    out = rows.groupBy("size", "sha1").agg(F.count("*").alias("n"), F.min_by("rel_path", "rank").alias("keep"), (F.floor(F.col("size") / 1024) * (F.count("*") - 1)).cast("long").alias("wasted_kb"), F.array_join(F.array_sort(F.collect_list("rel_path")), "|").alias("members"))
-    return out.orderBy(F.desc("size"), "sha1")
+    rows = _of_shared_size(files, policy)
+    largest = rows.groupBy("size", "sha1").agg(F.count("*").alias("n"), F.min(_kept_first())["rel_path"].alias("keep")).where("n > 1").orderBy(F.desc("size"), "sha1").limit(top)
+    members = eligible(files, policy).where(first_segment_not_in([R.DUP_REVIEW])).select("size", "sha1", "rel_path").join(F.broadcast(largest), ["size", "sha1"])  # member lists only of these
+    out = members.groupBy("size", "sha1", "n", "keep").agg(F.array_join(F.array_sort(F.collect_list("rel_path")), "|").alias("members"))
+    return out.select("size", "sha1", "n", "keep", (F.floor(F.col("size") / 1024) * (F.col("n") - 1)).cast("long").alias("wasted_kb"), "members").orderBy(F.desc("size"), "sha1")
 
 
 def similar_names(files: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
     rows = eligible(files, policy, recursive).where(first_segment_not_in([R.SIMILAR_REVIEW])).withColumn("norm", K.similar_key(F.col("stem")))
+    rows = stored(rows.select("rel_path", "name", "ext", "size", "walk_seq", "norm"), "keyed")  # the key takes eight passes: once is enough
     ranked = _ranked(rows, ["norm", "ext"], F.struct(F.length("name").alias("length"), "name", "walk_seq"))
     return moves(ranked.where("rank > 1"), F.lit(R.SIMILAR_REVIEW), F.col("norm"))
 

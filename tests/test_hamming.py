@@ -20,9 +20,10 @@ def test_bands_widen_with_the_number_of_hashes():
     assert widest == sorted(widest) and widest[-1] > widest[0]
 
 
-@pytest.mark.parametrize("d,size", [(0, 256), (8, 256), (16, 3), (40, 256)])
-def test_pairs_equal_brute_force(spark, monkeypatch, d, size):
+@pytest.mark.parametrize("d,size,held", [(0, 256, 1 << 20), (8, 256, 10), (16, 3, 1 << 20), (16, 3, 10), (40, 256, 1 << 20)])
+def test_pairs_equal_brute_force(spark, monkeypatch, d, size, held):
     monkeypatch.setattr(H, "LIST", size)
+    monkeypatch.setattr(H, "HELD", held)
     monkeypatch.setattr(H, "AT_ONCE", 500)
     rng = np.random.default_rng(d)
     h = rng.integers(-(2**63), 2**63 - 1, 260)

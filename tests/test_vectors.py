@@ -28,6 +28,15 @@ def test_best_match_against_brute_force(spark, monkeypatch, block):
     assert V.best_match(rows.limit(0), known, 0.0).count() == 0 and V.best_match(rows, known.limit(0), 0.0).count() == 0
 
 
+def test_registries_that_are_sent_and_that_are_not(spark, monkeypatch):
+    faces = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    people = S.people_vectors(faces)
+    rows = lambda: {(r.vec_id, r.label, round(r.sim, 5)) for r in S.nearest_person(faces, people, 0.2).collect()}
+    sent = rows()
+    monkeypatch.setattr(S, "SENT", 0)
+    assert rows() == sent and sent
+
+
 @pytest.mark.parametrize("group", [40, 4096])
 def test_merged_clusters_find_what_lies_apart(spark, group):
     rng = np.random.default_rng(3)
