@@ -2,8 +2,10 @@
 
 A word's vector is the mean of the embeddings of its hashed character n-grams and of the word itself, so a misspelling shares most of
 its vector with the word it hides. A text's vector is the mean of its words' vectors, in which a word that occurs c times weighs
-c ** DAMP and PAD words of nothing take part. All of this is linear in the embeddings: for the fit a text is one sparse vector over
-n-gram buckets, and the trained model reduces to one number per bucket. Texts are read whole, as arrays of code points.
+c ** DAMP and PAD words of nothing take part. Embeddings of n-grams whose shares differ too little between the classes for the number of
+labelled texts are nothing, others count by how sure the difference is: few labels then don't lead to texts learned by heart. All of
+this is linear in the embeddings: for the fit a text is one sparse vector over n-gram buckets, and the trained model reduces to one
+number per bucket. Texts are read whole, as arrays of code points.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ BUCKETS = 1 << BUCKET_BITS
 #: A word counts as often as it occurs to the power DAMP; PAD words of nothing are averaged in; a run without blanks counts as one word
 #: for each RUN characters or part of them.
 DAMP, PAD, RUN = 0.5, 50, 32
+#: The least difference, in standard errors, of an n-gram's root share between the classes for it to take part: at 4, some 8 of 2^17
+#: buckets would by chance alone.
+SURE = 4.0
+#: Few labelled texts are gone through more often than EPOCHS, until there have been so many batches.
+STEPS = 400
 #: Bytes of text taken at once: the arrays of their n-grams take about a hundred times as much.
 PART = 1 << 19
 #: Of a code point: 2 blank, 1 letter, digit or other sign of words, 0 anything else, which is left out, so that i.d.i.o.t is idiot.
@@ -104,16 +111,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["label", "id", "buckets", "shares"])
 
 
+def certainty(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Per bucket, a tenth of the standard errors between the classes' means of its root share; 0 below SURE."""
+    sums, squares = np.zeros((2, BUCKETS)), np.zeros(BUCKETS)
+    for (buckets, shares), label in zip(rows, labels, strict=True):
+        sums[label, buckets] += np.sqrt(shares.astype(np.float64))
+        squares[buckets] += shares
+    n = np.bincount(labels, minlength=2)
+    spread = np.maximum(squares / n.sum() - (sums.sum(0) / n.sum()) ** 2, 1e-12)
+    errors = np.abs(sums[1] / n[1] - sums[0] / n[0]) / np.sqrt(spread * (1 / n[0] + 1 / n[1]))
+    return np.where(errors >= SURE, errors / 10, 0).astype(np.float32)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
-    """(number per bucket, bias) from texts' features: embeddings and softmax weights trained together by Adam on the cross entropy, in
-    fixed batches; the embeddings decay, and the rate falls to nothing, so that the last batches don't decide."""
+    """(number per bucket, bias) from texts' features of both classes: embeddings and softmax weights trained together by Adam on the
+    cross entropy, in fixed batches; the embeddings decay, and the rate falls to nothing, so that the last batches don't decide. Where no
+    n-gram is sure, the numbers are 0."""
+    sure = certainty(rows, labels)
+    rows = [(b[sure[b] > 0], (s * sure[b])[sure[b] > 0]) for b, s in rows]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     counts = np.where(labels == 1, ODDS * (labels == 0).sum() / (labels == 1).sum(), 1.0)
     order = rng.permutation(len(rows))
     parts = [order[lo : lo + BATCH] for lo in range(0, len(order), BATCH)]
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(parts)))
+    for _ in range(epochs):
         for part in (parts[k] for k in rng.permutation(len(parts))):
             e, w, b = params
             at = np.concatenate([rows[i][0] for i in part])
@@ -127,7 +150,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
             p *= (counts[part] / counts[part].sum())[:, None]
             back = (p @ w.T).astype(np.float32)
             grads = [np.stack([np.bincount(at, back[owner, d] * share, BUCKETS) for d in range(DIM)], 1), hidden.T @ p, p.sum(0)]
-            rate = RATE * (1 - step / (EPOCHS * len(parts)))
+            rate = RATE * (1 - step / (epochs * len(parts)))
             e *= 1 - rate * DECAY
             step += 1
             for m, v, q, g in zip(first, second, params, grads, strict=True):
@@ -135,7 +158,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
                 v += 0.01 * (g.astype(np.float32) ** 2 - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     e, w, b = params
-    return (SCALE * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0])
+    return (SCALE * sure * (e @ (w[:, 1] - w[:, 0]))).astype(np.float32), float(b[1] - b[0])
 
 
 def _probabilities(model) -> object:
