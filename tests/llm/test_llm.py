@@ -271,7 +271,7 @@ def test_neighbours_over_several_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
-def test_lcs():
+def test_lcs(monkeypatch):
     rng = random.Random(2)
     for _ in range(300):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
@@ -280,6 +280,23 @@ def test_lcs():
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         assert len(a) - len(H.unshared(a, b)) == t[-1][-1]
+        monkeypatch.setattr(H, "CELLS", 6)
+        assert len(a) - len(H.unshared(a, b)) == t[-1][-1]
+        monkeypatch.undo()
+    both = list(range(0, 40_000, 2)) + list(range(7))
+    assert H.unshared(list(range(20_000)), both) == [i for i in range(20_000) if i % 2]
+
+
+def test_page_text_of_teasers_and_telling_names(spark):
+    """An article in an unmarked part beside teasers that are marked, thin articles, and names that only hold a word of menus or adverts."""
+    site = '<body><div>Our site</div><div id="content"><h1>Head {0}</h1><p>Long true text of page {0}, which is all of it.</p></div>'
+    cards = "<article>More one</article><article>More two</article><div>Imprint</div>"
+    thin = "<main>More one</main><div>Imprint</div>"
+    named = '<article><p class="ad-free">No adverts</p><p class="notice-of-meeting">We meet</p><p class="social-history">Of towns</p><p id="sharecropping">Land</p>'
+    named += '<div class="cookie-banner">Ok?</div><div class="relatedPosts">More</div><div id="comments-list">Me</div><div class="x ad">Buy</div></article>'
+    rows = [(k, f"http://s.t/{'thin' if k > 3 else 'cards'}/{k}", site.format(k) + (thin if k > 3 else cards)) for k in range(1, 7)] + [(9, "http://n.o/", named)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\n\nLong true text of page {k}, which is all of it." for k in range(1, 7)} | {9: "No adverts\n\nWe meet\n\nOf towns\n\nLand"}
 
 
 def test_language(spark):
@@ -343,27 +360,31 @@ def test_pseudonyms_beside_other_text():
         assert pii.pseudonymise(plain, key) == (plain, {})
 
 
-def test_toxicity_held_out(spark):
+def test_toxicity_scores_every_row(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     odd = docs.limit(2).withColumns({"doc_id": F.col("doc_id") - 5000, "text": F.when(F.col("doc_id") % 2 == 0, F.lit(""))})
     got = TX.toxicity(docs.union(odd).withColumn("_score", F.lit(9)), labels)
     assert got.columns == [*docs.columns, "_score", "toxic_score", "toxic_predicted"] and got.where("toxic_score is null or toxic_score < 0 or toxic_score > 1").count() == 0
-    pairs = got.join(labels, "doc_id").where("toxic is not null").select("toxic", "toxic_score").collect()
-    good, bad = [r[1] for r in pairs if r[0] == 0], [r[1] for r in pairs if r[0] == 1]
-    assert np.mean([b > g for g in good for b in bad]) > 0.97  # mostly rows that it learned from: see the next test
     assert TX.toxicity(docs.limit(3), labels.limit(0)).where("toxic_predicted = 1").count() == 0
 
 
-def test_toxicity_of_rows_it_has_not_learned_from(spark):
-    """Few labels: what the model finds here is far from all (figures in the README), but clean rows are left alone."""
+def test_toxicity_held_out(spark):
+    """Only rows that the model hasn't learned from, as they are and with words misspelled in ways that no row shows."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
-    held = labels.where(F.expr(TX.held_out_sql("doc_id", 5, 0)) & F.col("toxic").isNotNull())
-    pairs = [(r.toxic, r.toxic_score) for r in TX.toxicity(docs, labels).join(held, "doc_id").select("toxic", "toxic_score").collect()]
-    good, bad = np.array([s for t, s in pairs if t == 0]), np.array([s for t, s in pairs if t == 1])
-    assert (good >= 0.5).mean() < 0.015 and (bad >= 0.5).mean() > 0.35
-    assert np.mean(bad[:, None] > good[None, :]) > 0.85
+    held = labels.where(F.expr(TX.held_out_sql("doc_id", 5, 0)) & F.col("toxic").isNotNull()).join(docs, "doc_id")
+    value, bias = TX.fit_on(docs, labels)
+    rows = held.select("toxic", "text").collect()
+    score = lambda texts: np.concatenate([TX.Words([t]).log_odds(value, bias) for t in texts])
+    good, bad = (score([r.text for r in rows if r.toxic == y]) for y in (0, 1))
+    assert (good >= 0).mean() < 0.01 and (bad >= 0).mean() > 0.85 and np.mean(bad[:, None] > good[None, :]) > 0.95
+    words = re.compile(r"\b(pathetic|worthless|disgusting)\b", re.I)
+    told = [r.text for r in rows if r.toxic == 1 and len(words.findall(r.text or "")) > 1]
+    spelled = score([words.sub(lambda m: m[0][:-1] + m[0][-2:], t) for t in told])  # the last letter twice: patheticc
+    assert len(told) >= 10 and (spelled >= 0).mean() > 0.8
+    clean = [r.text for r in rows if r.toxic == 0 and r.text]
+    assert (score([f"{t} patheticc worthlesss disgustingg" for t in clean]) > score(clean)).mean() > 0.95
 
 
 def test_pipeline_keeps_columns(spark):
