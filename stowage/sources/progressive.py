@@ -14,6 +14,8 @@ from stowage.operators.ranges import stored
 
 #: Bytes of the head, and of the tail, that are read first; bytes read at once of whole files.
 EDGE, PIECE = 1 << 16, 1 << 20
+#: Bytes to be read by a task; the number of tasks is named, since rows of a path and a size would be put in few.
+TASK = 1 << 28
 
 
 def _edge(path: str, size: int) -> tuple[str, int]:
@@ -49,7 +51,10 @@ def _read(files: DataFrame, root: str, name: str, digest: Callable[[str, int], t
                     found.append((None, 0))
             yield pd.DataFrame({"rel_path": pdf["rel_path"], name: [f[0] for f in found], f"{name}_read": [f[1] for f in found]})
 
-    dealt = files.select("rel_path", "size").repartition("rel_path")
+    files = stored(files.select("rel_path", "size"), f"{name}-wanted")
+    most = F.least("size", F.lit(2 * EDGE)) if digest is _edge else F.col("size")
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, (files.agg(F.sum(most)).first()[0] or 0) // TASK + 1)
+    dealt = files.repartition(tasks, "rel_path")
     return stored(dealt.mapInPandas(run, f"rel_path string, {name} string, {name}_read long"), name)
 
 
