@@ -39,6 +39,14 @@ def with_previous(table: DataFrame, by: list[str], cols: list[str], name: str =
     return rows.withColumn(name, F.when(before.isNotNull() & same, F.struct(*(before[c].alias(c) for c in cols)))).drop("_above", "_border")
 
 
+def with_place(table: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """A table ranged by the columns by (no nulls there) and others, with each row's place from 0 among those equal in by."""
+    heads = table.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    ranges = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*by, "_part", (F.coalesce(F.sum("_n").over(ranges), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return table.join(heads, [*by, "_part"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_shift")
+
+
 def with_running_sum(table: DataFrame, value: str, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """A ranged table with the sum of value over all rows up to this one; extra: more sums of the same kind, by name."""
     sums = {name: F.col(value), **(extra or {})}

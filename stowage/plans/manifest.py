@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.operators.components import use_checkpoint_dir
 from stowage.operators.ranges import stored
+from stowage.plans.free_names import settle_alike
 from stowage.plans.replay import COPY, DROP, FORCE, MOVE, replay
 
 KEEP = 20
 
 
-def _cluster(path: Column) -> tuple[Column, Column, Column]:
-    """(folder, stem without a trailing _number, extension): names that can only clash with one another."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return K.folder_of(path), F.regexp_replace(K.stem_of(name), r"(_\d+)+$", ""), K.ext_of(name)
+def _cluster(path: Column) -> tuple[Column, Column]:
+    """(folder, name without numbers such as _1 before a dot or the end): paths of others can't clash with these, nor can their free names."""
+    return K.folder_of(path), F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_\d+)+(?=\.|$)", "")
 
 
 def _free_name(path: str, taken: dict, known: dict) -> str:
@@ -63,8 +63,10 @@ def apply(files: DataFrame, ops: DataFrame, copy: bool = False) -> tuple[DataFra
     """(new manifest, journal) of the ops (op_seq, kind, src, dst) over an inventory (walk_seq, rel_path, name, size, sha1, ...).
 
     In op order: an occupied target of the same bytes is merged (the source stays), of other bytes gives the mover the least free _i.
-    A missing source is logged as such. Only name clusters with a clash go through Python; they are replayed until no outcome changes,
-    as a merged source that stays can block a name elsewhere. That ends, since an outcome hangs on earlier ops alone.
+    A missing source is logged as such. Clusters of names that clash, where all arrivals want one path and no file leaves, get their
+    numbers by ranks over ranges. Only clusters that mix wanted paths, or that files also leave, go through Python; they are replayed
+    until no outcome changes, as a merged source that stays can block a name elsewhere. That ends, since an outcome hangs on earlier
+    ops alone.
     """
     use_checkpoint_dir(files.sparkSession)
     wanted = ops.where("kind = 'move' and src <> dst").select("op_seq", "src", "dst")
@@ -76,14 +78,18 @@ def apply(files: DataFrame, ops: DataFrame, copy: bool = False) -> tuple[DataFra
     crowd = arrive.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths")).join(now.select("k", F.lit(1).alias("old")).distinct(), "k", "left")
     hard = crowd.where("n > paths or old = 1").select("k")
     easy = arrive.join(hard, "k", "left_anti").select("op_seq", F.col("path").alias("final"), F.lit("moved").alias("outcome"))
-    stays = None
+    gives = live.select(key("src").alias("k")).distinct()
+    alike = crowd.where("paths = 1 and (n > paths or old = 1)").select("k")
+    alike = (alike if copy else alike.join(gives, "k", "left_anti")).checkpoint()
+    ranked = settle_alike(arrive.join(alike, "k", "left_semi"), now.join(alike, "k", "left_semi")).checkpoint()
+    hard = hard.join(alike, "k", "left_anti").checkpoint()
+    stays = ranked.where("outcome = 'merged'").select("op_seq")
     while True:
-        leave = live if stays is None else live.join(stays, "op_seq", "left_anti")
-        leave = leave.select(key("src").alias("k"), "op_seq", F.lit(True).alias("gone"), F.col("src").alias("path"), "size", "sha1")
+        leave = live.join(stays, "op_seq", "left_anti").select(key("src").alias("k"), "op_seq", F.lit(True).alias("gone"), F.col("src").alias("path"), "size", "sha1")
         rows = arrive.union(now) if copy else arrive.union(now).union(leave)
-        settled = rows.join(hard, "k", "left_semi").groupBy("k").applyInPandas(_settle, "op_seq long, final string, outcome string").checkpoint()
+        settled = rows.join(hard, "k", "left_semi").groupBy("k").applyInPandas(_settle, "op_seq long, final string, outcome string").union(ranked).checkpoint()
         merged = settled.where("outcome = 'merged'").select("op_seq")
-        if copy or merged.exceptAll(stays).isEmpty() and stays.exceptAll(merged).isEmpty() if stays is not None else merged.isEmpty():
+        if copy or merged.exceptAll(stays).isEmpty() and stays.exceptAll(merged).isEmpty():
             break
         stays = merged
     done = easy.union(settled)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stowage.functions import columns as K
 from stowage.functions import rules as R
 from stowage.operators.components import use_checkpoint_dir
+from stowage.operators.ranges import ranged, with_place
 from stowage.operators.ranges import stored
 from stowage.plans import manifest as M
 
@@ -194,7 +195,7 @@ def rename(files: DataFrame, template: str = "{orig}", start: int = 1, pad: int
 
     Every file of the extension takes a number, also those whose name doesn't change. A name taken earlier in the plan within a folder
     gets the least free _k. Names can only clash within a folder, a stem without its last numbers and an extension: where all of such a
-    cluster want one name they are numbered by a window, and only clusters that mix such names go through Python.
+    cluster want one name they are numbered over ranges, and only clusters that mix such names go through Python.
     """
     rows = eligible(files, policy, recursive)
     if only_ext:
@@ -211,7 +212,7 @@ def rename(files: DataFrame, template: str = "{orig}", start: int = 1, pad: int
     rows = rows.join(crowd, "cluster", "left")
     cols = ["rel_path", "dir", "size", "walk_seq", "n", "new"]
     plain = rows.where("all is null").withColumn("new", F.concat("base", "tail"))
-    same = rows.where("least = most").withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("n")) - 1)
+    same = with_place(ranged(rows.where("least = most"), ["cluster", "n"]), ["cluster"], "k")
     same = same.withColumn("new", F.concat("base", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), "tail"))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
