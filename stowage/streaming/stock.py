@@ -22,13 +22,13 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
-def snapshots(spark: SparkSession, state: str) -> list[int]:
+def snapshots(spark: SparkSession, state: str, prefix: str = "snapshot-") -> list[int]:
     """Numbers of the complete snapshots of a state folder, in order: those whose writing ended with Spark's mark of success."""
     fs, place = _folder(spark, state)
     if not fs.exists(place):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(place)]
-    return sorted(int(n[9:]) for n in names if n.startswith("snapshot-") and fs.exists(_folder(spark, f"{state}/{n}/_SUCCESS")[1]))
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and fs.exists(_folder(spark, f"{state}/{n}/_SUCCESS")[1]))
 
 
 def stock(spark: SparkSession, state: str) -> DataFrame | None:
