@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,11 @@ from stowage.functions import rules as R
 from stowage.operators import rollup as U
 from stowage.operators import similarity as S
 from stowage.operators import vectors as V
+from stowage.operators.components import use_checkpoint_dir
 from stowage.plans import manifest as M
 from stowage.plans import planners as P
+from stowage.streaming.metric_cache import metrics_of
+from stowage.streaming.ordered_sessions import ordered_sessions
 
 AS_OF = 1735689600  # 2025-01-01, for what is old
 
@@ -38,7 +43,7 @@ def _compressed(files):
 
 def _applied(files):
     """Flatten, with its many clashes of names in the root, applied to the inventory."""
-    plan = P.flatten(files).where("size > 0").withColumnRenamed("walk_seq", "op_seq")
+    plan = P.flatten(files).withColumnRenamed("walk_seq", "op_seq")
     return M.apply(files, plan.select("op_seq", "kind", "src", "dst"))
 
 
@@ -60,6 +65,28 @@ def _shifted(spark, d):
     return now.union(strangers), journal
 
 
+def _cached_metrics(spark, d):
+    """Metrics of all files in two passes over one cache; between them every fifth file got a new time and is computed again."""
+    path = f"{use_checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    files = X.files(spark, d).select("walk_seq", "rel_path", "size", "mtime_epoch")
+    known = X.metrics(spark, d).select("walk_seq", "focus", "faces", "phash")
+    compute = lambda n: lambda rows: rows.select("rel_path", "walk_seq").join(known, "walk_seq").drop("walk_seq").withColumn("pass", F.lit(n))
+    metrics_of(files.withColumn("mtime_epoch", F.col("mtime_epoch") - F.when(F.col("walk_seq") % 5 == 0, 60).otherwise(0)), path, compute(1))
+    return metrics_of(files, path, compute(2)).select("rel_path", "size", "mtime_epoch", "focus", "faces", "phash", "pass")
+
+
+def _stream_sessions(spark, d):
+    """All captures as a stream: the sessions that its watermark passes, as they are given out."""
+    folder = f"{use_checkpoint_dir(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    events = f"{d}/events.parquet"
+    # a pattern, as a stream takes a plain path for a folder
+    captures = spark.readStream.schema(spark.read.parquet(events).schema).parquet(f"{d}/[e]vents.parquet")
+    captures = captures.selectExpr("event_id AS walk_seq", "user_id AS album", "ts AS taken_at", "'u' || user_id || '/cap' || event_id || '.jpg' AS rel_path")
+    out = ordered_sessions(captures).writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _undone_chains(spark, d):
     return M.undo(*_shifted(spark, d)).select("walk_seq", "rel_path")
 
@@ -154,6 +181,8 @@ QUERIES = {
     "root_meta": lambda s, d: U.root_meta(X.files(s, d)),
     "level_counts": lambda s, d: U.level_counts(U.folder_rollup(X.files(s, d))),
     "sessions": lambda s, d: U.sessions(X.captures(s, d)),
+    "stream_sessions": _stream_sessions,
+    "cached_metrics": _cached_metrics,
     "timeline_sessions": lambda s, d: U.timeline_sessions(X.captures(s, d), minutes=2),
     "timeline_by_album": lambda s, d: U.timeline_sessions(X.captures(s, d), by=("album",)),
     "rename_plan": lambda s, d: P.rename(X.files(s, d), "{category}_{n}_{orig}", pad=4).select("src", "dst", "reason"),
@@ -248,7 +277,7 @@ _APPLIED = """, came AS (SELECT *, {dst} AS dst, row_number() OVER w AS r, first
 seen AS (SELECT *, r > 1 AND size = s0 AND sha1 = h0 AS merged FROM came),
 ap AS (SELECT *, CASE WHEN r = 1 OR merged THEN dst ELSE regexp_replace(dst, '\\.[^.]+$', '') || '_' || CAST(sum(CASE WHEN r > 1 AND NOT merged THEN 1 ELSE 0 END) OVER (PARTITION BY dst ORDER BY walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) || '.' || string_split(dst, '.')[-1] END AS final FROM seen)
 """
-_FLAT = _APPLIED.format(dst="name", where="depth > 0 AND size > 0")
+_FLAT = _APPLIED.format(dst="name", where="depth > 0")
 # chains of moves of which each waits for the one before: a blocked first place keeps all of its chain where it is
 _CHAINS = f"""WITH c AS (SELECT *, walk_seq % 50 AS chain, coalesce(lead(rel_path) OVER w, 'end/' || walk_seq % 50) AS too, coalesce(lead(rel_path, 2) OVER w, 'end/' || walk_seq % 50) AS twice, row_number() OVER w AS k,
   lead(rel_path) OVER w IS NULL AND walk_seq % 50 % 5 = 0 AS gone FROM ({X.files_sql('strlen')}) WINDOW w AS (PARTITION BY walk_seq % 50 ORDER BY walk_seq))
@@ -303,6 +332,7 @@ ORACLE = {
     "root_meta": _FILES + "SELECT CAST(floor(sum(size) / 1024) AS BIGINT) AS root_kb, count(*) AS root_files, count(*) FILTER (depth = 0) AS root_loose FROM g",
     "level_counts": _FILES + "SELECT count(*) FILTER (level = 1) AS n_l1, count(*) FILTER (level = 2) AS n_l2, count(*) FILTER (level = 3) AS n_l3, CAST(sum(kb) FILTER (level = 1) AS BIGINT) AS kb, CAST(sum(files) FILTER (level = 1) AS BIGINT) AS files FROM roll",
     "sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
+    "cached_metrics": f"WITH f AS ({X.files_sql('strlen')}), m AS ({X.METRICS}) SELECT rel_path, size, mtime_epoch, focus, faces, phash, CASE WHEN walk_seq % 5 = 0 THEN 2 ELSE 1 END AS pass FROM f JOIN m USING (walk_seq)",
     "timeline_by_album": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 2400 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (PARTITION BY album ORDER BY taken_at, walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY album ORDER BY taken_at, walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT album, session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY taken_at, walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY album, session",
     "timeline_sessions": f"WITH c AS ({X.CAPTURES}), g AS (SELECT *, CASE WHEN floor(epoch(taken_at)) - floor(epoch(lag(taken_at) OVER w)) > 120 THEN 1 ELSE 0 END AS fresh FROM c WINDOW w AS (ORDER BY floor(epoch(taken_at)), walk_seq)), s AS (SELECT *, CAST(sum(fresh) OVER (ORDER BY floor(epoch(taken_at)), walk_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g) SELECT session, count(*) AS n, min(taken_at) AS start_at, max(taken_at) AS end_at, list(rel_path ORDER BY floor(epoch(taken_at)), walk_seq)[CAST(floor(count(*) / 2) AS INT) + 1] AS rep, CASE WHEN session < {len(R.SESSION_NAMES)} THEN [{_IN(R.SESSION_NAMES)}][session + 1] ELSE 'Session ' || (session + 1) END AS suggested FROM s GROUP BY session",
     "rename_plan": _FILES + ", n AS (SELECT *, row_number() OVER (ORDER BY lower(name), walk_seq) AS n FROM ok), t AS (SELECT *, regexp_replace(regexp_replace(category || '_' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END || '_' || stem, '[\\\\/:*?\"<>|]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') || CASE WHEN ext <> '' THEN '.' || string_split(name, '.')[-1] ELSE '' END AS new FROM n) SELECT rel_path AS src, CASE WHEN dir = '' THEN new ELSE dir || '/' || new END AS dst, CAST(n AS VARCHAR) AS reason FROM t",
@@ -342,3 +372,6 @@ ORACLE = {
  SELECT rel_path AS src, category || '/' || own AS dst, category AS reason, size FROM cat UNION ALL SELECT rel_path, 'Videos/' || name, 'Videos', size FROM ok WHERE ext IN ({_IN(R.VIDEO_EXTS)}) AND segs[1] NOT IN ({_IN(R.PHOTO_FOLDERS.values())})""",
     "change_signature": _FILES + "SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, max(mtime_epoch) AS newest FROM g",
 }
+
+# those sessions that a watermark of an hour behind the last capture has passed
+ORACLE["stream_sessions"] = ORACLE["sessions"] + " HAVING floor((SELECT max(epoch(taken_at)) FROM c)) - 3600 - floor(epoch(max(taken_at))) > 2400"

@@ -18,8 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from stowage.operators.ranges import stored
 from stowage.streaming.stock import _folder, snapshots
 
-#: Buckets of a new cache (the number stays with the cache); heads that are kept, so that tables read before a pass can be read after it.
-BUCKETS, KEPT = 256, 2
+#: Buckets of a new cache (the number stays with the cache; take more for more than some 10^8 files); heads that are kept, so that tables read before a pass can be read after it.
+BUCKETS, KEPT = 64, 2
 KEYS = ["rel_path", "size", "mtime_epoch"]
 
 
@@ -85,7 +85,7 @@ def _sweep(spark: SparkSession, path: str) -> None:
             fs.delete(b, True)
 
 
-def metrics_of(files: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], sig: str | None = None, limit: int | None = None) -> DataFrame:
+def metrics_of(files: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], sig: str | None = None, limit: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The metrics of files (rel_path, size, mtime_epoch and whatever compute needs; paths distinct), computed only where the cache has none.
 
     compute: gives metrics by rel_path; files that it leaves out or marks unreadable are tried again the next time. A cached row counts if
@@ -101,7 +101,7 @@ def metrics_of(files: DataFrame, path: str, compute: Callable[[DataFrame], DataF
     missing = files if cached is None else files.join(fits(cached).select(*KEYS), KEYS, "left_anti")
     missing = stored(missing, "missing")
     found = _readable(compute(missing)).drop("size", "mtime_epoch").join(missing.select(*KEYS), "rel_path")
-    upsert(spark, path, found.withColumn("sig", F.lit(sig).cast("string")))
+    upsert(spark, path, found.withColumn("sig", F.lit(sig).cast("string")), buckets)
     cached = read_metrics(spark, path)
     if cached is None:
         return found

@@ -64,7 +64,7 @@ def ordered_sessions(stream: DataFrame, minutes: int = 40, late: str = "1 hour",
     """Sessions (by, session, n, start_at, end_at, rep, suggested) as the batch operator gives them, each once the watermark has passed it.
 
     Files (by, taken_at, walk_seq, rel_path) are ordered by time and walk_seq however they arrive. A file later than the watermark is
-    dropped, as it would change what was given out; one without a time takes no part. The last session of a key stays open until files of
+    dropped, as it would change what was given out; one without a time takes no part. Times without a zone are taken in the session's. The last session of a key stays open until files of
     any key move the watermark past its end.
     """
     gap = max(2, minutes) * 60
@@ -83,7 +83,8 @@ def ordered_sessions(stream: DataFrame, minutes: int = 40, late: str = "1 hour",
             session, n, start, end, rep = zip(*line.done, strict=True)
             yield pd.DataFrame({"key": key[0], "session": session, "n": n, "start": start, "end": end, "rep": rep})
 
-    rows = stream.where("taken_at is not null").withWatermark("taken_at", late)
+    kind = stream.schema["taken_at"].dataType
+    rows = stream.where("taken_at is not null").withColumn("taken_at", F.col("taken_at").cast("timestamp")).withWatermark("taken_at", late)
     rows = rows.select(F.col(by).cast("string").alias("key"), "taken_at", F.unix_micros("taken_at").alias("us"), F.col("walk_seq").cast("long").alias("walk_seq"), "rel_path")
     found = rows.groupBy("key").applyInPandasWithState(run, "key string, session int, n long, start long, end long, rep string", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select(F.col("key").alias(by), "session", "n", F.timestamp_micros("start").alias("start_at"), F.timestamp_micros("end").alias("end_at"), "rep", _session_name().alias("suggested"))
+    return found.select(F.col("key").cast(stream.schema[by].dataType).alias(by), "session", "n", F.timestamp_micros("start").cast(kind).alias("start_at"), F.timestamp_micros("end").cast(kind).alias("end_at"), "rep", _session_name().alias("suggested"))
