@@ -1,9 +1,9 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
 The training texts are cut into blocks; for each block and benchmark term the index stores the ascending token positions of that term
-(as deltas; documents of a block lie a gap apart, so no match spans two). The index is partitioned by document, so lists of different
-terms of one block meet without a global shuffle of postings. A query phrase is answered by intersecting offset-adjusted lists from its
-rarest term on; rarity is the term's count over the whole index. Proximity search takes the same lists.
+(as deltas; documents of a block lie a gap apart, so no match spans two). The index is partitioned by document and a block is one row, so
+lists of different terms of one block meet where the block is read, without a shuffle. A query phrase is answered by intersecting
+offset-adjusted lists from its rarest term on; rarity is the term's count over the whole index. Proximity search takes the same lists.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,10 +21,11 @@ from stowage.llm import common as C
 #: Tokens per block of the index; free positions between documents; windows searched in one pass over the index; distinct words of a
 #: benchmark up to which they are sent to the tasks, so that the index holds no others (8 bytes each; beyond, it holds all words).
 BLOCK_TOKENS, GAP, WINDOWS_AT_ONCE, MOST_TERMS = 400_000, 64, 200_000, 2_000_000
-#: The slot of rows that hold a term's positions; other rows are documents and have no term (0).
-_LIST = -1
-_INDEX = "block long, slot int, doc long, base long, n_words long, term long, deltas array<int>"
-_FIELDS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("doc", pa.int64()), ("base", pa.int64()), ("n_words", pa.int64()), ("term", pa.int64()), ("deltas", pa.list_(pa.int32()))])
+#: A block: its documents (base = position of the first word in the block) and its ascending terms with their numbers of positions; deltas
+#: holds the positions of all terms, one term after the other, each but a term's first as the distance from the one before.
+_INDEX = "block long, docs array<long>, bases array<long>, n_words array<long>, terms array<long>, counts array<int>, deltas array<int>"
+_FIELDS = pa.schema([("block", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("docs", "bases", "n_words", "terms")), *((c, pa.list_(pa.int32())) for c in ("counts", "deltas"))])
+_HITS = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
 
 
 def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -45,7 +45,7 @@ def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: per block its documents (base = position of the first word) and one row per term with its positions.
+    """The stored index: one row per block, with its documents and its terms' positions (see _INDEX).
 
     terms: sorted distinct term hashes to index; None: every word. Null and wordless texts are documents of no words.
     """
@@ -62,9 +62,6 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id
             words, at = C.word_hashes(texts, C.ALNUM_WORDS)
             words, n = words.view(np.int64), np.diff(at)
             base = at[:-1] + GAP * np.arange(count)
-            rows = [pa.array(c) for c in (np.full(count, block), np.arange(count, dtype=np.int32))]
-            rows += [ids, pa.array(base), pa.array(n.astype(np.int64)), pa.array(np.zeros(count, np.int64)), pa.nulls(count, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(rows, schema=_FIELDS)
             terms, where = (np.unique(words), np.arange(len(words))) if wanted is None else (wanted, np.flatnonzero(low[words & 0xFFFF]))
             found = np.searchsorted(terms, words[where])
             good = terms[np.minimum(found, len(terms) - 1)] == words[where] if len(terms) else np.zeros(len(where), bool)
@@ -74,9 +71,8 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id
             cut = np.flatnonzero(np.diff(found, prepend=-1))
             deltas = np.diff(place, prepend=0)
             deltas[cut] = place[cut]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(found)).astype(np.int32)), pa.array(deltas.astype(np.int32)))
-            none = pa.nulls(len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(np.full(len(cut), _LIST, np.int32)), none, none, none, pa.array(terms[found[cut]]), lists], schema=_FIELDS)
+            row = [[ids.to_pylist()], [base], [n], [terms[found[cut]]], [np.diff(np.append(cut, len(found)))], [deltas]]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array(c, f.type) for c, f in zip(row, list(_FIELDS)[1:], strict=True))], schema=_FIELDS)
             block += 1
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -98,11 +94,6 @@ class Windows:
             self.terms[i, : len(order)] = [r["terms"][j] for j in order]
 
 
-def _lists(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    pdf = pdf.sort_values("term")
-    return pdf["term"].to_numpy(np.int64), [np.cumsum(np.asarray(d, np.int64)) for d in pdf["deltas"]]
-
-
 def _starts(terms: np.ndarray, lists: list[np.ndarray], q: Windows, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start, length) of the matches in one block: exact phrases, or within slop further words and in any order."""
     at = np.zeros(1 + max((int(p[-1]) for p in lists), default=0) + GAP, np.int32)
@@ -139,17 +130,24 @@ def _starts(terms: np.ndarray, lists: list[np.ndarray], q: Windows, slop: int |
 
 
 def _searcher(query, slop: int | None):
-    """Matches of the broadcast windows in one block of the index."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        q, is_doc = query.value, pdf["slot"] != _LIST
-        docs = pdf[is_doc].sort_values("slot")
-        window, start, length = _starts(*_lists(pdf[~is_doc]), q, slop)
-        base, n = docs["base"].to_numpy(np.int64), docs["n_words"].to_numpy(np.int64)
-        doc = np.searchsorted(base, start, "right") - 1
-        inside = (start - base[doc]) < n[doc]
-        window, start, length, doc = window[inside], start[inside], length[inside], doc[inside]
-        return pd.DataFrame({"block": key[0], "slot": docs["slot"].to_numpy()[doc].astype(np.int32), "item": q.items[window], "start": start - base[doc], "length": length})
+    """Matches of the broadcast windows in blocks of the index, one block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = query.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, docs, base, n, terms, counts, deltas = (batch.column(c)[i] for c in _FIELDS.names)
+                base, n, terms, counts, deltas = (x.values.to_numpy() for x in (base, n, terms, counts, deltas))
+                # the sum of all deltas less what the terms before have summed to is a term's own running sum
+                cut, total = np.cumsum(counts)[:-1], np.cumsum(deltas, dtype=np.int64)
+                before = np.concatenate([np.zeros(1, np.int64), total[cut - 1]])[: len(counts)]
+                places = total - np.repeat(before, counts)
+                window, start, length = _starts(terms, np.split(places, cut) if len(counts) else [], q, slop)
+                doc = np.searchsorted(base, start, "right") - 1
+                inside = (start - base[doc]) < n[doc]
+                window, start, length, doc = window[inside], start[inside], length[inside], doc[inside]
+                found = (np.full(len(doc), block.as_py()), doc, q.items[window], start - base[doc], length)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, _HITS, strict=True)], schema=_HITS)
 
     return run
 
@@ -158,7 +156,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     """Rows (block, slot, item, start, length): places of the windows' matches, start counted in words of the document.
 
     slop None: exact phrases. Otherwise all words of a window, in any order, within its length plus slop words. Windows are taken in
-    sets of at most WINDOWS_AT_ONCE, each searched against the whole index, so what goes to the tasks is bounded.
+    sets of at most WINDOWS_AT_ONCE, each searched where the index's blocks are read, so what goes to the tasks is bounded.
     """
     spark = index.sparkSession
     windows = C.stored(windows, "windows")
@@ -169,10 +167,10 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     for k in range(sets):
         part = windows.where(F.expr(f"pmod(xxhash64(item, terms), {sets}) = {k}"))
         wanted = part.select(F.explode("terms").alias("term")).distinct()
-        counts = index.where(f"slot = {_LIST}").groupBy("term").agg(F.sum(F.size("deltas")).alias("n")).join(wanted, "term", "left_semi")
+        terms = index.select(F.inline(F.arrays_zip("terms", "counts")).alias("term", "n"))
+        counts = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
         query = spark.sparkContext.broadcast(Windows(part.collect(), {r.term: r.n for r in counts.collect()}))
-
-        found = index.groupBy("block").applyInPandas(_searcher(query, slop), "block long, slot int, item string, start long, length long")
+        found = index.mapInArrow(_searcher(query, slop), "block long, slot int, item string, start long, length long")
         out = found if out is None else out.union(found)
     return out
 
@@ -195,6 +193,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
         lambda s: s["sum"],
     )
     hits = search(index, windows).groupBy("block", "slot").agg(ends.alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    rows = index.where(f"slot <> {_LIST}").select("block", "slot", F.col("doc").alias("doc_id"), "n_words").join(hits, ["block", "slot"], "left")
+    rows = index.select("block", F.posexplode(F.arrays_zip("docs", "n_words")).alias("slot", "d")).select("block", "slot", F.col("d.docs").alias("doc_id"), "d.n_words")
+    rows = rows.join(hits, ["block", "slot"], "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
