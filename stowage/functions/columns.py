@@ -150,8 +150,9 @@ def effective_time(taken: Column, mtime: Column) -> Column:
     return F.coalesce(taken, F.timestamp_seconds(F.nullif(mtime, F.lit(0))))
 
 
-def place_key(lat="lat", lon="lon", places: int = 3) -> Column:
-    return F.concat_ws("_", F.round(c(lat), places).cast("string"), F.round(c(lon), places).cast("string"))
+def place_key(lat="lat", lon="lon", places: int | None = 3) -> Column:
+    """places: decimals of the coordinates; None: all that they have."""
+    return F.concat_ws("_", *((c(x) if places is None else F.round(c(x), places)).cast("string") for x in (lat, lon)))
 
 
 def person_folder(name: Column) -> Column:

@@ -70,9 +70,9 @@ def with_folders(plan: DataFrame, nested: bool = False) -> DataFrame:
     return plan.unionByName(made.withColumns({"kind": F.lit("mkdir"), **cols}).select(plan.columns))
 
 
-def by_location(files: DataFrame, gps: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True) -> DataFrame:
-    """Images with coordinates (gps: walk_seq, lat, lon) into Places/<rounded place>."""
-    rows = eligible(files, policy, recursive).where(K.is_image() & first_segment_not_in(["Places"])).join(gps, "walk_seq").withColumn("place", K.place_key())
+def by_location(files: DataFrame, gps: DataFrame, policy=K.SafetyPolicy(), recursive: bool = True, places: int | None = 3) -> DataFrame:
+    """Images with coordinates (gps: walk_seq, lat, lon) into Places/<place>, rounded to so many decimals (None: not rounded)."""
+    rows = eligible(files, policy, recursive).where(K.is_image() & first_segment_not_in(["Places"])).join(gps, "walk_seq").withColumn("place", K.place_key(places=places))
     return moves(rows, F.concat(F.lit("Places/"), F.col("place")), F.col("place"))
 
 
