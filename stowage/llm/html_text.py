@@ -1,18 +1,22 @@
-"""Main text of web pages: structure first, then nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing of what structure leaves, checked against the article that a page marks.
 
 A page is cut into blocks of text. Blocks in menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are left
-out by tag, role, class or id. If the page marks one article, which holds at least half of the text that is left, the article's blocks
-are the main text. Else (nothing is marked, or several parts are, such as teasers, or a thin one) the page is paired with the page of the same host that is nearest by URL path and isn't a copy of it, both pages' lines are aligned by longest common subsequence, and
-the shared lines, which are the site's and not the page's, are deleted. Pages whose LONGEST longest blocks are the same are copies.
-
-Lines inside a marked article are never deleted: pages repeat one another's passages, so differencing would take true text there.
+out by tag, role, class or id. Every page is paired with the page of the same host that is nearest by URL path and isn't a copy of it,
+both pages' lines are aligned by longest common subsequence, and the shared lines, which are the site's and not the page's, are deleted.
+Pages whose LONGEST longest blocks are the same are copies.
+
+What differencing leaves is then held against the page's marks. If the page marks one article, which holds at least half of the text of
+the blocks or half of what differencing leaves of them, lines outside it go and lines inside it come back: pages repeat one another's
+passages, so differencing takes true text there. Else (nothing is marked, or several parts are, such as teasers, or a thin one) it stays
+as it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ _LAYOUT_WORDS = re.compile(
     r"|\d+|[a-z]|area|articles?|bars?|block|blog|bottom|box|buttons?|cards?|center|col|column|container|content|div|feed|fixed|form|global|group|header|icons?|inner|items?|js|left|links?|list|main|media|menu|mobile|modules?|news|outer|page|panel|post|posts|primary|right|row|secondary|section|site|slot|small|sticky|stories|tools|top|unit|user|widget|wrap|wrapper|wide"
 )
 _WORD_BREAK = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
-#: Of the text that structure leaves, what a marked article must hold at least to be trusted.
+#: Of the text that structure or differencing leaves, what a marked article must hold at least to be trusted.
 TRUSTED = 0.5
 #: Cells of one table of common subsequences; longer pairs of pages are halved first, so memory is bounded by their lines.
 CELLS = 1 << 20
@@ -145,12 +149,16 @@ def url_key(url: str | None) -> tuple[str, str]:
     return re.sub(r"^(www|m)\.", "", m[1].lower()), re.sub(r"(/index)?(\.[a-z]{2,5})?/*$", "", m[2])
 
 
-def marked_text(found: list[tuple[str, int]]) -> list[str] | None:
-    """The blocks of the one marked article that holds at least TRUSTED of the characters; None if there is no such article."""
-    articles = {a for _, a in found if a}
-    inside = [t for t, a in found if a]
-    trusted = len(articles) == 1 and sum(map(len, inside)) >= TRUSTED * sum(len(t) for t, _ in found)
-    return inside if trusted else None
+def marked_text(found: list[tuple[str, int]], left: list[int]) -> list[str] | None:
+    """The blocks of the one marked article that holds at least TRUSTED of the characters of all blocks, or of those at the places left by
+    differencing; None if there is no such article."""
+    if len({a for _, a in found if a}) != 1:
+        return None
+
+    def held(rows: list[tuple[str, int]]) -> bool:
+        return bool(rows) and sum(len(t) for t, a in rows if a) >= TRUSTED * sum(len(t) for t, _ in rows)
+
+    return [t for t, a in found if a] if held(found) or held([found[i] for i in left]) else None
 
 
 def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,26 +204,35 @@ def unshared(own: list[int], other: list[int]) -> list[int]:
     return np.flatnonzero(keep).tolist()
 
 
-_PARSED = "page_id long, url string, host string, path string, digest long, text string, blocks array<string>, lines array<long>"
+_KEYS = "host string, path string, digest long, lines array<long>"
+_BODIES = "page_id long, url string, host string, path string, digest long, body binary, articles array<int>"
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("digest", pa.int64()), ("text", pa.string()), ("blocks", pa.list_(pa.string())), ("lines", pa.list_(pa.int64()))]
-    for batch in C.parts(batches, column="html"):
-        rows = []
-        for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-            found = blocks(page)
-            main = marked_text(found)
-            host, path = url_key(url)
-            lines = [_hash(t) for t, _ in found]
-            longest = sorted({t for t, _ in found}, key=lambda t: (-len(t), t))[:LONGEST]
-            done = "" if not found else None if main is None else "\n\n".join(main)
-            rows.append((page_id, url, host, path, _hash("\n".join(longest)), done, None if done is not None else [t for t, _ in found], lines))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+def _key(url: str | None, found: list[tuple[str, int]]) -> tuple[str, str, int]:
+    longest = sorted({t for t, _ in found}, key=lambda t: (-len(t), t))[:LONGEST]
+    return (*url_key(url), _hash("\n".join(longest)))
+
+
+def _parse(bodies: bool) -> Callable:
+    """A task over pages: what they are paired by, with the hashes of their lines; or (bodies) with their blocks, packed as they are
+    shuffled. No block holds a line break."""
+    fields = [("host", pa.string()), ("path", pa.string()), ("digest", pa.int64())]
+    fields = [("page_id", pa.int64()), ("url", pa.string()), *fields, ("body", pa.binary()), ("articles", pa.list_(pa.int32()))] if bodies else [*fields, ("lines", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.parts(batches, column="html"):
+            rows = []
+            for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                found = blocks(page)
+                key = _key(url, found)
+                rows.append((page_id, url, *key, zlib.compress("\n".join(t for t, _ in found).encode()), [a for _, a in found]) if bodies else (*key, [_hash(t) for t, _ in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    return run
 
 
 def _other_before(rows: DataFrame, w: WindowSpec, name: str) -> DataFrame:
@@ -261,8 +278,11 @@ def neighbours(parsed: DataFrame) -> DataFrame:
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for own, lines, near in zip(*(batch.column(c).to_pylist() for c in ("blocks", "lines", "near")), strict=True):
-            texts.append("\n\n".join(own[i] for i in unshared(lines, near or [])))
+        for body, articles, near in zip(*(batch.column(c).to_pylist() for c in ("body", "articles", "near")), strict=True):
+            own = zlib.decompress(body).decode().split("\n") if articles else []
+            left = unshared([_hash(t) for t in own], near or [])
+            main = marked_text(list(zip(own, articles, strict=True)), left)
+            texts.append("\n\n".join([own[i] for i in left] if main is None else main))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -274,10 +294,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ignored.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parsed = C.stored(pages.mapInArrow(_parse, _PARSED), "blocks")
-    marked = parsed.where("text is not null").select("page_id", "url", "text")
-    open_ = parsed.where("text is null")
-    hosts = open_.select("host").distinct()
-    near = neighbours(parsed.join(hosts, "host", "left_semi"))
-    rest = open_.join(near, ["host", "path", "digest"], "left").select("page_id", "url", "blocks", "lines", "near").mapInArrow(_differenced, "page_id long, url string, text string")
-    return marked.union(rest).withColumn("n_chars", F.length("text").cast("long"))
+    near = neighbours(C.stored(pages.mapInArrow(_parse(False), _KEYS), "lines"))
+    # pages are parsed again rather than stored: their text lies on the disk once, packed, as it is shuffled
+    paired = pages.mapInArrow(_parse(True), _BODIES).join(near, ["host", "path", "digest"], "left").select("page_id", "url", "body", "articles", "near")
+    return paired.mapInArrow(_differenced, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

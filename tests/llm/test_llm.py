@@ -257,6 +257,14 @@ def test_page_text(spark):
         assert [t for t, inside in H.blocks(r[0]) if inside] == [w for w in want if w]
 
 
+def test_pages_with_an_article_are_differenced_too(spark):
+    """The site's unmarked lines outweigh the article until they are deleted; the passage that both articles hold comes back."""
+    page = "<body><div>{}</div><p>no. {}</p><article><h1>Title {}</h1><p>A passage of both</p></article></body>"
+    rows = [(i, f"http://h.c/d/{i}", page.format("The site says this on each page. " * 20, i, i)) for i in (1, 2)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\n\nA passage of both" for i in (1, 2)}
+
+
 def test_neighbours_over_several_ranges(spark):
     n = 60_000  # over 10 MB
     lines = F.array(F.col("id"), *(F.xxhash64("id", F.lit(k)) for k in range(24)))
