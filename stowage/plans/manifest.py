@@ -68,37 +68,52 @@ def apply(files: DataFrame, ops: DataFrame, copy: bool = False) -> tuple[DataFra
     until no outcome changes, as a merged source that stays can block a name elsewhere. That ends, since an outcome hangs on earlier
     ops alone.
     """
-    use_checkpoint_dir(files.sparkSession)
     wanted = ops.where("kind = 'move' and src <> dst").select("op_seq", "src", "dst")
-    asked = wanted.join(files.select(F.col("rel_path").alias("src"), "size", "sha1"), "src", "left").checkpoint()
+    asked = stored(wanted.join(files.select(F.col("rel_path").alias("src"), "size", "sha1"), "src", "left").select("op_seq", "src", "dst", "size", "sha1"), "asked")
     live, missing = asked.where("size is not null"), asked.where("size is null")
-    key = lambda p: F.concat_ws("\0", *_cluster(F.col(p)))
-    arrive = live.select(key("dst").alias("k"), "op_seq", F.lit(False).alias("gone"), F.col("dst").alias("path"), "size", "sha1")
+    key = lambda p: F.xxhash64(*_cluster(F.col(p)))  # noqa: E731  (two clusters that share a number are settled as one)
     now = files.select(key("rel_path").alias("k"), F.lit(-1).cast("long").alias("op_seq"), F.lit(False).alias("gone"), F.col("rel_path").alias("path"), "size", "sha1")
+    came = live.withColumn("k", key("dst"))
+    ends = came.select("k", F.lit(1).alias("n"), F.lit(0).alias("old")).union(now.select("k", F.lit(0), F.lit(1)))
+    met = stored(ends.groupBy("k").agg(F.sum("n").alias("n"), F.max("old").alias("old")).where("n > 1 or (n = 1 and old = 1)").select("k"), "met")
+    journal = _journal(came.join(met, "k", "left_anti").select("op_seq", "src", F.col("dst").alias("final"), F.lit("moved").alias("outcome")), copy)
+    if not met.isEmpty():
+        contested = stored(came.join(met, "k", "left_semi"), "contested")
+        leave = live.select(key("src").alias("k"), "op_seq", F.lit(True).alias("gone"), F.col("src").alias("path"), "size", "sha1")
+        leave = stored((leave.limit(0) if copy else leave).join(met, "k", "left_semi"), "leave")
+        done = _contested(contested, stored(now.join(met, "k", "left_semi"), "now"), leave)
+        journal = journal.union(_journal(contested.select("op_seq", "src").join(done, "op_seq"), copy))
+    journal = stored(journal.union(missing.select("op_seq", F.lit("move"), "src", "dst", F.lit("missing"))), "journal")
+    if copy:
+        return files, journal
+    moved = journal.where("outcome = 'moved'").select(F.col("src").alias("rel_path"), F.col("dst").alias("_to"))
+    new = {"rel_path": F.coalesce("_to", "rel_path")}
+    if "name" in files.columns:
+        new["name"] = F.when(F.col("_to").isNull(), F.col("name")).otherwise(F.element_at(F.split("_to", "/"), -1))
+    return files.join(moved, "rel_path", "left").withColumns(new).select(files.columns), journal
+
+
+def _journal(done: DataFrame, copy: bool) -> DataFrame:
+    return done.select("op_seq", F.lit("copy" if copy else "move").alias("op"), "src", F.col("final").alias("dst"), "outcome")
+
+
+def _contested(came: DataFrame, now: DataFrame, leave: DataFrame) -> DataFrame:
+    """(op_seq, final, outcome) of the arrivals of clusters that others want, too, or where files stand (now); leave: files that go."""
+    arrive = came.select("k", "op_seq", F.lit(False).alias("gone"), F.col("dst").alias("path"), "size", "sha1")
     crowd = arrive.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths")).join(now.select("k", F.lit(1).alias("old")).distinct(), "k", "left")
     hard = crowd.where("n > paths or old = 1").select("k")
     easy = arrive.join(hard, "k", "left_anti").select("op_seq", F.col("path").alias("final"), F.lit("moved").alias("outcome"))
-    gives = live.select(key("src").alias("k")).distinct()
-    alike = crowd.where("paths = 1 and (n > paths or old = 1)").select("k")
-    alike = (alike if copy else alike.join(gives, "k", "left_anti")).checkpoint()
-    ranked = settle_alike(arrive.join(alike, "k", "left_semi"), now.join(alike, "k", "left_semi")).checkpoint()
-    hard = hard.join(alike, "k", "left_anti").checkpoint()
+    alike = stored(crowd.where("paths = 1 and (n > paths or old = 1)").select("k").join(leave.select("k").distinct(), "k", "left_anti"), "alike")
+    ranked = stored(settle_alike(arrive.join(alike, "k", "left_semi"), now.join(alike, "k", "left_semi")), "ranked")
+    hard = stored(hard.join(alike, "k", "left_anti"), "hard")
     stays = ranked.where("outcome = 'merged'").select("op_seq")
     while True:
-        leave = live.join(stays, "op_seq", "left_anti").select(key("src").alias("k"), "op_seq", F.lit(True).alias("gone"), F.col("src").alias("path"), "size", "sha1")
-        rows = arrive.union(now) if copy else arrive.union(now).union(leave)
-        settled = rows.join(hard, "k", "left_semi").groupBy("k").applyInPandas(_settle, "op_seq long, final string, outcome string").union(ranked).checkpoint()
+        rows = arrive.union(now).union(leave.join(stays, "op_seq", "left_anti").select(arrive.columns))
+        settled = stored(rows.join(hard, "k", "left_semi").groupBy("k").applyInPandas(_settle, "op_seq long, final string, outcome string").union(ranked), "settled")
         merged = settled.where("outcome = 'merged'").select("op_seq")
-        if copy or merged.exceptAll(stays).isEmpty() and stays.exceptAll(merged).isEmpty():
-            break
+        if leave.isEmpty() or merged.exceptAll(stays).isEmpty() and stays.exceptAll(merged).isEmpty():
+            return easy.union(settled)
         stays = merged
-    done = easy.union(settled)
-    journal = live.join(done, "op_seq").select("op_seq", F.lit("copy" if copy else "move").alias("op"), "src", F.col("final").alias("dst"), "outcome")
-    journal = journal.union(missing.select("op_seq", F.lit("move"), "src", "dst", F.lit("missing"))).checkpoint()
-    moved = journal.where("outcome = 'moved'").select(F.col("src").alias("rel_path"), F.col("dst").alias("to"))
-    name = F.element_at(F.split("to", "/"), -1)
-    changed = files.join(moved, "rel_path").withColumns({"rel_path": F.col("to"), "name": name}).select(files.columns)
-    return (files if copy else files.join(moved, "rel_path", "left_anti").select(files.columns)).union(changed), journal
 
 
 def verify(before: DataFrame, after: DataFrame, copies: int = 0) -> DataFrame:
@@ -291,7 +306,8 @@ def audit(journal: DataFrame) -> DataFrame:
 def recipe(files: DataFrame, planners: list) -> tuple[DataFrame, list[DataFrame]]:
     """A chain of planners: each plans over the inventory that the one before left; the last manifest and the journals."""
     journals = []
-    for planner in planners:
+    for i, planner in enumerate(planners):
+        files = stored(files, "manifest") if i else files  # it is read several times
         plan = planner(files)
         files, journal = apply(files, plan.select(F.col("walk_seq").alias("op_seq"), "kind", "src", "dst"))
         journals.append(journal)

@@ -333,3 +333,16 @@ def test_streams(spark, tree, tmp_path_factory):
         assert q.awaitTermination(90)
     assert spark.table("s2").count() == 2
     assert [r.n for r in spark.table("s1").collect()] == [2]
+
+
+def test_apply_without_clashes_settles_no_names(spark, monkeypatch):
+    """Where no name is wanted twice or taken, only the moves are joined; a single clash is settled as before."""
+    files = spark.createDataFrame([(i, f"a/f{i}.bin", f"f{i}.bin", i, str(i)) for i in range(1, 5)], "walk_seq long, rel_path string, name string, size long, sha1 string")
+    ops = files.select(F.col("walk_seq").alias("op_seq"), F.lit("move").alias("kind"), F.col("rel_path").alias("src"), F.concat(F.lit("b/"), "name").alias("dst"))
+    clash = files.union(spark.createDataFrame([(9, "b/f1.bin", "f1.bin", 7, "x")], files.schema))
+    after = M.apply(clash, ops)[0]
+    assert sorted(r.rel_path for r in after.collect()) == ["b/f1.bin", "b/f1_1.bin", "b/f2.bin", "b/f3.bin", "b/f4.bin"]
+    monkeypatch.setattr(M, "settle_alike", None)
+    after, journal = M.apply(files, ops)
+    assert sorted((r.rel_path, r.name, r.sha1) for r in after.collect()) == [(f"b/f{i}.bin", f"f{i}.bin", str(i)) for i in range(1, 5)]
+    assert {r.outcome for r in journal.collect()} == {"moved"}
