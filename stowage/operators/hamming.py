@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from stowage.operators.ranges import stored
 
-#: Hashes of a list at most, about; what a pair of lists costs, in comparisons; comparisons made at once.
-LIST, PAIR_COST, AT_ONCE = 256, 100, 1 << 21
+#: Hashes of a list at most, about; what a pair of lists costs, in comparisons; comparisons made at once; those that make a table.
+LIST, PAIR_COST, AT_ONCE, TABLE = 256, 3000, 1 << 17, 512
 #: So many hashes fit a task (8 MB).
 HELD = 1 << 20
 
@@ -50,6 +50,36 @@ def bands(n: int, d: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(min(fit, key=cost))
 
 
+def _near(values: list[np.ndarray], sizes: list[np.ndarray], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, xs, ys) within d bits of pairs of lists: values, and sizes of the lists of each row. Long lists are compared row by row as
+    tables, short ones many rows at once; either holds AT_ONCE comparisons, or one table, at a time."""
+    begins = [np.cumsum(s) - s for s in sizes]
+    work = sizes[0] * sizes[1]
+    held, many = [], 0
+    for r in np.flatnonzero(work >= TABLE):
+        x, y = (v[b[r] : b[r] + s[r]] for v, b, s in zip(values, begins, sizes, strict=True))
+        at = np.flatnonzero(np.bitwise_count(np.bitwise_xor.outer(x, y).view(np.uint64)).ravel() <= d)
+        if len(at):
+            held.append((np.full(len(at), r), x[at // len(y)], y[at % len(y)]))
+            many += len(at)
+        if many >= AT_ONCE:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, many = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+    short = np.flatnonzero(work < TABLE)
+    done = np.cumsum(work[short])
+    cuts = [0, *(np.flatnonzero(np.diff(done // AT_ONCE)) + 1).tolist(), len(short)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = short[lo:hi]
+        rows = np.repeat(part, work[part])
+        inner = np.arange(len(rows)) - np.repeat(np.cumsum(work[part]) - work[part], work[part])
+        x = values[0][begins[0][rows] + inner // sizes[1][rows]]
+        y = values[1][begins[1][rows] + inner % sizes[1][rows]]
+        at = np.flatnonzero(np.bitwise_count((x ^ y).view(np.uint64)) <= d)
+        yield rows[at], x[at], y[at]
+
+
 def _compared(cut: tuple, d: int) -> object:
     """A task over pairs of lists (i, xs, ys, same): the pairs within d bits, each only from the first band that finds it."""
     ones = [np.uint64(((1 << bits) - 1) << shift) for shift, bits, _ in cut]
@@ -60,24 +90,12 @@ def _compared(cut: tuple, d: int) -> object:
             lists = [batch.column(c) for c in ("xs", "ys")]
             sizes = [np.diff(c.offsets.to_numpy()).astype(np.int64) for c in lists]
             values = [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
-            ends = [np.cumsum(s) for s in sizes]
-            work = np.cumsum(sizes[0] * sizes[1])
-            cuts = [0, *(np.flatnonzero(np.diff(work // AT_ONCE)) + 1).tolist(), len(work)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                rows = np.repeat(np.arange(lo, hi), sizes[0][lo:hi])  # of each x
-                times = sizes[1][rows]
-                first = ends[0][lo] - sizes[0][lo] if hi > lo else 0
-                x = np.repeat(values[0][first : first + len(rows)], times)
-                begin = np.cumsum(times) - times
-                y = values[1][np.arange(len(x)) - np.repeat(begin - (ends[1] - sizes[1])[rows], times)]
+            for row, x, y in _near(values, sizes, d):
                 differ = (x ^ y).view(np.uint64)
-                at = np.flatnonzero(np.bitwise_count(differ) <= d)
-                x, y, differ, row = x[at], y[at], differ[at], np.repeat(rows, times)[at]
-                keep = ~same[row] | (x < y)
+                keep = (~same[row] | (x < y)) & (x != y)
                 for i in range(len(cut)):
                     if cut[i][2] >= 0:
                         keep &= (band[row] <= i) | (np.bitwise_count(differ & ones[i]) > cut[i][2])
-                keep &= x != y
                 x, y = x[keep], y[keep]
                 columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
                 yield pa.RecordBatch.from_arrays([batch.column("block").take(pa.array(row[keep])), *columns], names=["block", "pa", "pb"])

@@ -1,6 +1,9 @@
 """Pairs of hashes within a distance, against all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stowage.operators import hamming as H
@@ -39,3 +42,19 @@ def test_pairs_equal_brute_force(spark, monkeypatch, d, size, held):
     assert len(got) == len(want) and set(got) == want
     assert {tuple(r) for r in S.hamming_pairs(df, d, block="album").collect()} == {p for p in want if p[0] % 2 == p[1] % 2}
     assert S.hamming_pairs(df.limit(0), d).count() == 0
+
+
+def test_comparing_lists_takes_little_memory():
+    """Pairs of short and long lists against plain comparison; what is held at once is a small part of all comparisons."""
+    rng = np.random.default_rng(3)
+    xs, ys = ([rng.integers(-(2**63), 2**63 - 1, n) for _ in range(40) for n in (3, 256)] for _ in range(2))
+    for x, y in zip(xs, ys, strict=True):
+        y[:2] = x[:2] ^ 5
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 80), pa.array([0] * 80), pa.array(xs), pa.array(ys), pa.array([False] * 80)], names=["block", "i", "xs", "ys", "same"])
+    run = H._compared(((0, 64, 64),), 12)
+    tracemalloc.start()
+    got = [(min(a, b), max(a, b)) for out in run(iter([batch])) for a, b in zip(out["pa"].to_pylist(), out["pb"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [(min(a, b), max(a, b)) for x, y in zip(xs, ys, strict=True) for a in x.tolist() for b in y.tolist() if ((a ^ b) & (2**64 - 1)).bit_count() <= 12]
+    assert sorted(got) == sorted(want) and len(got) >= 160 and peak < 8 << 20
