@@ -109,24 +109,47 @@ def nearest_person(faces: DataFrame, people: DataFrame, least: float = R.FACE_NA
     return best.where(F.col("b.sim") >= least).select("vec_id", F.col("b.label").alias("label"), F.col("b.sim").alias("sim"))
 
 
+def _in_order(vectors: np.ndarray, threshold: float, at_once: int = 256) -> np.ndarray:
+    """The cluster of each vector, in order: that whose sum so far is most alike (the first at ties), if enough, else a new one.
+
+    A block of vectors is held against all sums at once; sums that the block itself changes or makes are looked at again one by one.
+    A vector with parts that aren't finite is alike to none.
+    """
+    vectors = np.where(np.isfinite(vectors).all(1, keepdims=True), vectors, 0.0)
+    found = np.zeros(len(vectors), np.int64)
+    sums = np.zeros((at_once, vectors.shape[1]))
+    units, made = np.zeros_like(sums), 0
+    for lo in range(0, len(vectors), at_once):
+        block = vectors[lo : lo + at_once]
+        while made + len(block) > len(sums):
+            sums, units = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([units, np.zeros_like(units)])
+        sims = block @ units[:made].T
+        changed: dict[int, int] = {}  # sum: its place in own
+        own = np.zeros((len(block), vectors.shape[1]))
+        for i, v in enumerate(block):
+            tops = [(float(sims[i].max()), -int(sims[i].argmax()))] if made and sims.shape[1] else []
+            if changed:
+                again, names = own[: len(changed)] @ v, np.fromiter(changed, np.int64)
+                tops.append((float(again.max()), -int(names[again == again.max()].min())))
+            top, best = max(tops, default=(-np.inf, 0))
+            best = -best
+            if top < threshold:
+                best, made = made, made + 1
+            sums[best] += v
+            units[best] = sums[best] / (np.linalg.norm(sums[best]) or 1)
+            own[changed.setdefault(best, len(changed))] = units[best]
+            if best < sims.shape[1]:
+                sims[:, best] = -np.inf
+            found[lo + i] = best
+    return found
+
+
 def greedy_clusters(faces: DataFrame, block: str, threshold: float = R.FACE_CLUSTER) -> DataFrame:
     """Order-true centroid clustering within each block (an album or day): vec_id, block, cluster. Blocks must fit a task."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sums: list[np.ndarray] = []
-        found = []
         pdf = pdf.sort_values("vec_id")
-        for v in pdf["v"]:
-            v = np.asarray(v, float)
-            sims = [float(v @ s / (np.linalg.norm(s) or 1)) for s in sums]
-            best = int(np.argmax(sims)) if sims else -1
-            if best >= 0 and sims[best] >= threshold:
-                sums[best] = sums[best] + v
-            else:
-                best = len(sums)
-                sums.append(v)
-            found.append(best)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "block": str(key[0]), "cluster": np.array(found, np.int64)})
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "block": str(key[0]), "cluster": _in_order(np.stack(pdf["v"].to_list()).astype(float), threshold)})
 
     rows = faces.select("vec_id", F.col(block).alias("b"), K.unit(F.col("embedding")).alias("v")).where("v is not null")
     return rows.groupBy("b").applyInPandas(run, "vec_id long, block string, cluster long")

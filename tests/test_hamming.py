@@ -1,5 +1,6 @@
 """Pairs of hashes within a distance, against all pairs."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -58,3 +59,25 @@ def test_comparing_lists_takes_little_memory():
     tracemalloc.stop()
     want = [(min(a, b), max(a, b)) for x, y in zip(xs, ys, strict=True) for a in x.tolist() for b in y.tolist() if ((a ^ b) & (2**64 - 1)).bit_count() <= 12]
     assert sorted(got) == sorted(want) and len(got) >= 160 and peak < 8 << 20
+
+
+def test_clusters_in_order_are_quick_and_true_to_order():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    v = centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * rng.choice([0.1, 0.6], (1500, 1))
+    v[700:710] = v[5]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sums, want = [], []
+    for x in v:
+        sims = [x @ s / np.linalg.norm(s) for s in sums]
+        best = int(np.argmax(sims)) if sims and max(sims) >= 0.6 else len(sims)
+        sums[best:] = [sums[best] + x, *sums[best + 1 :]] if best < len(sums) else [x]
+        want.append(best)
+    assert S._in_order(v, 0.6).tolist() == want and len(sums) > 40
+    assert S._in_order(v[:0], 0.6).tolist() == [] and S._in_order(v, 0.6, at_once=7).tolist() == want
+    odd = np.array([[1.0, 0.0], [np.nan, 0.0], [1.0, 0.0], [np.nan, 1.0], [0.0, 1.0]])
+    assert S._in_order(odd, 0.6).tolist() == [0, 1, 0, 2, 3]
+    many = rng.normal(size=(20_000, 16))
+    start = time.perf_counter()
+    S._in_order(many / np.linalg.norm(many, axis=1, keepdims=True), 0.9)
+    assert time.perf_counter() - start < 20
