@@ -30,6 +30,8 @@ KEY, HELD, SET, DOC, NO_ID = 0, 1, 2, 3, 4
 #: doc: the first document of the set in its chunk. a, b: of HELD rows the key's first document and the key, of SET rows the second half
 #: of the set's mark. n: size of the set. id: of SET rows the smallest id of the set in its chunk, of DOC rows the document's own.
 _ROW = "pkey long, kind int, doc long, a long, b long, n long, id long"
+#: A fragment of a set, with the documents that the set is held against and whether others are held against it.
+_RANGE = "doc long, leads array<long>, leading boolean, fragment int, size long, grams binary"
 _SALTS = [int(C.mix1(i + 77)) for i in range(4)]
 #: Ranges of the order in which overlaps are counted; most documents of a bucket joined as pairs of rows; documents per block of a larger one;
 #: documents up to which the list of those with candidates is sent to the tasks instead of shuffling all texts (8 bytes each).
@@ -110,12 +112,14 @@ def _postings(n: int, percent: int):
         if keys:
             key, owner, size = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
             _, first, back = np.unique(key, return_index=True, return_inverse=True)
+            leader = owner[first][back]
             held = np.ones(len(key), bool)
             held[first] = False
+            first.sort()  # document by document: rows that differ in nothing but the key are half as long in the shuffle's files
             none, more = np.zeros(len(first), np.int64), np.zeros(int(held.sum()), np.int64)
             spread = C.mix(key[held] + owner[held].view(np.uint64)).view(np.int64)
             lead = (key[first].view(np.int64), none + KEY, owner[first], none, none, size[first], none)
-            rest = (spread, more + HELD, owner[held], owner[first][back][held], key[held].view(np.int64), size[held], more)
+            rest = (spread, more + HELD, owner[held], leader[held], key[held].view(np.int64), size[held], more)
             cols = [np.concatenate(c) for c in zip(cols, lead, rest, strict=True)]
         return cols
 
@@ -131,18 +135,18 @@ def _postings(n: int, percent: int):
 
 
 def _ranges(n: int):
-    """Rows (doc, fragment, size, grams) of texts: each set cut into FRAGMENTS ranges of the global order; empty ranges have no row."""
+    """Rows of _RANGE of texts: each set cut into FRAGMENTS ranges of the global order; empty ranges have no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.parts(batches):
             rows: list[tuple] = []
-            grams = C.gram_hashes(*C.word_hashes(batch.column("text").to_pylist(), C.BLANK_WORDS), n)
-            for doc, g in zip(batch.column("doc").to_pylist(), grams, strict=True):
+            for i, g in enumerate(C.gram_hashes(*C.word_hashes(batch.column("text").to_pylist(), C.BLANK_WORDS), n)):
                 cut = np.searchsorted(((g >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32), np.arange(FRAGMENTS + 1))
-                rows += [(doc, f, len(g), g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                rows += [(i, f, len(g), g[x:y].tobytes()) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
             if rows:
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "fragment", "size", "grams"])
+                at, *cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                kept = [batch.column(c).take(at) for c in ("doc", "leads", "leading")]
+                yield pa.RecordBatch.from_arrays([*kept, *cols], names=["doc", "leads", "leading", "fragment", "size", "grams"])
 
     return run
 
@@ -159,10 +163,18 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), batch.column("total")], names=["a", "b", "common", "total"])
 
 
-def _verified(pairs: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link. Each fragment of a pair is a row and a task's work of its own; partial overlaps are summed."""
-    of = lambda x: ranges.select(F.col("doc").alias(x), "fragment", F.col("size").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
-    joined = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"]).select("a", "b", "ga", "gb", (F.col("na") + F.col("nb")).alias("total"))
+def _roles(pairs: DataFrame) -> DataFrame:
+    """Rows (doc, leads, leading) of pairs (a, b): the documents that doc is held against as b, and whether it is an a itself."""
+    sides = pairs.select(F.col("b").alias("doc"), F.col("a").alias("lead")).union(pairs.select("a", F.lit(None).cast("long")).distinct())
+    return sides.groupBy("doc").agg(F.collect_list("lead").alias("leads"), F.bool_or(F.col("lead").isNull()).alias("leading"))
+
+
+def _verified(ranges: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b), named by the roles in ranges, whose sets link. Each fragment of a pair is a row and a task's work of its own;
+    partial overlaps are summed. No document that takes no part is shuffled, and none that only leads more than once."""
+    left = ranges.select(F.explode("leads").alias("a"), F.col("doc").alias("b"), "fragment", F.col("size").alias("nb"), F.col("grams").alias("gb"))
+    right = ranges.where("leading").select(F.col("doc").alias("a"), "fragment", F.col("size").alias("na"), F.col("grams").alias("ga"))
+    joined = left.join(right, ["a", "fragment"]).select("a", "b", "ga", "gb", (F.col("na") + F.col("nb")).alias("total"))
     partial = joined.mapInArrow(_overlaps, "a long, b long, common long, total long")
     whole = partial.groupBy("a", "b").agg(F.sum("common").alias("i"), F.max("total").alias("total"))
     return whole.where(F.expr(f"100 * i >= {percent} * (total - i)")).select("a", "b")
@@ -257,7 +269,7 @@ def _possible(large: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
 def _in_families(families: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that join linked documents of different components within each family (doc, family, component, n): every two blocks
     of its documents meet in a task, which sums the partial overlaps of all their pairs fragment by fragment."""
-    dealt = _dealt(families, "family", "n").join(ranges, "doc")
+    dealt = _dealt(ranges.join(families, "doc"), "family", "n")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
@@ -309,21 +321,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     C.forget(rows)
     wanted = C.stored(members.select("doc").distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
-    texts = docs.select("doc", "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    ranges = C.stored(texts.mapInArrow(_ranges(n), "doc long, fragment int, size long, grams binary"), "ranges")
-    found = connected_components(C.stored(_verified(tested, ranges, percent), "links"))
+    # a document's part in the pairs is told where its copies meet anyway
+    texts = docs.select("doc", "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).join(_roles(tested), "doc", "left")
+    cut = C.stored(texts.mapInArrow(_ranges(n), _RANGE), "ranges")
+    found = connected_components(C.stored(_verified(cut, percent), "links"))
+    ranges = cut.drop("leads", "leading")
 
     inside = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     whole = inside.groupBy("key").agg(F.count("*").alias("all"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     open_ = C.stored(inside.join(whole.select("key", "all"), "key"), "open")
     C.forget(members)
     pairs = _by_rows(open_.where(F.col("all") <= SMALL), percent).distinct().join(tested, ["a", "b"], "left_anti")
-    more = _verified(C.stored(pairs, "pairs"), ranges, percent)
+    more = _verified(ranges.join(C.sent(C.stored(_roles(pairs), "roles")), "doc"), percent)
     large = open_.where(F.col("all") > SMALL)
     families = connected_components(C.stored(_possible(large, open_, percent), "possible")).select(F.col("node").alias("doc"), F.col("component").alias("family"))
     families = families.join(large.select("doc", "component").distinct(), "doc").join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
+    families = C.sent(C.stored(families, "families"))
     more = C.stored(more.union(_in_families(families, ranges, percent)), "links")
-    C.forget(ranges, open_)
+    C.forget(cut, open_)
 
     # from here on a set goes by its smallest id, so that components are named by it; an id that several texts share joins their sets
     reps = C.stored(sets.groupBy("rep").agg(F.min("id").alias("node")), "sets")

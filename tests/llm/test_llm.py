@@ -13,6 +13,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -102,6 +103,25 @@ def test_repeated_rows_near_a_half_similar_document(spark, tmp_path):
     assert Counter(map(tuple, left)) == Counter([(1, a), (2, b), (7, "p q r s t u"), (7, "k l m n o p"), (None, "clean one")])
 
 
+def test_first_holders_go_document_by_document():
+    """Rows of one document stand together, so that what is equal in them takes next to nothing in the shuffle's files."""
+    docs = pa.RecordBatch.from_pydict({"doc": [11, 12, 13], "id": [1, 2, 3], "text": [" ".join(f"{d}w{i}" for i in range(400)) for d in "abc"]})
+    rows = pa.Table.from_batches(list(NJ._postings(5, 80)(iter([docs])))).to_pandas()
+    first = rows[rows["kind"] == NJ.KEY]["doc"].to_numpy()
+    assert set(first) == {11, 12, 13} and (np.diff(first) != 0).sum() == 2
+
+
+def test_only_documents_that_take_part_are_held_against_others(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    roles = {r.doc: (sorted(r.leads), r.leading) for r in NJ._roles(pairs).collect()}
+    assert roles == {1: ([], True), 2: ([1], True), 3: ([1, 2], False)}
+    grams = [np.arange(k, 200 + k, dtype=np.uint64).tobytes() for k in range(4)]
+    rows = [(d, *roles.get(d, (None, None)), 0, 200, bytearray(grams[d - 1])) for d in (1, 2, 3, 4)]
+    ranges = spark.createDataFrame(rows, NJ._RANGE)
+    assert {tuple(r) for r in NJ._verified(ranges, 98).collect()} == {(1, 2), (2, 3), (1, 3)}
+    assert {tuple(r) for r in NJ._verified(ranges, 99).collect()} == {(1, 2), (2, 3)}
+
+
 def test_fragments_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     bands = NJ.size_bands(90)
