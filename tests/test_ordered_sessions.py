@@ -3,7 +3,7 @@
 import random
 
 from stowage.operators import rollup as U
-from stowage.streaming.ordered_sessions import _Timeline, ordered_sessions
+from stowage.streaming.ordered_sessions import _packed, _Timeline, _unpacked, ordered_sessions
 
 SCHEMA = "album string, taken_at timestamp, walk_seq long, rel_path string"
 
@@ -67,3 +67,16 @@ def test_stream_against_batch(spark, tmp_path):
     assert got == sorted(map(tuple, want.collect()), key=str)
     assert done == sorted(done) and 0 < done[2] < done[-1]  # given out on the way
     assert {r[-1] for r in got if r[1] == 10} == {"Session 11"}
+
+
+def test_keys_of_a_bucket_share_a_state():
+    """No row of state, and so no call of Python, for each key; every key comes out of the bucket's row as it went in."""
+    rng = random.Random(3)
+    lines = {key: _Timeline(None) for key in (None, "", "a", "b", "c")}
+    for line in lines.values():
+        line.waiting = [(rng.randrange(10**12), i, rng.choice([None, f"f{i}"])) for i in range(rng.randrange(9))]
+        line.advance(rng.randrange(10**12), 2400)
+    row = _packed(lines)
+    assert len(row) == 11 and len(row[0]) == 5
+    assert {k: v.state() for k, v in _unpacked(row).items()} == {k: v.state() for k, v in lines.items()}
+    assert _unpacked(None) == {}
