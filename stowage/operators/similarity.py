@@ -75,7 +75,9 @@ def leader_groups(rows: DataFrame, d: int) -> DataFrame:
 
 def leader_duplicates(rows: DataFrame, d: int = R.PHOTO_DUP) -> DataFrame:
     """walk_seq, leader, is_dup: of each leader's group all but the best (focus * max(1, pixels), first on ties) are duplicates."""
-    groups = leader_groups(rows, d).join(rows.select("walk_seq", (F.col("focus") * F.greatest(F.lit(1), F.col("pixels"))).alias("worth")), "walk_seq")
+    # either is read more than once, here and by a second pass over what the first leaves
+    rows = stored(rows.select("walk_seq", "phash", (F.col("focus") * F.greatest(F.lit(1), F.col("pixels"))).alias("worth")), "rows")
+    groups = stored(leader_groups(rows, d).join(rows.select("walk_seq", "worth"), "walk_seq"), "groups")
     best = groups.groupBy("leader").agg(F.min_by("walk_seq", F.struct(-F.col("worth"), "walk_seq")).alias("best"))
     return groups.join(best, "leader").select("walk_seq", "leader", (F.col("walk_seq") != F.col("best")).alias("is_dup"))
 

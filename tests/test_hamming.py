@@ -81,3 +81,12 @@ def test_clusters_in_order_are_quick_and_true_to_order():
     start = time.perf_counter()
     S._in_order(many / np.linalg.norm(many, axis=1, keepdims=True), 0.9)
     assert time.perf_counter() - start < 20
+
+
+def test_leaders_are_found_once(spark):
+    """The result reads stored tables only: a plan that joins it to more, or a second pass over it, doesn't do the work anew."""
+    rows = spark.range(12).selectExpr("id AS walk_seq", "id div 3 * 1048575 AS phash", "double(id % 5) AS focus", "1 AS pixels")
+    found = S.leader_duplicates(rows, 2)
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # the hash of 3, 4 and 5 is two bits from those of 6 and up, so these follow it; 4 and 9 are its best, 4 the first
+    assert {r.walk_seq for r in found.where("not is_dup").collect()} == {2, 4}
