@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,32 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> Dat
     return kept.withColumn("_part", part).join(heads, [*by, "_part"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
+#: Bytes at about which an Arrow batch of rows for Python ends, unless the session sets a bound itself. Spark's own 64 MB is a buffer of up
+#: to 64 MB for each task's texts, in the executor and again in the Python worker.
+BATCH_BYTES, _BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def give_back() -> None:
+    """Hand memory that is free, but kept by Arrow's pool or the C library, back to the system (with C libraries that can)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES. Spark keeps Python workers from task to task, so each task gives its
+    memory back at its end; else the most that any step took stays beside the executor through all later ones."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(whole, schema)
+
+
 def crc_mod(doc_id: object, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 

@@ -41,7 +41,8 @@ def item_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col
                     out += [{"item": item, "terms": words[i : min(i + width, b)].tolist()} for i in range(a, max(a + 1, b - width + 1)) if b > a]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("item", pa.string()), ("terms", pa.list_(pa.int64()))]))
 
-    return items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item string, terms array<long>").distinct()
+    items = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return C.in_arrow(items, run, "item string, terms array<long>").distinct()
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +77,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id
             block += 1
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return C.stored(docs.mapInArrow(run, _INDEX), "postings")
+    return C.stored(C.in_arrow(docs, run, _INDEX), "postings")
 
 
 class Windows:
@@ -170,7 +171,7 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
         terms = index.select(F.inline(F.arrays_zip("terms", "counts")).alias("term", "n"))
         counts = terms.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
         query = spark.sparkContext.broadcast(Windows(part.collect(), {r.term: r.n for r in counts.collect()}))
-        found = index.mapInArrow(_searcher(query, slop), "block long, slot int, item string, start long, length long")
+        found = C.in_arrow(index, _searcher(query, slop), "block long, slot int, item string, start long, length long")
         out = found if out is None else out.union(found)
     return out
 

@@ -175,7 +175,7 @@ def _verified(ranges: DataFrame, percent: int) -> DataFrame:
     left = ranges.select(F.explode("leads").alias("a"), F.col("doc").alias("b"), "fragment", F.col("size").alias("nb"), F.col("grams").alias("gb"))
     right = ranges.where("leading").select(F.col("doc").alias("a"), "fragment", F.col("size").alias("na"), F.col("grams").alias("ga"))
     joined = left.join(right, ["a", "fragment"]).select("a", "b", "ga", "gb", (F.col("na") + F.col("nb")).alias("total"))
-    partial = joined.mapInArrow(_overlaps, "a long, b long, common long, total long")
+    partial = C.in_arrow(joined, _overlaps, "a long, b long, common long, total long")
     whole = partial.groupBy("a", "b").agg(F.sum("common").alias("i"), F.max("total").alias("total"))
     return whole.where(F.expr(f"100 * i >= {percent} * (total - i)")).select("a", "b")
 
@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     # rows are told apart by id and text, so that two texts of one id are compared each by itself
     docs = docs.select(F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")).alias("doc"), "text", "id")
     w = Window.partitionBy("pkey", "kind", F.when(F.col("kind") == SET, F.col("a")))
-    rows = docs.mapInArrow(_postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "held": F.count("*").over(w)})
+    rows = C.in_arrow(docs, _postings(n, percent), _ROW).withColumns({"lead": F.min("doc").over(w), "held": F.count("*").over(w)})
     rows = C.stored(rows.where(f"kind <> {KEY} or held > 1").drop("held"), "buckets")
     per_doc = C.stored(rows.where(F.col("kind").isin(SET, DOC, NO_ID)), "per-doc")  # small, and needed to the end; the buckets go early
     of = {kind: (rows if kind in (KEY, HELD) else per_doc).where(F.col("kind") == kind) for kind in (KEY, HELD, SET, DOC, NO_ID)}
@@ -323,7 +323,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wanted = F.broadcast(wanted) if wanted.count() <= SENT_DOCS else wanted
     # a document's part in the pairs is told where its copies meet anyway
     texts = docs.select("doc", "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]).join(_roles(tested), "doc", "left")
-    cut = C.stored(texts.mapInArrow(_ranges(n), _RANGE), "ranges")
+    cut = C.stored(C.in_arrow(texts, _ranges(n), _RANGE), "ranges")
     found = connected_components(C.stored(_verified(cut, percent), "links"))
     ranges = cut.drop("leads", "leading")
 

@@ -112,7 +112,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return C.stored(docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"), "pieces")
+    return C.stored(C.in_arrow(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"), "pieces")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

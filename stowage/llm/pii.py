@@ -255,4 +255,4 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame
     keep = ["text" if c == text_col else f"_c{i}" for i, c in enumerate(docs.columns)]
     sent = docs.toDF(*keep).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in sent.schema] + [f"_n{i} int" for i in range(len(KINDS))])
-    return sent.mapInArrow(run, schema).toDF(*docs.columns, *names)
+    return C.in_arrow(sent, run, schema).toDF(*docs.columns, *names)

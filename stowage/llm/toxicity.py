@@ -182,8 +182,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = by_hash[0].union(by_hash[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     texts = texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = texts.select("label", "id", "text").mapInArrow(_features, "label int, id long, buckets array<int>, shares array<float>")
-    found = rows.repartition(1).mapInArrow(_fit_task, "value binary, bias double").collect()
+    rows = C.in_arrow(texts.select("label", "id", "text"), _features, "label int, id long, buckets array<int>, shares array<float>")
+    found = C.in_arrow(rows.repartition(1), _fit_task, "value binary, bias double").collect()
     return np.frombuffer(found[0].value, np.float32), found[0].bias
 
 
@@ -219,7 +219,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     text = keep[docs.columns.index(text_col)]
     sent = named.withColumn("text", F.col(text).cast("string")).drop(text)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent.drop("text").schema) + ", _score double, text string"
-    out = sent.mapInArrow(_probabilities(model), schema)
+    out = C.in_arrow(sent, _probabilities(model), schema)
     cols = [F.col("text" if k == text else k).alias(c) for k, c in zip(keep, docs.columns, strict=True)]
     names = [n if n not in docs.columns else f"llm_{n}" for n in ("toxic_score", "toxic_predicted")]
     return out.select(*cols, F.col("_score").alias(names[0]), (F.col("_score") >= 0.5).cast("int").alias(names[1]))
