@@ -7,13 +7,15 @@ pieces of their bins that have room left, and rerun; the new packing counts only
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +23,30 @@ from pyspark.sql import functions as F
 from stowage.llm import common as C
 
 #: Pieces per group at the start; groups that pool their open bins in a round; rounds (so a pool is of POOL ** ROUNDS groups' open bins at
-#: most); part of a sequence that may stay free in a closed bin; bytes of runs and words that a task remembers; what an entry takes
-#: besides its characters and ids.
+#: most); part of a sequence that may stay free in a closed bin; bytes of words that a task remembers; what an entry takes besides its
+#: characters and ids.
 GROUP_PIECES, POOL, ROUNDS, SLACK, MEMO_BYTES, ENTRY = 50_000, 4, 3, 64, 160 << 20, 220
 #: Bytes of text taken at once; the more, the fewer runs are looked up twice.
 #: Words encoded at once, as the tokenizer's own results are large.
-PART, AT_ONCE = 1 << 21, 2000
+PART, AT_ONCE = 1 << 22, 200
+
+_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+#: A word of Latin letters (below U+0130, the first that isn't lower-cased into one letter), and ASCII marks after it.
+_LATIN = r"A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}"
+_PLAIN = rf"^(?P<word>[{_LATIN}]+)(?P<marks>[.,;:!?%&*$#]*) ?$"
 
 
 class _Memo:
     """Token ids of blank-separated runs of text: neither normaliser nor splitting of the tokenizer reaches across ASCII blanks.
 
     Latin letters (which the tokenizer lower-cases) and ASCII marks after them are tokens of their own, so a word is learnt once for all
-    marks, and all new words of a batch are encoded in one string, to be cut where a token ends a word.
+    marks, and many new words are encoded in one string, to be cut where a token ends a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         if path not in _TOKENIZERS:  # a worker keeps it from task to task; what it remembers of texts goes with the task
             tokenizer = Tokenizer.from_file(path)
             vocabulary = tokenizer.get_vocab()
@@ -46,53 +54,77 @@ class _Memo:
             ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             _TOKENIZERS[path] = tokenizer, ends
         self.tokenizer, self.ends = _TOKENIZERS[path]
-        self.runs: dict[str, bytes] = {}  # ids as 32-bit little-endian numbers
-        self.words: dict[str, bytes] = {"": b""}
-        self.size = 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.entry: dict[str, int] = {}  # entry e has ids[starts[e] : starts[e + 1]]
+        self.ids, self.starts, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, runs: set[str]) -> None:
-        """Makes all the runs known. Over MEMO_BYTES, what these runs don't need is forgotten."""
+    def learn(self, keys: list[str]) -> None:
+        """Makes all the keys, distinct words or other runs, known. Over MEMO_BYTES, what was known before is forgotten."""
         if self.size > MEMO_BYTES:
-            self.runs = {run: self.runs[run] for run in runs if run in self.runs}
-            self.words = {"": b""}
-            self.size = sum(ENTRY + len(run) + len(ids) for run, ids in self.runs.items())
-        plain, known = [], self.words
-        for run in runs.difference(self.runs):
-            head = run.rstrip(".,;:!?%&*$#")
-            if head.isalpha() and (head.isascii() or max(head) < "\u0130"):
-                plain.append((run, head.lower(), run[len(head) :]))
-            else:
-                self.runs[run] = self.encode(run).tobytes()
-                self.size += ENTRY + len(run) + len(self.runs[run])
-        new = [w for w in {p[1] for p in plain} if w not in known]
-        for lo in range(0, len(new), AT_ONCE):
-            words = new[lo : lo + AT_ONCE]
-            ids = self.encode(" ".join(words))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(words):
+            self.forget()
+        words, others, ids, lengths = [], [], [self.ids], [np.diff(self.starts)]
+        for key in keys:
+            if key not in self.entry:
+                plain = key.isalpha() and (key.isascii() or max(key) < "\u0130")
+                (words if plain else others).append(key)
+        for lo in range(0, len(words), AT_ONCE):
+            some = words[lo : lo + AT_ONCE]
+            ids += self.encode([" ".join(some)])
+            stops = np.flatnonzero(self.ends[ids[-1]]) + 1
+            if len(stops) != len(some):
                 raise ValueError("a word of Latin letters isn't one token run of this tokenizer")
-            data, stops = ids.tobytes(), (4 * stops).tolist()
-            known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
-            self.size += ENTRY * len(words) + sum(map(len, words)) + len(data)
-        for marks in {p[2] for p in plain}:
-            if marks not in known:
-                known[marks] = self.encode(marks).tobytes()
-        self.runs.update((run, known[word] + known[marks]) for run, word, marks in plain)
-        self.size += sum(ENTRY // 2 + len(run) for run, _, _ in plain)
+            lengths.append(np.diff(stops, prepend=0))
+        for lo in range(0, len(others), AT_ONCE):
+            some = self.encode(others[lo : lo + AT_ONCE])
+            ids += some
+            lengths.append(np.array([len(x) for x in some]))
+        self.entry.update((key, e) for e, key in enumerate(chain(words, others), len(self.entry)))
+        self.size += ENTRY * (len(words) + len(others)) + sum(map(len, words)) + sum(map(len, others)) + sum(x.nbytes for x in ids[1:])
+        self.ids, self.starts = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+
+    def of(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct runs, one after another, and where each begins (one more than runs)."""
+        found = pc.extract_regex(runs, _PLAIN)
+        word, marks = (pc.struct_field(found, i) for i in range(2))
+        keys = pc.coalesce(pc.utf8_lower(word), pc.utf8_rtrim(runs, characters=" ")).dictionary_encode()
+        marks = pc.fill_null(marks, "").dictionary_encode()
+        texts, after = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (keys, marks))
+        self.learn(list(dict.fromkeys(chain(texts, after))))
+        entries = np.empty((len(runs), 2), np.int64)
+        for i, (known, column) in enumerate(((texts, keys), (after, marks))):
+            entries[:, i] = np.array([self.entry[k] for k in known], np.int64)[column.indices.to_numpy()]
+        ids, starts = _gather(self.ids, self.starts, entries.ravel())
+        return ids, starts[::2]
 
 
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def token_ids(texts: list[str | None], memo: _Memo) -> Iterator[np.ndarray]:
-    for lo, hi in C.by_bytes(texts, PART):
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo:hi]]
-        memo.learn(set(chain.from_iterable(split)))
-        for runs in split:
-            yield np.frombuffer(b"".join(map(memo.runs.__getitem__, runs)), "<u4")
+def _gather(ids: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids[starts[e] : starts[e + 1]] of each entry e, one after another, and where each begins (one more than entries)."""
+    length = np.diff(starts)[entries]
+    at = np.concatenate([[0], np.cumsum(length)])
+    return ids[np.repeat(starts[entries] - at[:-1], length) + np.arange(at[-1])], at
+
+
+def token_ids(texts: pa.Array, memo: _Memo) -> Iterator[np.ndarray]:
+    """The ids of each text; null is empty. Blanks cut the texts into runs within Arrow's own buffer, and each distinct run is looked up once."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+    data = (texts.buffers()[2] or pa.py_buffer(b""))[ends[0] : ends[-1]].to_pybytes().translate(_BLANKS)
+    ends = ends - ends[0]
+    cut = np.append(False, np.frombuffer(data, np.uint8) == 0x20)
+    cut[ends] = True
+    cuts = np.flatnonzero(cut)
+    runs = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    ids, at = _gather(*memo.of(runs.dictionary), runs.indices.to_numpy())
+    for lo, hi in pairwise(at[np.searchsorted(cuts, ends)].tolist()):
+        yield ids[lo:hi]
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,9 +133,8 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, memo = TaskContext.get().partitionId() << 36, _Memo(path)
         for batch in C.parts(batches, PART):
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
             rows = []
-            for doc, tokens in zip(ids, token_ids(texts, memo), strict=True):
+            for doc, tokens in zip(batch.column("doc").to_pylist(), token_ids(batch.column("text"), memo), strict=True):
                 data = np.append(tokens, np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(data), capacity)):
                     part = data[at : at + capacity]
